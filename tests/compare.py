@@ -1,0 +1,53 @@
+"""Run a query and its SQL and compare columns, types and values."""
+
+from __future__ import annotations
+
+import math
+
+import duckdb
+
+from wavebook.sources.tables import SCHEMAS
+
+TYPES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+    "boolean": "BOOLEAN", "float": "FLOAT", "date": "DATE",
+}
+
+
+def connect(folder: str):
+    con = duckdb.connect()
+    for name in SCHEMAS:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return con
+
+
+def _key(row):
+    return tuple(
+        ("", 0) if v is None
+        else ("n", float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool)
+        else ("s", str(v))
+        for v in row
+    )
+
+
+def _same(a, b):
+    if isinstance(a, float) and isinstance(b, float):
+        return a == b or (math.isnan(a) and math.isnan(b))
+    return a == b
+
+
+def differences(frame, con, sql) -> list[str]:
+    """An empty list if both give the same columns, types and rows."""
+    relation = con.execute(sql)
+    theirs = {c[0]: str(c[1]) for c in relation.description}
+    ours = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in frame.schema}
+    if ours != theirs:
+        return [f"schema {ours} is not {theirs}"]
+    names = sorted(ours)
+    expected = [tuple(dict(zip(theirs, row))[n] for n in names) for row in relation.fetchall()]
+    actual = [tuple(row[n] for n in names) for row in frame.collect()]
+    if len(actual) != len(expected):
+        return [f"{len(actual)} rows instead of {len(expected)}"]
+    pairs = zip(sorted(actual, key=_key), sorted(expected, key=_key))
+    wrong = [f"{a} is not {b}" for a, b in pairs if not all(map(_same, a, b))]
+    return wrong[:5]
