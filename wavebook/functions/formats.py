@@ -1,98 +1,68 @@
 """Cell formats of a displayed table, with the rounding of ``toFixed``.
 
-A browser rounds the exact binary value of a number, halves away from zero,
-while Spark's ``round`` works on the shortest decimal text: 1.005 shows as
-1.00 in a table and as 1.01 after ``round``. The helpers here keep the binary
-rounding with plain double arithmetic, so that they stay in generated code.
+A browser rounds the exact binary value of a number: 1.005 shows as 1.00 in a
+table and as 1.01 after Spark's ``round``, which works on the shortest decimal
+text. ``format_number`` rounds the binary value too, but takes halves to the
+even digit where a browser takes them up. A binary number is such a half after
+k decimals exactly if multiplying it by 2^(k+1) gives an odd whole number, so
+halves are found without error and pushed off the middle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-# Fixed value: 2^27 + 1 splits a double into two halves whose products are exact.
-SPLITTER = 134217729.0
-
+import re
 
-def _halves(x: Column) -> tuple[Column, Column]:
-    big = x * SPLITTER
-    high = big - (big - x)
-    return high, x - high
-
-
-def _product_error(x: Column, y: Column, product: Column) -> Column:
-    """What ``product`` lost when x * y was rounded."""
-    x_high, x_low = _halves(x)
-    y_high, y_low = _halves(y)
-    return ((x_high * y_high - product) + x_high * y_low + x_low * y_high) + x_low * y_low
+from pyspark.sql import Column, functions as F
 
+# From here on a browser shows the exponent form instead of digits.
+FIXED_LIMIT = 1e21
 
-def _scaled_half_up(x: Column, power: Column) -> Column:
-    """x * 10^power for x >= 0, rounded to a whole number, halves up, without error."""
-    scale = F.pow(F.lit(10.0), F.abs(power))
-    product = x * scale
-    whole = F.floor(product).cast("double")
-    rest = product - whole
-    tie_up = _product_error(x, scale, product) >= 0
-    up = (rest > 0.5) | ((rest == 0.5) & tie_up)
-    multiplied = whole + F.when(up, 1.0).otherwise(0.0)
 
-    quotient = x / scale
-    low = F.floor(quotient).cast("double")
-    middle = (low + 0.5) * scale
-    divided = low + F.when(x >= middle, 1.0).otherwise(0.0)
-    return F.when(power >= 0, multiplied).otherwise(divided)
+def _half_after(size: Column, decimals: int) -> Column:
+    return F.pmod(size * float(2 ** (decimals + 1)), F.lit(2.0)) == 1.0
 
 
-def _whole_text(x: Column) -> Column:
-    return x.cast("long").cast("string")
+def _fixed_grouped(x: Column, digits: int) -> Column:
+    """``toFixed`` with commas between groups of three digits."""
+    size = F.abs(x)
+    pushed = F.when(_half_after(size, digits), size + 0.25 / 10**digits).otherwise(size)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.format_number(pushed, digits))
+    exponent = F.regexp_replace(x.cast("string"), r"(\.0)?E", "e+")
+    return F.when(size < FIXED_LIMIT, text).otherwise(exponent)
 
 
 def fixed_text(x: Column, digits: int) -> Column:
-    """``toFixed(digits)`` for absolute values below 2^63."""
-    size = F.abs(x)
-    whole = F.floor(size)
-    part = _scaled_half_up(size - whole.cast("double"), F.lit(digits))
-    limit = float(10**digits)
-    carried = whole + F.when(part >= limit, 1).otherwise(0)
-    text = carried.cast("string")
-    if digits:
-        tail = F.when(part >= limit, F.lit(0.0)).otherwise(part)
-        text = F.concat(text, F.lit("."), F.lpad(_whole_text(tail), digits, "0"))
-    return F.concat(F.when(x < 0, "-").otherwise(""), text)
+    """``toFixed(digits)``."""
+    return F.replace(_fixed_grouped(x, digits), F.lit(","), F.lit(""))
 
 
 def precision_text(x: Column, digits: int) -> Column:
-    """``toPrecision(digits)``, for 1 to 15 digits and sizes from 1e-7 to 1e15."""
+    """``toPrecision(digits)``, for 1 to 15 digits."""
     size = F.abs(x)
-    guess = F.floor(F.log10(size)).cast("int")
-    exponent = (
-        guess
-        + F.when(size >= F.pow(F.lit(10.0), guess + 1), 1).otherwise(0)
-        - F.when(size < F.pow(F.lit(10.0), guess), 1).otherwise(0)
-    )
-    first = _scaled_half_up(size, F.lit(digits - 1) - exponent)
-    overflow = first >= float(10**digits)
-    power = exponent + F.when(overflow, 1).otherwise(0)
-    whole = F.when(overflow, float(10 ** (digits - 1))).otherwise(first)
-    figures = _whole_text(whole)
-    scientific = F.concat(
-        F.substring(figures, 1, 1),
-        F.when(F.lit(digits > 1), F.concat(F.lit("."), F.substring(figures, 2, digits))).otherwise(""),
-        F.lit("e"),
-        F.when(power >= 0, "+").otherwise("-"),
-        F.abs(power).cast("string"),
-    )
-    point = power + 1
-    plain = (
-        F.when(point >= digits, figures)
-        .when(
-            point > 0,
-            F.concat(F.substr(figures, F.lit(1), point), F.lit("."), F.substr(figures, point + 1)),
+    decimals = F.lit(digits - 1) - F.floor(F.log10(size)).cast("int")
+    unit = F.pow(F.lit(10.0), -decimals)
+    half = F.when(
+        decimals >= 0, F.pmod(size * F.pow(F.lit(2.0), decimals + 1), F.lit(2.0)) == 1.0
+    ).otherwise(F.pmod(size, unit) == unit / 2)
+    pushed = F.when(half, size * (1 + 2.0**-50)).otherwise(size)
+    pattern = "0" + ("." + "0" * (digits - 1) if digits > 1 else "") + "E0"
+    rounded = F.call_function("format_number", pushed, F.lit(pattern))
+
+    def shown(text: Column) -> Column:
+        # Rounding may add a digit (99.99 becomes 1.0E2), so the power is read off the result.
+        figures = F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit(""))
+        power = F.substring_index(text, "E", -1).cast("int")
+        whole = F.substr(figures, F.lit(1), power + 1)
+        plain = (
+            F.when(power == digits - 1, figures)
+            .when(power >= 0, F.concat(whole, F.lit("."), F.substr(figures, power + 2)))
+            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures))
         )
-        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), figures))
-    )
-    text = F.when((power < -6) | (power >= digits), scientific).otherwise(plain)
+        scientific = F.replace(F.regexp_replace(text, r"E(?=\d)", "e+"), F.lit("E"), F.lit("e"))
+        return F.when(power.between(-6, digits - 1), plain).otherwise(scientific)
+
+    # The rounded text is used several times; the lambda binds it so that it is made once.
+    text = F.get(F.transform(F.array(rounded), shown), F.lit(0))
     zero = "0" if digits == 1 else "0." + "0" * (digits - 1)
     return F.when(x == 0, zero).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text))
 
@@ -102,13 +72,18 @@ def group_digits(text: Column, interval: int = 3, mark: str = ",", decimal: str
 
     Text that is not a plain number (``1e+21``) is returned as it is.
     """
-    whole = F.regexp_replace(
-        F.substring_index(text, ".", 1), rf"\B(?=(\d{{{interval}}})+(?!\d))", _literal(mark)
-    )
-    rest = F.when(
-        F.instr(text, ".") > 0, F.concat(F.lit(decimal), F.substring_index(text, ".", -1))
-    ).otherwise("")
-    return F.when(text.rlike(r"^-?[\d.]+$"), F.concat(whole, rest)).otherwise(text)
+    point = re.escape(decimal)
+    text = F.regexp_replace(text, r"\.(?=\d*$)", _literal(decimal))
+    # Not after the decimal point, nor in an exponent.
+    places = rf"(?<=\d)(?<!(?:[.]|{point})\d{{0,40}})(?<!e[+-]\d{{0,3}})(?=(\d{{{interval}}})+(?!\d))"
+    return F.regexp_replace(text, places, _literal(mark))
+
+
+def _marked(grouped: Column, interval: int, mark: str, decimal: str) -> Column:
+    """Text with commas and a point, with the marks asked for."""
+    if (interval, mark, decimal) == (3, ",", "."):
+        return grouped
+    return group_digits(F.replace(grouped, F.lit(","), F.lit("")), interval, mark, decimal)
 
 
 def _literal(mark: str) -> str:
@@ -131,7 +106,7 @@ def format_round(
     zero: str | None = None,
 ) -> Column:
     x = _number(value)
-    return _shown(x, group_digits(fixed_text(x, digits), interval, mark, decimal), zero)
+    return _shown(x, _marked(_fixed_grouped(x, digits), interval, mark, decimal), zero)
 
 
 def format_currency(
@@ -140,7 +115,7 @@ def format_currency(
 ) -> Column:
     """The sign comes before the symbol: -$5.00."""
     x = _number(value)
-    text = group_digits(fixed_text(x, digits), interval, mark, decimal)
+    text = _marked(_fixed_grouped(x, digits), interval, mark, decimal)
     if before:
         sign = F.when(text.startswith("-"), "-").otherwise("")
         text = F.concat(sign, F.lit(currency), F.regexp_replace(text, "^-", ""))
@@ -154,7 +129,7 @@ def format_percent(
     zero: str | None = None,
 ) -> Column:
     x = _number(value)
-    text = group_digits(fixed_text(x * 100, digits), interval, mark, decimal)
+    text = _marked(_fixed_grouped(x * 100, digits), interval, mark, decimal)
     return _shown(x, F.concat(text, F.lit("%")), zero)
 
 

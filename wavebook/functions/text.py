@@ -72,12 +72,23 @@ def long_forms() -> list[tuple[str, str]]:
     return LONG_FORMS + extra
 
 
-def latin_to_ascii(text: Column) -> Column:
+def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def _where_any(raw: Column, marks: list[str], changed: Column, text: Column) -> Column:
+    """``changed`` only where the raw text holds one of the marks: one search, not many."""
+    return F.when(raw.rlike("|".join(marks)), changed).otherwise(text)
+
+
+def latin_to_ascii(text: Column, raw: Column | None = None) -> Column:
     """Latin letters without their marks; other scripts are left alone."""
-    for letter, form in long_forms():
-        text = F.replace(text, F.lit(letter), F.lit(form))
+    letters = [letter for letter, _ in long_forms()]
+    text = _where_any(text if raw is None else raw, letters, _replace_all(text, long_forms()), text)
     text = F.translate(text, *ascii_table())
-    return F.regexp_replace(text, r"([A-Za-z])\p{Mn}+", "$1")
+    return F.regexp_replace(text, r"(?<=[A-Za-z])\p{Mn}+", "")
 
 
 def trim_blanks(text: Column) -> Column:
@@ -89,13 +100,18 @@ def clean_text(text: Column, keep_capital_a: bool = False) -> Column:
 
     Null stays null. The second broken sequence is a lone ``Â``, which is also a
     good letter (``Âge``); with ``keep_capital_a`` it is spared before a small letter.
+    Plain ASCII text, as long in bytes as in characters, is only trimmed.
     """
-    for broken, plain in BROKEN_SEQUENCES:
-        if broken == "Â" and keep_capital_a:
-            text = F.regexp_replace(text, r"Â(?!\p{Ll})", plain)
-        else:
-            text = F.replace(text, F.lit(broken), F.lit(plain))
-    return trim_blanks(latin_to_ascii(text))
+    raw = text
+    if keep_capital_a:
+        first, (lone, mark), *rest = BROKEN_SEQUENCES
+        changed = F.regexp_replace(_replace_all(raw, [first]), rf"{lone}(?!\p{{Ll}})", mark)
+        changed = _replace_all(changed, rest)
+    else:
+        changed = _replace_all(raw, BROKEN_SEQUENCES)
+    text = _where_any(raw, [broken for broken, _ in BROKEN_SEQUENCES], changed, raw)
+    cleaned = trim_blanks(latin_to_ascii(text, raw))
+    return F.when(F.octet_length(raw) == F.length(raw), trim_blanks(raw)).otherwise(cleaned)
 
 
 def base_name(path: Column) -> Column:
