@@ -78,16 +78,9 @@ def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
-def _where_any(raw: Column, marks: list[str], changed: Column, text: Column) -> Column:
-    """``changed`` only where the raw text holds one of the marks: one search, not many."""
-    return F.when(raw.rlike("|".join(marks)), changed).otherwise(text)
-
-
-def latin_to_ascii(text: Column, raw: Column | None = None) -> Column:
+def latin_to_ascii(text: Column) -> Column:
     """Latin letters without their marks; other scripts are left alone."""
-    letters = [letter for letter, _ in long_forms()]
-    text = _where_any(text if raw is None else raw, letters, _replace_all(text, long_forms()), text)
-    text = F.translate(text, *ascii_table())
+    text = F.translate(_replace_all(text, long_forms()), *ascii_table())
     return F.regexp_replace(text, r"(?<=[A-Za-z])\p{Mn}+", "")
 
 
@@ -102,16 +95,14 @@ def clean_text(text: Column, keep_capital_a: bool = False) -> Column:
     good letter (``Âge``); with ``keep_capital_a`` it is spared before a small letter.
     Plain ASCII text, as long in bytes as in characters, is only trimmed.
     """
-    raw = text
     if keep_capital_a:
         first, (lone, mark), *rest = BROKEN_SEQUENCES
-        changed = F.regexp_replace(_replace_all(raw, [first]), rf"{lone}(?!\p{{Ll}})", mark)
-        changed = _replace_all(changed, rest)
+        repaired = F.regexp_replace(_replace_all(text, [first]), rf"{lone}(?!\p{{Ll}})", mark)
+        repaired = _replace_all(repaired, rest)
     else:
-        changed = _replace_all(raw, BROKEN_SEQUENCES)
-    text = _where_any(raw, [broken for broken, _ in BROKEN_SEQUENCES], changed, raw)
-    cleaned = trim_blanks(latin_to_ascii(text, raw))
-    return F.when(F.octet_length(raw) == F.length(raw), trim_blanks(raw)).otherwise(cleaned)
+        repaired = _replace_all(text, BROKEN_SEQUENCES)
+    cleaned = trim_blanks(latin_to_ascii(repaired))
+    return F.when(F.octet_length(text) == F.length(text), trim_blanks(text)).otherwise(cleaned)
 
 
 def base_name(path: Column) -> Column:
