@@ -9,6 +9,9 @@ from wavebook.session import materialise
 # monotonically_increasing_id: the slice above bit 33, the place in the slice below.
 SLICE_BITS = 33
 
+# Up to this many rows are cut from merged per-task top lists instead of being numbered.
+SHALLOW_ROWS = 10_000
+
 
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "row_id") -> DataFrame:
     """1-based position of every row in a declared total order.
@@ -37,6 +40,15 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "row_id")
     )
 
 
+def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows of a declared order."""
+    if not order:
+        raise ValueError("a row cap needs an order")
+    if n <= SHALLOW_ROWS:
+        return df.orderBy(*order).limit(n)
+    return number_rows(df, order, "_row").where(F.col("_row") <= n).drop("_row")
+
+
 def running_totals(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
     """For each value column ``v``: ``v_before``, the sum over the rows of the same
     group that come earlier, and ``v_total``, the sum over the group.

@@ -7,11 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def widen(df: DataFrame, ids: list[str], names: str, value: str, wanted: dict[str, str]) -> DataFrame:
+def widen(
+    df: DataFrame,
+    ids: list[str],
+    names: str,
+    value: str,
+    wanted: dict[str, str],
+    also: list[Column] = (),
+) -> DataFrame:
     """One row per ``ids``, one column per wanted name (``{"name": "column"}``).
 
     The names are given, so no job looks them up, and one aggregation with
     map-side merging does it all. Two values for one cell are an error.
+    ``also`` are further aggregates of the same rows.
     """
 
     def cell(name: str, column: str) -> Column:
@@ -23,7 +31,7 @@ def widen(df: DataFrame, ids: list[str], names: str, value: str, wanted: dict[st
             .alias(column)
         )
 
-    return df.groupBy(*ids).agg(*[cell(name, column) for name, column in wanted.items()])
+    return df.groupBy(*ids).agg(*[cell(name, column) for name, column in wanted.items()], *also)
 
 
 def lengthen(df: DataFrame, ids: list[str], columns: list[str], names: str, value: str) -> DataFrame:

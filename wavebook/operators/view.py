@@ -1,15 +1,24 @@
-"""What a displayed table asks for: counts, pages, row ids, blocks."""
+"""What a displayed table asks for: counts, pages, row ids, blocks.
+
+An order is a list of (column, descending). Its columns together are unique and
+have no missing values, so that every row has one place.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wavebook.operators.ranking import number_rows
+from wavebook.operators.predicates import all_of
+from wavebook.operators.ranking import SHALLOW_ROWS, number_rows
+
+Order = list[tuple[str, bool]]
+
 
-# A page that ends within this many rows is cut from merged per-task top lists.
-SHALLOW_ROWS = 10_000
+def sort_columns(order: Order) -> list[Column]:
+    return [F.col(name).desc() if descending else F.col(name).asc() for name, descending in order]
 
 
 def info(df: DataFrame, condition: Column, page_length: int) -> DataFrame:
@@ -19,66 +28,72 @@ def info(df: DataFrame, condition: Column, page_length: int) -> DataFrame:
     ).select("total", "filtered", F.ceil(F.col("filtered") / page_length).alias("pages"))
 
 
-def page(df: DataFrame, order: list[Column], number: int, length: int,
-         shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
-    """Page ``number`` of a table in a declared total order; out of range is an error.
+def page(
+    df: DataFrame, order: Order, number: int, length: int, shallow_rows: int = SHALLOW_ROWS
+) -> DataFrame:
+    """Page ``number`` of a table; a page out of range is an error.
 
-    Pages near the start need only short top lists. A page far down is cut by
-    row number, so that the rows before it are not gathered in one place.
+    Pages near the start need only short top lists. For a page far down only
+    the order columns are sorted and numbered; the rows of the page, at most
+    ``length``, are then fetched by them.
     """
     start = (number - 1) * length
     if number < 1:
         raise ValueError("selected page is out of range")
     if start + length <= shallow_rows:
-        rows = df.orderBy(*order).offset(start).limit(length)
         if number > 1 and df.limit(start + 1).count() <= start:
             raise ValueError("selected page is out of range")
-        return rows
-    numbered = number_rows(df, order, "_row")
-    rows = numbered.where(F.col("_row").between(start + 1, start + length)).drop("_row")
-    if rows.isEmpty():
+        return df.orderBy(*sort_columns(order)).offset(start).limit(length)
+    names = [name for name, _ in order]
+    places = number_rows(df.select(*names), sort_columns(order), "_row")
+    chosen = places.where(F.col("_row").between(start + 1, start + length)).drop("_row")
+    if chosen.isEmpty():
         raise ValueError("selected page is out of range")
-    return rows
+    return df.join(F.broadcast(chosen), names, "left_semi")
 
 
-def row_ids(
-    df: DataFrame, condition: Column, id_order: list[Column], shown_order: list[Column], length: int
-) -> DataFrame:
+def row_ids(df: DataFrame, condition: Column, id_order: Order, shown: Order, length: int) -> DataFrame:
     """(row_id, position, page) of the rows passing a filter.
 
     ``row_id`` is the place in the whole table, ``position`` the place among
-    the rows shown.
+    the rows shown. Only the order columns are sorted.
     """
-    kept = number_rows(df, id_order, "row_id").where(condition)
-    shown = number_rows(kept, shown_order, "position")
-    return shown.select(
-        "row_id", "position", F.ceil(F.col("position") / length).alias("page")
-    )
+    names = dict.fromkeys(name for name, _ in [*id_order, *shown])
+    narrow = df.select(*names, condition.alias("_kept"))
+    kept = number_rows(narrow, sort_columns(id_order), "row_id").where("_kept")
+    placed = number_rows(kept.select("row_id", *dict.fromkeys(n for n, _ in shown)), sort_columns(shown), "position")
+    return placed.select("row_id", "position", F.ceil(F.col("position") / length).alias("page"))
 
 
-def row_block(
-    df: DataFrame, key: str, start, end, order: list[tuple[str, bool]]
-) -> DataFrame:
+def row_block(df: DataFrame, key: str, start, end, order: Order) -> DataFrame:
     """Rows from one row to another in displayed order, whichever comes first.
 
-    ``order`` lists (column, descending), ends in a unique column, and has no
-    missing values. Two rows bound the block, so it is a filter and nothing is
-    sorted or numbered. A row that does not exist gives an empty block.
+    The places of the two rows are looked up; the block is then a filter that
+    reaches the scan, and nothing is sorted or numbered. A row that does not
+    exist gives an empty block.
     """
     names = [name for name, _ in order]
-    anchors = df.where(F.col(key).isin([start, end])).select(key, *dict.fromkeys(names))
-    one = anchors.where(F.col(key) == F.lit(start)).select(F.struct(*names)).scalar()
-    two = anchors.where(F.col(key) == F.lit(end)).select(F.struct(*names)).scalar()
+    edges = (
+        df.where(F.col(key).isin([start, end]))
+        .orderBy(*sort_columns(order))
+        .select(*dict.fromkeys(names))
+        .limit(2)
+        .collect()
+    )
+    if len(edges) < len({start, end}):
+        return df.where(F.lit(False))
+    first, last = edges[0], edges[-1]
 
-    def before(edge: Column, strict: bool) -> Column:
-        """edge comes before the row (or is the row, unless strict)."""
-        steps, same = [], F.lit(True)
+    def reaches(edge, backwards: bool) -> Column:
+        """The row has the place of the edge, or one after (before) it."""
+        steps, same = [], []
         for name, descending in order:
-            here, there = F.col(name), edge[name]
-            steps.append(same & (here < there if descending else here > there))
-            same = same & (here == there)
-        return reduce(lambda a, b: a | b, steps, F.lit(False) if strict else same)
-
-    from_one = before(one, False) & ~before(two, True)
-    from_two = before(two, False) & ~before(one, True)
-    return df.where(from_one | from_two)
+            here, there = F.col(name), F.lit(edge[name])
+            steps.append(all_of([*same, here < there if descending != backwards else here > there]))
+            same.append(here == there)
+        return reduce(or_, steps, all_of(same))
+
+    name, descending = order[0]
+    low, high = (last, first) if descending else (first, last)
+    bounds = F.col(name).between(F.lit(low[name]), F.lit(high[name]))
+    return df.where(bounds & reaches(first, False) & reaches(last, True))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wavebook.operators import linked
 from wavebook.operators.predicates import all_of, search_everywhere
-from wavebook.operators.view import info, page
+from wavebook.operators.view import Order, info, page
 
 
 @dataclass
@@ -16,7 +16,7 @@ class View:
     """The state of a table: what is filtered, searched, sorted and shown."""
 
     key: str
-    order: list[Column]
+    order: Order
     links: dict[str, DataFrame | None] = field(default_factory=dict)
     filters: list[Column | None] = field(default_factory=list)
     search: str = ""

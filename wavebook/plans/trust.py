@@ -76,12 +76,11 @@ def latest_indicators(
     latest = latest_per_key(
         usable, ["country", "series"], "year", [F.col("country_code"), F.col("value")]
     )
+    ids = ["country_code", "country"]
     if collapse_year:
-        last = latest.groupBy("country_code", "country").agg(F.max("year").alias("year"))
-        wide = widen(latest, ["country_code", "country"], "series", "value", series)
-        wide = wide.join(last, ["country_code", "country"])
+        wide = widen(latest, ids, "series", "value", series, [F.max("year").alias("year")])
     else:
-        wide = widen(latest, ["country_code", "country", "year"], "series", "value", series)
+        wide = widen(latest, [*ids, "year"], "series", "value", series)
     return wide.withColumn("country", harmonise(F.col("country"), names))
 
 

@@ -68,7 +68,7 @@ def saved_table_reload(spark, folder):
 @query("SELECT p_partkey, p_name, p_type FROM part ORDER BY p_partkey LIMIT 220")
 def row_capped_scan(spark, folder):
     part = columns.pick(table(spark, folder, "part"), 1, 2, 4)
-    return files.capped(part, ["p_partkey"], 220)
+    return ranking.first_rows(part, ["p_partkey"], 220)
 
 
 @query()
@@ -346,9 +346,8 @@ def table_info(spark, folder):
   SELECT row_id, position, CAST(ceil(position / 25) AS BIGINT) AS page FROM s""")
 def row_ids_passing(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
-    key = F.col("o_orderkey")
-    shown = [F.col("o_totalprice").desc(), key]
-    return view.row_ids(orders, F.col("o_totalprice") > 200000, [key], shown, 25)
+    shown = [("o_totalprice", True), ("o_orderkey", False)]
+    return view.row_ids(orders, F.col("o_totalprice") > 200000, [("o_orderkey", False)], shown, 25)
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate::VARCHAR"
@@ -369,7 +368,7 @@ def numbered_rows(spark, folder):
   ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 50""")
 def page_of_rows(spark, folder):
     people = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return view.page(people, [F.col("c_acctbal").desc(), F.col("c_custkey")], 3, 25)
+    return view.page(people, [("c_acctbal", True), ("c_custkey", False)], 3, 25)
 
 
 @query("""
@@ -377,7 +376,7 @@ def page_of_rows(spark, folder):
   ORDER BY o_totalprice, o_orderkey DESC LIMIT 100 OFFSET 900""")
 def page_far_down(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
-    order = [F.col("o_totalprice"), F.col("o_orderkey").desc()]
+    order = [("o_totalprice", False), ("o_orderkey", True)]
     return view.page(orders, order, 10, 100, shallow_rows=0)
 
 
@@ -399,7 +398,7 @@ def table_view(spark, folder):
     people = table(spark, folder, "customer")
     state = View(
         key="c_custkey",
-        order=[F.col("c_acctbal").desc(), F.col("c_custkey")],
+        order=[("c_acctbal", True), ("c_custkey", False)],
         links=_links(spark, folder),
         filters=[
             predicates.in_range(F.col("c_acctbal"), 100, 9000),

@@ -23,13 +23,16 @@ def split_export(df: DataFrame, key: str, path: str) -> None:
 
 
 def country_list(df: DataFrame, code: str, name: str, order: str) -> DataFrame:
-    """One (code, name, ord) per code, code and name taken from the same row."""
-    first = F.min(F.struct(F.col(order).alias("ord"), F.col(name).alias("name")))
+    """One (code, name, ord) per code, code and name taken from the same row.
+
+    Respondents are merged to distinct countries first.
+    """
+    names = df.where(F.col(code).isNotNull()).select(
+        F.col(code).alias("code"), F.col(name).alias("name"), F.col(order).alias("ord")
+    )
+    first = F.min(F.struct("ord", "name"))
     return (
-        df.where(F.col(code).isNotNull())
-        .groupBy(F.col(code).alias("code"))
-        .agg(first.alias("first"))
-        .select("code", "first.name", "first.ord")
+        names.distinct().groupBy("code").agg(first.alias("first")).select("code", "first.name", "first.ord")
     )
 
 
@@ -44,16 +47,11 @@ def manifest(countries: DataFrame, dataset: str, root: str) -> DataFrame:
     """
     link = link_of(dataset, root, F.col("code"))
     item = F.format_string(ITEM, link, html_escape(F.col("name")))
-    items = countries.select(
-        F.col("ord").cast("long").alias("ord"),
-        F.when(link.rlike(HIDDEN_LINK), F.format_string(HIDDEN, item)).otherwise(item).alias("line"),
-    )
-    header = (
-        countries.agg(F.count("*").alias("n"))
-        .where("n > 0")
-        .select(F.lit(-1).cast("long").alias("ord"), F.lit(HEADER % dataset).alias("line"))
-    )
-    return header.unionByName(items)
+    item = F.when(link.rlike(HIDDEN_LINK), F.format_string(HIDDEN, item)).otherwise(item)
+    header = F.struct(F.lit(-1).cast("long").alias("ord"), F.lit(HEADER % dataset).alias("line"))
+    entry = F.struct(F.col("ord").cast("long").alias("ord"), item.alias("line"))
+    # Every country brings the header along, so no second look at the countries is needed.
+    return countries.select(F.inline(F.array(header, entry))).distinct()
 
 
 def manifest_name(dataset: str) -> str:

@@ -48,13 +48,6 @@ def read_csv(
     return frame.withColumnsRenamed(names or {})
 
 
-def capped(df: DataFrame, key: list, n: int) -> DataFrame:
-    """The first ``n`` rows by a declared key. Spark merges per-task top lists."""
-    if not key:
-        raise ValueError("a row cap needs an order")
-    return df.orderBy(*key).limit(n)
-
-
 def format_of(path: str) -> str:
     extension = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
     if extension not in FORMATS:
