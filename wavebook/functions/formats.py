@@ -152,7 +152,7 @@ def format_date(value: Column, pattern: str = "EEE MMM dd yyyy", zone: str | Non
     shows it on that zone's clock.
     """
     if zone:
-        value = F.from_utc_timestamp(value, zone)
+        value = F.convert_timezone(F.lit("UTC"), F.lit(zone), value.cast("timestamp_ntz"))
     return F.coalesce(F.date_format(value, pattern), F.lit(""))
 
 

@@ -30,7 +30,10 @@ def slider_keys(
     if kind == "date":
         value = F.date_format(value, "yyyy-MM-dd")
     elif kind == "datetime":
-        value = F.unix_micros(value.cast("timestamp")) / 1_000_000
+        if members.select(value).schema[0].dataType.typeName() == "timestamp_ntz":
+            # Its clock reads UTC, whatever the zone of the session.
+            value = F.from_utc_timestamp(value.cast("timestamp"), F.current_timezone())
+        value = F.unix_micros(value) / 1_000_000
     elif kind != "number":
         raise ValueError(f"unknown slider kind {kind!r}")
     bounds = [value >= low if low is not None else None, value <= high if high is not None else None]
