@@ -1,9 +1,12 @@
 """Every query against its SQL on the stand-in tables."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, differences
+from wavebook.plans import standins
+from wavebook.sources.tables import SCHEMAS, table
 
 FOLDERS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 QUERIES = entry.queries()
@@ -21,23 +24,60 @@ def test_same_as_sql(spark, databases, folder, name):
     assert differences(QUERIES[name](spark, folder), databases[folder], SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_same_as_sql_with_shuffled_joins(spark, databases, name):
+HOT = {
+    "orders": "SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE o_custkey END AS o_custkey) FROM t",
+    "lineitem": "SELECT * REPLACE (CASE WHEN l_orderkey % 3 = 0 THEN 3 ELSE l_suppkey END AS l_suppkey) FROM t",
+    "customer": """SELECT * REPLACE (CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE c_nationkey END AS c_nationkey,
+                                     CASE WHEN c_custkey % 3 = 1 THEN 100.0 ELSE c_acctbal END AS c_acctbal)
+                   FROM t""",
+    "part": "SELECT * FROM t UNION ALL SELECT t.* FROM t, range(150) WHERE p_partkey = 3",
+}
+
+
+@pytest.fixture(scope="module")
+def hot_folder(tmp_path_factory):
+    """A third of all orders, line items, customers or parts share one key, value or copy."""
+    folder = tmp_path_factory.mktemp("hot")
+    con = duckdb.connect()
+    for name in SCHEMAS:
+        query = HOT.get(name, "SELECT * FROM t").replace("FROM t", f"FROM '{FOLDERS[0]}/{name}.parquet' t")
+        con.execute(f"COPY ({query}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def hot_database(hot_folder):
+    return connect(hot_folder)
+
+
+@pytest.fixture
+def shuffled_joins(spark):
     """No join is broadcast by size and adaptive partitions are tiny, as with large tables."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     }
     for key, value in settings.items():
         spark.conf.set(key, value)
-    try:
-        frame = QUERIES[name](spark, FOLDERS[0])
-        assert differences(frame, databases[FOLDERS[0]], SQL[name]) == []
-    finally:
-        for key in settings:
-            spark.conf.unset(key)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_as_sql_with_hot_keys(spark, shuffled_joins, hot_folder, hot_database, name):
+    sql = SQL[name]
+    assert differences(QUERIES[name](spark, hot_folder), hot_database, sql) == []
+
+
+def test_hot_key_of_a_join_is_split(spark, shuffled_joins, hot_folder, tmp_path):
+    for name in ("orders", "customer", "nation"):
+        table(spark, hot_folder, name).repartition(8).write.parquet(f"{tmp_path}/{name}.parquet")
+    answers = standins.answers(spark, str(tmp_path))
+    answers.collect()
+    assert "skew=true" in answers._jdf.queryExecution().executedPlan().toString()
 
 
 def test_entry_has_rows(spark):

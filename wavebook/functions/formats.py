@@ -10,7 +10,9 @@ halves are found without error and pushed off the middle.
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, functions as F
 
@@ -22,23 +24,40 @@ def _half_after(size: Column, decimals: int) -> Column:
     return F.pmod(size * float(2 ** (decimals + 1)), F.lit(2.0)) == 1.0
 
 
-def _fixed_grouped(x: Column, digits: int) -> Column:
-    """``toFixed`` with commas between groups of three digits."""
+def _rounded(size: Column, decimals: int) -> Column:
+    """Digits of a size with commas between groups of three, halves up."""
+    pushed = F.when(_half_after(size, decimals), size + 0.25 / 10**decimals).otherwise(size)
+    return F.format_number(pushed, decimals)
+
+
+def _fixed_size(x: Column, digits: int) -> Column:
+    """``toFixed`` of the absolute value, with commas."""
     size = F.abs(x)
-    pushed = F.when(_half_after(size, digits), size + 0.25 / 10**digits).otherwise(size)
-    text = F.concat(F.when(x < 0, "-").otherwise(""), F.format_number(pushed, digits))
-    exponent = F.regexp_replace(x.cast("string"), r"(\.0)?E", "e+")
-    return F.when(size < FIXED_LIMIT, text).otherwise(exponent)
+    exponent = F.regexp_replace(size.cast("string"), r"(\.0)?E", "e+")
+    return F.when(size < FIXED_LIMIT, _rounded(size, digits)).otherwise(exponent)
+
+
+def _sign(x: Column) -> Column:
+    return F.when(x < 0, "-").otherwise("")
 
 
 def fixed_text(x: Column, digits: int) -> Column:
     """``toFixed(digits)``."""
-    return F.replace(_fixed_grouped(x, digits), F.lit(","), F.lit(""))
+    return F.concat(_sign(x), F.replace(_fixed_size(x, digits), F.lit(","), F.lit("")))
 
 
-def precision_text(x: Column, digits: int) -> Column:
-    """``toPrecision(digits)``, for 1 to 15 digits."""
-    size = F.abs(x)
+def _least_size(power: int, digits: int) -> float:
+    """The smallest double that shows ``digits`` figures starting at 10^power.
+
+    Rounding lifts numbers just below a power of ten to it: 99.95 shows as 100
+    with three figures.
+    """
+    bound = Fraction(10) ** power - Fraction(10) ** (power - digits) / 2
+    nearest = float(bound)
+    return nearest if Fraction(nearest) >= bound else math.nextafter(nearest, math.inf)
+
+
+def _scientific(size: Column, digits: int) -> Column:
     decimals = F.lit(digits - 1) - F.floor(F.log10(size)).cast("int")
     unit = F.pow(F.lit(10.0), -decimals)
     half = F.when(
@@ -46,25 +65,24 @@ def precision_text(x: Column, digits: int) -> Column:
     ).otherwise(F.pmod(size, unit) == unit / 2)
     pushed = F.when(half, size * (1 + 2.0**-50)).otherwise(size)
     pattern = "0" + ("." + "0" * (digits - 1) if digits > 1 else "") + "E0"
-    rounded = F.call_function("format_number", pushed, F.lit(pattern))
-
-    def shown(text: Column) -> Column:
-        # Rounding may add a digit (99.99 becomes 1.0E2), so the power is read off the result.
-        figures = F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit(""))
-        power = F.substring_index(text, "E", -1).cast("int")
-        whole = F.substr(figures, F.lit(1), power + 1)
-        plain = (
-            F.when(power == digits - 1, figures)
-            .when(power >= 0, F.concat(whole, F.lit("."), F.substr(figures, power + 2)))
-            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures))
-        )
-        scientific = F.replace(F.regexp_replace(text, r"E(?=\d)", "e+"), F.lit("E"), F.lit("e"))
-        return F.when(power.between(-6, digits - 1), plain).otherwise(scientific)
-
-    # The rounded text is used several times; the lambda binds it so that it is made once.
-    text = F.get(F.transform(F.array(rounded), shown), F.lit(0))
-    zero = "0" if digits == 1 else "0." + "0" * (digits - 1)
-    return F.when(x == 0, zero).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), text))
+    text = F.call_function("format_number", pushed, F.lit(pattern))
+    return F.replace(F.regexp_replace(text, r"E(?=\d)", "e+"), F.lit("E"), F.lit("e"))
+
+
+def _precise_size(x: Column, digits: int) -> Column:
+    """``toPrecision`` of the absolute value, with commas."""
+    size = F.abs(x)
+    text = F.when(size == 0, "0" if digits == 1 else "0." + "0" * (digits - 1))
+    text = text.when(size >= _least_size(digits, digits), _scientific(size, digits))
+    # One literal number of decimals per power of ten.
+    for power in range(digits - 1, -7, -1):
+        text = text.when(size >= _least_size(power, digits), _rounded(size, digits - 1 - power))
+    return text.otherwise(_scientific(size, digits))
+
+
+def precision_text(x: Column, digits: int) -> Column:
+    """``toPrecision(digits)``, for 1 to 15 digits."""
+    return F.concat(_sign(x), F.replace(_precise_size(x, digits), F.lit(","), F.lit("")))
 
 
 def group_digits(text: Column, interval: int = 3, mark: str = ",", decimal: str = ".") -> Column:
@@ -106,7 +124,7 @@ def format_round(
     zero: str | None = None,
 ) -> Column:
     x = _number(value)
-    return _shown(x, _marked(_fixed_grouped(x, digits), interval, mark, decimal), zero)
+    return _shown(x, F.concat(_sign(x), _marked(_fixed_size(x, digits), interval, mark, decimal)), zero)
 
 
 def format_currency(
@@ -115,13 +133,9 @@ def format_currency(
 ) -> Column:
     """The sign comes before the symbol: -$5.00."""
     x = _number(value)
-    text = _marked(_fixed_grouped(x, digits), interval, mark, decimal)
-    if before:
-        sign = F.when(text.startswith("-"), "-").otherwise("")
-        text = F.concat(sign, F.lit(currency), F.regexp_replace(text, "^-", ""))
-    else:
-        text = F.concat(text, F.lit(currency))
-    return _shown(x, text, zero)
+    text = _marked(_fixed_size(x, digits), interval, mark, decimal)
+    text = F.concat(F.lit(currency), text) if before else F.concat(text, F.lit(currency))
+    return _shown(x, F.concat(_sign(x), text), zero)
 
 
 def format_percent(
@@ -129,7 +143,7 @@ def format_percent(
     zero: str | None = None,
 ) -> Column:
     x = _number(value)
-    text = _marked(_fixed_grouped(x * 100, digits), interval, mark, decimal)
+    text = F.concat(_sign(x), _marked(_fixed_size(x * 100, digits), interval, mark, decimal))
     return _shown(x, F.concat(text, F.lit("%")), zero)
 
 
@@ -138,7 +152,7 @@ def format_signif(
     zero: str | None = None,
 ) -> Column:
     x = _number(value)
-    return _shown(x, group_digits(precision_text(x, digits), interval, mark, decimal), zero)
+    return _shown(x, F.concat(_sign(x), _marked(_precise_size(x, digits), interval, mark, decimal)), zero)
 
 
 def format_string(value: Column, prefix: str = "", suffix: str = "") -> Column:

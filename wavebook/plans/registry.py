@@ -10,14 +10,16 @@ class Registry:
         self.queries: dict[str, Callable] = {}
         self.sql: dict[str, str] = {}
 
-    def query(self, sql: str | None = None, transform: str | None = None) -> Callable:
-        """Register a function under its name; ``transform`` selects from the SQL."""
+    def query(
+        self, sql: str | None = None, transform: str | None = None, name: str | None = None
+    ) -> Callable:
+        """Register a function under its name or another; ``transform`` selects from the SQL."""
 
         def register(function: Callable) -> Callable:
-            name = function.__name__
-            self.queries[name] = function
+            key = name or function.__name__
+            self.queries[key] = function
             if sql is not None:
-                self.sql[name] = f"{transform} ({sql})" if transform else sql
+                self.sql[key] = f"{transform} ({sql})" if transform else sql
             return function
 
         return register

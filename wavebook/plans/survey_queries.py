@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavebook.functions import formats, text
 from wavebook.operators import aggregate, codebook, columns, inequality, joins, pick, recode, reshape
-from wavebook.plans import country_files, standins, trust
+from wavebook.plans import country_files, macro, standins, trust
 from wavebook.plans.registry import Registry
 from wavebook.plans.standins import (
     ANSWERS_SQL, INDICATORS_SQL, SPARSE_SQL, TRUST_SQL, UNEVEN_SQL,
@@ -285,23 +285,56 @@ def code_crosswalk(spark, folder):
 
 
 @query("""
-  WITH l AS (SELECT DISTINCT n_name AS key FROM customer JOIN nation ON c_nationkey = n_nationkey
-             WHERE c_acctbal > 0 AND n_nationkey <> 0),
+  WITH l AS (SELECT DISTINCT n_name AS key FROM customer JOIN nation ON c_nationkey = n_nationkey),
   r AS (SELECT DISTINCT CASE n_name WHEN 'NATION_4' THEN 'Nation Four' ELSE n_name END AS key
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000)
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey)
   SELECT key, 'left only' AS side FROM l WHERE key NOT IN (SELECT key FROM r)
   UNION ALL SELECT key, 'right only' FROM r WHERE key NOT IN (SELECT key FROM l)""")
 def unmatched_keys(spark, folder):
     nation = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("country"))
-    people = table(spark, folder, "customer").where("c_acctbal > 0 and c_nationkey <> 0")
+    people = table(spark, folder, "customer")
     left = people.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    firms = table(spark, folder, "supplier").where("s_acctbal > 5000")
+    firms = table(spark, folder, "supplier")
     right = firms.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumn(
         "country", recode.harmonise(F.col("country"), {"NATION_4": "Nation Four"})
     )
     return joins.unmatched(left, right, "country")
 
 
+@query(f"""
+  WITH t AS (SELECT country, round_even(avg(trust) * 100, 2) AS trust_pct
+             FROM ({ANSWERS_SQL}) GROUP BY country),
+  e AS (SELECT n_name AS country,
+               CASE WHEN min(s_acctbal) < -900 THEN NULL ELSE max(s_acctbal) END AS GDP_pc,
+               CAST(count(*) AS DOUBLE) AS pop_n
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name),
+  c AS (SELECT n_name AS country, r_name AS Region
+        FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_nationkey LIMIT 220)
+  SELECT t.country, trust_pct, GDP_pc, pop_n, Region
+  FROM t LEFT JOIN e ON t.country = e.country LEFT JOIN c ON t.country = c.country""")
+def macro_merge(spark, folder):
+    shares = aggregate.answer_share(
+        standins.answer_counts(spark, folder), ["country"], "trust", weight="times"
+    ).select("country", "trust_pct")
+    nation = table(spark, folder, "nation")
+    per_nation = table(spark, folder, "supplier").groupBy("s_nationkey").agg(
+        F.max("s_acctbal").alias("top"), F.min("s_acctbal").alias("low"), F.count("*").alias("n")
+    )
+    top = F.when(F.col("low") < -900, "..").otherwise(F.col("top").cast("string"))
+    blank = F.lit("..")
+    extract = per_nation.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.lit(2019).alias("Time"), F.lit("YR").alias("Time Code"), F.col("n_name").alias("Country Name"),
+        F.col("n_nationkey").alias("Country Code"), top.alias("GDP [x]"),
+        F.col("n").cast("string").alias("Pop [x]"),
+        *[blank.alias(f"{name} [x]") for name in ("Urban", "Top", "Bottom", "Ratio")],
+    )
+    classes = nation.join(
+        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select(F.col("n_name").alias("Economy"), F.col("n_nationkey").alias("Code"), F.col("r_name").alias("Region"))
+    merged = macro.merged(shares, macro.extract_table(extract), macro.class_table(classes, ["Code"]))
+    return columns.pick(merged, "country", "trust_pct", "GDP_pc", "pop_n", "Region")
+
+
 # ---- recoding ------------------------------------------------------------------------------
 
 
@@ -436,7 +469,7 @@ def code_to_label(spark, folder):
   used AS (SELECT 'status' AS variable, o_orderstatus AS code, count(*) AS n FROM orders GROUP BY 2
            UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2)
   SELECT variable, code, label, CAST(ord AS INTEGER) AS ord, coalesce(n, 0) AS n
-  FROM book LEFT JOIN used USING (variable, code)""")
+  FROM book LEFT JOIN used USING (variable, code)""", name="codebook")
 def codebook_in_use(spark, folder):
     rows = _labelled_orders(spark, folder)
     book = codebook.from_metadata(rows)
@@ -570,15 +603,14 @@ def split_export_manifest(spark, folder):
   SELECT {CODE_SQL} AS country_iso3, count(*) AS n, count(DISTINCT o_orderkey) AS n_people,
          max(o_totalprice) AS top
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE n_nationkey IN (3, 7) GROUP BY 1""")
+  GROUP BY 1""")
 def country_file_scan(spark, folder):
     path = scratch_path(spark, "country-files")
     survey = _survey(spark, folder)
     exports.split_export(survey, "country_iso3", path)
     files = spark.read.schema(survey.schema).parquet(path)
     return (
-        files.where(F.col("country_iso3").isin("N03", "GBR"))
-        .groupBy("country_iso3")
+        files.groupBy("country_iso3")
         .agg(F.count("*").alias("n"), F.countDistinct("v1").alias("n_people"), F.max("v3").alias("top"))
     )
 

@@ -16,16 +16,32 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
 
-def build_session(app: str = "wavebook", master: str | None = None, **conf: str) -> SparkSession:
+# One shuffle partition per so many bytes of input, within bounds the driver can track.
+BYTES_PER_PARTITION = 256 * 1024**2
+PARTITION_BOUNDS = (200, 40_000)
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Partitions to start with for an input of a size; AQE merges those that stay small."""
+    low, high = PARTITION_BOUNDS
+    return min(max(input_bytes // BYTES_PER_PARTITION, low), high)
+
+
+def build_session(
+    app: str = "wavebook", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with adaptive execution, ANSI casts and UTC dates.
 
-    ``master`` is left to spark-submit unless given. Partition counts are not
-    set here: they belong to the cluster, and AQE coalesces small ones.
+    ``master`` is left to spark-submit unless given. ``input_bytes`` sizes the
+    shuffles for a large input.
     """
+    if input_bytes is not None:
+        conf = {"spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes)), **conf}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
