@@ -42,6 +42,9 @@ SHORT_FORMS = {
 LATIN_BLOCKS = [(0x00C0, 0x024F), (0x1E00, 0x1EFF)]
 BLANKS = " \t\r\n"
 
+# The blocks of combining marks, as ranges of a character class.
+COMBINING = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+
 
 @lru_cache(maxsize=1)
 def ascii_table() -> tuple[str, str]:
@@ -78,10 +81,18 @@ def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return text
 
 
-def latin_to_ascii(text: Column) -> Column:
-    """Latin letters without their marks; other scripts are left alone."""
-    text = F.translate(_replace_all(text, long_forms()), *ascii_table())
-    return F.regexp_replace(text, r"(?<=[A-Za-z])\p{Mn}+", "")
+def latin_to_ascii(text: Column, seen: Column | None = None) -> Column:
+    """Latin letters without their marks; other scripts are left alone.
+
+    Most texts hold only letters with a one-character form and need one pass; a
+    search for the other ones in ``seen``, the text itself by default, decides.
+    """
+    letters = "".join(letter for letter, _ in long_forms())
+    short = F.translate(text, *ascii_table())
+    full = F.translate(_replace_all(text, long_forms()), *ascii_table())
+    full = F.regexp_replace(full, f"(?=[{COMBINING}])(?<=[A-Za-z])[{COMBINING}]+", "")
+    rare = (text if seen is None else seen).rlike(f"[{letters}{COMBINING}]")
+    return F.when(rare, full).otherwise(short)
 
 
 def trim_blanks(text: Column) -> Column:
@@ -101,7 +112,9 @@ def clean_text(text: Column, keep_capital_a: bool = False) -> Column:
         repaired = _replace_all(repaired, rest)
     else:
         repaired = _replace_all(text, BROKEN_SEQUENCES)
-    cleaned = trim_blanks(latin_to_ascii(repaired))
+    # Every broken sequence holds one of these characters.
+    repaired = F.when(text.rlike("[ÂÃ€\u0092]"), repaired).otherwise(text)
+    cleaned = trim_blanks(latin_to_ascii(repaired, text))
     return F.when(F.octet_length(text) == F.length(text), trim_blanks(text)).otherwise(cleaned)
 
 

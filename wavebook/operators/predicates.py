@@ -23,11 +23,16 @@ def matching(df: DataFrame, predicate: str) -> DataFrame:
 
 
 def until(year: Column, key: Column, limit: int, exceptions: dict[str, int]) -> Column:
-    """``year <= limit``, with other limits for some keys. A missing key never passes."""
+    """``year <= limit``, with other limits for some keys. A missing key never passes.
+
+    The highest limit is a condition of its own, which needs the year only and
+    so can be checked before the key is known.
+    """
     bound = F.lit(limit)
     for name, other in exceptions.items():
         bound = F.when(key == name, other).otherwise(bound)
-    return key.isNotNull() & (year <= bound)
+    highest = max([limit, *exceptions.values()])
+    return key.isNotNull() & (year <= highest) & (year <= bound)
 
 
 def drop_missing(df: DataFrame, columns: list[str] | None = None, strict: bool = True) -> DataFrame:

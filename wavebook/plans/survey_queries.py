@@ -512,7 +512,7 @@ def clean_sql(value: str) -> str:
         value = f"replace({value}, {quote(letter)}, {quote(form)})"
     old, new = text.ascii_table()
     value = f"translate({value}, {quote(old)}, {quote(new)})"
-    value = rf"regexp_replace({value}, '([A-Za-z])\p{{Mn}}+', '\1', 'g')"
+    value = rf"regexp_replace({value}, '([A-Za-z])[{text.COMBINING}]+', '\1', 'g')"
     return f"trim({value}, ' ' || chr(9) || chr(13) || chr(10))"
 
 
@@ -520,10 +520,13 @@ BROKEN_AROUND = ("Â´ ", " â€™Ã© “œuvre„ ")
 
 
 @query(f"""
-  SELECT doc_id, {clean_sql("'Â´ ' || text || ' â€™Ã© “œuvre„ '")} AS text FROM documents""")
+  SELECT doc_id, {clean_sql("CASE WHEN lang = 'fr' THEN 'Â´ ' || text || ' â€™Ã© “œuvre„ ' ELSE text END")}
+    AS text
+  FROM documents""")
 def clean_text(spark, folder):
     before, after = BROKEN_AROUND
-    dirty = F.concat(F.lit(before), "text", F.lit(after))
+    broken = F.concat(F.lit(before), "text", F.lit(after))
+    dirty = F.when(F.col("lang") == "fr", broken).otherwise(F.col("text"))
     return table(spark, folder, "documents").select("doc_id", text.clean_text(dirty).alias("text"))
 
 
