@@ -6,6 +6,7 @@ is not the same as an empty key set, which lets nothing through.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,22 +26,32 @@ def slider_keys(
 ) -> DataFrame:
     """Keys with low <= value <= high. Matching nothing gives an empty key set.
 
-    Dates are compared as UTC ISO text, date-times as seconds since 1970.
+    Bounds are numbers, UTC dates as ISO text (``date``, the last day is part of
+    the range), or seconds since 1970 (``datetime``). They are turned into
+    values of the column's own kind, so that the filter reaches the scan.
     """
+    below = value <= high
     if kind == "date":
-        value = F.date_format(value, "yyyy-MM-dd")
+        low = None if low is None else F.lit(low).cast("timestamp_ntz")
+        if high is not None:
+            below = value < F.date_add(F.lit(high).cast("date"), 1).cast("timestamp_ntz")
     elif kind == "datetime":
-        if members.select(value).schema[0].dataType.typeName() == "timestamp_ntz":
-            # Its clock reads UTC, whatever the zone of the session.
-            value = F.from_utc_timestamp(value.cast("timestamp"), F.current_timezone())
-        value = F.unix_micros(value) / 1_000_000
+        clock = members.select(value).schema[0].dataType.typeName()
+        low, high = (None if bound is None else _moment(bound, clock) for bound in (low, high))
+        below = value <= high
     elif kind != "number":
         raise ValueError(f"unknown slider kind {kind!r}")
-    bounds = [value >= low if low is not None else None, value <= high if high is not None else None]
+    bounds = [value >= low if low is not None else None, below if high is not None else None]
     kept = members.where(value.isNotNull() & all_of(bounds))
     return kept.select(F.col(key).alias("key")).distinct()
 
 
+def _moment(seconds: float, clock: str) -> Column:
+    """A point in time; a clock without a zone shows UTC."""
+    moment = datetime(1970, 1, 1) + timedelta(seconds=seconds)
+    return F.lit(f"{moment}" if clock == "timestamp_ntz" else f"{moment}Z").cast(clock)
+
+
 def intersect(filters: dict[str, DataFrame | None]) -> DataFrame | None:
     """Keys held by every active filter, or ``None`` if no filter is active.
 

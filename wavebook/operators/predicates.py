@@ -77,6 +77,12 @@ def in_period(value: Column, low: str | None, high: str | None) -> Column | None
     return all_of(bounds)
 
 
+def in_years(value: Column, first: int, last: int) -> Column:
+    """Dates or times in a span of years, as a range that reaches the scan."""
+    start, end = (F.lit(f"{year}-01-01").cast("timestamp_ntz") for year in (first, last + 1))
+    return (value >= start) & (value < end)
+
+
 def one_of(value: Column, chosen: list) -> Column | None:
     """Category filter; choosing nothing keeps every row."""
     return value.isin(chosen) if chosen else None

@@ -6,7 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavebook.functions import formats, text
-from wavebook.operators import aggregate, codebook, columns, inequality, joins, pick, recode, reshape
+from wavebook.operators import (
+    aggregate, codebook, columns, inequality, joins, pick, predicates, recode, reshape,
+)
 from wavebook.plans import country_files, macro, standins, trust
 from wavebook.plans.registry import Registry
 from wavebook.plans.standins import (
@@ -94,7 +96,8 @@ def frequency_table(spark, folder):
          CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS ord
   FROM orders WHERE year(o_orderdate) = 1995""")
 def levels_in_use(spark, folder):
-    orders = table(spark, folder, "orders").where(F.year("o_orderdate") == 1995)
+    orders = table(spark, folder, "orders")
+    orders = orders.where(predicates.in_years(F.col("o_orderdate"), 1995, 1995))
     code = F.substring("o_orderpriority", 1, 1)
     return aggregate.levels_in_use(
         orders, code, F.substr("o_orderpriority", F.lit(3)), code.cast("int")

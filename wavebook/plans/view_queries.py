@@ -144,7 +144,7 @@ def conditional_cutoff(spark, folder):
 def membership_filter(spark, folder):
     rows = table(spark, folder, "orders").where(
         F.col("o_orderpriority").isin("1-URGENT", "5-LOW")
-        & F.year("o_orderdate").isin(list(range(1999, 2002)))
+        & predicates.in_years(F.col("o_orderdate"), 1999, 2001)
     )
     rich = table(spark, folder, "customer").where("c_acctbal > 5000")
     kept = joins.keep_keys(rows, rich.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
@@ -228,7 +228,7 @@ def filter_domains(spark, folder):
   FROM customer""")
 def semi_anti_keys(spark, folder):
     people = table(spark, folder, "customer").select("c_custkey", "c_name")
-    keys = table(spark, folder, "orders").where(F.year("o_orderdate") == 2001).select(
+    keys = table(spark, folder, "orders").where(predicates.in_years(F.col("o_orderdate"), 2001, 2001)).select(
         F.col("o_custkey").alias("c_custkey")
     )
     allowed = joins.keep_keys(people, keys, "c_custkey").withColumn("ordered", F.lit(True))
@@ -281,7 +281,8 @@ def cleared_filters(spark, folder):
 
 
 def _ordering_in(spark, folder, year: int) -> DataFrame:
-    orders = table(spark, folder, "orders").where(F.year("o_orderdate") == year)
+    orders = table(spark, folder, "orders")
+    orders = orders.where(predicates.in_years(F.col("o_orderdate"), year, year))
     return orders.select(F.col("o_custkey").alias("key")).distinct()
 
 

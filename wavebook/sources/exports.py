@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wavebook.functions.text import base_name, html_escape
+from wavebook.functions.text import html_escape
 
 # The layout of a manifest.
 HEADER = "<!-- generated from %s.sav -->"
@@ -61,9 +61,3 @@ def manifest_name(dataset: str) -> str:
 def write_manifest(lines: DataFrame, path: str) -> None:
     """Ordered text. The line count is the number of countries, so one file is right."""
     lines.orderBy("ord").select("line").coalesce(1).write.text(path)
-
-
-__all__ = [
-    "base_name", "country_list", "link_of", "manifest", "manifest_name", "split_export",
-    "write_manifest",
-]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wavebook.functions.text import base_name
+
 FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "orc": "orc"}
 DISCOVERED = "file string, n_bytes bigint"
 
@@ -26,7 +28,7 @@ def discover(spark: SparkSession, folder: str, glob: str) -> DataFrame:
             raise
         return spark.createDataFrame([], DISCOVERED)
     return found.select(
-        F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("n_bytes")
+        base_name(F.col("path")).alias("file"), F.col("length").alias("n_bytes")
     )
 
 
