@@ -61,9 +61,11 @@ def arrays_to_rows(df: DataFrame, ids: list[str], arrays: list[str]) -> DataFram
 
 def transpose(rows: Column) -> Column:
     """Transpose an array of equally long arrays."""
-    width = F.size(F.element_at(rows, 1))
-    return F.when(F.size(rows) == 0, rows).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), width - 1), lambda i: F.transform(rows, lambda row: F.get(row, i))
-        )
-    )
+
+    def turned(grid: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(F.element_at(grid, 1)) - 1)
+        columns = F.transform(places, lambda i: F.transform(grid, lambda row: F.get(row, i)))
+        return F.when(F.size(grid) == 0, grid).otherwise(columns)
+
+    # The outer lambda binds the grid, which is then not made again for every place.
+    return F.get(F.transform(F.array(rows), turned), F.lit(0))
