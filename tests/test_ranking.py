@@ -106,15 +106,39 @@ def test_frequencies(spark):
 
 
 @pytest.mark.parametrize("limit", [0, 1000])
-def test_rows_of_a_hot_group_keep_their_share(spark, limit):
-    """A third of all rows in one group; broadcast and salted joins give the same."""
-    df = spark.range(3000).select(
-        F.when(F.col("id") < 1000, "hot").when(F.col("id") < 1100, None).otherwise(
-            (F.col("id") % 40).cast("string")).alias("g"),
-        (F.col("id") % 2).cast("int").alias("answer"), "id",
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_rows_of_a_hot_group_are_joined(spark, limit, how):
+    """A third of all rows in one group, some in none; broadcast and salted joins give the same."""
+    df = spark.range(30000).select(
+        F.when(F.col("id") < 10000, "hot").when(F.col("id") < 11000, None).otherwise(
+            (F.col("id") % 4000).cast("string")).alias("g"),
+        "id",
     )
-    shares = df.groupBy("g").agg(F.avg("answer").alias("m"))
-    joined = joins.sized_join(df, shares, ["g"], "left", broadcast_rows=limit, salts=8)
-    assert joined.columns == ["g", "answer", "id", "m"]
-    assert joined.count() == 3000 and joined.where("m is null").count() == 0
-    assert joined.where("g = 'hot'").select("m").distinct().collect()[0][0] == 0.5
+    means = df.groupBy("g").agg(F.count("*").alias("n")).where("g is null or g <> '17'")
+    joined = joins.sized_join(df, means, ["g"], how, broadcast_rows=limit, salts=8)
+    got = sorted(map(tuple, joined.collect()), key=lambda r: r[1])
+    rows = [("hot" if i < 10000 else None if i < 11000 else str(i % 4000), i) for i in range(30000)]
+    sizes = Counter(g for g, _ in rows)
+    known = lambda g: g != "17"
+    expected = {
+        "left": [(g, i, sizes[g] if known(g) else None) for g, i in rows],
+        "inner": [(g, i, sizes[g]) for g, i in rows if known(g)],
+        "left_semi": [r for r in rows if known(r[0])],
+        "left_anti": [r for r in rows if not known(r[0])],
+    }
+    assert got == expected[how]
+
+
+def test_hot_keys(spark):
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"))
+    five = spark.range(1).select(F.xxhash64(F.lit(5).cast("long"))).first()[0]
+    assert joins.hot_keys(df, ["k"]) == [five]
+    assert joins.hot_keys(spark.range(30000), ["id"]) == []
+
+
+def test_missing_keys_do_not_match_in_lookups(spark):
+    df = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    codes = spark.createDataFrame([(None, "x"), (2, "y")], "k int, c string")
+    for limit in (0, 10):
+        got = joins.sized_join(df, codes, ["k"], "left", False, False, broadcast_rows=limit)
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [(None, 1, None), (2, 2, "y")]

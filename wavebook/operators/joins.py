@@ -10,9 +10,28 @@ from pyspark.sql import DataFrame, functions as F
 from wavebook.operators.predicates import all_of
 from wavebook.session import materialise
 
-# A side is broadcast up to this many rows of a reduced table; beyond it keys are salted.
+# A side is broadcast up to this many rows, by count; beyond it hot keys are salted.
 BROADCAST_ROWS = 200_000
-SALTS = 32
+SALTS = 64
+
+# A key with more than this share of the rows is hot. So there are at most HOT_KEYS of them.
+HOT_SHARE = 0.01
+HOT_KEYS = 100
+TRACKED_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, on: list[str]) -> list[int]:
+    """Hashes of the keys that hold a large share of the rows.
+
+    A frequent-items sketch of one column finds them in one pass without a
+    shuffle of the rows. It only decides how rows are spread, never which rows
+    are joined.
+    """
+    top = F.call_function(
+        "approx_top_k", F.xxhash64(*on), F.lit(HOT_KEYS), F.lit(TRACKED_KEYS)
+    )
+    found = df.agg(top.alias("top"), F.count("*").alias("n")).first()
+    return [key for key, count in found.top if count > found.n * HOT_SHARE]
 
 
 def sized_join(
@@ -20,29 +39,39 @@ def sized_join(
     small: DataFrame,
     on: list[str],
     how: str = "left",
+    reduced: bool = True,
+    nulls_match: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join a reduced table back to the rows it was made from.
+    """Join rows with a smaller table that has one row per key.
 
-    The reduced table is written once and counted. Small, it is broadcast and
-    the rows are not shuffled. Large, each of its rows is copied to ``salts``
-    buckets and the rows of a hot key are spread over them by a hash of the
-    whole row, so that no key lands in one task. Missing keys match each other.
+    The smaller table is counted, and written first if it is the ``reduced``
+    result of other work. Small, it is broadcast and the rows are not shuffled.
+    Large, both sides are shuffled; the rows of hot keys are spread over
+    ``salts`` buckets by a hash of the whole row and the few matching rows of
+    the other side are copied to each bucket.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join {how!r}")
-    small = materialise(small.withColumnsRenamed({name: f"_{name}" for name in on}))
-    fits = small.limit(broadcast_rows + 1).count() <= broadcast_rows
-    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in on]
-    if fits:
-        return df.join(F.broadcast(small), all_of(same), how).select(*_columns(df, small, on, how))
-    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-    copies = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn("_salt", bucket).join(
-        copies, all_of([*same, F.col("_salt") == F.col("_copy")]), how
-    )
-    return salted.select(*_columns(df, small, on, how))
+    small = small.withColumnsRenamed({name: f"_{name}" for name in on})
+    small = materialise(small) if reduced else small
+    pairs = [(F.col(name), F.col(f"_{name}")) for name in on]
+    same = [a.eqNullSafe(b) if nulls_match else a == b for a, b in pairs]
+    if small.count() <= broadcast_rows:
+        joined = df.join(F.broadcast(small), all_of(same), how)
+    elif hot := hot_keys(df, on):
+        keys = [F.col(f"_{name}").cast(df.schema[name].dataType) for name in on]
+        bucket = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+        buckets = F.when(
+            F.xxhash64(*keys).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))
+        ).otherwise(F.array(F.lit(0)))
+        salted = df.withColumn("_salt", F.when(F.xxhash64(*on).isin(hot), bucket).otherwise(0))
+        copies = small.withColumn("_copy", F.explode(buckets))
+        joined = salted.join(copies, all_of([*same, F.col("_salt") == F.col("_copy")]), how)
+    else:
+        joined = df.join(small, all_of(same), how)
+    return joined.select(*_columns(df, small, on, how))
 
 
 def _columns(df: DataFrame, small: DataFrame, on: list[str], how: str) -> list[str]:

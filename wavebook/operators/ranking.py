@@ -10,7 +10,7 @@ from wavebook.session import materialise
 SLICE_BITS = 33
 
 # Up to this many rows are cut from merged per-task top lists instead of being numbered.
-SHALLOW_ROWS = 10_000
+SHALLOW_ROWS = 1_000
 
 
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "row_id") -> DataFrame:

@@ -41,7 +41,7 @@ def page(
     if number < 1:
         raise ValueError("selected page is out of range")
     if start + length <= shallow_rows:
-        if number > 1 and df.limit(start + 1).count() <= start:
+        if number > 1 and len(df.select(F.lit(1)).take(start + 1)) <= start:
             raise ValueError("selected page is out of range")
         return df.orderBy(*sort_columns(order)).offset(start).limit(length)
     names = [name for name, _ in order]

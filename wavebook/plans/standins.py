@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wavebook.operators.joins import sized_join
 from wavebook.operators.recode import recode, reverse_scale
 from wavebook.plans.trust import TRUST_HIGHEST
 from wavebook.sources.tables import table
@@ -18,14 +19,19 @@ from wavebook.sources.tables import table
 ANSWER_CODES = {"F": 1, "O": 2}
 
 
+def with_customer(spark: SparkSession, folder: str, orders: DataFrame, *names: str) -> DataFrame:
+    """Orders with columns of their customer; a customer may have very many orders."""
+    customer = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), *names)
+    return sized_join(orders, customer, ["o_custkey"], "inner", reduced=False, nulls_match=False)
+
+
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """One row per respondent."""
-    orders = table(spark, folder, "orders")
-    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    orders = table(spark, folder, "orders").drop("o_totalprice")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
     answer = recode(F.col("o_orderstatus"), ANSWER_CODES)
     return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        with_customer(spark, folder, orders, "c_nationkey", "c_mktsegment")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             "o_orderkey",

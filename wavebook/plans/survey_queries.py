@@ -573,11 +573,10 @@ def _survey(spark, folder) -> DataFrame:
         two.alias("iso2"),
         F.when(F.col("n_nationkey") == 7, "GBR").otherwise(F.concat(F.lit("N"), two)).alias("iso3"),
     )
-    people = table(spark, folder, "customer").select(
-        "c_custkey", "c_nationkey", F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("c_abrv")
+    orders = table(spark, folder, "orders").drop("o_orderdate", "o_orderpriority")
+    rows = standins.with_customer(spark, folder, orders, "c_nationkey").withColumn(
+        "c_abrv", F.lpad(F.col("c_nationkey").cast("string"), 2, "0")
     )
-    orders = table(spark, folder, "orders")
-    rows = orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
     survey = country_files.with_country(rows, book, codes, "c_nationkey", "c_abrv", "iso2")
     named = columns.pick_renamed(
         survey, v1="o_orderkey", v2="o_orderstatus", v3="o_totalprice", country_ord="c_nationkey",
