@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavebook.llm import exact_dedup, mixing, resharding, sql, url_filter
+from wavebook.llm import decontaminate, exact_dedup, mixing, resharding, sql, url_filter
 from wavebook.llm.common import table
 from wavebook.plans.registry import Registry
 from wavebook.session import literal_table
@@ -43,6 +43,14 @@ def op4_mix_low_discrepancy(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, carry=["doc_id"])
 
 
+@registry.query(sql.DECONTAMINATE)
+def op8_decontaminate_wu_manber(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    benchmark = table(spark, folder, "benchmark")
+    found = decontaminate.decontaminate(documents, benchmark, carry=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @registry.query(sql.URL_FILTER)
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("action", pa.string())])

@@ -101,3 +101,31 @@ LEFT JOIN z ON q.source IS NOT DISTINCT FROM z.source
 
 
 MIX = mix_sql()
+
+DECONTAMINATE = r"""
+WITH b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark WHERE item_id IS NOT NULL),
+w AS (
+  SELECT DISTINCT item, least(10, len(words)) AS size, words[i : i + least(10, len(words)) - 1] AS part
+  FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
+d AS (
+  SELECT doc_id, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+p AS (
+  SELECT row, size, i, words[i : i + size - 1] AS part
+  FROM (SELECT row, words, size, unnest(range(1, len(words) - size + 2)) AS i
+        FROM d, (SELECT DISTINCT size FROM w) WHERE len(words) >= size)),
+m AS (SELECT row, i, p.size, item FROM p JOIN w ON p.part = w.part),
+h AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS k FROM m) GROUP BY row),
+t AS (
+  SELECT row, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT row, item FROM m) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN t USING (row)
+"""
