@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavebook.llm import decontaminate, exact_dedup, mixing, resharding, sql, url_filter
+from wavebook.llm import decontaminate, exact_dedup, language, mixing, resharding, sql, url_filter
 from wavebook.llm.common import table
 from wavebook.plans.registry import Registry
 from wavebook.session import literal_table
@@ -43,6 +43,15 @@ def op4_mix_low_discrepancy(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, carry=["doc_id"])
 
 
+@registry.query()
+def op7_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = (language.fold("doc_id", 5) == 0).alias("held_out")
+    model = language.train(documents.where(~held_out))
+    rows = documents.select("doc_id", "text", held_out)
+    return language.identify(rows, model, carry=["doc_id", "held_out"])
+
+
 @registry.query(sql.DECONTAMINATE)
 def op8_decontaminate_wu_manber(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
