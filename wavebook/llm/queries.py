@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavebook.llm import decontaminate, exact_dedup, language, mixing, resharding, sql, url_filter
+from wavebook.llm import decontaminate, exact_dedup, language, mixing, near_dedup, resharding, sql, url_filter
 from wavebook.llm.common import table
 from wavebook.plans.registry import Registry
 from wavebook.session import literal_table
@@ -29,6 +29,12 @@ def old_shard(column: str):
     return F.pmod(F.crc32(F.coalesce(F.col(column), F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int")
 
 
+@registry.query()
+def op1_near_dedup_icws(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return near_dedup.near_dedup(documents, carry=["doc_id"])
+
+
 @registry.query()
 def op3_reshard_min_cost_flow(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "source")
