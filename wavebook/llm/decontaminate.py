@@ -212,7 +212,7 @@ def decontaminate(
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == n)
         tables = spark.sparkContext.broadcast(build([(r.id, r.text) for r in part.collect()]))
         final = n == passes - 1
-        rows = texts.map_batches(rows, OUTPUTS, partial(_scan, text=own, tables=tables), drop=(own,) if final else ())
+        rows = texts.map_batches(rows, OUTPUTS, partial(_scan, text=own, tables=tables), own, drop=(own,) if final else ())
         if not final:
             rows = materialise(rows)
     return rows

@@ -104,7 +104,7 @@ def count_cells(df: DataFrame, text: str, lang: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in texts.slices(whole, 0)):
             names = batch.column(1).dictionary_encode()
             order, which = names.dictionary.to_pylist(), names.indices.to_numpy().astype(np.int64)
             row, cell, count = cells(batch.column(0))
@@ -242,7 +242,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
     own = "_text" if "_text" not in carry else "__text"
     rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias(own))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return texts.map_batches(rows, OUTPUTS, partial(_predict, text=own, model=shared), drop=(own,))
+    return texts.map_batches(rows, OUTPUTS, partial(_predict, text=own, model=shared), own, drop=(own,))
 
 
 def fold(id_column: str, folds: int) -> Column:

@@ -146,7 +146,7 @@ def idf_levels(df: DataFrame, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in texts.slices(whole, 0)):
             hashes, _, _, word_rows = texts.words(batch.column(0))
             runs, rows = texts.shingles(hashes, word_rows, SHINGLE)
             key = np.repeat(np.arange(batch.num_rows), np.diff(rows)) << CELL_BITS | _cell(runs)
@@ -176,7 +176,7 @@ def _sign(batch: pa.RecordBatch, text: str, levels) -> dict[str, pa.Array]:
 def _verify(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatch]:
     """Rows come by leader, the leader's own text first: compare each text with it."""
     leader, of = None, None
-    for batch in batches:
+    for batch in (part for whole in batches for part in texts.slices(whole, 3)):
         sets = weighted_sets(batch.column(3), levels.value)
         weights = LEVEL_WEIGHTS[sets[1]] * sets[2]
         out = ([], [], [])
@@ -359,7 +359,7 @@ def near_dedup(
         *[F.col(f"`{c}`") for c in carry],
         F.col(id_column).alias(own_id), F.xxhash64(whole).alias(row_key), whole.alias(own_text),
     )
-    signed = texts.map_batches(keyed, {"bands": "array<bigint>"}, partial(_sign, text=own_text, levels=levels), drop=(own_text,))
+    signed = texts.map_batches(keyed, {"bands": "array<bigint>"}, partial(_sign, text=own_text, levels=levels), own_text, drop=(own_text,))
     rows = materialise(signed.withColumn(rid, F.monotonically_increasing_id()))
     # Equal texts have equal keys and bands; they are one text from here on.
     distinct = materialise(rows.groupBy(F.col(row_key).alias("key")).agg(F.first("bands").alias("bands"), F.count("*").alias("rows")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavebook.llm import decontaminate, exact_dedup, language, mixing, near_dedup, resharding, sql, url_filter
+from wavebook.llm import decontaminate, exact_dedup, language, mixing, near_dedup, resharding, sql, suffix_tree_lm, url_filter
 from wavebook.llm.common import table
 from wavebook.plans.registry import Registry
 from wavebook.session import literal_table
@@ -35,6 +35,15 @@ def op1_near_dedup_icws(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_dedup(documents, carry=["doc_id"])
 
 
+@registry.query()
+def op2_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = (language.fold("doc_id", 7) == 2).alias("held_out")
+    tree, counts = suffix_tree_lm.learn(documents.where(~held_out))
+    rows = documents.select("doc_id", "text", held_out)
+    return suffix_tree_lm.score(rows, tree, counts, carry=["doc_id", "held_out"])
+
+
 @registry.query()
 def op3_reshard_min_cost_flow(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "source")

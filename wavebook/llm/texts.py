@@ -131,10 +131,28 @@ def sums(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total[rows[1:]] - total[rows[:-1]]
 
 
+def slices(batch: pa.RecordBatch, text: str | int, limit: int = 8 * PIECE) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``limit`` bytes of text, or of one longer row."""
+    index = text if isinstance(text, int) else batch.schema.get_field_index(text)
+    _, offsets = raw(batch.column(index))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
+        end = max(at + 1, min(end, batch.num_rows))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_batches(
-    df: DataFrame, added: dict[str, str], function: Callable[[pa.RecordBatch], dict[str, pa.Array]], drop: tuple = ()
+    df: DataFrame,
+    added: dict[str, str],
+    function: Callable[[pa.RecordBatch], dict[str, pa.Array]],
+    text: str,
+    drop: tuple = (),
 ) -> DataFrame:
-    """``df`` without ``drop`` and with the columns that ``function`` makes of an Arrow batch.
+    """``df`` without ``drop`` and with the columns that ``function`` makes of Arrow batches.
+
+    Batches are cut by the bytes of the ``text`` column.
 
     ``added`` gives their types. An added column replaces one of the same name.
     """
@@ -145,7 +163,7 @@ def map_batches(
     schema = T.StructType([*kept, *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             made = function(batch)
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, *made.values()], names=[*names, *made])
