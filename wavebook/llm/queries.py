@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavebook.llm import decontaminate, exact_dedup, language, mixing, near_dedup, resharding, sql, suffix_tree_lm, url_filter
+from wavebook.llm import decontaminate, exact_dedup, language, mixing, near_dedup, quality, resharding, sql
+from wavebook.llm import suffix_tree_lm, url_filter
 from wavebook.llm.common import table
 from wavebook.plans.registry import Registry
 from wavebook.session import literal_table
@@ -58,6 +59,15 @@ def op4_mix_low_discrepancy(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, carry=["doc_id"])
 
 
+@registry.query()
+def op6_quality_lsa_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(language.fold("doc_id", 5) != 0)
+    model = quality.train(documents, labels)
+    rows = documents.select("doc_id", "text", (language.fold("doc_id", 5) == 0).alias("held_out"))
+    return quality.classify(rows, model, carry=["doc_id", "held_out"])
+
+
 @registry.query()
 def op7_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")

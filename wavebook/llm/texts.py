@@ -86,8 +86,11 @@ def words(column: pa.Array, inside: np.ndarray = LETTERS, fold: bool = True):
     ``starts`` and ``ends`` are bytes of the column's data; the words of row ``i``
     are ``rows[i]`` to ``rows[i + 1]``.
     """
-    data, offsets = raw(column)
-    values = FOLDED_VALUES if fold else BYTE_VALUES
+    return words_of(*raw(column), inside, FOLDED_VALUES if fold else BYTE_VALUES)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, values: np.ndarray):
+    """``words`` of bytes and row offsets."""
     parts, at = [], 0
     while at < len(data):
         end = min(at + PIECE, len(data))
