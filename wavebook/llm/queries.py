@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavebook.llm import decontaminate, exact_dedup, language, mixing, near_dedup, quality, resharding, sql
-from wavebook.llm import suffix_tree_lm, url_filter
+from wavebook.llm import suffix_dedup, suffix_tree_lm, url_filter
 from wavebook.llm.common import table
 from wavebook.plans.registry import Registry
 from wavebook.session import literal_table
@@ -59,6 +59,12 @@ def op4_mix_low_discrepancy(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents, carry=["doc_id"])
 
 
+@registry.query()
+def op5_suffix_dedup_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_dedup.suffix_dedup(documents, carry=["doc_id"])
+
+
 @registry.query()
 def op6_quality_lsa_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
