@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wavebook.llm import texts
-from wavebook.llm.common import materialise
+from wavebook.llm.common import fresh, materialise
 
 WINDOW = 10
 BLOCK = 2
@@ -204,15 +204,15 @@ def decontaminate(
     )
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     passes = max(1, math.ceil(size / pass_bytes))
-    own = "_text" if "_text" not in carry else "__text"
-    rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias(own)).withColumns(
+    own, = [text] if text in carry else fresh(df, "_text")
+    rows = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, text])]).withColumnRenamed(text, own).withColumns(
         {"item_ids": F.array().cast("array<string>"), "spans": F.array().cast(OUTPUTS["spans"])}
     )
     for n in range(passes):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == n)
         tables = spark.sparkContext.broadcast(build([(r.id, r.text) for r in part.collect()]))
         final = n == passes - 1
-        rows = texts.map_batches(rows, OUTPUTS, partial(_scan, text=own, tables=tables), own, drop=(own,) if final else ())
+        rows = texts.map_batches(rows, OUTPUTS, partial(_scan, text=own, tables=tables), own, drop=(own,) if final and own not in carry else ())
         if not final:
             rows = materialise(rows)
     return rows

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wavebook.llm import texts
+from wavebook.llm.common import fresh
 
 # Trigrams are hashed into so many cells, so the model is that wide for any corpus.
 CELL_BITS = 14
@@ -239,10 +240,10 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "te
     it is broadcast.
     """
     carry = [c for c in (carry or df.columns) if c.lower() not in OUTPUTS]
-    own = "_text" if "_text" not in carry else "__text"
-    rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias(own))
+    own, = [text] if text in carry else fresh(df, "_text")
+    rows = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, text])]).withColumnRenamed(text, own)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return texts.map_batches(rows, OUTPUTS, partial(_predict, text=own, model=shared), own, drop=(own,))
+    return texts.map_batches(rows, OUTPUTS, partial(_predict, text=own, model=shared), own, drop=() if own in carry else (own,))
 
 
 def fold(id_column: str, folds: int) -> Column:
