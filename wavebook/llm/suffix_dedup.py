@@ -237,8 +237,8 @@ def _strings(offsets, keys, spread, runs, places, row, piece, low) -> Iterator[p
     strings = piece.of(start - low, LENGTH)
     own_row, core = row[which], runs[which]
     place = start - offsets[own_row]
-    _, first, inverse, times = np.unique(strings, return_index=True, return_inverse=True, return_counts=True)
-    twice = times[inverse] > 1
+    twice = texts.repeated(strings)
+    first, _ = texts.distinct(strings)
     if twice.any():
         yield from _spans(keys, own_row[twice], place[twice])
     # -1 as the place says that the string is known to be repeated.
@@ -313,8 +313,7 @@ def repeated_starts(core: np.ndarray, lead: np.ndarray, around: list[bytes]) ->
         valid = (lead[rows] >= a) & (right[rows] >= need)
         interval = np.concatenate(([0], np.cumsum(common < need))).astype(np.uint64)
         key = texts.mix(left[rows, a] + interval * np.uint64(texts.BASE))[valid]
-        _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-        found[rows[valid], a] = times[inverse] > 1
+        found[rows[valid], a] = texts.repeated(key)
     return found
 
 
@@ -349,8 +348,7 @@ def _finish(kind: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         strings = np.concatenate([np.array(r["strings"], dtype=np.int64) for r in rows])
         owners = np.concatenate([np.array(r["owners"], dtype=np.int64) for r in rows])
         keys = [k for r in rows for k in r["keys"]]
-        _, inverse, times = np.unique(strings, return_inverse=True, return_counts=True)
-        hit = np.flatnonzero((times[inverse] > 1) & (owners >= 0))
+        hit = np.flatnonzero(texts.repeated(strings) & (owners >= 0))
         found: dict[bytes, set[int]] = {}
         for i in hit.tolist():
             found.setdefault(keys[i], set()).add(int(owners[i]))
@@ -358,8 +356,7 @@ def _finish(kind: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         return
     core = np.array([r["core"] for r in rows], dtype=np.int64)
     # Cores that nothing else has, by chance in the filter, have nobody to meet.
-    _, inverse, times = np.unique(core, return_inverse=True, return_counts=True)
-    some = [r for r, t in zip(rows, times[inverse]) if t > 1 or len(r["places"]) > 1]
+    some = [r for r, again in zip(rows, texts.repeated(core)) if again or len(r["places"]) > 1]
     if not some:
         return
     core = np.array([r["core"] for r in some], dtype=np.int64)

@@ -146,6 +146,25 @@ def slices(batch: pa.RecordBatch, text: str | int, limit: int = 8 * PIECE) -> It
         at = end
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts): one place of every distinct key, in the order of keys, and how often it is there."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(keys)])
+    return order[begins], np.diff(np.append(begins, len(keys)))
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether a key is there more than once, for every place."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    same = ordered[1:] == ordered[:-1]
+    found = np.zeros(len(keys), dtype=bool)
+    found[order[1:][same]] = True
+    found[order[:-1][same]] = True
+    return found
+
+
 def map_batches(
     df: DataFrame,
     added: dict[str, str],
