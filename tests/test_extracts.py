@@ -18,10 +18,10 @@ def test_indicator_extract(spark):
         ("South Korea", 200.0, 5.0, None, 40.0, 8.0, 5.0), ("Turkey", 100.5, 8.0, 75.0, None, 5.0, None),
     ]
     assert table.schema["s80s20"].metadata["label"].startswith("Ratio of")
-    classes = spark.createDataFrame([(i, f"C{i}", "x", f"R{i % 3}") for i in range(230)] + [(-1, "Türkiye", "x", "ECA")],
-                                    "n int, Economy string, Code string, Region string").select("Economy", "Code", "Region", "n")
-    top = macro.class_table(classes, ["n"])
-    assert top.count() == 220 and top.columns == ["country", "Region"]
+    classes = spark.createDataFrame([(f"C{i}", "x", f"R{i % 3}") for i in range(230)] + [("Türkiye", "x", "ECA"), ("World", None, None)],
+                                    "Economy string, Code string, Region string")
+    top = macro.class_table(classes, F.col("Code").isNotNull())
+    assert top.count() == 231 and top.columns == ["country", "Region"]
     shares = spark.createDataFrame([("Turkey", "TR", 12.5), ("Nowhere", "NN", 1.0)], "country string, cntry_AN string, trust_pct double")
     got = macro.merged(shares, table, top)
     assert {"country_code", "GDP_pc", "inequality_s80s20", "Region"} <= set(got.columns)

@@ -37,7 +37,8 @@ def test_discovery(spark, tmp_path):
     (tmp_path / "a" / "b" / "ESS10.zip").write_bytes(b"12345")
     (tmp_path / "a" / "other.txt").write_bytes(b"1")
     found = files.discover(spark, str(tmp_path), "*ESS10.zip").collect()
-    assert [tuple(r) for r in found] == [("ESS10.zip", 5)]
+    assert [(r.file, r.n_bytes) for r in found] == [("ESS10.zip", 5)]
+    assert found[0].path.endswith("/a/b/ESS10.zip")
     assert files.discover(spark, f"{tmp_path}/missing", "*").count() == 0
 
 
@@ -48,10 +49,10 @@ def test_a_large_country_is_written_by_several_tasks(spark, tmp_path):
     )
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256KB")
     try:
-        exports.split_export(rows, "code", f"{tmp_path}/out")
+        exports.split_export(rows, "code", f"{tmp_path}/out", "X/x")
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    assert len(glob.glob(f"{tmp_path}/out/code=HOT/*.parquet")) > 1
+    assert len(glob.glob(f"{tmp_path}/out/file=x_HOT.sav/*.parquet")) > 1
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 60000 and back.where("code = 'HOT'").count() == 20000
 
@@ -77,6 +78,9 @@ def test_survey_to_country_files(spark, tmp_path):
     ]
     exports.write_manifest(lines, f"{tmp_path}/{exports.manifest_name('WVS7/wvs7')}")
     assert spark.read.text(f"{tmp_path}/_wvs7-country-links.md").count() == 4
+    with pytest.raises(Exception, match="no country_iso3, so no file"):
+        lost = named.withColumn("country_iso3", F.nullif("country_iso3", F.lit("ARG")))
+        publish(lost, f"{tmp_path}/lost", "WVS7/wvs7", "/files/", "B_COUNTRY")
 
 
 def test_checkpoint_folder_of_the_session_is_used(spark):

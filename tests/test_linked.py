@@ -130,3 +130,16 @@ def test_a_view(spark, people):
     assert tuple(state.info(people).first()) == (1, 1, 1)
     assert View("id", [("id", True)], links={"k": keys(spark, "9")}).rows(
         people.withColumn("id", F.col("id").cast("string"))).count() == 0
+
+
+def test_more_filters_than_bits_of_a_number(spark):
+    every = {str(i): keys(spark, "abc" if i % 2 else "bcd") for i in range(70)}
+    assert sorted(r.key for r in linked.intersect(every).collect()) == ["b", "c"]
+
+
+def test_a_row_one_value_short_gets_its_name(spark, people):
+    more = spark.createDataFrame([("w", 4.0)], "b string, c double")
+    rows = patch.append_rows(people, more, row_name=F.lit(9))
+    assert rows.count() == 4 and rows.where("s = 'w'").first()[0] == 9
+    with pytest.raises(ValueError, match="3 columns"):
+        patch.append_rows(people, more)

@@ -142,3 +142,39 @@ def test_missing_keys_do_not_match_in_lookups(spark):
     for limit in (0, 10):
         got = joins.sized_join(df, codes, ["k"], "left", False, False, broadcast_rows=limit)
         assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [(None, 1, None), (2, 2, "y")]
+
+
+@pytest.mark.parametrize("shallow", [0, 10_000])
+def test_pages_with_missing_values_are_complete(spark, shallow):
+    df = spark.range(3000).select(F.when(F.col("id") % 10 > 0, F.col("id") % 97).alias("v"), "id")
+    want = sorted(((r.v is not None, r.v or 0, -r.id), r.id) for r in df.collect())
+    order = [("v", False), ("id", True)]
+    for number in (1, 2, 7, 30):
+        got = view.page(df, order, number, 100, shallow)
+        assert sorted(r.id for r in got.collect()) == sorted(i for _, i in want[(number - 1) * 100 : number * 100])
+    falling = view.page(df, [("v", True), ("id", False)], 30, 100, shallow)
+    assert {r.v for r in falling.collect()} == {None}
+
+
+@pytest.mark.parametrize("shallow", [0, 10_000])
+def test_a_shared_place_is_an_error(spark, shallow):
+    df = spark.range(2000).select((F.col("id") / 2).cast("int").alias("v"))
+    with pytest.raises(ValueError, match="same place"):
+        view.page(df, [("v", False)], 5, 10, shallow)
+    with pytest.raises(ValueError, match="same place"):
+        view.row_block(df.withColumn("k", F.monotonically_increasing_id()), "v", 3, 9, [("v", False)])
+
+
+def test_blocks_with_missing_values(spark):
+    rows = [(k, v) for k, v in zip("abcdefgh", [5, None, 3, None, 1, 9, 7, 2])]
+    df = spark.createDataFrame(rows, "k string, v int")
+    for falling in (False, True):
+        order = [("v", falling), ("k", False)]
+        known = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1] if falling else r[1], r[0]))
+        none = sorted(r for r in rows if r[1] is None)
+        shown = [k for k, _ in (known + none if falling else none + known)]
+        for a in "abch":
+            for b in "bdef":
+                i, j = sorted((shown.index(a), shown.index(b)))
+                got = sorted(r.k for r in view.row_block(df, "k", a, b, order).collect())
+                assert got == sorted(shown[i : j + 1]), (falling, a, b)

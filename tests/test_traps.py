@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavebook.functions import formats, text
-from wavebook.operators import aggregate, joins, linked, pick, predicates, recode, reshape
+from wavebook.operators import aggregate, codebook, joins, linked, pick, predicates, recode, reshape
 from wavebook.plans import trust
 from wavebook.sources.exports import manifest
 
@@ -137,9 +137,9 @@ def test_no_filter_is_not_an_empty_filter(spark):
 def test_full_range_keeps_what_is_not_a_number(spark):
     df = spark.createDataFrame([("1",), ("5",), ("x",), (None,), ("NaN",)], "v string")
     kept = lambda c: rows(df.where(predicates.all_of([c])))
-    assert len(kept(predicates.in_range(F.col("v"), 1, 5, domain=(1, 5)))) == 5
-    assert kept(predicates.in_range(F.col("v"), 1, 4, domain=(1, 5))) == [("1",)]
-    assert kept(predicates.in_range(F.col("v"), 2, 5, domain=(1, 5))) == [("5",)]
+    assert len(kept(predicates.in_range(F.col("v"), 1, 5, domain=(1, 5), text=True))) == 5
+    assert kept(predicates.in_range(F.col("v"), 1, 4, domain=(1, 5), text=True)) == [("1",)]
+    assert kept(predicates.in_range(F.col("v"), 2, 5, domain=(1, 5), text=True)) == [("5",)]
 
 
 def test_missing_flag_reads_na(spark):
@@ -200,3 +200,47 @@ def test_trend_file_answers(spark):
     shares = trust.trust_by_source(answers)
     assert shares.schema["n_valid"].metadata["label"] == "Total sample size"
     assert rows(shares) == [("United Kingdom", "EVS2", 1990, 0.0, 0, 1), ("United Kingdom", "WVS3", 1998, 100.0, 1, 1)]
+
+
+def test_codes_are_values(spark):
+    book = codebook.codebook(spark, {"v": {1: "one", 2: "two", 7: "never"}, "w": {"01": "first"}}, {"v": "Label"})
+    df = spark.createDataFrame([(1.0, "01"), (2.0, "1"), (2.5, None), (None, None)], "v double, w string")
+    named = codebook.decode(codebook.decode(df, book, "v", "label"), book, "w", "first")
+    assert sorted(map(str, rows(named.select("label", "first")))) == sorted(
+        map(str, [("one", "first"), ("two", None), (None, None), (None, None)])
+    )
+    left = codebook.drop_unused(book, df, ["v", "w"])
+    assert sorted(r.label for r in left.collect()) == ["Label", "first", "one", "two"]
+    assert sorted(rows(codebook.unlabelled(df, book, ["v", "w"]))) == [("v", "2.5", 1), ("w", "1", 1)]
+
+
+def test_a_repeated_code_is_an_error(spark):
+    twice = spark.createDataFrame([("v", "1", "one", 1), ("v", "1.0", "uno", 2)], "variable string, code string, label string, ord int")
+    df = spark.createDataFrame([(1.0, "DE")], "v double, c string")
+    with pytest.raises(Exception, match="lists a key twice"):
+        codebook.decode(df, twice, "v", "label").collect()
+    codes = spark.createDataFrame([("DE", "DEU"), ("DE", "GER")], "iso2 string, iso3 string")
+    with pytest.raises(Exception, match="lists a key twice"):
+        joins.crosswalk(df, codes, "c", "iso2", "iso3").collect()
+    aliases = spark.createDataFrame([("s", "DE", "a"), ("s", "DE", "b")], "source string, from string, to string")
+    with pytest.raises(Exception, match="lists a key twice"):
+        recode.harmonise_by(df, "c", aliases, "s").collect()
+
+
+def test_text_that_only_looks_like_a_number(spark):
+    df = spark.createDataFrame([("1f",), ("1d",), ("5 kg",), (" 7 ",), ("-2.5e3",), (".5",), ("NaN",)], "v string")
+    assert [r[0] for r in df.select(recode.to_number(F.col("v"))).collect()] == [None, None, None, 7.0, -2500.0, 0.5, None]
+
+
+def test_numbers_as_a_browser_shows_them(spark):
+    shown = {
+        12345678.0: "12345678", 1e-4: "0.0001", 1.5: "1.5", 3.0: "3", 1.25e15: "1250000000000000", 1e21: "1e+21",
+        1.5e-7: "1.5e-7", -2e10: "-20000000000", 0.0: "0", 1e-6: "0.000001", 123456789012.5: "123456789012.5",
+    }
+    df = spark.createDataFrame([(x,) for x in shown], "x double")
+    assert {r.x: r.t for r in df.select("x", predicates.cell_text(df, "x").alias("t")).collect()} == shown
+
+
+def test_a_range_of_whole_numbers_is_exact(spark):
+    df = spark.createDataFrame([(2**53,), (2**53 + 1,)], "v bigint")
+    assert rows(df.where(predicates.in_range(F.col("v"), 2**53 + 1, None))) == [(2**53 + 1,)]

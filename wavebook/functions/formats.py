@@ -115,8 +115,15 @@ def _shown(value: Column, text: Column, zero: str | None) -> Column:
     return F.when(value.isNull() | F.isnan(value), "").otherwise(text)
 
 
+# The number a text begins with, blanks in front allowed.
+LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+
+
 def _number(value: Column) -> Column:
-    return value.try_cast("double")
+    """A cell as a number. Of a text it is the number it begins with, as in a browser:
+    ``5 kg`` is 5 here, whereas a column of numbers (``to_number``) has it missing."""
+    leading = F.regexp_extract(value.cast("string"), LEADING_NUMBER, 1).try_cast("double")
+    return F.when(F.typeof(value) == "string", leading).otherwise(value.try_cast("double"))
 
 
 def format_round(

@@ -29,6 +29,10 @@ DOUBLE_QUOTES = "“”„‟″"
 LONG_FORMS = [
     ("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe"), ("ß", "ss"), ("ẞ", "SS"),
     ("Þ", "TH"), ("þ", "th"), ("Ĳ", "IJ"), ("ĳ", "ij"), ("«", "<<"), ("»", ">>"), ("…", "..."),
+    ("©", "(C)"), ("®", "(R)"), ("¼", " 1/4"), ("½", " 1/2"), ("¾", " 3/4"), ("ŉ", "'n"), ("ƕ", "hv"),
+    ("Ƣ", "OI"), ("ƣ", "oi"), ("Ǆ", "DZ"), ("ǅ", "Dz"), ("ǆ", "dz"), ("Ǉ", "LJ"), ("ǈ", "Lj"), ("ǉ", "lj"),
+    ("Ǌ", "NJ"), ("ǋ", "Nj"), ("ǌ", "nj"), ("Ǳ", "DZ"), ("ǲ", "Dz"), ("ǳ", "dz"), ("ȸ", "db"), ("ȹ", "qp"),
+    ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"),
 ]
 
 # One-to-one forms that Unicode does not decompose.
@@ -36,9 +40,19 @@ SHORT_FORMS = {
     "Ð": "D", "ð": "d", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "ĸ": "q", "Ł": "L",
     "ł": "l", "Ŋ": "N", "ŋ": "n", "Ø": "O", "ø": "o", "Ŧ": "T", "ŧ": "t", "ſ": "s",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-",
-    "‹": "<", "›": ">", "\u00a0": " ", "×": "*", "÷": "/",
+    "‹": "<", "›": ">", "\u00a0": " ", "×": "*", "÷": "/", "¡": "!", "¿": "?",
+    "ƀ": "b", "Ɓ": "B", "Ƃ": "B", "ƃ": "b", "Ƈ": "C", "ƈ": "c", "Ɖ": "D", "Ɗ": "D", "Ƌ": "D", "ƌ": "d",
+    "Ɛ": "E", "Ƒ": "F", "ƒ": "f", "Ɠ": "G", "Ɩ": "I", "Ɨ": "I", "Ƙ": "K", "ƙ": "k", "ƚ": "l", "Ɲ": "N",
+    "ƞ": "n", "Ƥ": "P", "ƥ": "p", "ƫ": "t", "Ƭ": "T", "ƭ": "t", "Ʈ": "T", "Ʋ": "V", "Ƴ": "Y", "ƴ": "y",
+    "Ƶ": "Z", "ƶ": "z", "Ǥ": "G", "ǥ": "g", "ȡ": "d", "Ȥ": "Z", "ȥ": "z", "ȴ": "l", "ȵ": "n", "ȶ": "t",
+    "ȷ": "j", "Ⱥ": "A", "Ȼ": "C", "ȼ": "c", "Ƚ": "L", "Ⱦ": "T", "ȿ": "s", "ɀ": "z", "Ƀ": "B", "Ʉ": "U",
+    "Ɇ": "E", "ɇ": "e", "Ɉ": "J", "ɉ": "j", "Ɍ": "R", "ɍ": "r", "Ɏ": "Y", "ɏ": "y",
 }
 
+# Full-width forms stand at a fixed distance from their ASCII characters.
+FULL_WIDTH = (0xFF01, 0xFF5E)
+FULL_WIDTH_STEP = 0xFEE0
+
 LATIN_BLOCKS = [(0x00C0, 0x024F), (0x1E00, 0x1EFF)]
 BLANKS = " \t\r\n"
 
@@ -57,6 +71,8 @@ def ascii_table() -> tuple[str, str]:
                 base = forms.get(base, base)
                 if base.isascii():
                     forms[chr(code)] = base
+    for code in range(FULL_WIDTH[0], FULL_WIDTH[1] + 1):
+        forms[chr(code)] = chr(code - FULL_WIDTH_STEP)
     forms.update({quote: "'" for quote in SINGLE_QUOTES})
     forms.update({quote: '"' for quote in DOUBLE_QUOTES})
     return "".join(forms), "".join(forms.values())
@@ -138,5 +154,25 @@ def paste(*parts: Column) -> Column:
     return F.concat(*[text_or_na(part) for part in parts])
 
 
+def plain_number(value: Column, kind: str) -> Column:
+    """The text of a value, floating numbers as a browser shows them.
+
+    Whole numbers have no ``.0``; numbers from a millionth up to 10^21 are written
+    in plain digits, others as ``1e+21`` and ``1.5e-7``. Null stays null.
+    """
+    text = value.cast("string")
+    if kind not in ("double", "float"):
+        return text
+    size = F.abs(value)
+    digits = F.when(size >= 1, text.try_cast("decimal(38,16)").cast("string")).otherwise(
+        text.try_cast("decimal(38,30)").cast("string")
+    )
+    plain = F.regexp_replace(digits, r"\.?0+$", "")
+    short = F.regexp_replace(text, r"\.0(?=E|$)", "")
+    powers = F.replace(F.regexp_replace(short, r"E(?=\d)", "e+"), F.lit("E"), F.lit("e"))
+    written = F.when(~text.contains("E"), short).when((size >= 1e-6) & (size < 1e21), plain)
+    return written.otherwise(powers)
+
+
 def words_of(query: str) -> list[str]:
     return [word.lower() for word in re.split(r"\s+", query.strip()) if word]

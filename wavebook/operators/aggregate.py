@@ -42,16 +42,14 @@ def answer_share(
     )
 
 
-def share_on_rows(df: DataFrame, by: list[str], answer: str) -> DataFrame:
+def share_on_rows(df: DataFrame, by: list[str], shares: DataFrame) -> DataFrame:
     """The group's percentage on every row, without collapsing.
 
-    A window would sort all rows of a group in one task. The groups are
-    aggregated instead and joined back to the rows.
+    ``shares`` is what ``answer_share`` gives for the groups, from rows or from
+    counts. A window would sort all rows of a group in one task, so the figures are
+    joined to the rows, which are read once.
     """
-    shares = df.groupBy(*by).agg(
-        _share(F.sum(answer), F.count(answer)).alias("trust_pct")
-    )
-    return sized_join(df, shares, by, "left")
+    return sized_join(df, shares.select(*by, "trust_pct").distinct(), by, "left")
 
 
 def period_means(df: DataFrame, by: list[str], series: str, value: str, names: dict[str, str]) -> DataFrame:

@@ -8,15 +8,19 @@ same labels but is lost by casts, joins and aggregates, so the table counts.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wavebook.functions.text import clean_text
+from wavebook.functions.text import clean_text, plain_number
+from wavebook.operators.joins import one_per_key
 from wavebook.session import literal_table
 
 SCHEMA = pa.schema(
     [("variable", pa.string()), ("code", pa.string()), ("label", pa.string()), ("ord", pa.int32())]
 )
 
+WHOLE = ("byte", "short", "integer", "long")
+FLOATING = ("float", "double")
+
 
 def codebook(spark: SparkSession, values: dict[str, dict], variables: dict[str, str] = {}) -> DataFrame:
     """A codebook from value labels ``{variable: {code: label}}`` and variable labels."""
@@ -53,27 +57,51 @@ def from_metadata(df: DataFrame) -> DataFrame:
     return literal_table(df.sparkSession, SCHEMA, rows)
 
 
+def _by_value(df: DataFrame, book: DataFrame, variable: str, value, into: str) -> DataFrame:
+    """Join the codes of a variable as values of the column's own type.
+
+    A code ``1`` or ``1.0`` meets 1 in a whole or a floating column. A code listed
+    twice is an error; codes that are no value of the type meet nothing.
+    """
+    kind = df.schema[variable].dataType
+    code = F.col("code").try_cast(kind)
+    if kind.typeName() in WHOLE:
+        number = F.col("code").try_cast("double")
+        code = F.coalesce(code, F.when(F.floor(number) == number, number.try_cast(kind)))
+    listed = book.where((F.col("variable") == variable) & F.col("code").isNotNull())
+    values = listed.select(code.alias("_code"), value.alias(into)).where("_code is not null")
+    values = one_per_key(values, ["_code"], f"the codebook of {variable}")
+    return df.join(values, F.col(variable) == F.col("_code"), "left").drop("_code")
+
+
 def decode(df: DataFrame, book: DataFrame, variable: str, into: str) -> DataFrame:
-    """Add the label of a variable's code; a code without a label stays missing."""
-    labels = book.where((F.col("variable") == variable) & F.col("code").isNotNull()).select(
-        F.col("code").alias("_code"), F.col("label").alias(into)
-    )
-    return df.join(labels, F.col(variable).cast("string") == F.col("_code"), "left").drop("_code")
+    """Add the label of a variable's code; a code without a label stays missing.
+
+    ``unlabelled`` counts such codes.
+    """
+    return _by_value(df, book, variable, F.col("label"), into)
 
 
 def position(df: DataFrame, book: DataFrame, variable: str, into: str, start: int = 0) -> DataFrame:
     """Add the position of a code among its levels, counted from ``start``."""
-    places = book.where((F.col("variable") == variable) & F.col("code").isNotNull()).select(
-        F.col("code").alias("_code"), (F.col("ord") - 1 + start).alias(into)
-    )
-    return df.join(places, F.col(variable).cast("string") == F.col("_code"), "left").drop("_code")
+    return _by_value(df, book, variable, F.col("ord") - 1 + start, into)
+
+
+def code_text(df: DataFrame, variable: str) -> Column:
+    """The text of a code as the codebook writes it: a whole number without ``.0``."""
+    return plain_number(F.col(variable), df.schema[variable].dataType.typeName())
+
+
+def same_code(kinds: dict[str, str]) -> Column:
+    """The code of a codebook row, numbers of numeric variables in their one form."""
+    numeric = [name for name, kind in kinds.items() if kind in (*WHOLE, *FLOATING)]
+    number = plain_number(F.col("code").try_cast("double"), "double")
+    return F.when(F.col("variable").isin(numeric), F.coalesce(number, "code")).otherwise(F.col("code"))
 
 
 def usage(df: DataFrame, variables: list[str]) -> DataFrame:
     """(variable, code, n): how often every code occurs, for all variables in one scan."""
-    pairs = [
-        F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("code")) for v in variables
-    ]
+    pairs = [F.struct(F.lit(v).alias("variable"), code_text(df, v).alias("code")) for v in variables]
     return (
         df.select(F.inline(F.array(*pairs)))
         .where("code is not null")
@@ -82,9 +110,22 @@ def usage(df: DataFrame, variables: list[str]) -> DataFrame:
     )
 
 
+def _with_kind(book: DataFrame, df: DataFrame, variables: list[str]) -> DataFrame:
+    kinds = {v: df.schema[v].dataType.typeName() for v in variables}
+    return book.withColumn("_code", same_code(kinds))
+
+
+def unlabelled(df: DataFrame, book: DataFrame, variables: list[str]) -> DataFrame:
+    """(variable, code, n) of codes that occur and have no label."""
+    used = usage(df, variables).withColumnRenamed("code", "_code")
+    listed = _with_kind(book.where("code is not null"), df, variables).select("variable", "_code")
+    return used.join(listed, ["variable", "_code"], "left_anti").withColumnRenamed("_code", "code")
+
+
 def drop_unused(book: DataFrame, df: DataFrame, variables: list[str]) -> DataFrame:
     """The codebook without value labels that no row uses; variable labels stay."""
-    used = book.join(usage(df, variables), ["variable", "code"], "left_semi")
+    found = usage(df, variables).withColumnRenamed("code", "_code")
+    used = _with_kind(book, df, variables).join(found, ["variable", "_code"], "left_semi")
     others = book.where(F.col("code").isNull() | ~F.col("variable").isin(variables))
     return used.select(*book.columns).unionAll(others)
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from wavebook.operators.predicates import all_of
 from wavebook.session import materialise
 
-# A side is broadcast up to this many rows, by count; beyond it hot keys are salted.
+# A side is broadcast up to this many rows and bytes, both measured; beyond them hot keys are salted.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024**2
 SALTS = 64
 
 # A key with more than this share of the rows is hot. So there are at most HOT_KEYS of them.
@@ -34,6 +35,35 @@ def hot_keys(df: DataFrame, on: list[str]) -> list[int]:
     return [key for key, count in found.top if count > found.n * HOT_SHARE]
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a table: what its texts and fixed-width values take."""
+    width = F.lit(16)
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(f"`{field.name}`"), F.lit(0))
+        elif kind in ("array", "map", "struct", "variant"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(f"`{field.name}`"))), F.lit(0))
+        else:
+            width = width + F.lit(8)
+    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return found.rows, found.bytes
+
+
+def one_per_key(lookup: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """The lookup, made to fail when it lists a key twice: a join would multiply rows."""
+    others = [name for name in lookup.columns if name not in keys]
+    row = F.struct(*others)
+    listed = F.concat_ws(", ", *[F.col(name).cast("string") for name in keys])
+    twice = F.raise_error(F.concat(F.lit(f"{what} lists a key twice: "), listed))
+    kind = lookup.select(row.alias("row")).schema["row"].dataType
+    return (
+        lookup.groupBy(*keys)
+        .agg(F.when(F.count("*") > 1, twice.cast(kind)).otherwise(F.first(row)).alias("_row"))
+        .select(*keys, "_row.*")
+    )
+
+
 def sized_join(
     df: DataFrame,
     small: DataFrame,
@@ -46,8 +76,9 @@ def sized_join(
 ) -> DataFrame:
     """Join rows with a smaller table that has one row per key.
 
-    The smaller table is counted, and written first if it is the ``reduced``
-    result of other work. Small, it is broadcast and the rows are not shuffled.
+    The smaller table is measured, and written first if it is the ``reduced``
+    result of other work. Small in rows and bytes, it is broadcast and the rows
+    are not shuffled.
     Large, both sides are shuffled; the rows of hot keys are spread over
     ``salts`` buckets by a hash of the whole row and the few matching rows of
     the other side are copied to each bucket.
@@ -58,7 +89,8 @@ def sized_join(
     small = materialise(small) if reduced else small
     pairs = [(F.col(name), F.col(f"_{name}")) for name in on]
     same = [a.eqNullSafe(b) if nulls_match else a == b for a, b in pairs]
-    if small.count() <= broadcast_rows:
+    rows, size = measured(small)
+    if rows <= broadcast_rows and size <= BROADCAST_BYTES:
         joined = df.join(F.broadcast(small), all_of(same), how)
     elif hot := hot_keys(df, on):
         keys = [F.col(f"_{name}").cast(df.schema[name].dataType) for name in on]
@@ -101,8 +133,12 @@ def left_merge(tables: Iterable[DataFrame], key: str) -> DataFrame:
 
 
 def crosswalk(df: DataFrame, codes: DataFrame, column: str, origin: str, destination: str) -> DataFrame:
-    """Add the ``destination`` code for the ``origin`` code in ``column``; unknown is missing."""
+    """Add the ``destination`` code for the ``origin`` code in ``column``; unknown is missing.
+
+    An origin listed twice is an error.
+    """
     pairs = codes.select(F.col(origin).alias("_origin"), F.col(destination).alias(f"_{destination}"))
+    pairs = one_per_key(pairs.where("_origin is not null"), ["_origin"], "the crosswalk")
     return (
         df.join(pairs, F.col(column) == F.col("_origin"), "left")
         .drop("_origin")

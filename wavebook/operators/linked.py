@@ -63,9 +63,9 @@ def intersect(filters: dict[str, DataFrame | None]) -> DataFrame | None:
         return None
     if len(active) == 1:
         return active[0]
-    tagged = [k.select("key", F.lit(1 << i).cast("long").alias("held")) for i, k in enumerate(active)]
-    merged = reduce(DataFrame.unionAll, tagged).groupBy("key").agg(F.bit_or("held").alias("held"))
-    return merged.where(F.col("held") == (1 << len(active)) - 1).select("key")
+    tagged = [k.select("key", F.lit(i).alias("filter")) for i, k in enumerate(active)]
+    merged = reduce(DataFrame.unionAll, tagged).groupBy("key").agg(F.size(F.collect_set("filter")).alias("held"))
+    return merged.where(F.col("held") == len(active)).select("key")
 
 
 def clear(filters: dict[str, DataFrame | None], name: str | None = None) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def patch_cells(
@@ -39,8 +39,14 @@ def patch_cells(
     return joined.select(*[patched(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def append_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of the same width, matched by position."""
+def append_rows(df: DataFrame, rows: DataFrame, row_name: Column | None = None) -> DataFrame:
+    """Rows of the same width, matched by position.
+
+    Rows that are one value short get their ``row_name`` in front, where a table
+    shows the names of its rows.
+    """
+    if len(rows.columns) == len(df.columns) - 1 and row_name is not None:
+        rows = rows.select(row_name.alias("_name"), *rows.columns)
     if len(rows.columns) != len(df.columns):
         raise ValueError(f"new rows must have {len(df.columns)} columns, not {len(rows.columns)}")
     cast = [F.col(new).cast(f.dataType).alias(f.name) for new, f in zip(rows.columns, df.schema)]

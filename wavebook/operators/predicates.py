@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wavebook.functions.text import words_of
+from wavebook.functions.text import plain_number, words_of
 from wavebook.operators.columns import resolve
 
 
@@ -48,17 +48,20 @@ def in_range(
     low: float | None,
     high: float | None,
     domain: tuple[float, float] | None = None,
+    text: bool = False,
 ) -> Column | None:
     """Inclusive number filter. A range covering the whole domain filters nothing.
 
     A narrower range drops everything that is not a number. ``None`` is an open end.
+    Numbers are compared in their own type, so the filter reaches the scan; a column
+    of ``text`` is read as numbers first.
     """
     if domain is not None:
         low = None if low is not None and low <= domain[0] else low
         high = None if high is not None and high >= domain[1] else high
     if low is None and high is None:
         return None
-    number = value.try_cast("double")
+    number = value.try_cast("double") if text else value
     bounds = [
         number >= low if low is not None else None,
         number <= high if high is not None else None,
@@ -79,7 +82,7 @@ def in_period(value: Column, low: str | None, high: str | None) -> Column | None
 
 def in_years(value: Column, first: int, last: int) -> Column:
     """Dates or times in a span of years, as a range that reaches the scan."""
-    start, end = (F.lit(f"{year}-01-01").cast("timestamp_ntz") for year in (first, last + 1))
+    start, end = (F.lit(f"{year:04d}-01-01").cast("timestamp_ntz") for year in (first, last + 1))
     return (value >= start) & (value < end)
 
 
@@ -94,11 +97,8 @@ def flag_in(value: Column, chosen: list[str]) -> Column | None:
 
 
 def cell_text(df: DataFrame, name: str) -> Column:
-    """A cell as a browser shows it: whole doubles without their ``.0``, missing as empty."""
-    text = F.col(name).cast("string")
-    if df.schema[name].dataType.typeName() in ("double", "float"):
-        text = F.regexp_replace(text, r"\.0$", "")
-    return F.coalesce(text, F.lit(""))
+    """A cell as a browser shows it: numbers in plain digits, missing as empty."""
+    return F.coalesce(plain_number(F.col(name), df.schema[name].dataType.typeName()), F.lit(""))
 
 
 def text_matches(text: Column, query: str, regex: bool = False, ignore_case: bool = True) -> Column:
@@ -123,26 +123,32 @@ def search_everywhere(df: DataFrame, query: str, regex: bool = False,
     return df.where(text_matches(row, query, regex, ignore_case))
 
 
+def _since_1970(value: Column, kind: str) -> Column:
+    """Milliseconds since 1970 of a date or time; a clock without a zone shows UTC."""
+    if kind == "timestamp":
+        return F.unix_millis(value).cast("double")
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_diff("MILLISECOND", start, value.cast("timestamp_ntz")).cast("double")
+
+
 def domains(df: DataFrame, numbers: list[str], options: list[str]) -> DataFrame:
-    """(column, low, high, option): number ranges and category options, in one scan.
+    """(column, low, high, option): ranges of numbers, dates and times, and category
+    options, in one scan.
 
-    Every row is turned into one (column, value) pair per column; equal options
-    are merged before the shuffle.
+    Dates and times are in milliseconds since 1970. Every row is turned into one
+    (column, value) pair per column; equal options are merged before the shuffle.
     """
+
+    def number(name: str) -> Column:
+        kind = df.schema[name].dataType.typeName()
+        timed = kind in ("date", "timestamp", "timestamp_ntz")
+        return _since_1970(F.col(name), kind) if timed else F.col(name).cast("double")
+
+    none = {"number": F.lit(None).cast("double"), "option": F.lit(None).cast("string")}
+    values = [(name, none | {"number": number(name)}) for name in numbers]
+    values += [(name, none | {"option": F.col(name).cast("string")}) for name in options]
     pairs = [
-        F.struct(
-            F.lit(name).alias("column"),
-            F.col(name).cast("double").alias("number"),
-            F.lit(None).cast("string").alias("option"),
-        )
-        for name in numbers
-    ] + [
-        F.struct(
-            F.lit(name).alias("column"),
-            F.lit(None).cast("double").alias("number"),
-            F.col(name).cast("string").alias("option"),
-        )
-        for name in options
+        F.struct(F.lit(name).alias("column"), *[c.alias(k) for k, c in pair.items()]) for name, pair in values
     ]
     return (
         df.select(F.inline(F.array(*pairs)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wavebook.operators.joins import one_per_key
+
 # Territories counted as one country.
 TERRITORIES = {"Great Britain": "United Kingdom", "Northern Ireland": "United Kingdom"}
 TERRITORY_CODES = {"NIR": "GBR"}
@@ -29,6 +31,10 @@ INDICATOR_NAMES = {
 CLASS_NAMES = {**{k: v for k, v in INDICATOR_NAMES.items() if k != "Turkiye"}, "Türkiye": "Turkey"}
 
 
+# A number as text, blanks around it allowed.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def recode(value: Column, rules: dict, default: Column | None = None) -> Column:
     """Replace values by a list of rules; a value without a rule becomes missing,
     or ``default`` where one is given."""
@@ -44,10 +50,14 @@ def harmonise(value: Column, names: dict[str, str]) -> Column:
 
 
 def harmonise_by(df: DataFrame, column: str, aliases: DataFrame, source: str) -> DataFrame:
-    """The same with an alias table (source, from, to), for lists kept as data."""
-    pairs = aliases.where(F.col("source") == source).select(
+    """The same with an alias table (source, from, to), for lists kept as data.
+
+    A spelling listed twice for a source is an error.
+    """
+    pairs = aliases.where((F.col("source") == source) & F.col("from").isNotNull()).select(
         F.col("from").alias("_from"), F.col("to").alias("_to")
     )
+    pairs = one_per_key(pairs, ["_from"], "the alias table")
     return (
         df.join(pairs, F.col(column) == F.col("_from"), "left")
         .withColumn(column, F.coalesce("_to", column))
@@ -78,5 +88,10 @@ def reverse_scale(value: Column, highest: int) -> Column:
 
 
 def to_number(value: Column) -> Column:
-    """Text to number; text that is none becomes missing."""
-    return value.try_cast("double")
+    """Text to number; text that is none becomes missing.
+
+    The whole text must be a number: no unit (``5 kg``), no letter that marks a
+    type in program code (``1f``).
+    """
+    text = value.cast("string")
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))

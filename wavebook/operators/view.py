@@ -1,7 +1,8 @@
 """What a displayed table asks for: counts, pages, row ids, blocks.
 
-An order is a list of (column, descending). Its columns together are unique and
-have no missing values, so that every row has one place.
+An order is a list of (column, descending). Missing values come first in a rising
+column and last in a falling one. The columns together must be unique, so that
+every row has one place; rows that share a place on a page are an error.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wavebook.operators.predicates import all_of
 from wavebook.operators.ranking import SHALLOW_ROWS, number_rows
+from wavebook.session import materialise
+
+# Ranges a table is counted by to find a page far down.
+RANGES = 64
 
 Order = list[tuple[str, bool]]
 
@@ -31,25 +36,58 @@ def info(df: DataFrame, condition: Column, page_length: int) -> DataFrame:
 def page(
     df: DataFrame, order: Order, number: int, length: int, shallow_rows: int = SHALLOW_ROWS
 ) -> DataFrame:
-    """Page ``number`` of a table; a page out of range is an error.
+    """Page ``number`` of a table; a page out of range is an error, and so is an order
+    that gives two rows one place on it.
 
-    Pages near the start need only short top lists. For a page far down only
-    the order columns are sorted and numbered; the rows of the page, at most
-    ``length``, are then fetched by them.
+    Pages near the start are cut from short top lists. For a page far down the rows
+    are counted by ranges of the first order column, and only the ranges that hold
+    the page are sorted.
     """
     start = (number - 1) * length
     if number < 1:
         raise ValueError("selected page is out of range")
-    if start + length <= shallow_rows:
-        if number > 1 and len(df.select(F.lit(1)).take(start + 1)) <= start:
-            raise ValueError("selected page is out of range")
-        return df.orderBy(*sort_columns(order)).offset(start).limit(length)
     names = [name for name, _ in order]
-    places = number_rows(df.select(*names), sort_columns(order), "_row")
-    chosen = places.where(F.col("_row").between(start + 1, start + length)).drop("_row")
+    skipped = 0
+    if start + length <= shallow_rows:
+        # One row more than the page, to see whether its last place is shared.
+        rows = df.orderBy(*sort_columns(order)).limit(start + length + 1)
+    else:
+        rows, skipped = _ranges_of(df, order, start, length)
+    places = materialise(
+        number_rows(rows, sort_columns(order), "_row").where(
+            F.col("_row").between(start - skipped, start - skipped + length + 1)
+        )
+    )
+    if not places.groupBy(*names).count().where("count > 1").isEmpty():
+        raise ValueError(f"the order {names} gives several rows the same place")
+    chosen = places.where(F.col("_row").between(start - skipped + 1, start - skipped + length)).drop("_row")
     if chosen.isEmpty():
         raise ValueError("selected page is out of range")
-    return df.join(F.broadcast(chosen), names, "left_semi")
+    return chosen
+
+
+def _ranges_of(df: DataFrame, order: Order, start: int, length: int) -> tuple[DataFrame, int]:
+    """The rows of the ranges that hold rows ``start`` to ``start + length + 1``, and the
+    number of rows before them. Ranges are cut at sampled values of the first order column."""
+    name, descending = order[0]
+    value = F.col(name)
+    sample = df.select(name).where(value.isNotNull()).sample(fraction=0.05, seed=7).limit(10_000)
+    found = sorted({row[0] for row in sample.collect()})
+    cuts = found[:: max(1, len(found) // RANGES)]
+    above = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)) if cuts else F.lit(0)
+    # 0: missing values; 1: below the first cut.
+    counts = dict(df.groupBy(F.when(value.isNull(), 0).otherwise(above + 1).alias("range")).count().collect())
+    wanted, before, skipped = [], 0, 0
+    for place in sorted(counts, reverse=descending):
+        if before + counts[place] >= max(start, 1) and before < start + length + 1:
+            if not wanted:
+                skipped = before
+            wanted.append(place)
+        before += counts[place]
+    low, high = (min(wanted), max(wanted)) if wanted else (0, 0)
+    bounds = [value >= cuts[low - 2] if low >= 2 else None, value < cuts[high - 1] if 1 <= high <= len(cuts) else None]
+    inside = value.isNotNull() & all_of(bounds) if high else F.lit(False)
+    return df.where(inside | value.isNull() if low == 0 else inside), skipped
 
 
 def row_ids(df: DataFrame, condition: Column, id_order: Order, shown: Order, length: int) -> DataFrame:
@@ -70,30 +108,45 @@ def row_block(df: DataFrame, key: str, start, end, order: Order) -> DataFrame:
 
     The places of the two rows are looked up; the block is then a filter that
     reaches the scan, and nothing is sorted or numbered. A row that does not
-    exist gives an empty block.
+    exist gives an empty block; another row in the place of one of the two is an
+    error.
     """
-    names = [name for name, _ in order]
+    names = list(dict.fromkeys(name for name, _ in order))
     edges = (
-        df.where(F.col(key).isin([start, end]))
-        .orderBy(*sort_columns(order))
-        .select(*dict.fromkeys(names))
-        .limit(2)
-        .collect()
+        df.where(F.col(key).isin([start, end])).orderBy(*sort_columns(order)).select(*names).limit(3).collect()
     )
     if len(edges) < len({start, end}):
         return df.where(F.lit(False))
     first, last = edges[0], edges[-1]
 
+    def at(edge) -> Column:
+        return all_of([F.col(name).eqNullSafe(F.lit(edge[name])) for name in names])
+
+    if len(edges) > 2 or df.where(at(first) | at(last)).limit(3).count() > len({start, end}):
+        raise ValueError(f"the order {names} gives several rows the same place")
+
+    def beyond(name: str, value, rising: bool) -> Column:
+        """Above (below) a value; missing values are below all others."""
+        column = F.col(name)
+        if rising:
+            return column.isNotNull() if value is None else column > F.lit(value)
+        return F.lit(False) if value is None else column.isNull() | (column < F.lit(value))
+
     def reaches(edge, backwards: bool) -> Column:
         """The row has the place of the edge, or one after (before) it."""
         steps, same = [], []
         for name, descending in order:
-            here, there = F.col(name), F.lit(edge[name])
-            steps.append(all_of([*same, here < there if descending != backwards else here > there]))
-            same.append(here == there)
+            steps.append(all_of([*same, beyond(name, edge[name], descending == backwards)]))
+            same.append(F.col(name).eqNullSafe(F.lit(edge[name])))
         return reduce(or_, steps, all_of(same))
 
     name, descending = order[0]
-    low, high = (last, first) if descending else (first, last)
-    bounds = F.col(name).between(F.lit(low[name]), F.lit(high[name]))
-    return df.where(bounds & reaches(first, False) & reaches(last, True))
+    low, high = (last[name], first[name]) if descending else (first[name], last[name])
+    # A plain range of the first column, which the scan can use.
+    bounds = [
+        F.col(name) >= F.lit(low) if low is not None else None,
+        F.col(name) <= F.lit(high) if high is not None else F.lit(False),
+    ]
+    inside = all_of(bounds)
+    span = inside if low is not None else inside | F.col(name).isNull()
+    return df.where(span & reaches(first, False) & reaches(last, True))

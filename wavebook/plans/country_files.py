@@ -8,7 +8,7 @@ from wavebook.operators.codebook import decode
 from wavebook.operators.columns import pick, to_front
 from wavebook.operators.joins import crosswalk
 from wavebook.operators.recode import TERRITORIES, TERRITORY_CODES, harmonise
-from wavebook.sources.exports import country_list, manifest, split_export
+from wavebook.sources.exports import country_list, links_and_files, manifest, split_export, written_files
 
 # The numbered questions kept from each survey.
 WVS_QUESTIONS = (
@@ -46,7 +46,15 @@ def narrow(survey: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def publish(survey: DataFrame, path: str, dataset: str, root: str, order: str) -> DataFrame:
-    """Write every country and give the manifest, read back from what was written."""
-    split_export(survey, "country_iso3", path)
-    written = survey.sparkSession.read.schema(survey.schema).parquet(path)
-    return manifest(country_list(written, "country_iso3", "country", order), dataset, root)
+    """Write every country and give the manifest, read back from what was written.
+
+    A link without a file or a file without a link is an error.
+    """
+    spark = survey.sparkSession
+    split_export(survey, "country_iso3", path, dataset)
+    countries = country_list(spark.read.schema(survey.schema).parquet(path), "country_iso3", "country", order)
+    both = links_and_files(countries, dataset, root, written_files(spark, path))
+    apart = both.where("not (listed and found)").limit(5).collect()
+    if apart:
+        raise ValueError(f"links and files differ: {[row.file for row in apart]}")
+    return manifest(countries, dataset, root)

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wavebook.operators import codebook, columns
 from wavebook.operators.aggregate import guarded_ratio, period_means
 from wavebook.operators.joins import left_merge
-from wavebook.operators.ranking import first_rows
 from wavebook.operators.recode import CLASS_NAMES, INDICATOR_NAMES, harmonise, to_number
 from wavebook.plans.trust import nearest_indicators
 
@@ -21,7 +20,6 @@ EXTRACT_LABELS = {
     "GDPpercap2": "GDP per capita, PPP (constant 2017 international $)",
     "s80s20": "Ratio of the average income of the 20% richest to the 20% poorest",
 }
-CLASS_ROWS = 220
 
 # Names and labels of the merged table.
 MERGED_NAMES = {
@@ -44,9 +42,9 @@ SHARE_SERIES = {
 }
 SHARE_YEARS = (1999, 2001)
 SHARE_COUNTRIES = [
-    "Australia", "Austria", "Belgium", "Canada", "Denmark", "Finland", "France", "Germany", "Greece",
-    "Ireland", "Israel", "Italy", "Japan", "Netherlands", "New Zealand", "Norway", "Portugal",
-    "Singapore", "Spain", "Sweden", "Switzerland", "United Kingdom", "United States",
+    "Australia", "Greece", "Portugal", "Austria", "Ireland", "Singapore", "Belgium", "Israel", "Spain",
+    "Canada", "Italy", "Sweden", "Denmark", "Japan", "Switzerland", "Finland", "Netherlands",
+    "United Kingdom", "France", "New Zealand", "United States", "Germany", "Norway",
 ]
 GDP_SERIES = {
     "GDP per capita, PPP (current international $)": "gdp-pc-ppp",
@@ -64,10 +62,9 @@ def extract_table(extract: DataFrame) -> DataFrame:
     return codebook.set_variable_labels(table, **EXTRACT_LABELS)
 
 
-def class_table(classes: DataFrame, order: list[Column | str]) -> DataFrame:
-    """Country and region from the first rows of the classification sheet."""
-    top = first_rows(classes, order, CLASS_ROWS).withColumnRenamed("Economy", "country")
-    table = columns.pick(top, 1, 3)
+def class_table(classes: DataFrame, listed: Column) -> DataFrame:
+    """Country and region of the listed rows; a sheet's totals and notes are not ``listed``."""
+    table = columns.pick(classes.where(listed).withColumnRenamed("Economy", "country"), 1, 3)
     return table.withColumn("country", harmonise(F.col("country"), CLASS_NAMES))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavebook.operators.joins import sized_join
+from wavebook.operators.predicates import in_years
 from wavebook.operators.recode import recode, reverse_scale
 from wavebook.plans.trust import TRUST_HIGHEST
 from wavebook.sources.tables import table
@@ -47,48 +48,49 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
 def answer_counts(spark: SparkSession, folder: str, nation: DataFrame | None = None) -> DataFrame:
     """Respondents counted per country, source, year and answer, in column ``times``.
 
-    Orders are counted per customer before they meet the customers, so a
-    customer with very many orders is a few rows in the join.
+    Orders meet their customers by a sized join, at most one shuffle of four narrow
+    columns that spreads hot customers; the counts after it are a few thousand rows.
     """
-    answer = recode(F.col("o_orderstatus"), ANSWER_CODES)
+    orders = table(spark, folder, "orders").select(
+        "o_custkey",
+        F.substring("o_orderpriority", 1, 1).alias("wave"),
+        F.year("o_orderdate").alias("year"),
+        recode(F.col("o_orderstatus"), ANSWER_CODES).alias("answer"),
+    )
     counted = (
-        table(spark, folder, "orders")
-        .groupBy(
-            "o_custkey",
-            F.substring("o_orderpriority", 1, 1).alias("wave"),
-            F.year("o_orderdate").alias("year"),
-            answer.alias("answer"),
-        )
+        with_customer(spark, folder, orders, "c_nationkey", "c_mktsegment")
+        .groupBy("c_nationkey", "c_mktsegment", "wave", "year", "answer")
         .agg(F.count("*").alias("times"))
     )
-    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, folder, "nation") if nation is None else nation
-    return (
-        counted.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("n_name").alias("country"),
-            F.concat("c_mktsegment", "wave").alias("source"),
-            "year",
-            reverse_scale(F.col("answer"), TRUST_HIGHEST).alias("trust"),
-            "times",
-        )
+    return counted.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_name").alias("country"),
+        F.concat("c_mktsegment", "wave").alias("source"),
+        "year",
+        reverse_scale(F.col("answer"), TRUST_HIGHEST).alias("trust"),
+        "times",
     )
 
 
-def indicators(spark: SparkSession, folder: str) -> DataFrame:
+# Years the stand-in indicators can have, for a range with an open end.
+FIRST_YEAR, LAST_YEAR = 1, 9998
+
+
+def indicators(
+    spark: SparkSession, folder: str, first: int = FIRST_YEAR, last: int = LAST_YEAR
+) -> DataFrame:
     """(country, country_code, region, year, series, value), one row per observation.
 
-    Line items are summed per supplier first, so a supplier with very many of
-    them is a few rows in the join. Quantities are whole, so sums are exact.
+    The span of years reaches the scan of the line items. They are summed per
+    supplier first, so a supplier with very many of them is a few rows in the join.
+    Quantities are whole, so sums are exact.
     """
-    per_supplier = (
-        table(spark, folder, "lineitem")
-        .groupBy(
-            "l_suppkey", F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("series")
-        )
-        .agg(F.sum("l_quantity").alias("total"), F.count("*").alias("n"))
-    )
+    rows = table(spark, folder, "lineitem")
+    if (first, last) != (FIRST_YEAR, LAST_YEAR):
+        rows = rows.where(in_years(F.col("l_shipdate"), first, last))
+    per_supplier = rows.groupBy(
+        "l_suppkey", F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("series")
+    ).agg(F.sum("l_quantity").alias("total"), F.count("*").alias("n"))
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     per_nation = (
         per_supplier.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -106,15 +108,15 @@ def indicators(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def uneven_indicators(spark: SparkSession, folder: str) -> DataFrame:
+def uneven_indicators(spark: SparkSession, folder: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """The indicators with series R ending in 1998 in one region."""
     gone = (F.col("series") == "R") & (F.col("year") >= 1999) & (F.col("region") == 0)
-    return indicators(spark, folder).where(~gone)
+    return indicators(spark, folder, first, last).where(~gone)
 
 
-def sparse_indicators(spark: SparkSession, folder: str) -> DataFrame:
+def sparse_indicators(spark: SparkSession, folder: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """The indicators without series R in one region."""
-    return indicators(spark, folder).where(~((F.col("series") == "R") & (F.col("region") == 0)))
+    return indicators(spark, folder, first, last).where(~((F.col("series") == "R") & (F.col("region") == 0)))
 
 
 # The same frames in SQL, for checking.

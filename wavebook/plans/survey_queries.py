@@ -53,8 +53,9 @@ def trust_by_country_wave(spark: SparkSession, folder: str) -> DataFrame:
          round_even(avg(trust) OVER (PARTITION BY country, source) * 100, 2) AS trust_pct
   FROM ({ANSWERS_SQL})""")
 def trust_window(spark, folder):
-    rows = standins.answers(spark, folder).select("o_orderkey", "country", "source", "trust")
-    return aggregate.share_on_rows(rows, ["country", "source"], "trust").drop("trust")
+    rows = standins.answers(spark, folder).select("o_orderkey", "country", "source")
+    shares = trust.trust_by_source(standins.answer_counts(spark, folder), "times")
+    return aggregate.share_on_rows(rows, ["country", "source"], shares)
 
 
 @query(f"""
@@ -65,7 +66,7 @@ def trust_window(spark, folder):
   FROM ({INDICATORS_SQL}) WHERE year BETWEEN 1999 AND 2001 GROUP BY country""",
     transform="SELECT country, round(h20, 6) AS h20, round(l20, 6) AS l20, s80s20 FROM")
 def period_mean_ratio(spark, folder):
-    rows = standins.indicators(spark, folder).where(F.col("year").between(1999, 2001))
+    rows = standins.indicators(spark, folder, 1999, 2001)
     means = aggregate.period_means(rows, ["country"], "series", "value", {"A": "h20", "N": "l20"})
     ratio = aggregate.guarded_ratio(F.col("h20"), F.col("l20"))
     return means.select(
@@ -135,7 +136,7 @@ def priority_pick(spark, folder):
   wide AS (SELECT country, country_code, {SERIES_SQL} FROM near GROUP BY ALL)
   SELECT * FROM wide WHERE gini IS NOT NULL AND s80s20 IS NOT NULL AND poverty IS NOT NULL""")
 def nearest_year_indicators(spark, folder):
-    rows = standins.sparse_indicators(spark, folder)
+    rows = standins.sparse_indicators(spark, folder, 1995, 1998)
     return trust.nearest_indicators(rows, SERIES, [1995, 1997, 1998], 1996)
 
 
@@ -234,7 +235,7 @@ def inner_join_two_years(spark, folder):
   FROM i JOIN t ON i.country = t.country""")
 def trust_inequality(spark, folder):
     latest = trust.latest_trust(trust_by_country_wave(spark, folder), TRUST_NAMES)
-    rows = standins.uneven_indicators(spark, folder)
+    rows = standins.uneven_indicators(spark, folder, last=2000)
     measures = trust.latest_indicators(rows, SERIES, INDICATOR_NAMES, 1999, {"NATION_2": 2000})
     return trust.trust_inequality(latest, measures, ["gini", "s80s20", "poverty"])
 
@@ -312,7 +313,7 @@ def unmatched_keys(spark, folder):
                CAST(count(*) AS DOUBLE) AS pop_n
         FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name),
   c AS (SELECT n_name AS country, r_name AS Region
-        FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_nationkey LIMIT 220)
+        FROM nation JOIN region ON n_regionkey = r_regionkey)
   SELECT t.country, trust_pct, GDP_pc, pop_n, Region
   FROM t LEFT JOIN e ON t.country = e.country LEFT JOIN c ON t.country = c.country""")
 def macro_merge(spark, folder):
@@ -334,7 +335,7 @@ def macro_merge(spark, folder):
     classes = nation.join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select(F.col("n_name").alias("Economy"), F.col("n_nationkey").alias("Code"), F.col("r_name").alias("Region"))
-    merged = macro.merged(shares, macro.extract_table(extract), macro.class_table(classes, ["Code"]))
+    merged = macro.merged(shares, macro.extract_table(extract), macro.class_table(classes, F.col("Code").isNotNull()))
     return columns.pick(merged, "country", "trust_pct", "GDP_pc", "pop_n", "Region")
 
 
@@ -553,6 +554,68 @@ def clean_codebook(spark, folder):
     return codebook.clean(book)
 
 
+CODES = {1: "one", 2: "two", 3: "three", 25: "quarter hundred", 99: "nobody"}
+
+
+@query("""
+  WITH b(variable, code, label, ord) AS (VALUES
+    ('whole', '1', 'one', 1), ('whole', '2', 'two', 2), ('whole', '3', 'three', 3), ('whole', '25', 'quarter hundred', 4),
+    ('whole', '99', 'nobody', 5)),
+  p AS (SELECT p_partkey, p_size FROM part)
+  SELECT p_partkey, label AS whole_label, label AS double_label, label AS text_label,
+         CAST(ord AS INTEGER) AS place
+  FROM p LEFT JOIN b ON p_size = CAST(code AS INTEGER)""")
+def codes_by_value(spark, folder):
+    """The same codes as whole numbers, floating numbers and texts meet the same labels."""
+    size = F.col("p_size")
+    rows = table(spark, folder, "part").select(
+        "p_partkey", size.alias("whole"), size.cast("double").alias("floating"), size.cast("string").alias("text")
+    )
+    book = codebook.codebook(spark, {
+        "whole": {f"{code}.0": label for code, label in CODES.items()}, "floating": CODES, "text": CODES,
+    })
+    rows = codebook.decode(rows, book, "whole", "whole_label")
+    rows = codebook.decode(rows, book, "floating", "double_label")
+    rows = codebook.decode(rows, book, "text", "text_label")
+    return codebook.position(rows, book, "floating", "place", start=1).drop("whole", "floating", "text")
+
+
+@query("""
+  SELECT v.variable, CAST(c.code AS VARCHAR) AS code, c.label, CAST(c.ord AS INTEGER) AS ord
+  FROM (VALUES ('whole'), ('floating'), ('text')) v(variable),
+       (VALUES (1, 'one', 1), (2, 'two', 2), (3, 'three', 3), (25, 'quarter hundred', 4), (99, 'nobody', 5)) c(code, label, ord)
+  WHERE c.code IN (SELECT p_size FROM part)""")
+def drop_unused_codes(spark, folder):
+    size = F.col("p_size")
+    rows = table(spark, folder, "part").select(
+        size.alias("whole"), size.cast("double").alias("floating"), size.cast("string").alias("text")
+    )
+    names = ["whole", "floating", "text"]
+    book = codebook.codebook(spark, {name: CODES for name in names})
+    return codebook.drop_unused(book, rows, names)
+
+
+# Broken or accented texts and what they are after repair.
+REPAIRS = [
+    ("Â´quoted Â", "'quoted '"), ("Ã¢ge", "age"), ("cafÃ©", "cafe"), ("donâ€™t", "don't"), ("  “œuvre„ ", '"oeuvre"'),
+    ("Straße", "Strasse"), ("ÆØÅ æøå", "AEOA aeoa"), ("Łódź", "Lodz"), ("Ǆ ǆ", "DZ dz"), ("© ® ½", "(C) (R)  1/2"),
+    ("ﬁn ﬂat eﬃ", "fin flat effi"), ("ＡＢｃ１", "ABc1"), ("ƀƗ Ⱥ", "bI A"), ("«a» …", "<<a>> ..."), ("Þór ðe", "THor de"),
+    ("¿Qué? ¡Sí!", "?Que? !Si!"), ("plain text ", "plain text"), ("Việt Nam", "Viet Nam"),
+]
+REPAIRS_SQL = " ".join(f"WHEN {i} THEN '{clean.replace(chr(39), chr(39) * 2)}'" for i, (_, clean) in enumerate(REPAIRS))
+
+
+@query(f"""
+  SELECT c_custkey, c_name || ': ' || CASE c_custkey % {len(REPAIRS)} {REPAIRS_SQL} END AS text FROM customer""")
+def clean_known_texts(spark, folder):
+    """Repair of texts whose right form is written out, one for every customer."""
+    chosen = F.element_at(
+        F.array(*[F.lit(dirty) for dirty, _ in REPAIRS]), (F.col("c_custkey") % len(REPAIRS) + 1).cast("int")
+    )
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name", text.clean_text(chosen).alias("text"))
+    return rows.select("c_custkey", F.concat("c_name", F.lit(": "), "text").alias("text"))
+
+
 # ---- country files -------------------------------------------------------------------------
 
 EXPORT_ROOT = "/files/"
@@ -612,7 +675,7 @@ def split_export_manifest(spark, folder):
 def country_file_scan(spark, folder):
     path = scratch_path(spark, "country-files")
     survey = _survey(spark, folder)
-    exports.split_export(survey, "country_iso3", path)
+    exports.split_export(survey, "country_iso3", path, "ESS10/ess10")
     files = spark.read.schema(survey.schema).parquet(path)
     return (
         files.groupBy("country_iso3")
@@ -620,6 +683,89 @@ def country_file_scan(spark, folder):
     )
 
 
+@query(f"""
+  SELECT DISTINCT 'ess10_' || {CODE_SQL} || '.sav' AS file, true AS listed, true AS found
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def links_and_files(spark, folder):
+    """Every link of the manifest with its file and every file with its link."""
+    path = scratch_path(spark, "country-files")
+    survey = _survey(spark, folder)
+    exports.split_export(survey, "country_iso3", path, "ESS10/ess10")
+    written = spark.read.schema(survey.schema).parquet(path)
+    countries = exports.country_list(written, "country_iso3", "country", "country_ord")
+    return exports.links_and_files(countries, "ESS10/ess10", EXPORT_ROOT, exports.written_files(spark, path))
+
+
+# ---- whole jobs from files with the columns they are delivered with ------------------------------
+
+TERRITORY_SQL = """CASE n_name WHEN 'NATION_0' THEN 'United Nations' WHEN 'NATION_1' THEN 'United Nations'
+                   ELSE n_name END"""
+
+
+@query(f"""
+  WITH a AS (
+    SELECT {TERRITORY_SQL} AS country, CAST(year(o_orderdate) AS INTEGER) AS year,
+           CASE WHEN o_orderkey % 3 = 0 THEN 'EVS' ELSE 'WVS' END || substr(o_orderpriority, 1, 1) AS source,
+           CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS trust
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    WHERE o_orderstatus <> 'P')
+  SELECT DISTINCT country, source, year, round_even(avg(trust) OVER g * 100, 2) AS trust_pct,
+         count(*) FILTER (WHERE trust = 1) OVER g AS n_trusts, count(trust) OVER g AS n_valid
+  FROM a WINDOW g AS (PARTITION BY country, source)""")
+def trust_from_microdata(spark, folder):
+    """Trend-file rows (survey, wave or the other file's wave, country, year, answer) to shares."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    rows = standins.with_customer(spark, folder, orders, "c_nationkey").join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    european = F.col("o_orderkey") % 3 == 0
+    wave = F.substring("o_orderpriority", 1, 1)
+    microdata = rows.select(
+        F.when(european, "EVS").otherwise("WVS").alias("survey"),
+        F.when(~european, wave).alias("wave"), F.when(european, wave).alias("wave_other"),
+        F.col("n_name").alias("country"), F.year("o_orderdate").alias("year"),
+        recode.recode(F.col("o_orderstatus"), standins.ANSWER_CODES).alias("answer"),
+    )
+    territories = {"NATION_0": "United Nations", "NATION_1": "United Nations"}
+    return trust.trust_by_source(trust.answers_of(microdata, territories))
+
+
+def _renamed_series(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Stand-in indicators under the series names of the delivered files."""
+    return rows.withColumn("series", recode.recode(F.col("series"), names)).withColumn(
+        "country_code", F.col("country_code").cast("string")
+    )
+
+
+@query(f"""
+  SELECT country, CAST(country_code AS VARCHAR) AS country_code, avg(value) FILTER (WHERE series = 'A') AS h20_m,
+         avg(value) FILTER (WHERE series = 'N') AS l20_m
+  FROM ({INDICATORS_SQL}) WHERE year BETWEEN 1999 AND 2001 AND series IN ('A', 'N') GROUP BY ALL""",
+    transform="SELECT country, country_code, round(h20_m, 6) AS h20_m, round(l20_m, 6) AS l20_m,"
+    " round(h20_m / l20_m, 6) AS s80s20 FROM")
+def income_shares(spark, folder):
+    names = dict(zip(["A", "N"], macro.SHARE_SERIES))
+    rows = _renamed_series(standins.indicators(spark, folder, *macro.SHARE_YEARS), names)
+    ratio = macro.share_ratio(rows, countries=None)
+    return ratio.select(
+        "country", "country_code", *[F.round(c, 6).alias(c) for c in ("h20_m", "l20_m", "s80s20")]
+    )
+
+
+@query(f"""
+  WITH near AS (
+    SELECT * FROM ({SPARSE_SQL}) WHERE year IN (1995, 1996) AND series IN ('A', 'R')
+    QUALIFY row_number() OVER (PARTITION BY country, series ORDER BY abs(year - 1996), year DESC) = 1),
+  wide AS (SELECT country, CAST(country_code AS VARCHAR) AS country_code, max(value) FILTER (WHERE series = 'A') AS "gdp-pc-ppp",
+                  max(value) FILTER (WHERE series = 'R') AS gini FROM near GROUP BY ALL)
+  SELECT * FROM wide WHERE "gdp-pc-ppp" IS NOT NULL AND gini IS NOT NULL""")
+def gdp_and_gini(spark, folder):
+    names = dict(zip(["A", "R"], macro.GDP_SERIES))
+    rows = standins.sparse_indicators(spark, folder, min(macro.GDP_YEARS), max(macro.GDP_YEARS))
+    return macro.gdp_and_gini(_renamed_series(rows, names))
+
+
 # ---- inequality ----------------------------------------------------------------------------
 
 INCOMES_SQL = "SELECT n_name AS country, c_custkey, c_acctbal + 1000 AS income FROM customer JOIN nation ON c_nationkey = n_nationkey"

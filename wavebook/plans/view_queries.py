@@ -71,9 +71,19 @@ def row_capped_scan(spark, folder):
     return ranking.first_rows(part, ["p_partkey"], 220)
 
 
-@query()
+@query("\n  UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n_rows FROM {name}" for name in SCHEMAS))
 def discover_files(spark, folder):
-    return files.discover(spark, folder, "*.parquet")
+    """Rows of every table, counted in the files that were discovered."""
+    found = files.discover(spark, folder, "*.parquet")
+    counts = [
+        frame.agg(F.lit(path).alias("path"), F.count("*").alias("n"))
+        for path, frame in files.read_found(spark, found).items()
+    ]
+    first, *rest = counts
+    for count in rest:
+        first = first.unionAll(count)
+    name = F.regexp_extract("path", r"/([^/]+)\.parquet(?:/[^/]*)?$", 1)
+    return first.groupBy(name.alias("name")).agg(F.sum("n").alias("n_rows"))
 
 
 # ---- columns -------------------------------------------------------------------------------
@@ -212,11 +222,33 @@ def text_search(spark, folder):
   FROM customer
   UNION ALL SELECT DISTINCT 'c_mktsegment', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), c_mktsegment
   FROM customer
-  UNION ALL SELECT DISTINCT 'c_nationkey', NULL, NULL, CAST(c_nationkey AS VARCHAR) FROM customer""")
+  UNION ALL SELECT DISTINCT 'c_nationkey', NULL, NULL, CAST(c_nationkey AS VARCHAR) FROM customer
+  UNION ALL SELECT 'ts', CAST(epoch_us(min(ts)) // 1000 AS DOUBLE), CAST(epoch_us(max(ts)) // 1000 AS DOUBLE), NULL FROM events
+  UNION ALL SELECT 'day', CAST(epoch_ms(min(ts)::DATE) AS DOUBLE), CAST(epoch_ms(max(ts)::DATE) AS DOUBLE), NULL
+  FROM events""")
 def filter_domains(spark, folder):
-    return predicates.domains(
+    people = predicates.domains(
         table(spark, folder, "customer"), ["c_acctbal", "c_custkey"], ["c_mktsegment", "c_nationkey"]
     )
+    events = table(spark, folder, "events").select("ts", F.to_date("ts").alias("day"))
+    return people.unionAll(predicates.domains(events, ["ts", "day"], []))
+
+
+PLAIN_SQL = """SELECT o_orderkey, CAST(o_orderkey * 1000003 AS VARCHAR) AS big,
+           rtrim(format('{:.7f}', o_orderkey / 1e6), '0') AS small FROM orders"""
+
+
+@query(f"""
+  SELECT o_orderkey FROM (SELECT o_orderkey, big, rtrim(small, '.') AS small FROM ({PLAIN_SQL}))
+  WHERE contains(o_orderkey || ' ' || big || ' ' || small, '00012')
+    AND contains(o_orderkey || ' ' || big || ' ' || small, '3')""")
+def number_search(spark, folder):
+    """Words found in numbers above ten million and below a thousandth."""
+    key = F.col("o_orderkey").cast("double")
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey", (key * 1000003).alias("big"), (key / 1e6).alias("small")
+    )
+    return predicates.search_everywhere(rows, "00012 3").select("o_orderkey")
 
 
 # ---- key sets ------------------------------------------------------------------------------
@@ -390,10 +422,41 @@ def row_block(spark, folder):
     return view.row_block(people, "c_custkey", 100, 5, [("c_acctbal", True), ("c_custkey", False)])
 
 
+MISSING_PRICE_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price
+  FROM orders"""
+
+
+def _missing_price(spark, folder):
+    price = F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_totalprice"))
+    return table(spark, folder, "orders").select("o_orderkey", price.alias("price"))
+
+
+@query(f"""
+  SELECT * FROM ({MISSING_PRICE_SQL})
+  ORDER BY price NULLS FIRST, o_orderkey DESC LIMIT 500 OFFSET 1000""")
+def page_missing_order(spark, folder):
+    """A page beyond row 1000 of an order with missing values."""
+    order = [("price", False), ("o_orderkey", True)]
+    return view.page(_missing_price(spark, folder), order, 3, 500)
+
+
+@query(f"""
+  WITH o AS (SELECT *, row_number() OVER (ORDER BY price DESC NULLS LAST, o_orderkey) AS i
+             FROM ({MISSING_PRICE_SQL})),
+  e AS (SELECT min(i) AS a, max(i) AS b FROM o WHERE o_orderkey IN (14, 5))
+  SELECT o_orderkey, price FROM o, e WHERE i BETWEEN a AND b""")
+def row_block_missing(spark, folder):
+    """A block that ends at a row without a value in the order column."""
+    order = [("price", True), ("o_orderkey", False)]
+    return view.row_block(_missing_price(spark, folder), "o_orderkey", 14, 5, order)
+
+
 @query(f"""
   SELECT c_custkey, c_name, format('{{:,.2f}}', c_acctbal) AS balance FROM customer
   WHERE c_custkey IN ({LINKED_SQL}) AND c_acctbal BETWEEN 100 AND 9000
     AND contains(lower(c_mktsegment), 'in')
+    AND contains(concat_ws(' ', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR),
+                           regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', ''), c_mktsegment), '7')
   ORDER BY c_acctbal DESC, c_custkey LIMIT 10""")
 def table_view(spark, folder):
     people = table(spark, folder, "customer")
@@ -405,7 +468,7 @@ def table_view(spark, folder):
             predicates.in_range(F.col("c_acctbal"), 100, 9000),
             predicates.text_matches(F.col("c_mktsegment"), "IN"),
         ],
-        search="customer",
+        search="7",
     )
     return state.page(people, 1).select(
         "c_custkey", "c_name", formats.format_round(F.col("c_acctbal"), 2).alias("balance")

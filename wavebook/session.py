@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,13 +37,20 @@ def shuffle_partitions(input_bytes: int) -> int:
 
 
 def build_session(
-    app: str = "wavebook", master: str | None = None, input_bytes: int | None = None, **conf: str
+    app: str = "wavebook",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    scratch: str | None = None,
+    **conf: str,
 ) -> SparkSession:
     """A session with adaptive execution, ANSI casts and UTC dates.
 
     ``master`` is left to spark-submit unless given. ``input_bytes`` sizes the
-    shuffles for a large input.
+    shuffles for a large input. ``scratch`` is the folder for tables between steps,
+    which all executors must share; a cluster's own ``spark.checkpoint.dir`` wins.
     """
+    if scratch is not None:
+        conf = {"spark.checkpoint.dir": scratch, **conf}
     if input_bytes is not None:
         conf = {"spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes)), **conf}
     builder = SparkSession.builder.appName(app)
@@ -53,11 +62,10 @@ def build_session(
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
+    """The shared checkpoint folder of the session, as ``spark.checkpoint.dir`` names it.
 
-    ``spark.checkpoint.dir`` wins. A temporary folder is made only when nothing
-    is configured and the session is local, since executors on other machines
-    could not read it.
+    Only where that is unset and the session is local, as in tests, a folder of this
+    machine is made, and deleted at the end; executors elsewhere could not read it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,16 +73,30 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="wavebook-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared checkpoint folder, deleted when the program ends.
+
+    Results are lazy, so it must stay until then.
+    """
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jsc = spark.sparkContext._jsc
+    if jsc is None or jsc.sc().isStopped():
+        return
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

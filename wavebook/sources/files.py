@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wavebook.functions.text import base_name
 
 FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "orc": "orc"}
-DISCOVERED = "file string, n_bytes bigint"
+DISCOVERED = "path string, file string, n_bytes bigint"
 
 
 def discover(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """Files below ``folder`` matching ``glob``; a missing folder gives no rows.
+    """(path, file, n_bytes) of files below ``folder`` matching ``glob``.
 
-    Only names and sizes are read: the content column is pruned.
+    The full path tells equal names in different folders apart and opens the file. A
+    missing folder gives no rows. Only names and sizes are read: the content column
+    is pruned.
     """
     try:
         found = (
@@ -28,10 +30,15 @@ def discover(spark: SparkSession, folder: str, glob: str) -> DataFrame:
             raise
         return spark.createDataFrame([], DISCOVERED)
     return found.select(
-        base_name(F.col("path")).alias("file"), F.col("length").alias("n_bytes")
+        "path", base_name(F.col("path")).alias("file"), F.col("length").alias("n_bytes")
     )
 
 
+def read_found(spark: SparkSession, found: DataFrame) -> dict[str, DataFrame]:
+    """One frame per discovered file, by path, read by extension; the list of files is small."""
+    return {row.path: spark.read.format(format_of(row.path)).load(row.path) for row in found.select("path").collect()}
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
