@@ -17,9 +17,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from wavebook.llm import texts
@@ -42,14 +44,13 @@ SPREAD_SHARE = 1e-7
 BUCKET_STRINGS = 1 << 19
 SORTED_BYTES = 2 << 20
 
-PIECE = 1 << 21
-PLACE_BITS = np.uint64(22)
+PIECE = 1 << 20
 PLACE_MASK = np.uint64((1 << 22) - 1)
 
 OUTPUTS = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
 FOUND = (
     "kind int, core bigint, bucket bigint, key binary, lead int, places array<int>, around binary, "
-    "strings array<bigint>, owners array<int>, keys array<binary>"
+    "strings array<bigint>, owners array<int>, owner_keys array<int>, keys array<binary>"
 )
 SURROUNDING, STRINGS, REPEATED = 0, 1, 2
 
@@ -110,8 +111,20 @@ def stretches(offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray
         at = last
 
 
-def cores(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Hashes, int]]:
-    """(hashes, places, hashes of the piece, its first byte): the cores of every piece."""
+class Piece(NamedTuple):
+    """Bytes ``low`` to ``high`` with their hashes and, per start, the core of its string."""
+
+    low: int
+    high: int
+    hashes: Hashes
+    least: np.ndarray
+
+    def core_of(self, starts: np.ndarray) -> np.ndarray:
+        return (self.least[starts - self.low] & PLACE_MASK).astype(np.int64) + self.low
+
+
+def cores(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, "Piece"]]:
+    """(hashes, places, piece): the cores of every piece."""
     for low, high, starts, ends in stretches(offsets):
         piece = Hashes(data[low:high])
         runs = piece.of(np.arange(high - low - CORE + 1), CORE)
@@ -122,12 +135,12 @@ def cores(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         np.add.at(inside, np.minimum(ends - low - LENGTH + 1, len(least)), -1)
         chosen = least[np.cumsum(inside[:-1]) > 0]
         places = np.unique((chosen[np.append(True, chosen[1:] != chosen[:-1])] & PLACE_MASK).astype(np.int64)) if len(chosen) else np.zeros(0, np.int64)
-        yield runs[places], places + low, piece, low
+        yield runs[places], places + low, Piece(low, high, piece, least)
 
 
 def _count_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in texts.slices(whole, 0)):
-        for runs, places, _, _ in cores(*texts.raw(batch.column(0))):
+        for runs, places, _ in cores(*texts.raw(batch.column(0))):
             found, times = np.unique(runs, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["core", "n"])
 
@@ -187,27 +200,27 @@ def _surroundings(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Recor
             wanted.append(seen[key] <= 2)
         data, offsets = texts.raw(batch.column(0))
         wanted = np.array(wanted, dtype=bool)
-        for runs, places, piece, low in cores(data, offsets):
+        for runs, places, piece in cores(data, offsets):
             row = np.searchsorted(offsets, places, side="right") - 1
             use = _listed(table, runs) & wanted[row]
             wide = np.isin(runs, spread_cores)
-            yield from _single(data, offsets, keys, runs[use & ~wide], places[use & ~wide], row[use & ~wide], piece, low)
+            yield from _single(data, offsets, keys, runs[use & ~wide], places[use & ~wide], row[use & ~wide])
             if (use & wide).any():
-                yield from _strings(offsets, keys, spread, runs[use & wide], places[use & wide], row[use & wide], piece, low)
+                yield from _strings(offsets, keys, spread, runs[use & wide], places[use & wide], row[use & wide], piece)
 
 
 def _record(kind: int, n: int, **columns) -> pa.RecordBatch:
     types = {
         "kind": pa.int32(), "core": pa.int64(), "bucket": pa.int64(), "key": pa.binary(), "lead": pa.int32(),
         "places": pa.list_(pa.int32()), "around": pa.binary(), "strings": pa.list_(pa.int64()),
-        "owners": pa.list_(pa.int32()), "keys": pa.list_(pa.binary()),
+        "owners": pa.list_(pa.int32()), "owner_keys": pa.list_(pa.int32()), "keys": pa.list_(pa.binary()),
     }
     columns["kind"] = np.full(n, kind, dtype=np.int32)
     arrays = [pa.nulls(n, t) if k not in columns else pa.array(columns[k], t) for k, t in types.items()]
     return pa.RecordBatch.from_arrays(arrays, names=list(types))
 
 
-def _single(data, offsets, keys, runs, places, row, piece, low) -> Iterator[pa.RecordBatch]:
+def _single(data, offsets, keys, runs, places, row) -> Iterator[pa.RecordBatch]:
     """Surroundings of cores, equal ones of a text once with all their places."""
     if not len(places):
         return
@@ -223,18 +236,23 @@ def _single(data, offsets, keys, runs, places, row, piece, low) -> Iterator[pa.R
     )
 
 
-def _strings(offsets, keys, spread, runs, places, row, piece, low) -> Iterator[pa.RecordBatch]:
-    """Hashes of the 400-byte strings around spread-out cores, by core and bucket.
+def _strings(offsets, keys, spread, runs, places, row, piece: Piece) -> Iterator[pa.RecordBatch]:
+    """Hashes of the 400-byte strings that have a spread-out core, by core and bucket.
 
-    Strings that a piece has twice are repeated already; one of them goes on, to
+    Every string goes with its own core only, so none meets itself. Strings that a piece has twice are repeated already; one of them goes on, to
     tell strings of other pieces.
     """
     start = places[:, None] - np.arange(REACH + 1)[None, :]
-    end = low + len(piece.total) - 1
-    inside = (start >= np.maximum(offsets[row], low)[:, None]) & (start + LENGTH <= np.minimum(offsets[row + 1], end)[:, None])
-    which = np.nonzero(inside)[0]
-    start = start[inside]
-    strings = piece.of(start - low, LENGTH)
+    inside = (start >= np.maximum(offsets[row], piece.low)[:, None]) & (
+        start + LENGTH <= np.minimum(offsets[row + 1], piece.high)[:, None]
+    )
+    which, back = np.nonzero(inside)
+    start = start[which, back]
+    own = piece.core_of(start) == places[which]
+    which, start = which[own], start[own]
+    if not len(start):
+        return
+    strings = piece.hashes.of(start - piece.low, LENGTH)
     own_row, core = row[which], runs[which]
     place = start - offsets[own_row]
     twice = texts.repeated(strings)
@@ -250,10 +268,12 @@ def _strings(offsets, keys, spread, runs, places, row, piece, low) -> Iterator[p
     order = np.lexsort((bucket, signed))
     change = np.flatnonzero((np.diff(signed[order]) != 0) | (np.diff(bucket[order]) != 0)) + 1
     groups = np.split(order, change)
+    named = [np.unique(own_row[g], return_inverse=True) for g in groups]
     yield _record(
         STRINGS, len(groups), core=[int(signed[g[0]]) for g in groups], bucket=[int(bucket[g[0]]) for g in groups],
         strings=[strings[g].view(np.int64) for g in groups], owners=[owner[g] for g in groups],
-        keys=[[keys[r] for r in own_row[g].tolist()] for g in groups],
+        owner_keys=[which.astype(np.int32) for _, which in named],
+        keys=[[keys[r] for r in rows.tolist()] for rows, _ in named],
     )
 
 
@@ -271,20 +291,17 @@ def _spans(keys: list[bytes], row: np.ndarray, place: np.ndarray) -> Iterator[pa
     yield _record(REPEATED, len(found), core=[r % 1024 for r in found], bucket=[0] * len(found), key=[keys[r] for r in found], places=list(found.values()))
 
 
-def repeated_starts(core: np.ndarray, lead: np.ndarray, around: list[bytes]) -> np.ndarray:
+def repeated_starts(core: np.ndarray, lead: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """For surroundings of cores: which of the strings 0 to REACH bytes before the core are
-    in another surrounding of the same core, too. A row per surrounding."""
-    n = len(around)
-    size = np.array([len(x) for x in around], dtype=np.int64)
-    right = size - lead - CORE
-    flat = np.frombuffer(b"".join(around), dtype=np.uint8)
-    begin = np.cumsum(size) - size
+    in another surrounding of the same core, too. A row per surrounding, whose bytes are
+    ``flat[begin[i] : begin[i + 1]]``, the core ``lead[i]`` bytes in."""
+    n = len(core)
+    right = np.diff(begin) - lead - CORE
+    begin = begin[:-1]
     steps = -(-REACH // SYMBOL)
-    after = np.zeros((n, steps * SYMBOL), dtype=np.uint8)
     columns = np.arange(steps * SYMBOL)
-    present = columns[None, :] < right[:, None]
     at = np.minimum(begin[:, None] + lead[:, None] + CORE + columns[None, :], len(flat) - 1)
-    after[present] = flat[at[present]]
+    after = np.where(columns[None, :] < right[:, None], flat[at], np.uint8(0))
     symbols = np.ascontiguousarray(after).view(f"S{SYMBOL}").ravel()
     rank = np.unique(symbols, return_inverse=True)[1].reshape(n, steps)
     group = np.unique(core, return_inverse=True)[1]
@@ -301,10 +318,8 @@ def repeated_starts(core: np.ndarray, lead: np.ndarray, around: list[bytes]) ->
     common[group[rows[1:]] != group[rows[:-1]]] = -1
     # Hashes of the bytes before the core, for every length.
     back = np.arange(1, REACH + 1)
-    known = back[None, :] <= lead[:, None]
-    before = np.zeros((n, REACH), dtype=np.uint64)
     at = np.maximum(begin[:, None] + lead[:, None] - back[None, :], 0)
-    before[known] = texts.BYTE_VALUES[flat[at[known]]]
+    before = np.where(back[None, :] <= lead[:, None], texts.BYTE_VALUES[flat[at]], np.uint64(0))
     left = np.zeros((n, REACH + 1), dtype=np.uint64)
     np.cumsum(before * texts.powers(REACH)[None, :], axis=1, out=left[:, 1:])
     found = np.zeros((n, REACH + 1), dtype=bool)
@@ -318,91 +333,154 @@ def repeated_starts(core: np.ndarray, lead: np.ndarray, around: list[bytes]) ->
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, first, last): runs of starts of repeated strings, from what has come together."""
-    waiting: list[tuple] = []
-    group, held = None, 0
-    for batch in batches:
-        kinds = batch.column(0).to_numpy()
-        if (kinds == REPEATED).any():
-            part = batch.filter(pa.array(kinds == REPEATED))
-            yield _starts(part.column(3).to_pylist(), part.column(5).to_pylist())
-        for row in batch.filter(pa.array(kinds != REPEATED)).to_pylist():
-            now = (row["kind"], row["core"], row["bucket"])
-            # A group is whole when the next begins; many small ones are taken together.
-            if waiting and (now[0] != group[0] or (now != group and (held >= SORTED_BYTES or now[0] == STRINGS))):
-                yield from _finish(group[0], waiting)
-                waiting, held = [], 0
-            waiting.append(row)
-            held += len(row["around"] or b"")
-            group = now
-    if waiting:
-        yield from _finish(group[0], waiting)
-
-
-def _starts(keys: list[bytes], pairs: list[list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(pairs, pa.list_(pa.int32()))], names=["key", "pairs"])
-
-
-def _finish(kind: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    if kind == STRINGS:
-        strings = np.concatenate([np.array(r["strings"], dtype=np.int64) for r in rows])
-        owners = np.concatenate([np.array(r["owners"], dtype=np.int64) for r in rows])
-        keys = [k for r in rows for k in r["keys"]]
-        hit = np.flatnonzero(texts.repeated(strings) & (owners >= 0))
-        found: dict[bytes, set[int]] = {}
-        for i in hit.tolist():
-            found.setdefault(keys[i], set()).add(int(owners[i]))
-        yield _starts(list(found), [_pairs(sorted(s)) for s in found.values()])
-        return
-    core = np.array([r["core"] for r in rows], dtype=np.int64)
+    """(key, pairs): runs of starts of repeated strings, from what has come together.
+
+    Rows come sorted by kind and group. The last group of a batch may go on in the
+    next one, so it waits; many small groups are taken together.
+    """
+    waiting: pa.Table | None = None
+    for batch in (part for whole in batches for part in _cut(whole)):
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([waiting, table]).combine_chunks() if waiting is not None else table
+        begins = _group_begins(table)
+        waiting = table.slice(begins[-1])
+        if len(begins) > 1:
+            yield from _groups(table.slice(0, begins[-1]), begins[:-1])
+    if waiting is not None and waiting.num_rows:
+        yield from _groups(waiting, np.zeros(1, dtype=np.int64))
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded size: rows with strings are large."""
+    rows = max(1, min(batch.num_rows, int(batch.num_rows * SORTED_BYTES / max(batch.nbytes, 1))))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _group_begins(table: pa.Table) -> np.ndarray:
+    columns = [table.column(n).to_numpy() for n in ("kind", "core", "bucket")]
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _groups(table: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What whole groups give: each kind in its own way, strings group by group."""
+    kinds = table.column("kind").to_numpy()
+    for kind in np.unique(kinds):
+        low, high = np.searchsorted(kinds, (kind, kind + 1))
+        if kind == REPEATED:
+            part = table.slice(low, high - low).combine_chunks()
+            yield _starts(part.column("key").combine_chunks(), part.column("places").combine_chunks())
+        elif kind == SURROUNDING:
+            yield from _surrounded(table.slice(low, high - low))
+        else:
+            own = begins[(begins >= low) & (begins < high)]
+            for first, last in zip(own, np.append(own[1:], high)):
+                yield from _same_strings(table.slice(first, last - first))
+
+
+def _starts(keys: pa.Array, pairs: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys, pairs], names=["key", "pairs"])
+
+
+def _listed_pairs(keys: pa.Array, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """(key, flat pairs) per row that has some; ``row`` must be sorted."""
+    own = np.unique(row)
+    offsets = np.append(np.searchsorted(row, own), len(row)) * 2
+    flat = np.stack([first, last], axis=1).ravel()
+    pairs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+    return _starts(keys.take(pa.array(own)), pairs)
+
+
+def _same_strings(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Strings of one bucket that several texts, or a text several times, have."""
+    part = {n: table.column(n).combine_chunks() for n in ("strings", "owners", "owner_keys", "keys")}
+    sizes = pa.compute.list_value_length(part["strings"]).to_numpy()
+    named = pa.compute.list_value_length(part["keys"]).to_numpy()
+    strings, owners = part["strings"].flatten().to_numpy(), part["owners"].flatten().to_numpy()
+    key = part["owner_keys"].flatten().to_numpy() + np.repeat(np.cumsum(named) - named, sizes)
+    hit = np.flatnonzero(texts.repeated(strings) & (owners >= 0))
+    if len(hit):
+        hit = hit[np.lexsort((owners[hit], key[hit]))]
+        row, at = key[hit], owners[hit]
+        new = np.append(True, (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1))
+        begins = np.flatnonzero(new)
+        last = at[np.append(begins[1:], len(at)) - 1]
+        yield _listed_pairs(part["keys"].flatten(), row[begins], at[begins], last)
+
+
+def _surrounded(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Strings around cores that are repeated, found by suffix order within groups."""
+    core = table.column("core").to_numpy()
+    places = table.column("places").combine_chunks()
+    times = pa.compute.list_value_length(places).to_numpy()
     # Cores that nothing else has, by chance in the filter, have nobody to meet.
-    some = [r for r, again in zip(rows, texts.repeated(core)) if again or len(r["places"]) > 1]
-    if not some:
+    some = np.flatnonzero(texts.repeated(core) | (times > 1))
+    if not len(some):
         return
-    core = np.array([r["core"] for r in some], dtype=np.int64)
-    lead = np.array([r["lead"] for r in some], dtype=np.int64)
-    found = repeated_starts(core, lead, [r["around"] for r in some])
-    keys, pairs = [], []
-    for r, flags in zip(some, found):
-        if len(r["places"]) > 1:
-            most = min(r["lead"], REACH)
-            least = max(0, REACH - (len(r["around"]) - r["lead"] - CORE))
-            flags = np.zeros(REACH + 1, dtype=bool)
-            flags[least : most + 1] = True
-        back = np.flatnonzero(flags)
-        if not len(back):
-            continue
-        own = [p - b for p in r["places"] for b in back[::-1].tolist()]
-        keys.append(r["key"])
-        pairs.append(_pairs(sorted(set(own))))
-    if keys:
-        yield _starts(keys, pairs)
-
-
-def _pairs(starts: list[int]) -> list[int]:
-    """First and last of every run of consecutive numbers, flat."""
-    at = np.array(starts)
-    new = np.append(True, np.diff(at) > 1)
-    begins = np.flatnonzero(new)
-    return np.stack([at[begins], at[np.append(begins[1:], len(at)) - 1]], axis=1).ravel().tolist()
+    table = table.take(pa.array(some)).combine_chunks()
+    core, times = core[some], times[some].astype(np.int64)
+    lead = table.column("lead").to_numpy().astype(np.int64)
+    keys, around = table.column("key").combine_chunks(), table.column("around").combine_chunks()
+    at = table.column("places").combine_chunks().flatten().to_numpy().astype(np.int64)
+    flat, begin = texts.raw(around)
+    found = np.empty((len(some), REACH + 1), dtype=bool)
+    # Whole groups together, up to a size.
+    change = np.append(np.flatnonzero(np.append(True, core[1:] != core[:-1])), len(core))
+    first = 0
+    while first < len(core):
+        over = np.searchsorted(begin[change], begin[first] + SORTED_BYTES)
+        last = int(change[min(max(over, np.searchsorted(change, first) + 1), len(change) - 1)])
+        bounds = begin[first : last + 1]
+        found[first:last] = repeated_starts(core[first:last], lead[first:last], flat[bounds[0] : bounds[-1]], bounds - bounds[0])
+        first = last
+    # A text with several places for equal surroundings repeats all strings in them.
+    right = np.diff(begin) - lead - CORE
+    back = np.arange(REACH + 1)
+    inside = (back[None, :] <= lead[:, None]) & (REACH - back[None, :] <= right[:, None])
+    found = np.where((times > 1)[:, None], inside, found)
+    edge = np.zeros((len(found), 1), dtype=bool)
+    starts_at = np.nonzero(found & ~np.hstack([edge, found[:, :-1]]))
+    ends_at = np.nonzero(found & ~np.hstack([found[:, 1:], edge]))
+    row = starts_at[0]
+    # Every run of distances before the core, at each place of the surrounding.
+    repeat = times[row]
+    place_begin = np.cumsum(times) - times
+    nth = np.arange(int(repeat.sum())) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+    place = at[np.repeat(place_begin[row], repeat) + nth]
+    low, high = place - np.repeat(ends_at[1], repeat), place - np.repeat(starts_at[1], repeat)
+    if len(row):
+        yield _listed_pairs(keys, np.repeat(row, repeat), low, high)
 
 
 def _remove(batch: pa.RecordBatch, text: str, spans: str) -> dict[str, pa.Array]:
     data, offsets = texts.raw(batch.column(batch.schema.get_field_index(text)))
-    listed = batch.column(batch.schema.get_field_index(spans)).to_pylist()
-    out: dict[str, list] = {k: [] for k in OUTPUTS}
-    for low, high, pairs in zip(offsets.tolist(), offsets[1:].tolist(), listed):
-        edges = np.zeros(high - low + 1, dtype=np.int32)
-        for flat in pairs or []:
-            ends = np.array(flat, dtype=np.int64).reshape(-1, 2)
-            np.add.at(edges, ends[:, 0], 1)
-            np.add.at(edges, ends[:, 1] + LENGTH, -1)
-        gone = np.cumsum(edges[:-1]) > 0
-        out["n_bytes"].append(high - low)
-        out["n_removed"].append(int(gone.sum()))
-        out["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum()) + bool(len(gone) and gone[0]))
-        out["kept_sha256"].append(hashlib.sha256(data[low:high][~gone].tobytes()).hexdigest())
-    return {k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()}
+    listed = batch.column(batch.schema.get_field_index(spans))
+    counts = pa.compute.fill_null(pa.compute.list_value_length(listed), 0).to_numpy()
+    runs = listed.flatten()
+    inner = pa.compute.list_value_length(runs).to_numpy() // 2
+    ends = runs.flatten().to_numpy().reshape(-1, 2)
+    start = offsets[np.repeat(np.repeat(np.arange(batch.num_rows), counts), inner)]
+    edges = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(edges, start + ends[:, 0], 1)
+    np.add.at(edges, start + ends[:, 1] + LENGTH, -1)
+    gone = np.cumsum(edges[:-1]) > 0
+    removed = texts.sums(gone.astype(np.int64), offsets)
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    begins[first] = gone[first]
+    kept = [
+        hashlib.sha256((data[a:b][~gone[a:b]] if n else data[a:b]).tobytes()).hexdigest()
+        for a, b, n in zip(offsets.tolist(), offsets[1:].tolist(), removed.tolist())
+    ]
+    return {
+        "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed),
+        "n_spans": pa.array(texts.sums(begins.astype(np.int64), offsets)), "kept_sha256": pa.array(kept, pa.string()),
+    }
 
 
 def repeated_spans(df: DataFrame, text: str = "text") -> DataFrame:
