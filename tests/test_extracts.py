@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavebook.operators import columns
-from wavebook.plans import extracts, macro
+from wavebook.plans import country_files, extracts, macro
 
 
 def test_indicator_extract(spark):
@@ -90,3 +90,24 @@ def test_column_lists(spark):
     got = columns.pick(df, "COUNTRY", columns.Span("V12A", "V12J"), columns.Span("V11_A", "V11_TR"))
     assert got.columns == ["COUNTRY", "V12A", "V12B", "V12C", "V12J", "V11_A", "V11_B", "V11_TR"]
     assert len(extracts.ESS_COLUMNS) == len(set(extracts.ESS_COLUMNS)) == 34
+
+
+def test_numbered_questions_of_the_value_surveys(spark):
+    country = ["country", "country_iso2", "country_iso3"]
+    wvs = spark.range(1).select(*[F.lit(i).alias(f"Q{i}") for i in range(1, 291)], *[F.lit("x").alias(c) for c in country])
+    got = country_files.world_values(wvs)
+    assert got.columns[:9] == [*country, "Q6", "Q165", "Q171", "Q172", "Q173", "Q289"] and "Q131" in got.columns and "Q200" not in got.columns
+    evs = [f"v{i}" for i in range(1, 282)] + ["v239_r", "v243_r", "v261_ppp", "v261_r"]
+    got = country_files.european_values(spark.range(1).select(*[F.lit(1).alias(c) for c in [*evs, *country]]))
+    assert got.columns[:6] == [*country, "v6", "v9", "v51"] and got.columns[-4:] == ["v260", "v261", "v261_ppp", "v261_r"]
+
+
+def test_columns_of_the_social_surveys(spark):
+    ess = spark.range(1).select(*[F.lit(1).alias(c) for c in reversed(extracts.ESS_COLUMNS)], F.lit(2).alias("other"))
+    assert extracts.social_survey(ess).columns == [*extracts.ESS_COLUMNS[-3:], *extracts.ESS_COLUMNS[:-3]]
+    letters = {"V31": "ABCDE", "V21": "ABCU", "V12": "ABJ", "V51": "ABCD", "V17": "ABJ", "V58": "ABM"}
+    names = ["COUNTRY", "YEAR", "V7", "V8", "V33", "V55A", "V55B", "V55D", "V55E", "V23", "V28", "V40", "V56", "V57", "V24",
+             "V24_PPP", "V26", "V27", "V22", "V36", "V46", "V13", "V14", "V15", "V11_A", "V11_TR", "V50", "V49", "V52", "V61"]
+    names += [f"{v}{c}" for v, cs in letters.items() for c in cs]
+    got = extracts.euromodule(spark.range(1).select(*[F.lit(1).alias(c) for c in [*names, "V99"]]))
+    assert sorted(got.columns) == sorted(names) and got.columns[:4] == ["COUNTRY", "YEAR", "V7", "V8"]

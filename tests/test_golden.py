@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wavebook.operators import aggregate, inequality
+from wavebook.operators import aggregate, columns, inequality
+from wavebook.sources import exports
 
 # Incomes of two populations of ten.
 POPULATIONS = {
@@ -57,3 +58,63 @@ def test_correlation_of_ratio_and_trust(spark):
     row = inequality.correlation(df, [], "s", "t").first()
     assert row.n == 23
     assert row["corr"] == pytest.approx(-0.664185555, abs=1e-9)
+
+
+# The countries of three published lists of country files, in their order.
+ESS10 = [
+    ("BEL", "Belgium"), ("BGR", "Bulgaria"), ("CHE", "Switzerland"), ("CZE", "Czechia"), ("EST", "Estonia"),
+    ("FIN", "Finland"), ("FRA", "France"), ("GBR", "United Kingdom"), ("GRC", "Greece"), ("HRV", "Croatia"),
+    ("HUN", "Hungary"), ("IRL", "Ireland"), ("ISL", "Iceland"), ("ITA", "Italy"), ("LTU", "Lithuania"),
+    ("MNE", "Montenegro"), ("MKD", "North Macedonia"), ("NLD", "Netherlands"), ("NOR", "Norway"),
+    ("PRT", "Portugal"), ("SVN", "Slovenia"), ("SVK", "Slovakia"),
+]
+EVS2017 = [
+    ("ALB", "Albania"), ("AZE", "Azerbaijan"), ("AUT", "Austria"), ("ARM", "Armenia"),
+    ("BIH", "Bosnia and Herzegovina"), ("BGR", "Bulgaria"), ("BLR", "Belarus"), ("HRV", "Croatia"),
+    ("CZE", "Czechia"), ("DNK", "Denmark"), ("EST", "Estonia"), ("FIN", "Finland"), ("FRA", "France"),
+    ("GEO", "Georgia"), ("DEU", "Germany"), ("HUN", "Hungary"), ("ISL", "Iceland"), ("ITA", "Italy"),
+    ("LVA", "Latvia"), ("LTU", "Lithuania"), ("MNE", "Montenegro"), ("NLD", "Netherlands"), ("NOR", "Norway"),
+    ("POL", "Poland"), ("PRT", "Portugal"), ("ROU", "Romania"), ("RUS", "Russia"), ("SRB", "Serbia"),
+    ("SVK", "Slovakia"), ("SVN", "Slovenia"), ("ESP", "Spain"), ("SWE", "Sweden"), ("CHE", "Switzerland"),
+    ("UKR", "Ukraine"), ("MKD", "North Macedonia"), ("GBR", "Great Britain"),
+]
+WVS7 = [
+    ("AND", "Andorra"), ("ARG", "Argentina"), ("ARM", "Armenia"), ("AUS", "Australia"), ("BGD", "Bangladesh"),
+    ("BOL", "Bolivia"), ("BRA", "Brazil"), ("CAN", "Canada"), ("CHL", "Chile"), ("CHN", "China"),
+    ("COL", "Colombia"), ("CYP", "Cyprus"), ("CZE", "Czechia"), ("DEU", "Germany"), ("ECU", "Ecuador"),
+    ("EGY", "Egypt"), ("ETH", "Ethiopia"), ("GBR", "United Kingdom"), ("GRC", "Greece"), ("GTM", "Guatemala"),
+    ("HKG", "Hong Kong SAR"), ("IDN", "Indonesia"), ("IND", "India"), ("IRN", "Iran"), ("IRQ", "Iraq"),
+    ("JOR", "Jordan"), ("JPN", "Japan"), ("KAZ", "Kazakhstan"), ("KEN", "Kenya"), ("KGZ", "Kyrgyzstan"),
+    ("KOR", "South Korea"), ("LBN", "Lebanon"), ("LBY", "Libya"), ("MAC", "Macau SAR"), ("MAR", "Morocco"),
+    ("MDV", "Maldives"), ("MEX", "Mexico"), ("MMR", "Myanmar"), ("MNG", "Mongolia"), ("MYS", "Malaysia"),
+    ("NGA", "Nigeria"), ("NIC", "Nicaragua"), ("NLD", "Netherlands"), ("NZL", "New Zealand"),
+    ("PAK", "Pakistan"), ("PER", "Peru"), ("PHL", "Philippines"), ("PRI", "Puerto Rico"), ("ROU", "Romania"),
+    ("RUS", "Russia"), ("SGP", "Singapore"), ("SRB", "Serbia"), ("SVK", "Slovakia"), ("THA", "Thailand"),
+    ("TJK", "Tajikistan"), ("TUN", "Tunisia"), ("TUR", "Turkey"), ("TWN", "Taiwan ROC"), ("UKR", "Ukraine"),
+    ("URY", "Uruguay"), ("USA", "United States"), ("UZB", "Uzbekistan"), ("VEN", "Venezuela"),
+    ("VNM", "Vietnam"), ("ZWE", "Zimbabwe"),
+]
+
+
+@pytest.mark.parametrize("dataset, countries", [("ESS10/ess10", ESS10), ("EVS2017/evs2017", EVS2017), ("WVS7/wvs7", WVS7)])
+def test_published_lists_of_links(spark, dataset, countries):
+    """The header, one item per country in the order of the survey, the United Kingdom hidden."""
+    rows = [(code, name, i) for i, (code, name) in enumerate(countries)]
+    lines = exports.manifest(spark.createDataFrame(rows, "code string, name string, ord int"), dataset, "/Data/assignment_data/")
+    got = [r.line for r in lines.orderBy("ord").collect()]
+    want = [f"<!-- generated from {dataset}.sav -->"]
+    for code, name in countries:
+        item = f'<li><a class="dropdown-item" href="/Data/assignment_data/{dataset}_{code}.sav">{name}</a></li>'
+        want.append(f"<!-- {item} -->" if code == "GBR" else item)
+    assert got == want
+
+
+def test_pick_and_rename_of_the_published_table(spark):
+    """Columns 1, 2 under a new name, 3, 4, 5, 10 and 11 of a sheet with 23 countries."""
+    names = ["Country", "Income inequality", "Trust", "Life expectancy", "Infant mortality", *[f"c{i}" for i in range(6, 10)],
+             "Homicides", "Imprisonment (log)", "c12"]
+    df = spark.createDataFrame([(c, float(s), float(t), *[float(i) for i in range(4, 13)]) for c, s, t in COUNTRIES], names)
+    picked = columns.rename_at(columns.pick(df, *range(1, 6), 10, 11), {2: "S80S20"})
+    assert picked.columns == ["Country", "S80S20", "Trust", "Life expectancy", "Infant mortality", "Homicides", "Imprisonment (log)"]
+    rows = {r.Country: tuple(r)[1:] for r in picked.collect()}
+    assert len(rows) == 23 and rows["Japan"] == (3.4000000953674316, 43.099998474121094, 4.0, 5.0, 10.0, 11.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from wavebook.operators.codebook import decode
-from wavebook.operators.columns import pick, to_front
+from wavebook.operators.columns import numbered, pick, to_front
 from wavebook.operators.joins import crosswalk
 from wavebook.operators.recode import TERRITORIES, TERRITORY_CODES, harmonise
 from wavebook.sources.exports import country_list, links_and_files, manifest, split_export, written_files
@@ -22,6 +22,8 @@ EVS_QUESTIONS = (
     "239_r", "243_r", 244, 249, 259, 260, 261, "261_ppp", "261_r",
 )
 
+COUNTRY_COLUMNS = ["country", "country_iso2", "country_iso3"]
+
 
 def with_country(
     survey: DataFrame, book: DataFrame, codes: DataFrame, variable: str, alpha: str, given: str
@@ -45,6 +47,16 @@ def narrow(survey: DataFrame, variables: list[str]) -> DataFrame:
     return to_front(pick(survey, *variables), "country")
 
 
+def world_values(survey: DataFrame) -> DataFrame:
+    """The numbered questions kept of the World Values Survey, behind the country columns."""
+    return narrow(survey, [*numbered("Q", *WVS_QUESTIONS), *COUNTRY_COLUMNS])
+
+
+def european_values(survey: DataFrame) -> DataFrame:
+    """The numbered questions kept of the European Values Study, behind the country columns."""
+    return narrow(survey, [*numbered("v", *EVS_QUESTIONS), *COUNTRY_COLUMNS])
+
+
 def publish(survey: DataFrame, path: str, dataset: str, root: str, order: str) -> DataFrame:
     """Write every country and give the manifest, read back from what was written.
 

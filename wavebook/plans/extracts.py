@@ -65,6 +65,16 @@ MODEL_LABELS = {
 }
 
 
+def social_survey(survey: DataFrame) -> DataFrame:
+    """The columns kept of the European Social Survey, behind the country columns."""
+    return columns.to_front(columns.pick(survey, *ESS_COLUMNS), "country")
+
+
+def euromodule(survey: DataFrame) -> DataFrame:
+    """The columns kept of the Euromodule survey."""
+    return columns.pick(survey, *EUROMODULE_COLUMNS)
+
+
 def one_country(survey: DataFrame, predicate: str) -> DataFrame:
     """Rows of one country, given as text: ``cntry = 'GB'``."""
     return matching(survey, predicate)

@@ -9,7 +9,7 @@ from wavebook.functions import formats, text
 from wavebook.operators import (
     aggregate, codebook, columns, inequality, joins, pick, predicates, recode, reshape,
 )
-from wavebook.plans import country_files, macro, standins, trust
+from wavebook.plans import country_files, extracts, macro, standins, trust
 from wavebook.plans.registry import Registry
 from wavebook.plans.standins import (
     ANSWERS_SQL, INDICATORS_SQL, SPARSE_SQL, TRUST_SQL, UNEVEN_SQL,
@@ -766,6 +766,58 @@ def gdp_and_gini(spark, folder):
     return macro.gdp_and_gini(_renamed_series(rows, names))
 
 
+SAMPLE_SQL = ",\n         ".join(
+    f"CASE WHEN o_orderkey % {n} = 0 THEN NULL ELSE CAST(o_orderkey % {n + 4} AS DOUBLE) END AS x{n}" for n in range(2, 14)
+)
+
+
+@query(f"""
+  WITH s AS (SELECT o_orderkey + 50000 AS idno,
+         {SAMPLE_SQL}
+         FROM orders)
+  SELECT idno, x2 AS "A1", x3 AS "A2",
+         CASE WHEN x4 IS NULL AND idno = 71215 THEN 7777.0 WHEN x4 IS NULL AND idno = 80670 THEN 8888.0 ELSE x4 END::DOUBLE AS "A3",
+         x5 - 1 AS "A4", CASE WHEN x6 IS NULL AND idno = 80670 THEN 88.0 ELSE x6 - 1 END::DOUBLE AS "A5",
+         CASE WHEN x7 IS NULL AND idno = 72206 THEN 77.0 ELSE x7 - 1 END::DOUBLE AS "A6", x8 AS "B1", x9 - 1 AS "B26", x10 AS "C7",
+         CASE WHEN x11 IS NULL AND idno = 80670 THEN 77.0 ELSE x11 END::DOUBLE AS "C12", x12 AS "C16", x13 AS "C32"
+  FROM s WHERE idno IN (50378, 60555, 92713, 92730, 55709, 51138, 57305, 71215, 80670, 72206, 89194, 91883, 67396, 87715, 84528)""")
+def questionnaire_sample(spark, folder):
+    """Chosen respondents under questionnaire codes; answers are delivered as texts."""
+    key = F.col("o_orderkey")
+    answers = [
+        F.when(key % n > 0, (key % (n + 4)).cast("string")).alias(name)
+        for n, name in enumerate(extracts.SAMPLE_CODES.values(), 2)
+    ]
+    survey = table(spark, folder, "orders").select((key + 50000).alias("idno"), *answers)
+    return extracts.questionnaire_sample(survey)
+
+
+@query("""
+  WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_extendedprice, l_discount,
+                    20 + l_partkey % 70 AS agea, l_suppkey % 2 + 1 AS brncntr, l_partkey % 21 - 10 AS reform_years
+             FROM lineitem)
+  SELECT l_returnflag AS cntry, l_discount AS dweight, l_orderkey % 11 AS ppltrst, l_orderkey % 10 AS pplfair,
+         l_orderkey % 9 AS pplhlp, l_quantity AS eduyrs25, l_orderkey % 2 AS paredu_a_high, l_extendedprice AS trustindex3,
+         CAST(reform_years >= 0 AS INTEGER) AS reform1_7, l_linenumber AS reform_id_num, l_orderkey % 2 AS female, agea,
+         l_orderkey % 3 AS fbrneur, l_orderkey % 4 AS mbrneur, l_orderkey % 5 AS fnotbrneur, l_orderkey % 6 AS mnotbrneur,
+         nullif(l_orderkey % 7, 0) AS blgetmg_d, 2000 - agea AS yrbrn, l_linenumber AS essround
+  FROM s WHERE agea BETWEEN 25 AND 80 AND brncntr = 1 AND reform_years BETWEEN -7 AND 7 AND l_orderkey % 7 <> 0""")
+def reform_sample(spark, folder):
+    """The model sample of a reform study, from rows with the study's column names."""
+    key = F.col("l_orderkey")
+    age, years = 20 + F.col("l_partkey") % 70, F.col("l_partkey") % 21 - 10
+    survey = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("cntry"), F.col("l_discount").alias("dweight"), (key % 11).alias("ppltrst"),
+        (key % 10).alias("pplfair"), (key % 9).alias("pplhlp"), F.col("l_quantity").alias("eduyrs25"),
+        (key % 2).alias("paredu_a_high"), F.col("l_extendedprice").alias("trustindex3"),
+        (years >= 0).cast("int").alias("reform1_7"), F.col("l_linenumber").alias("reform_id_num"), (key % 2).alias("female"),
+        age.alias("agea"), (key % 3).alias("fbrneur"), (key % 4).alias("mbrneur"), (key % 5).alias("fnotbrneur"),
+        (key % 6).alias("mnotbrneur"), F.nullif(key % 7, F.lit(0)).alias("blgetmg_d"), (2000 - age).alias("yrbrn"),
+        F.col("l_linenumber").alias("essround"), (F.col("l_suppkey") % 2 + 1).alias("brncntr"), years.alias("reform_years"),
+    )
+    return extracts.reform_sample(survey)
+
+
 # ---- inequality ----------------------------------------------------------------------------
 
 INCOMES_SQL = "SELECT n_name AS country, c_custkey, c_acctbal + 1000 AS income FROM customer JOIN nation ON c_nationkey = n_nationkey"
