@@ -4,7 +4,6 @@ import os
 import random
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from wavebook.llm import queries, resharding

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavebook.llm import decontaminate, exact_dedup, language, mixing, near_dedup, quality, resharding, sql
 from wavebook.llm import suffix_dedup, suffix_tree_lm, url_filter
 from wavebook.llm.common import table
 from wavebook.plans.registry import Registry
-from wavebook.session import literal_table
 
 registry = Registry()
 
@@ -93,8 +91,11 @@ def op8_decontaminate_wu_manber(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.query(sql.URL_FILTER)
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("action", pa.string())])
-    rules = literal_table(spark, schema, RULES)
+    listed = [
+        F.struct(F.lit(host).alias("host"), F.lit(path).alias("path"), F.lit(action).alias("action"))
+        for host, path, action in RULES
+    ]
+    rules = spark.range(1).select(F.inline(F.array(*listed)))
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
