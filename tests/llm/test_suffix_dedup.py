@@ -74,3 +74,13 @@ def test_hashes_of_equal_words_are_equal():
     hashes, starts, ends, rows = texts.words(column)
     assert rows.tolist() == [0, 4, 4, 4, 6] and hashes[0] == hashes[2] == hashes[5] and hashes[1] == hashes[3]
     assert (ends - starts).tolist() == [3, 3, 3, 3, 6000, 3]
+
+
+def test_words_are_not_cut_at_pieces(monkeypatch):
+    import pyarrow as pa
+
+    column = pa.array(["a" * 300 + " bb ccc " * 40 + "d" * 95, "e" * 10, " f " * 50])
+    whole = texts.words(column)
+    for piece in (7, 64, 100, 333):
+        monkeypatch.setattr(texts, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(whole, texts.words(column)))

@@ -93,14 +93,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, values:
     """``words`` of bytes and row offsets."""
     parts, at = [], 0
     while at < len(data):
-        end = min(at + PIECE, len(data))
+        end, since = min(at + PIECE, len(data)), at
         while end < len(data) and inside[data[end]] and inside[data[end - 1]]:
             # Not inside a word: back to its begin, or on to its end if it began before.
-            gap = np.flatnonzero(~inside[data[at:end]])
+            gap = np.flatnonzero(~inside[data[since:end]])
             if len(gap):
-                end = at + int(gap[-1]) + 1
+                end = since + int(gap[-1]) + 1
                 break
-            end = min(end + PIECE, len(data))
+            end, since = min(end + PIECE, len(data)), end
         low, high = np.searchsorted(offsets, (at, end))
         breaks = np.unique(offsets[low:high] - at)
         hashes, starts, ends = _piece(data[at:end], breaks, inside, values)
