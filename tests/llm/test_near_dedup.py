@@ -69,7 +69,7 @@ def test_samples_agree_as_often_as_texts_are_similar():
         base = [word() for _ in range(120)]
         other = [word() if rng.random() < 0.02 else w for w in base]
         a, b = " ".join(base), " ".join(other)
-        keys = near_dedup.bands(*near_dedup.weighted_sets(pa.array([a, b]), levels))
+        keys, _ = near_dedup.bands(*near_dedup.weighted_sets(pa.array([a, b]), levels))
         agree += (keys[0] == keys[1]).mean()
         x, y = shingles(a), shingles(b)
         expected += (sum((x & y).values()) / sum((x | y).values())) ** near_dedup.ROWS_PER_BAND

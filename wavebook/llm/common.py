@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from wavebook.session import literal_table, materialise
+from wavebook.session import literal_table, materialise, scratch_path
 
 # A key counts as hot above this share of the rows, so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 0.001
@@ -14,6 +14,17 @@ HOT_SHARE = 0.001
 SLICES = 4096
 
 
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared scratch folder once and read from there.
+
+    For loops: unlike a checkpoint, the table read back brings no derived constraints
+    with it, which would grow from round to round in the driver.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder, with the columns it has."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -96,6 +107,6 @@ def literal_shards(spark: SparkSession, blocks: list[tuple[int, int, int, int]])
 
 
 __all__ = [
-    "HOT_SHARE", "SLICES", "fresh", "join_counted", "literal_shards", "materialise", "running_total", "table",
+    "HOT_SHARE", "SLICES", "fresh", "join_counted", "literal_shards", "materialise", "running_total", "store", "table",
     "with_outputs",
 ]

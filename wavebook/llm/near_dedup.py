@@ -17,13 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wavebook.llm import texts
-from wavebook.llm.common import fresh, join_counted, materialise
+from wavebook.llm.common import fresh, join_counted, store
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS_PER_BAND = 5
 
+# Samples in all. Texts that agree in fewer than a share of them are not compared: texts of
+# the least similarity agree in 0.8 on the average, and 3.5 deviations less is 0.7.
+SAMPLES = 200
+AGREEMENT = 0.7
+
 # Document frequencies are counted in hashed cells, so the table is that wide for any corpus.
 CELL_BITS = 17
 CELLS = 1 << CELL_BITS
@@ -38,12 +43,15 @@ LEVELS = 8
 DRAW_BITS = 16
 
 # Leaders of a bucket grow by this factor from round to round.
-LEADERS = 8
+LEADERS = 64
+
+# Members of a bucket whose samples are compared with its leaders' in one task.
+CHUNK_MEMBERS = 4096
 
 # Bytes of text compared with one leader in one task.
 CHUNK_BYTES = 8 << 20
 
-# Cells of the filter that says which texts have a candidate; 16 MB of bits.
+# Words of the filter that says which texts have a candidate; 16 MB of bits.
 FILTER_WORDS = 1 << 21
 
 _draws = np.random.Generator(np.random.PCG64(5))
@@ -51,7 +59,7 @@ _GAMMA = _draws.gamma(2.0, 1.0, (2, 1 << DRAW_BITS)).astype(np.float32)
 DRAW_R = np.maximum(_GAMMA[0], np.float32(1e-3))
 DRAW_LOG_C = np.log(np.maximum(_GAMMA[1], np.float32(1e-6)))
 DRAW_BETA = _draws.random(1 << DRAW_BITS, dtype=np.float32)
-SEEDS = _draws.integers(1, 1 << 63, BANDS * ROWS_PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SEEDS = _draws.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LEVEL_WEIGHTS = np.linspace(1.0, IDF_TOP, LEVELS).astype(np.float32)
 
 
@@ -94,13 +102,15 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def bands(shingles: np.ndarray, levels: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """A key per non-empty row and band, from the samples of the band."""
+def bands(shingles: np.ndarray, levels: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, samples) of the non-empty rows: a key per band, from its samples, and one
+    byte of every sample."""
     starts = rows[:-1][np.diff(rows) > 0]
     ends = rows[1:][np.diff(rows) > 0]
     keys = np.zeros((len(starts), BANDS), dtype=np.uint64)
+    samples = np.zeros((len(starts), SAMPLES), dtype=np.uint8)
     if not len(starts):
-        return keys
+        return keys, samples
     offset = levels.astype(np.int64) << DRAW_BITS
     repeated = np.flatnonzero(counts > 1)
     log_repeated = np.log(LEVEL_WEIGHTS[levels[repeated]] * counts[repeated]).astype(np.float32)
@@ -124,9 +134,11 @@ def bands(shingles: np.ndarray, levels: np.ndarray, counts: np.ndarray, rows: np
             winner = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
             _, t = sampled(log_weight[low:high][winner], draw[winner])
             sample = texts.mix(own[winner] + t.astype(np.int64).astype(np.uint64) * np.uint64(texts.BASE))
+            samples[first:last, k] = sample >> np.uint64(56)
             b = k // ROWS_PER_BAND
-            keys[first:last, b] = texts.mix(keys[first:last, b] + sample + np.uint64(k))
-    return keys
+            if b < BANDS:
+                keys[first:last, b] = texts.mix(keys[first:last, b] + sample + np.uint64(k))
+    return keys, samples
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -149,8 +161,10 @@ def idf_levels(df: DataFrame, text: str) -> np.ndarray:
         for batch in (part for whole in batches for part in texts.slices(whole, 0)):
             hashes, _, _, word_rows = texts.words(batch.column(0))
             runs, rows = texts.shingles(hashes, word_rows, SHINGLE)
-            key = np.repeat(np.arange(batch.num_rows), np.diff(rows)) << CELL_BITS | _cell(runs)
-            total[:CELLS] += np.bincount(np.unique(key) & (CELLS - 1), minlength=CELLS)
+            # A cell counts once for a text.
+            key = np.sort(np.repeat(np.arange(batch.num_rows), np.diff(rows)) << CELL_BITS | _cell(runs))
+            new = np.append(True, key[1:] != key[:-1])[: len(key)]
+            total[:CELLS] += np.bincount(key[new] & (CELLS - 1), minlength=CELLS)
             total[CELLS] += batch.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["cell", "n"])
@@ -168,9 +182,47 @@ def _sign(batch: pa.RecordBatch, text: str, levels) -> dict[str, pa.Array]:
     sets = weighted_sets(batch.column(batch.schema.get_field_index(text)), levels.value)
     rows = sets[3]
     some = np.diff(rows) > 0
-    keys = bands(*sets)
+    keys, samples = bands(*sets)
     offsets = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
-    return {"bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))}
+    place = pa.array(np.cumsum(some) - 1, mask=~some)
+    return {
+        "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64))),
+        "samples": pa.array([s.tobytes() for s in samples], pa.binary()).take(place),
+    }
+
+
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leader, member) of one bucket that agree in enough samples; rows come by bucket and
+    chunk, leaders first."""
+    held = None
+    for batch in batches:
+        bucket, chunk, key, kind = (batch.column(i).to_numpy() for i in (0, 1, 3, 5))
+        leads = batch.column(2).to_numpy(zero_copy_only=False)
+        data, _ = texts.raw(batch.column(4))
+        samples = data.reshape(-1, SAMPLES)
+        if held is not None:
+            now = (bucket, chunk, key, kind, leads, samples)
+            bucket, chunk, key, kind, leads, samples = (np.concatenate(x) for x in zip(held, now))
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1]))
+        begins = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        count = np.bincount(group[leads], minlength=len(begins))
+        # Leaders meet each other, too, but nobody meets his own class.
+        member = np.arange(len(key)) if held is None else np.arange(len(held[0]), len(key))
+        # Members of a batch with all leaders of their bucket, a bounded number at a time.
+        pairs = count[group[member]]
+        cuts = np.append(np.unique(np.searchsorted(np.cumsum(pairs), np.arange(0, int(pairs.sum()) + 1, 1 << 16))), len(member))
+        for low, high in zip(cuts, cuts[1:]):
+            own, times = member[low:high], pairs[low:high]
+            m = np.repeat(own, times)
+            first = np.repeat(begins[group[own]], times)
+            l = first + np.arange(len(m)) - np.repeat(np.cumsum(times) - times, times)
+            like = (kind[m] != kind[l]) & ((samples[m] == samples[l]).mean(axis=1) >= AGREEMENT)
+            yield pa.RecordBatch.from_arrays([pa.array(key[l[like]]), pa.array(key[m[like]])], names=["leader", "member"])
+        # The leaders of the last bucket, whose members may go on.
+        last = np.arange(begins[-1], len(key))
+        last = last[leads[last]]
+        held = (bucket[last], chunk[last], key[last], kind[last], leads[last], samples[last])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatch]:
@@ -222,7 +274,7 @@ def candidate_texts(docs: DataFrame, buckets: DataFrame) -> DataFrame:
     """
     involved = buckets.select("key").distinct()
     once = _possible(docs, involved, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("bytes").alias("bytes"))
-    return materialise(once.join(involved, "key", "left_semi"))
+    return store(once.join(involved, "key", "left_semi"))
 
 
 def verified(near: DataFrame, pairs: DataFrame, levels) -> DataFrame:
@@ -232,14 +284,13 @@ def verified(near: DataFrame, pairs: DataFrame, levels) -> DataFrame:
     bounded size, each with a copy of the leader's text.
     """
     weighed = pairs.join(near.select(F.col("key").alias("member"), "bytes"), "member")
-    chunks = materialise(
-        weighed.groupBy("leader").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("members")).select(
-            "leader", "members", F.expr(f"int(1 + bytes div {CHUNK_BYTES})").alias("chunks")
+    chunks = store(
+        weighed.groupBy("leader").agg(F.sum("bytes").alias("bytes")).select(
+            "leader", F.expr(f"int(1 + bytes div {CHUNK_BYTES})").alias("chunks")
         )
     )
-    placed = join_counted(pairs, chunks, ["leader"], "members", pairs.count()).withColumn(
-        "chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")
-    )
+    # A leader of very many texts is a skewed key here, which adaptive joins split.
+    placed = pairs.join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
     members = placed.join(near.select(F.col("key").alias("member"), "text"), "member").select(
         "leader", "chunk", "member", "text"
     )
@@ -253,66 +304,99 @@ def verified(near: DataFrame, pairs: DataFrame, levels) -> DataFrame:
     return together.mapInArrow(partial(_verify, levels=levels), "leader bigint, member bigint, similarity double")
 
 
-def find_links(docs: DataFrame, signed: DataFrame, levels, threshold: float) -> DataFrame:
-    """(a, b, similarity) of similar texts, by rounds of leaders in every bucket.
+def find_links(docs: DataFrame, signed: DataFrame, levels, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) of similar texts, and (key, class) of linked ones, by rounds of leaders in every bucket.
 
-    ``signed`` has (key, bands), one row per text. Round ``r`` has about
-    ``LEADERS ** r`` leaders in a bucket, chosen by a hash, so a bucket of ``n``
-    kinds of text is done after a logarithm of ``n`` rounds. Stored every round.
+    ``signed`` has (key, bands, samples), one row per text. The first leader of a bucket is the
+    text that meets most others; round ``r`` has about ``LEADERS ** r`` leaders, the
+    further ones chosen by a hash, so a bucket of ``n`` kinds of text is done after a
+    logarithm of ``n`` rounds. Stored every round.
     """
     spark = docs.sparkSession
-    left = signed.select(F.explode("bands").alias("bucket"), "key")
+    left = signed.select(F.explode("bands").alias("bucket"), "key", F.col("key").alias("class"))
     links = spark.createDataFrame([], "a bigint, b bigint, similarity double")
+    named = spark.createDataFrame([], "key bigint, class bigint")
     near, most = None, 1
     while True:
-        sizes = materialise(
-            left.groupBy("bucket").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-        )
-        rows = sizes.agg(F.sum("n")).first()[0]
-        if not rows:
-            return links
-        shared = join_counted(left, sizes, ["bucket"], "n", rows).where("n is not null")
-        shared = materialise(shared) if near is None else shared
+        sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        # Both sides are stored or counted, so adaptive joins can split a bucket with very many texts.
+        shared = store(left.join(store(sizes), "bucket"))
+        if shared.isEmpty():
+            return links, named
         near = candidate_texts(docs, shared) if near is None else near
         every = F.ceil(F.col("n") / F.lit(most))
-        chosen = F.pmod(F.xxhash64("key", F.lit(most)), every) == 0 if most > 1 else F.lit(False)
-        leaders = materialise(
-            shared.where((F.col("key") == F.col("first")) | chosen).select("bucket", F.col("key").alias("leader"), "n")
+        chosen = F.pmod(F.xxhash64("key", F.lit(most)), every) == 0
+        first = _most_met(shared)
+        leaders = (
+            shared.where(chosen).select("bucket", F.col("key").alias("leader")).unionByName(first).distinct()
+            if most > 1 else first
         )
-        inside = join_counted(shared.select("bucket", "key"), leaders, ["bucket"], "n", rows)
-        both = F.col("leader") != F.col("key")
-        followers = materialise(inside.where(both).select("bucket", F.col("key").alias("member"), "leader"))
-        pairs = materialise(
-            followers.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
-        )
-        compared = materialise(verified(near, pairs, levels))
-        similar = compared.where(F.col("similarity") >= threshold)
-        links = links.unionByName(similar.select(F.col("leader").alias("a"), F.col("member").alias("b"), "similarity"))
-        # Leaders have met all others; so have members that are like a leader's kind.
-        met = leaders.select("bucket", F.col("leader").alias("key")).unionByName(
-            followers.select("bucket", "member", F.least("leader", "member").alias("x"), F.greatest("leader", "member").alias("y"))
-            .join(similar.select(F.col("leader").alias("x"), F.col("member").alias("y")), ["x", "y"])
-            .select("bucket", F.col("member").alias("key"))
-        )
-        left = materialise(shared.select("bucket", "key").join(met.distinct(), ["bucket", "key"], "left_anti"))
+        leaders = store(leaders)
+        pairs = store(_candidates(shared, leaders, signed))
+        if not pairs.isEmpty():
+            similar = store(verified(near, pairs, levels).where(F.col("similarity") >= threshold))
+            if not similar.isEmpty():
+                links = links.unionByName(similar.select(F.col("leader").alias("a"), F.col("member").alias("b"), "similarity"))
+                named = store(classes(links))
+        # Leaders have met all others. A member of a leader's class, by whatever links, is done
+        # with this bucket as well, which keeps a large family from meeting over and over.
+        left = store(_others(shared.select("bucket", "key"), leaders, named))
         most *= LEADERS
 
 
+def _candidates(shared: DataFrame, leaders: DataFrame, signed: DataFrame) -> DataFrame:
+    """(leader, member), the smaller key first: texts of a bucket that agree with a leader.
+
+    A bucket's members are dealt into chunks, each with all its leaders; only pairs
+    of different classes whose samples agree leave the task.
+    """
+    chunks = F.expr(f"int(1 + n div {CHUNK_MEMBERS})")
+    dealt = shared.join(leaders.withColumnRenamed("leader", "key").withColumn("lead", F.lit(True)), ["bucket", "key"], "left")
+    own = F.pmod(F.xxhash64("key"), chunks).cast("int")
+    everywhere = F.sequence(F.lit(0), chunks - 1)
+    rows = dealt.select("bucket", F.explode(F.when(F.col("lead"), everywhere).otherwise(F.array(own))).alias("chunk"),
+                        F.coalesce("lead", F.lit(False)).alias("lead"), "key", "class")
+    with_samples = rows.join(signed.select("key", "samples"), "key").select("bucket", "chunk", "lead", "key", "samples", "class")
+    placed = with_samples.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", F.col("lead").desc())
+    met = placed.mapInArrow(_agree, "leader bigint, member bigint")
+    return met.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
+
+
+def _most_met(shared: DataFrame) -> DataFrame:
+    """(bucket, leader): of every bucket the text that meets the most texts in all its buckets.
+
+    That is the middle of a family, to which more members are similar than to others.
+    """
+    meetings = shared.groupBy("key").agg(F.sum("n").alias("meetings"))
+    ranked = shared.select("bucket", "key").join(meetings, "key")
+    best = F.max(F.struct("meetings", "key"))
+    return ranked.groupBy("bucket").agg(best.alias("best")).select("bucket", F.col("best.key").alias("leader"))
+
+
+def _others(members: DataFrame, leaders: DataFrame, named: DataFrame) -> DataFrame:
+    """(bucket, key, class) of members in no class that a leader of their bucket has."""
+    found = members.join(named, "key", "left").select("bucket", "key", F.coalesce("class", "key").alias("class"))
+    led = leaders.select("bucket", F.col("leader").alias("key")).join(named, "key", "left")
+    return found.join(
+        led.select("bucket", F.coalesce("class", "key").alias("class")).distinct(), ["bucket", "class"], "left_anti"
+    ).select("bucket", "key", "class")
+
+
 def classes(links: DataFrame) -> DataFrame:
     """(key, class): the smallest key each key is linked to, over any number of links.
 
     Smallest labels spread along links, and every label is replaced by its own
     label, so long chains halve with every round.
     """
-    edges = materialise(
+    edges = store(
         links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     )
-    labels = materialise(edges.groupBy(F.col("a").alias("key")).agg(F.min(F.least("a", "b")).alias("class")))
+    labels = store(edges.groupBy(F.col("a").alias("key")).agg(F.min(F.least("a", "b")).alias("class")))
     while True:
         near = edges.join(labels, edges.b == labels.key).groupBy("a").agg(F.min("class").alias("near"))
         jump = labels.select(F.col("key").alias("at"), F.col("class").alias("next"))
         lower = labels.join(jump, F.col("class") == F.col("at")).join(near, F.col("key") == F.col("a"))
-        new = materialise(
+        new = store(
             lower.select("key", F.least("next", "near").alias("class"), (F.least("next", "near") < F.col("class")).alias("moved"))
         )
         changed = new.where("moved").limit(1).count()
@@ -331,15 +415,14 @@ def near_dedup(
     """Add the class of near-equal texts to every row.
 
     Returns the ``carry`` columns (all by default) with ``class_id``, the smallest
-    id in the row's class; ``class_size``; ``links``, the number of verified links
-    of the row's text with other texts; and ``kept``, true for one row of a class,
-    the first with the smallest id. Texts with the same words in the same order are
+    id in the row's class; ``class_size``; and ``kept``, true for one row of a
+    class, the first with the smallest id. Texts with the same words in the same order are
     in one class; texts are linked if their weighted Jaccard similarity reaches
     ``threshold``, and classes are what links connect.
 
     Each bucket of a band compares its texts with one of them, the leader; those
-    that are not like it go on to a further round with more leaders, until no bucket
-    has two texts left. So a bucket of any size costs as many comparisons as it has
+    that are not in its class then go on to a further round with more leaders, until
+    no bucket has two texts left. So a bucket of any size costs as many comparisons as it has
     texts, times the different kinds of text in it.
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z folded; a
@@ -349,7 +432,7 @@ def near_dedup(
     empty table gives no rows. Output columns replace input columns of the same
     name. The carried columns are stored once in the shared checkpoint folder.
     """
-    outputs = {"class_id", "class_size", "links", "kept"}
+    outputs = {"class_id", "class_size", "kept"}
     carry = [c for c in (carry or df.columns) if c.lower() not in outputs]
     rid, own_id, own_text, row_key = fresh(df, "_rid", "_id", "_text", "_key")
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -359,23 +442,24 @@ def near_dedup(
         *[F.col(f"`{c}`") for c in carry],
         F.col(id_column).alias(own_id), F.xxhash64(whole).alias(row_key), whole.alias(own_text),
     )
-    signed = texts.map_batches(keyed, {"bands": "array<bigint>"}, partial(_sign, text=own_text, levels=levels), own_text, drop=(own_text,))
-    rows = materialise(signed.withColumn(rid, F.monotonically_increasing_id()))
+    signed = texts.map_batches(keyed, {"bands": "array<bigint>", "samples": "binary"}, partial(_sign, text=own_text, levels=levels), own_text, drop=(own_text,))
+    rows = store(signed.withColumn(rid, F.monotonically_increasing_id()))
     # Equal texts have equal keys and bands; they are one text from here on.
-    distinct = materialise(rows.groupBy(F.col(row_key).alias("key")).agg(F.first("bands").alias("bands"), F.count("*").alias("rows")))
+    distinct = store(
+        rows.groupBy(F.col(row_key).alias("key")).agg(
+            F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.count("*").alias("rows")
+        )
+    )
     docs = df.select(F.xxhash64(whole).alias("key"), whole.alias("text"), F.octet_length(whole).cast("bigint").alias("bytes"))
-    links = find_links(docs, distinct, levels, threshold)
-    linked = classes(links)
-    degree = links.select("a", "b").distinct().select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    of_text = distinct.join(linked, "key", "left").join(degree, "key", "left").select(
-        F.col("key").alias(row_key), F.coalesce("class", "key").alias("_class"), F.coalesce("links", F.lit(0)).alias("links"),
-        F.col("rows").alias("_rows"),
+    _, linked = find_links(docs, distinct, levels, threshold)
+    of_text = distinct.join(linked, "key", "left").select(
+        F.col("key").alias(row_key), F.coalesce("class", "key").alias("_class"), F.col("rows").alias("_rows")
     )
     total = rows.count()
-    named = materialise(join_counted(rows.select(*carry, own_id, row_key, rid), materialise(of_text), [row_key], "_rows", total))
+    named = store(join_counted(rows.drop("bands", "samples"), store(of_text), [row_key], "_rows", total))
     best = F.min(F.struct(F.col(own_id).isNull().alias("n"), F.col(own_id).alias("i"), F.col(rid).alias("r")))
-    groups = materialise(named.groupBy("_class").agg(best.alias("_best"), F.count("*").alias("class_size")))
+    groups = store(named.groupBy("_class").agg(best.alias("_best"), F.count("*").alias("class_size")))
     joined = join_counted(named, groups, ["_class"], "class_size", total)
     return joined.select(
-        *carry, F.col("_best.i").alias("class_id"), "class_size", "links", (F.col(rid) == F.col("_best.r")).alias("kept")
+        *carry, F.col("_best.i").alias("class_id"), "class_size", (F.col(rid) == F.col("_best.r")).alias("kept")
     )
