@@ -51,6 +51,9 @@ CHUNK_MEMBERS = 4096
 # Bytes of text compared with one leader in one task.
 CHUNK_BYTES = 8 << 20
 
+# Bytes of text whose shingles are held at a time.
+SLICE_BYTES = 3 << 20
+
 # Words of the filter that says which texts have a candidate; 16 MB of bits.
 FILTER_WORDS = 1 << 21
 
@@ -158,7 +161,7 @@ def idf_levels(df: DataFrame, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS + 1, dtype=np.int64)
-        for batch in (part for whole in batches for part in texts.slices(whole, 0)):
+        for batch in (part for whole in batches for part in texts.slices(whole, 0, SLICE_BYTES)):
             hashes, _, _, word_rows = texts.words(batch.column(0))
             runs, rows = texts.shingles(hashes, word_rows, SHINGLE)
             # A cell counts once for a text.
@@ -442,7 +445,7 @@ def near_dedup(
         *[F.col(f"`{c}`") for c in carry],
         F.col(id_column).alias(own_id), F.xxhash64(whole).alias(row_key), whole.alias(own_text),
     )
-    signed = texts.map_batches(keyed, {"bands": "array<bigint>", "samples": "binary"}, partial(_sign, text=own_text, levels=levels), own_text, drop=(own_text,))
+    signed = texts.map_batches(keyed, {"bands": "array<bigint>", "samples": "binary"}, partial(_sign, text=own_text, levels=levels), own_text, drop=(own_text,), limit=SLICE_BYTES)
     rows = store(signed.withColumn(rid, F.monotonically_increasing_id()))
     # Equal texts have equal keys and bands; they are one text from here on.
     distinct = store(

@@ -171,10 +171,11 @@ def map_batches(
     function: Callable[[pa.RecordBatch], dict[str, pa.Array]],
     text: str,
     drop: tuple = (),
+    limit: int = 8 * PIECE,
 ) -> DataFrame:
     """``df`` without ``drop`` and with the columns that ``function`` makes of Arrow batches.
 
-    Batches are cut by the bytes of the ``text`` column.
+    Batches are cut to about ``limit`` bytes of the ``text`` column.
 
     ``added`` gives their types. An added column replaces one of the same name.
     """
@@ -185,7 +186,7 @@ def map_batches(
     schema = T.StructType([*kept, *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, text)):
+        for batch in (part for whole in batches for part in slices(whole, text, limit)):
             made = function(batch)
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, *made.values()], names=[*names, *made])
