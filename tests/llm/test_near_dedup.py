@@ -52,6 +52,32 @@ def test_classes_of_similar_texts(spark):
     assert all(row.class_size == sizes[row.class_id] for row in got.values())
 
 
+def test_edges_of_a_family_are_linked_by_members_that_leave_with_the_leader(spark):
+    """Edges are similar to members, but not to the text that leads the only bucket they share."""
+    hub = [f"w{i}" for i in range(200)]
+    texts = {0: hub, 1: [f"other{i}" for i in range(30)]}
+    for i in range(30):
+        texts[10 + i] = hub[:20] + [f"a{i}x{k}" for k in range(12)] + hub[32:]
+        texts[100 + i] = texts[10 + i][:120] + [f"b{i}x{k}" for k in range(12)] + texts[10 + i][132:]
+    rows = [(k, " ".join(words)) for k, words in texts.items()]
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "key bigint, text string, bytes bigint")
+    same = bytearray(near_dedup.SAMPLES)
+    signed = spark.createDataFrame(
+        [(k, {0: [1, 2], 1: [2]}.get(k, [1]), same) for k in texts], "key bigint, bands array<bigint>, samples binary"
+    )
+    levels = spark.sparkContext.broadcast(np.zeros(near_dedup.CELLS, dtype=np.int8))
+    _, named = near_dedup.find_links(docs, signed, levels, 0.8)
+    assert {r.key: r["class"] for r in named.collect()} == {k: 0 for k in texts if k != 1}
+
+
+def test_chunks_of_members_meet_parts_of_leaders(spark, monkeypatch):
+    texts = families(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {r.doc_id: r.class_id for r in near_dedup.near_dedup(df).collect()}
+    monkeypatch.setattr(near_dedup, "CHUNK_MEMBERS", 7)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(df).collect()} == want
+
+
 def test_similarity_is_the_share_of_weights():
     a = (np.array([1, 2, 5], dtype=np.uint64), np.array([1.0, 2.0, 1.0]))
     b = (np.array([2, 5, 9], dtype=np.uint64), np.array([1.0, 1.0, 4.0]))

@@ -45,7 +45,7 @@ DRAW_BITS = 16
 # Leaders of a bucket grow by this factor from round to round.
 LEADERS = 64
 
-# Members of a bucket whose samples are compared with its leaders' in one task.
+# Members of a bucket whose samples are compared with so many of its leaders' in one task.
 CHUNK_MEMBERS = 4096
 
 # Bytes of text compared with one leader in one task.
@@ -210,8 +210,8 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         count = np.bincount(group[leads], minlength=len(begins))
-        # Leaders meet each other, too, but nobody meets his own class.
-        member = np.arange(len(key)) if held is None else np.arange(len(held[0]), len(key))
+        # Leaders are among the members, too; nobody meets his own class.
+        member = np.flatnonzero(~leads)
         # Members of a batch with all leaders of their bucket, a bounded number at a time.
         pairs = count[group[member]]
         cuts = np.append(np.unique(np.searchsorted(np.cumsum(pairs), np.arange(0, int(pairs.sum()) + 1, 1 << 16))), len(member))
@@ -313,20 +313,23 @@ def find_links(docs: DataFrame, signed: DataFrame, levels, threshold: float) ->
     ``signed`` has (key, bands, samples), one row per text. The first leader of a bucket is the
     text that meets most others; round ``r`` has about ``LEADERS ** r`` leaders, the
     further ones chosen by a hash, so a bucket of ``n`` kinds of text is done after a
-    logarithm of ``n`` rounds. Stored every round.
+    logarithm of ``n`` rounds. Stored every round. Members that left a bucket with
+    their class have met its leaders only, so in the end texts of a bucket that are still
+    in different classes meet, see ``_across``.
     """
     spark = docs.sparkSession
     left = signed.select(F.explode("bands").alias("bucket"), "key", F.col("key").alias("class"))
     links = spark.createDataFrame([], "a bigint, b bigint, similarity double")
     named = spark.createDataFrame([], "key bigint, class bigint")
-    near, most = None, 1
+    near, first_shared, met, most = None, None, None, 1
     while True:
         sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         # Both sides are stored or counted, so adaptive joins can split a bucket with very many texts.
-        shared = store(left.join(store(sizes), "bucket"))
+        shared = store(left.join(store(sizes), "bucket").withColumn("leads", F.least("n", F.lit(most))))
         if shared.isEmpty():
-            return links, named
-        near = candidate_texts(docs, shared) if near is None else near
+            break
+        if near is None:
+            near, first_shared = candidate_texts(docs, shared), shared
         every = F.ceil(F.col("n") / F.lit(most))
         chosen = F.pmod(F.xxhash64("key", F.lit(most)), every) == 0
         first = _most_met(shared)
@@ -336,29 +339,71 @@ def find_links(docs: DataFrame, signed: DataFrame, levels, threshold: float) ->
         )
         leaders = store(leaders)
         pairs = store(_candidates(shared, leaders, signed))
+        met = pairs if met is None else met.unionByName(pairs)
         if not pairs.isEmpty():
             similar = store(verified(near, pairs, levels).where(F.col("similarity") >= threshold))
             if not similar.isEmpty():
                 links = links.unionByName(similar.select(F.col("leader").alias("a"), F.col("member").alias("b"), "similarity"))
                 named = store(classes(links))
-        # Leaders have met all others. A member of a leader's class, by whatever links, is done
-        # with this bucket as well, which keeps a large family from meeting over and over.
+        # Leaders have met all others. A member of a leader's class, by whatever links, leaves
+        # this bucket as well, which keeps a large family from meeting over and over.
         left = store(_others(shared.select("bucket", "key"), leaders, named))
         most *= LEADERS
+    if first_shared is None:
+        return links, named
+    apart = store(_across(first_shared, named))
+    pairs = _candidates(apart, apart.where("lead").select("bucket", F.col("key").alias("leader")), signed)
+    pairs = store(pairs.join(met, ["leader", "member"], "left_anti"))
+    if not pairs.isEmpty():
+        similar = store(verified(near, pairs, levels).where(F.col("similarity") >= threshold))
+        if not similar.isEmpty():
+            links = links.unionByName(similar.select(F.col("leader").alias("a"), F.col("member").alias("b"), "similarity"))
+            named = store(classes(links))
+    return links, named
+
+
+def _across(shared: DataFrame, named: DataFrame) -> DataFrame:
+    """(bucket, key, class, n, leads, lead): buckets with texts of several classes.
+
+    All texts but those of a bucket's largest class lead, so every two texts of different
+    classes meet. In a bucket without two texts of one class nobody left but
+    leaders, and all have met.
+    """
+    found = store(
+        shared.select("bucket", "key").join(named, "key", "left")
+        .select("bucket", "key", F.coalesce("class", "key").alias("class"))
+    )
+    kinds = found.groupBy("bucket", "class").agg(F.count("*").alias("times"))
+    sizes = store(
+        kinds.groupBy("bucket").agg(
+            F.sum("times").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("times", "class")).alias("largest")
+        )
+        .where("kinds > 1 and kinds < n")
+        .select("bucket", "n", (F.col("n") - F.col("largest.times")).alias("leads"), F.col("largest.class").alias("most"))
+    )
+    return found.join(sizes, "bucket").withColumn("lead", F.col("class") != F.col("most")).drop("most")
 
 
 def _candidates(shared: DataFrame, leaders: DataFrame, signed: DataFrame) -> DataFrame:
     """(leader, member), the smaller key first: texts of a bucket that agree with a leader.
 
-    A bucket's members are dealt into chunks, each with all its leaders; only pairs
-    of different classes whose samples agree leave the task.
+    A bucket's ``n`` members are dealt into chunks, its leaders, about ``leads``, into
+    parts, and every chunk meets every part; only pairs of different classes whose samples
+    agree leave the task.
     """
-    chunks = F.expr(f"int(1 + n div {CHUNK_MEMBERS})")
-    dealt = shared.join(leaders.withColumnRenamed("leader", "key").withColumn("lead", F.lit(True)), ["bucket", "key"], "left")
-    own = F.pmod(F.xxhash64("key"), chunks).cast("int")
-    everywhere = F.sequence(F.lit(0), chunks - 1)
-    rows = dealt.select("bucket", F.explode(F.when(F.col("lead"), everywhere).otherwise(F.array(own))).alias("chunk"),
-                        F.coalesce("lead", F.lit(False)).alias("lead"), "key", "class")
+    chunks, parts = (F.expr(f"int(1 + {c} div {CHUNK_MEMBERS})") for c in ("n", "leads"))
+    led = leaders.select("bucket", F.col("leader").alias("key"), F.lit(True).alias("leader"))
+    dealt = shared.join(led, ["bucket", "key"], "left")
+    chunk = F.pmod(F.xxhash64("key"), chunks).cast("int")
+    part = F.pmod(F.xxhash64("key", F.lit("part")), parts).cast("int")
+    members = F.transform(
+        F.sequence(F.lit(0), parts - 1), lambda p: F.struct((chunk * parts + p).alias("chunk"), F.lit(False).alias("lead"))
+    )
+    leading = F.transform(
+        F.sequence(F.lit(0), chunks - 1), lambda c: F.struct((c * parts + part).alias("chunk"), F.lit(True).alias("lead"))
+    )
+    placed = F.explode(F.when(F.col("leader"), F.concat(members, leading)).otherwise(members))
+    rows = dealt.select("bucket", placed.alias("at"), "key", "class").select("bucket", "at.chunk", "at.lead", "key", "class")
     with_samples = rows.join(signed.select("key", "samples"), "key").select("bucket", "chunk", "lead", "key", "samples", "class")
     placed = with_samples.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", F.col("lead").desc())
     met = placed.mapInArrow(_agree, "leader bigint, member bigint")
@@ -425,8 +470,9 @@ def near_dedup(
 
     Each bucket of a band compares its texts with one of them, the leader; those
     that are not in its class then go on to a further round with more leaders, until
-    no bucket has two texts left. So a bucket of any size costs as many comparisons as it has
-    texts, times the different kinds of text in it.
+    no bucket has two texts left. In the end texts of a bucket that are in different classes
+    and have not met are compared, too. So a bucket of any size costs as many comparisons as
+    it has texts, times the texts outside its largest class.
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z folded; a
     text of fewer than five words is one shingle. A null text counts as empty;
