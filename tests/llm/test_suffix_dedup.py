@@ -1,6 +1,8 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from wavebook.llm import suffix_dedup, texts
 from wavebook.llm.suffix_order import suffix_order
 
 NAMES = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+SENT = suffix_dedup._record(suffix_dedup.SURROUNDING, 0).schema
 
 
 def test_suffix_order():
@@ -51,6 +54,39 @@ def test_a_text_longer_than_a_piece_has_the_cores_of_its_windows(monkeypatch):
     assert pieces.tolist() == whole.tolist()
 
 
+def removed_in_one_task(rows):
+    """What the tasks of the operator give, one after the other in this process."""
+    column = pa.array([t.encode() for t in rows], pa.binary())
+    keys = pa.array([str(i).encode() for i in range(len(rows))], pa.binary())
+    batch = pa.RecordBatch.from_arrays([column, keys], names=["text", "key"])
+    counts = pa.Table.from_batches(suffix_dedup._count_cores(iter([batch]))).group_by("core").aggregate([("n", "sum")])
+    again = counts.filter(pa.compute.greater(counts["n_sum"], 1))["core"].to_numpy().view(np.uint64)
+    listed = np.zeros(suffix_dedup.FILTER_WORDS, dtype=np.uint64)
+    np.bitwise_or.at(listed, (again % np.uint64(suffix_dedup.FILTER_WORDS)).astype(np.int64), suffix_dedup._bits(again))
+    sent = pa.Table.from_batches(suffix_dedup._surroundings(iter([batch]), SimpleNamespace(value=(listed, {}))), SENT)
+    order = np.lexsort([sent[c].to_numpy() for c in ("bucket", "core", "kind")])
+    spans = {}
+    for met in suffix_dedup._meet(iter(sent.take(pa.array(order)).combine_chunks().to_batches())):
+        for key, pairs in zip(met.column(0).to_pylist(), met.column(1).to_pylist()):
+            spans.setdefault(int(key), []).append(pairs)
+    listed = pa.array([spans.get(i) for i in range(len(rows))], pa.list_(pa.list_(pa.int32())))
+    found = suffix_dedup._remove(pa.RecordBatch.from_arrays([column, listed], names=["text", "spans"]), "text", "spans")
+    return list(zip(*(found[n].to_pylist() for n in NAMES)))
+
+
+def test_texts_longer_than_a_piece(monkeypatch):
+    """Clean ones lose nothing; repeats within, across and at the cuts all go."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1500)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    clean = [noise(n) for n in (1500, 1899, 1900, 3000, 9000, 20_000)]
+    assert removed_in_one_task(clean) == removed_bytes(clean)
+    assert all(r[1] == 0 for r in removed_in_one_task(clean))
+    shared = noise(900)
+    rows = [*clean, noise(1200) + shared + noise(4000), noise(5000) + shared, noise(700) + shared * 2 + noise(1600), "of " * 2000]
+    assert removed_in_one_task(rows) == removed_bytes(rows)
+
+
 def test_whole_tables(spark, hot_folder):
     for folder in ("/root/testdata/sf0.001", hot_folder):
         df = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")

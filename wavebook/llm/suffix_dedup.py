@@ -138,10 +138,18 @@ def cores(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield runs[places], places + low, Piece(low, high, piece, least)
 
 
+def _new_places(places: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Which cores of a piece the piece before, given by its places, does not have: those
+    in the bytes that both share are the same occurrence."""
+    return ~np.isin(places, before)
+
+
 def _count_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in texts.slices(whole, 0)):
+        before = np.zeros(0, dtype=np.int64)
         for runs, places, _ in cores(*texts.raw(batch.column(0))):
-            found, times = np.unique(runs, return_counts=True)
+            found, times = np.unique(runs[_new_places(places, before)], return_counts=True)
+            before = places
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["core", "n"])
 
 
@@ -200,11 +208,15 @@ def _surroundings(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Recor
             wanted.append(seen[key] <= 2)
         data, offsets = texts.raw(batch.column(0))
         wanted = np.array(wanted, dtype=bool)
+        before = np.zeros(0, dtype=np.int64)
         for runs, places, piece in cores(data, offsets):
             row = np.searchsorted(offsets, places, side="right") - 1
             use = _listed(table, runs) & wanted[row]
             wide = np.isin(runs, spread_cores)
-            yield from _single(data, offsets, keys, runs[use & ~wide], places[use & ~wide], row[use & ~wide])
+            # Surroundings are whole in any piece, so each goes once; strings are those of the piece.
+            once = use & ~wide & _new_places(places, before)
+            before = places
+            yield from _single(data, offsets, keys, runs[once], places[once], row[once])
             if (use & wide).any():
                 yield from _strings(offsets, keys, spread, runs[use & wide], places[use & wide], row[use & wide], piece)
 
