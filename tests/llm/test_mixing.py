@@ -68,6 +68,28 @@ def test_words_taken(spark, hot_folder, folder):
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in mixing.mix(df.repartition(7)).collect())
 
 
+def test_sources_of_a_few_blocks_come_near_their_targets(spark):
+    """A long tail of small sources beside a large one, in blocks longer than most of them."""
+    rng = random.Random(3)
+    sizes = {"large": 40_000, None: 700} | {f"tail{i}": rng.choice((1, 4, 30, 300, 900, 1500)) for i in range(60)}
+    rows = []
+    for name, size in sizes.items():
+        while size:
+            n = min(size, rng.randint(1, 60))
+            rows.append((len(rows), "w " * n, name))
+            size -= n
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df, slots=128).collect()
+    want = plain_targets(sizes)
+    taken, copied = dict.fromkeys(sizes, 0), dict.fromkeys(sizes, 0)
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size and 0 <= r.copies <= 2
+        taken[r.source] += r.taken
+        copied[r.source] += r.copies * r.size
+    for s, target in want.items():
+        assert abs(taken[s] - target) <= 0.01 * target + 10 and (taken[s] > 0) == (copied[s] > 0) == (target > 0)
+
+
 def test_awkward_rows(spark, awkward, nothing):
     out = mixing.mix(awkward)
     rows = out.collect()

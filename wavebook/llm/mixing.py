@@ -5,6 +5,10 @@ mixture are numbered, golden-ratio points of the numbers are mapped through the
 cumulative targets to a source, and the r-th slot of a source takes its r-th
 block, starting again after the last. Any stretch of slots holds each source
 nearly in its share, and nothing is drawn at random.
+
+Blocks grow with the tables, so a source of a few blocks gets no slot or too few. A source
+whose slots miss its target is settled exactly: all its words as often as they fit
+into the target, and the first ones of the shuffled source once more.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_REPEATS = 2
 
+# Slots may miss a target by this share of it and so many words; beyond, the source is settled.
+MISS_SHARE = 0.01
+MISS_WORDS = 10
+
 # 2^32 divided by the golden ratio, as a whole number.
 GOLDEN = 2654435769
 POINTS = 1 << 32
@@ -129,8 +137,8 @@ def mix(
     Returns the ``carry`` columns (all by default) and ``size`` (words of the
     text), ``source_size`` (words of its source), ``target`` (words the mixture
     wants of it), ``taken`` (words of this row in the mixture, repeats counted, at
-    most twice its size) and ``copies`` (how often the block with the row's first
-    word is taken: whole rows repeated that often come near the targets, too).
+    most twice its size) and ``copies`` (how often the row's first word is taken: whole
+    rows repeated that often come near the targets, too).
 
     Rows of a source are shuffled by a digest of id and text, so reruns agree; rows
     equal in both are alike. A null text has no words; a null source is a source
@@ -154,13 +162,28 @@ def mix(
     sizes = sized.groupBy(F.col(src).alias("source")).agg(F.sum("size").alias("source_size"))
     wanted = materialise(targets(sizes))
     uses = materialise(block_uses(schedule(wanted, slots)))
-    used = uses.groupBy("source").agg(F.sum(F.expr("uses * block_words")).alias("_all_used"))
+    # The last block of a source may be short: ``_got`` is what is there to take.
+    used = (
+        wanted.join(uses.withColumnRenamed("source", "_u"), F.col("source").eqNullSafe(F.col("_u")), "left")
+        .groupBy("source", "source_size", "target")
+        .agg(
+            F.coalesce(F.sum(F.expr("uses * block_words")), F.lit(0)).alias("_all_used"),
+            F.coalesce(F.sum(F.expr("uses * least(block_words, source_size - block * block_words)")), F.lit(0)).alias("_got"),
+        )
+    )
+    missed = F.abs(F.col("target") - F.col("_got")) > F.col("target") * MISS_SHARE + MISS_WORDS
+    none = (F.col("target") >= 1) & (F.col("_got") == 0)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sources = (
-        wanted.withColumn("_all_words", F.sum("target").over(every))
+        used.withColumn("_all_words", F.sum("target").over(every))
         .withColumn("_block_words", _block_words("_all_words", slots))
-        .join(used.withColumnRenamed("source", "_u"), F.col("source").eqNullSafe(F.col("_u")), "left")
-        .select(F.col("source").alias("_s"), "source_size", "target", "_block_words", F.coalesce("_all_used", F.lit(0)).alias("_all_used"))
+        .withColumn("_words", F.round("target").cast("bigint"))
+        .select(
+            F.col("source").alias("_s"), "source_size", "target", "_block_words", "_all_used",
+            (missed | none).alias("_settled"),
+            F.when(F.col("source_size") > 0, F.expr("_words div source_size")).otherwise(0).alias("_whole"),
+            F.when(F.col("source_size") > 0, F.expr("_words % source_size")).otherwise(0).alias("_rest"),
+        )
     )
     # The first six hex digits of the digest choose the slice.
     fraction = F.conv(F.substring(digest, 1, 6), 16, 10).cast("double") / F.lit(float(1 << 24))
@@ -179,11 +202,15 @@ def mix(
 
     def used_upto(side: str) -> Column:
         inside = F.col(f"_uses_{side}") * (at[side] - block[side] * F.col("_block_words"))
-        return F.coalesce(F.col(f"_before_{side}") + inside, F.col("_all_used"))
+        settled = F.col("_whole") * at[side] + F.least(at[side], F.col("_rest"))
+        return F.when(F.col("_settled"), settled).otherwise(F.coalesce(F.col(f"_before_{side}") + inside, F.col("_all_used")))
+
+    again = F.when(F.col(start) < F.col("_rest"), 1).otherwise(0)
+    copies = F.when(F.col("_settled"), F.col("_whole") + again).otherwise(F.coalesce("_uses_a", F.lit(0)))
 
     some = F.col("size") > 0
     return placed.select(
         *carry, "size", "source_size", "target",
         F.when(some, used_upto("b") - used_upto("a")).otherwise(0).cast("bigint").alias("taken"),
-        F.when(some, F.coalesce("_uses_a", F.lit(0))).otherwise(0).cast("int").alias("copies"),
+        F.when(some, copies).otherwise(0).cast("int").alias("copies"),
     )
