@@ -13,15 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavebook.llm import decontaminate, language, mixing, near_dedup, resharding
-from wavebook.llm.common import fresh, table
+from wavebook.llm.common import fresh, store, table
 from wavebook.llm.queries import NEW_SHARDS, old_shard
 from wavebook.session import scratch_path
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Rows with a number each: the same on every read of a Parquet table or of literal rows."""
+    """Rows with a number each, stored: numbers made anew on another read would follow its
+    splits, which depend on the executors there are when it is planned."""
     name, = fresh(docs, "_row")
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return store(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def _back(docs: DataFrame, decided: DataFrame, row: str) -> DataFrame:

@@ -8,9 +8,40 @@ import corpus_pipeline
 from tests.llm.plain import blank_words, components, letter_words, shingles
 from tests.llm.test_mixing import plain_targets
 from wavebook.llm import near_dedup
+from wavebook.llm.common import materialise
 from wavebook.llm.language import ANY_LETTER
 
 
+@pytest.mark.parametrize("stage", ["near dedup", "mixing", "sharding"])
+def test_rows_keep_their_numbers_when_later_reads_are_split_otherwise(spark, monkeypatch, tmp_path, stage):
+    """As after an executor is lost between a stage's decision and the join that brings it back."""
+    rows = [(i, f"text {i} " + f"w{i} " * (i % 7 + 6), "en", f"src{i % 3}") for i in range(60)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(6).write.parquet(path)
+    run = dict(corpus_pipeline.STAGES)[stage]
+    want = sorted(map(str, rows_of(run(spark, spark.read.parquet(path), ""))))
+    module, name = {
+        "near dedup": (corpus_pipeline.near_dedup, "near_dedup"), "mixing": (corpus_pipeline.mixing, "mix"),
+        "sharding": (corpus_pipeline.resharding, "reshard"),
+    }[stage]
+    operator = getattr(module, name)
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+
+    def decided(*args, **kwargs):
+        out = materialise(operator(*args, **kwargs))
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return out
+
+    monkeypatch.setattr(module, name, decided)
+    try:
+        got = run(spark, spark.read.parquet(path), "")
+        assert sorted(map(str, rows_of(got))) == want
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def rows_of(df):
     return [r.asDict() for r in df.collect()]
 
