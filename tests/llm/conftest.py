@@ -48,4 +48,8 @@ def hot_folder(tmp_path_factory):
             FROM '/root/testdata/sf0.001/documents.parquet') TO '{folder}/documents.parquet' (FORMAT parquet)""")
     for name in ("benchmark", "labels", "pages"):
         con.execute(f"COPY (FROM '/root/testdata/sf0.001/{name}.parquet') TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    con.execute(f"""
+      COPY (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN first_value(embedding) OVER (ORDER BY vec_id) ELSE embedding END AS embedding,
+                   CASE WHEN vec_id % 3 = 1 THEN 1 ELSE label END AS label
+            FROM '/root/testdata/sf0.01/embeddings.parquet') TO '{folder}/embeddings.parquet' (FORMAT parquet)""")
     return str(folder)

@@ -1,0 +1,85 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from wavebook.llm import fill_in_middle as fim
+from wavebook.llm.fill_in_middle import fill_in_middle, restored
+
+UNITS = re.compile(r"[A-Za-z]+|[^A-Za-z]")
+
+
+def plain(key, text):
+    """(n, form, prefix, middle, output) of one row."""
+    text = text or ""
+    units = UNITS.findall(text)
+    digest = hashlib.sha256(f"1:{'' if key is None else key}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    low, high = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, s = ("".join(x) for x in (units[:low], units[low:high], units[high:]))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return len(units), "plain", None, None, text
+    if h[3] % 100 < 20:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def texts():
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("ab é漢😀\n.1<P") for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    return rows + [
+        (1000, "a <P> b"), (1001, "<S>"), (1002, "<M"), (1003, "word " * 30_000), (1004, "x" * 200_000), (1005, "漢😀" * 20_000),
+        (None, "no id"), (None, None), (1006, ""), (1006, ""), (1007, "twice the same"), (1007, "twice the same"), (-3, "below zero"),
+    ]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_same_as_plain_and_back(spark, monkeypatch, chunk):
+    rows = [r for r in texts() if chunk > 1 or len(r[1] or "") < 1000]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(fim, "CHUNK_UNITS", chunk)
+    monkeypatch.setattr(fim, "SLICE_BYTES", 500)
+    got = fill_in_middle(df, keep_output=True).withColumn("again", restored("output", "form")).collect()
+    assert len(got) == len(rows)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in got:
+        n, form, p, m, output = plain(r.doc_id, r.text)
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars) == (n, form, p, m)
+        assert r.output == output and r.output_sha256 == digest(output)
+        assert r.restored_sha256 == digest(r.text or "") and r.again == (r.text or "")
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+
+
+def test_restoration_reads_the_output_not_the_original():
+    """Pieces in another order than they were cut come back by the marks among them."""
+    import pyarrow as pa
+
+    pieces = [None, b"<S>", b"tail", b"<P>", b"he", b"ad", b"<M>", b"mid"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * 8), pa.array(range(-1, 7), pa.int32()), pa.array(pieces, pa.binary()), pa.array([9] + [None] * 7, pa.int64()),
+         pa.array(["spm"] + [None] * 7), *[pa.array([1] + [None] * 7, pa.int64())] * 2],
+        names=["row", "position", "piece", *fim.HEAD_NAMES],
+    )
+    parts = pa.Table.from_batches(list(fim._read_output(iter([batch.slice(0, 4), batch.slice(4)]), True)))
+    rows = sorted(parts.to_pylist(), key=lambda r: (r["part"], r["position"]))
+    assert b"".join(r["piece"] for r in rows if r["part"] >= 0) == b"headmidtail"
+    assert rows[1]["piece"] == b"<S>tail<P>head<M>mid" and rows[1]["output_sha256"] == hashlib.sha256(rows[1]["piece"]).hexdigest()
+
+
+def test_one_shuffle(spark):
+    plan = fill_in_middle(spark.createDataFrame(texts(), "doc_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 1
+
+
+def test_awkward_rows_and_names(spark, awkward, nothing):
+    out = fill_in_middle(awkward)
+    assert out.columns == [*awkward.columns, *fim.OUTPUTS]
+    assert out.count() == awkward.count() and {r["row"] for r in out.collect()} == {7}
+    assert fill_in_middle(nothing).count() == 0
+    df = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
+    for name in ("row", "ROW", "position", "piece", "part", "h0", "head", "Digest"):
+        assert fill_in_middle(df.withColumn(name, F.lit("MINE"))).first()[name] == "MINE"
+    got = fill_in_middle(df.withColumn("FORM", F.lit("MINE")))
+    assert [c for c in got.columns if c.lower() == "form"] == ["form"]

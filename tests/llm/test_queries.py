@@ -9,7 +9,7 @@ from wavebook.llm import queries
 
 SQL = queries.registry.sql
 FOLDERS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
-TABLES = ("documents", "benchmark", "labels", "pages")
+TABLES = ("documents", "benchmark", "embeddings", "labels", "pages")
 
 
 def connect(folder):
@@ -49,6 +49,18 @@ def awkward_folder(spark, tmp_path_factory):
     con = duckdb.connect()
     for name in ("documents", "benchmark", "pages"):
         con.execute(f"COPY (FROM '{folder}/spark-{name}/*.parquet') TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    # Gaps in every column, values that are not finite, ids and rows twice, equal vectors, zeros.
+    con.execute(f"""
+      COPY (SELECT CASE WHEN vec_id % 11 = 3 THEN NULL WHEN vec_id % 11 = 4 THEN vec_id - 4 ELSE vec_id END AS vec_id,
+                   CASE WHEN vec_id % 13 = 5 THEN NULL
+                        WHEN vec_id % 13 = 6 THEN list_transform(embedding, lambda x, i: CASE WHEN i = 9 THEN NULL ELSE x END)
+                        WHEN vec_id % 13 = 7 THEN list_transform(embedding, lambda x, i: CASE WHEN i = 9 THEN 'nan'::FLOAT ELSE x END)
+                        WHEN vec_id % 13 = 8 THEN list_transform(embedding, lambda x, i: CASE WHEN i = 9 THEN '-inf'::FLOAT ELSE x END)
+                        WHEN vec_id % 13 = 9 THEN list_transform(embedding, lambda x: 0::FLOAT)
+                        ELSE embedding END AS embedding,
+                   CASE WHEN vec_id % 17 = 9 THEN NULL ELSE label END AS label
+            FROM '/root/testdata/sf0.01/embeddings.parquet'
+            UNION ALL FROM '/root/testdata/sf0.001/embeddings.parquet') TO '{folder}/embeddings.parquet' (FORMAT parquet)""")
     con.execute(f"COPY (SELECT 1::BIGINT AS doc_id, 1 AS quality, 0 AS toxic) TO '{folder}/labels.parquet' (FORMAT parquet)")
     return folder
 
@@ -60,4 +72,4 @@ def test_same_as_sql_on_awkward_rows(spark, awkward_folder, name):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.registry.queries)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))

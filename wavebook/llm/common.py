@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -51,6 +55,57 @@ def with_outputs(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lowered])
 
 
+def shielded(*named: str, outputs: list[str]) -> Callable:
+    """Make an operator safe from any column name of its input.
+
+    The operator takes a DataFrame ``df``, column names in the arguments ``named`` and
+    ``carry``, the columns that come back (None: all; no such argument: none). It sees only the columns asked
+    for, under names of its own, found by position, so that no helper column can clash
+    with them; the names return at the end. A carried column with the name of an
+    output, in either case, is left out for the output. Two columns whose names differ
+    in case only are told apart by their exact names.
+    """
+
+    def wrap(operator: Callable) -> Callable:
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(*args, **options) -> DataFrame:
+            bound = signature.bind(*args, **options)
+            bound.apply_defaults()
+            given = bound.arguments
+            df = given["df"]
+            exact = {c: i for i, c in reversed(list(enumerate(df.columns)))}
+            folded = {c.lower(): i for c, i in reversed(exact.items())}
+            plain = df.toDF(*[f"_in_{i}" for i in range(len(df.columns))])
+
+            def place(name: str) -> Column:
+                at = exact.get(name, folded.get(name.lower()))
+                if at is None:
+                    raise ValueError(f"no column {name!r} in {df.columns}")
+                return F.col(f"_in_{at}")
+
+            hidden = {n.lower() for n in outputs}
+            carry = given.get("carry", [])
+            carry = df.columns if carry is None else carry
+            kept = [c for c in carry if c.lower() not in hidden]
+            inside = {f"_kept_{i}": c for i, c in enumerate(kept)}
+            asked = {n: given[n] for n in named if given[n] is not None}
+            given["df"] = plain.select(
+                *[place(c).alias(i) for i, c in inside.items()], *[place(c).alias(f"_of_{n}") for n, c in asked.items()]
+            )
+            if "carry" in given:
+                given["carry"] = list(inside)
+            given.update({n: f"_of_{n}" for n in asked})
+            out = operator(*bound.args, **bound.kwargs)
+            more = [c for c in out.columns if c not in inside]
+            return out.select(*[F.col(i).alias(c) for i, c in inside.items()], *more)
+
+        return run
+
+    return wrap
+
+
 def join_counted(df: DataFrame, lookup: DataFrame, on: list[str], size: str, rows: int) -> DataFrame:
     """Left join with a lookup that knows how many rows of ``df`` each of its keys has.
 
@@ -107,6 +162,6 @@ def literal_shards(spark: SparkSession, blocks: list[tuple[int, int, int, int]])
 
 
 __all__ = [
-    "HOT_SHARE", "SLICES", "fresh", "join_counted", "literal_shards", "materialise", "running_total", "store", "table",
-    "with_outputs",
+    "HOT_SHARE", "SLICES", "fresh", "join_counted", "literal_shards", "materialise", "running_total", "shielded",
+    "store", "table", "with_outputs",
 ]

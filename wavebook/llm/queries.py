@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavebook.llm import decontaminate, exact_dedup, language, mixing, near_dedup, quality, resharding, sql
-from wavebook.llm import suffix_dedup, suffix_tree_lm, url_filter
+from wavebook.llm import decontaminate, exact_dedup, fill_in_middle, hard_negatives, language, mixing, near_dedup
+from wavebook.llm import quality, resharding, secret_scan, sql, suffix_dedup, suffix_tree_lm, url_filter
 from wavebook.llm.common import table
 from wavebook.plans.registry import Registry
 
@@ -104,3 +104,22 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op10_exact_dedup_bloom(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(documents, carry=["doc_id"])
+
+
+@registry.query(sql.HARD_NEGATIVES)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", own.alias("label"))
+    return hard_negatives.hard_negatives(vectors, every=50)
+
+
+@registry.query()
+def op12_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return secret_scan.secret_scan(documents, carry=["doc_id"])
+
+
+@registry.query(sql.FILL_IN_MIDDLE)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return fill_in_middle.fill_in_middle(documents, carry=["doc_id"])

@@ -129,3 +129,52 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (row) LEFT JOIN t USING (row)
 """
+
+HARD_NEGATIVES = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, other NULLS LAST) AS n
+  FROM s WHERE same QUALIFY n <= 5)
+SELECT p.anchor_id, p.other AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.r, p.n ORDER BY s.score DESC, s.other NULLS LAST) AS INTEGER) AS rank,
+       s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents),
+h AS (
+  SELECT *, len(units) AS n,
+         CAST('0x' || substring(digest, 1, 8) AS BIGINT) % (len(units) + 1) AS one,
+         CAST('0x' || substring(digest, 9, 8) AS BIGINT) % (len(units) + 1) AS two,
+         CAST('0x' || substring(digest, 17, 8) AS BIGINT) % 100 AS three,
+         CAST('0x' || substring(digest, 25, 8) AS BIGINT) % 100 AS four
+  FROM d),
+f AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR three >= 90
+                 THEN 'plain' WHEN four < 20 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1 : least(one, two)], '') AS prefix,
+         array_to_string(units[least(one, two) + 1 : greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1 :], '') AS suffix
+  FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM f
+"""
