@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.plain import components, letter_words, shingles
 from wavebook.llm import near_dedup
@@ -70,10 +71,79 @@ def test_edges_of_a_family_are_linked_by_members_that_leave_with_the_leader(spar
     assert {r.key: r["class"] for r in named.collect()} == {k: 0 for k in texts if k != 1}
 
 
+def loose_family(n, seed=2):
+    """Texts that each differ from one base in some places, so that most pairs are just below the threshold."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    base = [word() for _ in range(120)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.choice((1, 1, 2, 2, 3, 4))):
+            own[rng.randrange(120)] = word()
+        out.append(" ".join(own))
+    return out
+
+
+def test_recall_of_weighted_pairs_in_a_loose_family(spark):
+    """Of all pairs that weighted brute force finds at 0.8 and more, nine tenths at least share a class."""
+    texts = loose_family(2500) + [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(df).collect()}
+    levels = near_dedup.idf_levels(df, "text")
+    sets = [shingles(t) for t in texts[:2500]]
+    place = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    hashed, level, _, rows = near_dedup.weighted_sets(pa.array(texts[:2500]), levels)
+    assert len(np.unique(hashed)) == len(place)
+    column = np.unique(hashed, return_inverse=True)[1]
+    weights = near_dedup.LEVEL_WEIGHTS[level]
+    found, wanted = 0, 0
+    whole = np.zeros((2500, len(place)), dtype=np.float32)
+    whole[np.repeat(np.arange(2500), np.diff(rows)), column] = np.sqrt(weights)
+    shared = whole @ whole.T
+    total = np.diag(shared)
+    similar = shared / (total[:, None] + total[None, :] - shared)
+    a, b = np.nonzero(np.triu(similar >= 0.8, 1))
+    wanted = len(a)
+    found = sum(got[int(i)] == got[int(j)] for i, j in zip(a, b))
+    below = (np.triu(similar < 0.8, 1) & np.triu(np.ones_like(similar, dtype=bool), 1)).sum()
+    assert below > wanted > 10_000 and found >= 0.9 * wanted
+    assert all(got[i] == i for i in range(2500, 3000))
+
+
+def test_candidates_are_no_more_than_members(spark, monkeypatch):
+    """Pairs grow with the members of a family, not with their square."""
+    made = {}
+    candidates = near_dedup._candidates
+
+    def counted(shared, leaders, signed):
+        pairs = candidates(shared, leaders, signed)
+        made[n] = made.get(n, 0) + pairs.count()
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_candidates", counted)
+    for n in (300, 900):
+        df = spark.createDataFrame(list(enumerate(loose_family(n))), "doc_id bigint, text string")
+        near_dedup.near_dedup(df).count()
+    assert made[900] < 4.5 * made[300]
+
+
+def test_document_frequencies_of_cells(spark):
+    texts = families(spark)
+    levels = near_dedup.idf_levels(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), "text")
+    seen = np.zeros(near_dedup.CELLS)
+    for t in texts:
+        hashed, _, _, _ = near_dedup.weighted_sets(pa.array([t], pa.string()), levels)
+        seen[np.unique(near_dedup._cell(hashed))] += 1
+    idf = np.log((1 + len(texts)) / (1 + seen)) / np.log(1 + len(texts))
+    assert (levels == np.rint(idf * (near_dedup.LEVELS - 1))).all()
+
+
 def test_chunks_of_members_meet_parts_of_leaders(spark, monkeypatch):
     texts = families(spark)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     want = {r.doc_id: r.class_id for r in near_dedup.near_dedup(df).collect()}
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", 3000)
     monkeypatch.setattr(near_dedup, "CHUNK_MEMBERS", 7)
     assert {r.doc_id: r.class_id for r in near_dedup.near_dedup(df).collect()} == want
 
@@ -126,3 +196,14 @@ def test_awkward_rows(spark, awkward, nothing):
     alone = [r for r in rows if r.text == "a row without an id"]
     assert alone[0].class_id is None and alone[0].kept
     assert near_dedup.near_dedup(nothing).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other")], "doc_id bigint, text string")
+    names = ["key", "id", "rid", "bands", "SAMPLES", "class", "Rows", "best", "_kept_0", "_of_text", "bucket", "n"]
+    for name in names:
+        df = df.withColumn(name, F.lit(f"MINE {name}"))
+    rows = near_dedup.near_dedup(df.withColumn("KEPT", F.lit("gone"))).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {1: 1, 2: 1, 3: 3}
+    assert all(r[name] == f"MINE {name}" for r in rows for name in names) and "KEPT" not in rows[0].asDict()

@@ -14,10 +14,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wavebook.llm import texts
-from wavebook.llm.common import fresh, join_counted, store
+from wavebook.llm.common import join_counted, shielded, store
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -195,8 +195,8 @@ def _sign(batch: pa.RecordBatch, text: str, levels) -> dict[str, pa.Array]:
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leader, member) of one bucket that agree in enough samples; rows come by bucket and
-    chunk, leaders first."""
+    """(leader, member): the leader of another class in the bucket that a member agrees with in
+    most samples, if they are enough; rows come by bucket and chunk, leaders first."""
     held = None
     for batch in batches:
         bucket, chunk, key, kind = (batch.column(i).to_numpy() for i in (0, 1, 3, 5))
@@ -212,22 +212,103 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.bincount(group[leads], minlength=len(begins))
         # Leaders are among the members, too; nobody meets his own class.
         member = np.flatnonzero(~leads)
+        member = member[count[group[member]] > 0]
         # Members of a batch with all leaders of their bucket, a bounded number at a time.
         pairs = count[group[member]]
         cuts = np.append(np.unique(np.searchsorted(np.cumsum(pairs), np.arange(0, int(pairs.sum()) + 1, 1 << 16))), len(member))
         for low, high in zip(cuts, cuts[1:]):
             own, times = member[low:high], pairs[low:high]
+            if not len(own):
+                continue
             m = np.repeat(own, times)
             first = np.repeat(begins[group[own]], times)
-            l = first + np.arange(len(m)) - np.repeat(np.cumsum(times) - times, times)
-            like = (kind[m] != kind[l]) & ((samples[m] == samples[l]).mean(axis=1) >= AGREEMENT)
-            yield pa.RecordBatch.from_arrays([pa.array(key[l[like]]), pa.array(key[m[like]])], names=["leader", "member"])
+            starts = np.cumsum(times) - times
+            l = first + np.arange(len(m)) - np.repeat(starts, times)
+            agree = (samples[m] == samples[l]).sum(axis=1)
+            agree[kind[m] == kind[l]] = -1
+            most = np.maximum.reduceat(agree, starts)
+            best = np.minimum.reduceat(np.where(agree == np.repeat(most, times), l, len(key)), starts)
+            like = most >= AGREEMENT * SAMPLES
+            yield pa.RecordBatch.from_arrays([pa.array(key[best[like]]), pa.array(key[own[like]])], names=["leader", "member"])
         # The leaders of the last bucket, whose members may go on.
         last = np.arange(begins[-1], len(key))
         last = last[leads[last]]
         held = (bucket[last], chunk[last], key[last], kind[last], leads[last], samples[last])
 
 
+class _Leads:
+    """The texts of a bucket that others are compared with, as postings of their shingles."""
+
+    def __init__(self):
+        self.keys: list[int] = []
+        self.kinds: list[int] = []
+        self.sets: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parent: dict[int, int] = {}
+
+    def kind(self, kind: int) -> int:
+        """The class that a class has become part of."""
+        while (above := self.parent.get(kind, kind)) != kind:
+            kind = above
+        return kind
+
+    def close(self) -> None:
+        shingles = np.concatenate([s for s, _ in self.sets])
+        order = np.argsort(shingles)
+        self.shingles = shingles[order]
+        self.of = np.repeat(np.arange(len(self.sets)), [len(s) for s, _ in self.sets])[order]
+        self.weights = np.concatenate([w for _, w in self.sets])[order].astype(np.float64)
+        self.total = np.array([float(w.sum()) for _, w in self.sets])
+        self.sets = []
+
+    def similar(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weighted Jaccard similarity of a text to every lead."""
+        low, high = (np.searchsorted(self.shingles, shingles, side) for side in ("left", "right"))
+        times = high - low
+        at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        shared = np.bincount(self.of[at], np.minimum(self.weights[at], np.repeat(weights, times)), len(self.total))
+        return shared / np.maximum(self.total + float(weights.sum()) - shared, 1e-9)
+
+
+def _link(batches: Iterator[pa.RecordBatch], levels, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, similarity): links between the classes of a bucket, as many as connect them.
+
+    Rows come by bucket and chunk, leads first. Every member is compared with every lead
+    of another class by their whole texts; two classes with a link are one from then on, so a
+    task returns fewer links than it has texts.
+    """
+    group, leads, closed = None, _Leads(), False
+    for batch in (part for whole in batches for part in texts.slices(whole, 5, SLICE_BYTES)):
+        found: tuple[list, list, list] = ([], [], [])
+        shingles, level, counts, rows = weighted_sets(batch.column(5), levels.value)
+        weights = (LEVEL_WEIGHTS[level] * counts).astype(np.float64)
+        columns = zip(*(batch.column(i).to_pylist() for i in range(5)), rows, rows[1:])
+        for bucket, chunk, lead, key, kind, low, high in columns:
+            if (bucket, chunk) != group:
+                group, leads, closed = (bucket, chunk), _Leads(), False
+            own = (shingles[low:high], weights[low:high])
+            if lead:
+                leads.keys.append(key)
+                leads.kinds.append(kind)
+                leads.sets.append(own)
+                continue
+            if not leads.keys:
+                continue
+            if not closed:
+                leads.close()
+                closed = True
+            similar = leads.similar(*own)
+            for at in np.flatnonzero(similar >= threshold):
+                ours, theirs = leads.kind(kind), leads.kind(leads.kinds[at])
+                if ours != theirs:
+                    leads.parent[max(ours, theirs)] = min(ours, theirs)
+                    for values, value in zip(found, (leads.keys[at], key, float(similar[at]))):
+                        values.append(value)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())],
+            names=["a", "b", "similarity"],
+        )
+
+
 def _verify(batches: Iterator[pa.RecordBatch], levels) -> Iterator[pa.RecordBatch]:
     """Rows come by leader, the leader's own text first: compare each text with it."""
     leader, of = None, None
@@ -313,15 +394,16 @@ def find_links(docs: DataFrame, signed: DataFrame, levels, threshold: float) ->
     ``signed`` has (key, bands, samples), one row per text. The first leader of a bucket is the
     text that meets most others; round ``r`` has about ``LEADERS ** r`` leaders, the
     further ones chosen by a hash, so a bucket of ``n`` kinds of text is done after a
-    logarithm of ``n`` rounds. Stored every round. Members that left a bucket with
-    their class have met its leaders only, so in the end texts of a bucket that are still
-    in different classes meet, see ``_across``.
+    logarithm of ``n`` rounds. A member proposes one leader a round, so a round has no more
+    pairs than the buckets have members. Stored every round. In the end all texts of a bucket that
+    are still in different classes are compared, see ``_across``: the rounds only make
+    that fewer.
     """
     spark = docs.sparkSession
     left = signed.select(F.explode("bands").alias("bucket"), "key", F.col("key").alias("class"))
     links = spark.createDataFrame([], "a bigint, b bigint, similarity double")
     named = spark.createDataFrame([], "key bigint, class bigint")
-    near, first_shared, met, most = None, None, None, 1
+    near, first_shared, most = None, None, 1
     while True:
         sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         # Both sides are stored or counted, so adaptive joins can split a bucket with very many texts.
@@ -339,61 +421,61 @@ def find_links(docs: DataFrame, signed: DataFrame, levels, threshold: float) ->
         )
         leaders = store(leaders)
         pairs = store(_candidates(shared, leaders, signed))
-        met = pairs if met is None else met.unionByName(pairs)
         if not pairs.isEmpty():
             similar = store(verified(near, pairs, levels).where(F.col("similarity") >= threshold))
-            if not similar.isEmpty():
-                links = links.unionByName(similar.select(F.col("leader").alias("a"), F.col("member").alias("b"), "similarity"))
-                named = store(classes(links))
-        # Leaders have met all others. A member of a leader's class, by whatever links, leaves
-        # this bucket as well, which keeps a large family from meeting over and over.
+            links, named = _joined(links, named, similar.select(F.col("leader").alias("a"), F.col("member").alias("b"), "similarity"))
+        # A member of a leader's class, by whatever links, leaves this bucket with it, which
+        # keeps a large family from meeting over and over; what it misses is met in the end.
         left = store(_others(shared.select("bucket", "key"), leaders, named))
         most *= LEADERS
     if first_shared is None:
         return links, named
-    apart = store(_across(first_shared, named))
-    pairs = _candidates(apart, apart.where("lead").select("bucket", F.col("key").alias("leader")), signed)
-    pairs = store(pairs.join(met, ["leader", "member"], "left_anti"))
-    if not pairs.isEmpty():
-        similar = store(verified(near, pairs, levels).where(F.col("similarity") >= threshold))
-        if not similar.isEmpty():
-            links = links.unionByName(similar.select(F.col("leader").alias("a"), F.col("member").alias("b"), "similarity"))
-            named = store(classes(links))
-    return links, named
+    return _joined(links, named, store(_across(first_shared, named, near, levels, threshold)))
 
 
-def _across(shared: DataFrame, named: DataFrame) -> DataFrame:
-    """(bucket, key, class, n, leads, lead): buckets with texts of several classes.
+def _joined(links: DataFrame, named: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with those just found, and the classes of all."""
+    if more.isEmpty():
+        return links, named
+    links = links.unionByName(more)
+    return links, store(classes(links))
+
+
+def _across(shared: DataFrame, named: DataFrame, near: DataFrame, levels, threshold: float) -> DataFrame:
+    """(a, b, similarity): links between texts of one bucket that are in different classes.
 
     All texts but those of a bucket's largest class lead, so every two texts of different
-    classes meet. In a bucket without two texts of one class nobody left but
-    leaders, and all have met.
+    classes meet. A bucket's texts are dealt into chunks and its leads into parts, of
+    bounded bytes, and every chunk meets every part in one task, which returns links only:
+    neither pairs nor candidates are ever rows. Two texts alone in a bucket have met before.
     """
     found = store(
         shared.select("bucket", "key").join(named, "key", "left")
         .select("bucket", "key", F.coalesce("class", "key").alias("class"))
+        .join(near.select("key", "bytes"), "key")
     )
-    kinds = found.groupBy("bucket", "class").agg(F.count("*").alias("times"))
+    kinds = found.groupBy("bucket", "class").agg(F.count("*").alias("times"), F.sum("bytes").alias("bytes"))
     sizes = store(
         kinds.groupBy("bucket").agg(
-            F.sum("times").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("times", "class")).alias("largest")
+            F.sum("times").alias("n"), F.count("*").alias("kinds"), F.sum("bytes").alias("all"),
+            F.max(F.struct("times", "class", "bytes")).alias("largest"),
+        )
+        .where("kinds > 1 and n > 2")
+        .select(
+            "bucket", F.col("largest.class").alias("most"), F.expr(f"int(1 + all div {CHUNK_BYTES})").alias("chunks"),
+            F.expr(f"int(1 + (all - largest.bytes) div {CHUNK_BYTES})").alias("parts"),
         )
-        .where("kinds > 1 and kinds < n")
-        .select("bucket", "n", (F.col("n") - F.col("largest.times")).alias("leads"), F.col("largest.class").alias("most"))
     )
-    return found.join(sizes, "bucket").withColumn("lead", F.col("class") != F.col("most")).drop("most")
-
+    apart = found.join(sizes, "bucket").withColumn("leads", F.col("class") != F.col("most"))
+    at = _grid(F.col("chunks"), F.col("parts"), F.col("leads"))
+    rows = apart.select("bucket", F.explode(at).alias("at"), "key", "class").select("bucket", "at.chunk", "at.lead", "key", "class")
+    whole = rows.join(near.select("key", "text"), "key").select("bucket", "chunk", "lead", "key", "class", "text")
+    placed = whole.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", F.col("lead").desc())
+    return placed.mapInArrow(partial(_link, levels=levels, threshold=threshold), "a bigint, b bigint, similarity double")
 
-def _candidates(shared: DataFrame, leaders: DataFrame, signed: DataFrame) -> DataFrame:
-    """(leader, member), the smaller key first: texts of a bucket that agree with a leader.
 
-    A bucket's ``n`` members are dealt into chunks, its leaders, about ``leads``, into
-    parts, and every chunk meets every part; only pairs of different classes whose samples
-    agree leave the task.
-    """
-    chunks, parts = (F.expr(f"int(1 + {c} div {CHUNK_MEMBERS})") for c in ("n", "leads"))
-    led = leaders.select("bucket", F.col("leader").alias("key"), F.lit(True).alias("leader"))
-    dealt = shared.join(led, ["bucket", "key"], "left")
+def _grid(chunks: Column, parts: Column, leads: Column) -> Column:
+    """Places (chunk, lead) of a row: as a member with every part of the leads, as a lead with every chunk."""
     chunk = F.pmod(F.xxhash64("key"), chunks).cast("int")
     part = F.pmod(F.xxhash64("key", F.lit("part")), parts).cast("int")
     members = F.transform(
@@ -402,8 +484,21 @@ def _candidates(shared: DataFrame, leaders: DataFrame, signed: DataFrame) -> Dat
     leading = F.transform(
         F.sequence(F.lit(0), chunks - 1), lambda c: F.struct((c * parts + part).alias("chunk"), F.lit(True).alias("lead"))
     )
-    placed = F.explode(F.when(F.col("leader"), F.concat(members, leading)).otherwise(members))
-    rows = dealt.select("bucket", placed.alias("at"), "key", "class").select("bucket", "at.chunk", "at.lead", "key", "class")
+    return F.when(leads, F.concat(members, leading)).otherwise(members)
+
+
+def _candidates(shared: DataFrame, leaders: DataFrame, signed: DataFrame) -> DataFrame:
+    """(leader, member), the smaller key first: texts of a bucket with the leader they agree with most.
+
+    A bucket's ``n`` members are dealt into chunks, its leaders, about ``leads``, into
+    parts, and every chunk meets every part; a member leaves the task with one leader
+    at most, of another class, whose samples agree.
+    """
+    chunks, parts = (F.expr(f"int(1 + {c} div {CHUNK_MEMBERS})") for c in ("n", "leads"))
+    led = leaders.select("bucket", F.col("leader").alias("key"), F.lit(True).alias("leader"))
+    dealt = shared.join(led, ["bucket", "key"], "left")
+    at = _grid(chunks, parts, F.col("leader"))
+    rows = dealt.select("bucket", F.explode(at).alias("at"), "key", "class").select("bucket", "at.chunk", "at.lead", "key", "class")
     with_samples = rows.join(signed.select("key", "samples"), "key").select("bucket", "chunk", "lead", "key", "samples", "class")
     placed = with_samples.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", F.col("lead").desc())
     met = placed.mapInArrow(_agree, "leader bigint, member bigint")
@@ -453,6 +548,10 @@ def classes(links: DataFrame) -> DataFrame:
             return labels
 
 
+OUTPUTS = ["class_id", "class_size", "kept"]
+
+
+@shielded("text", "id_column", outputs=OUTPUTS)
 def near_dedup(
     df: DataFrame,
     text: str = "text",
@@ -471,44 +570,35 @@ def near_dedup(
     Each bucket of a band compares its texts with one of them, the leader; those
     that are not in its class then go on to a further round with more leaders, until
     no bucket has two texts left. In the end texts of a bucket that are in different classes
-    and have not met are compared, too. So a bucket of any size costs as many comparisons as
-    it has texts, times the texts outside its largest class.
+    are all compared by their whole texts, in tasks that return no more links than they have
+    texts.
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z folded; a
     text of fewer than five words is one shingle. A null text counts as empty;
     texts without words are one class only if they are equal. Rows with a missing
     id take part, the id of their class being that of others if any has one. An
-    empty table gives no rows. Output columns replace input columns of the same
-    name. The carried columns are stored once in the shared checkpoint folder.
+    empty table gives no rows. Columns of any name are carried; those of the outputs'
+    names are replaced. The carried columns are stored once in the shared checkpoint folder.
     """
-    outputs = {"class_id", "class_size", "kept"}
-    carry = [c for c in (carry or df.columns) if c.lower() not in outputs]
-    rid, own_id, own_text, row_key = fresh(df, "_rid", "_id", "_text", "_key")
     whole = F.coalesce(F.col(text), F.lit(""))
     spark = df.sparkSession
     levels = spark.sparkContext.broadcast(idf_levels(df, text))
-    keyed = df.select(
-        *[F.col(f"`{c}`") for c in carry],
-        F.col(id_column).alias(own_id), F.xxhash64(whole).alias(row_key), whole.alias(own_text),
-    )
-    signed = texts.map_batches(keyed, {"bands": "array<bigint>", "samples": "binary"}, partial(_sign, text=own_text, levels=levels), own_text, drop=(own_text,), limit=SLICE_BYTES)
-    rows = store(signed.withColumn(rid, F.monotonically_increasing_id()))
+    keyed = df.select(*carry, F.col(id_column).alias("id"), F.xxhash64(whole).alias("key"), whole.alias("text"))
+    added = {"bands": "array<bigint>", "samples": "binary"}
+    signed = texts.map_batches(keyed, added, partial(_sign, text="text", levels=levels), "text", drop=("text",), limit=SLICE_BYTES)
+    rows = store(signed.withColumn("rid", F.monotonically_increasing_id()))
     # Equal texts have equal keys and bands; they are one text from here on.
     distinct = store(
-        rows.groupBy(F.col(row_key).alias("key")).agg(
+        rows.groupBy("key").agg(
             F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.count("*").alias("rows")
         )
     )
     docs = df.select(F.xxhash64(whole).alias("key"), whole.alias("text"), F.octet_length(whole).cast("bigint").alias("bytes"))
     _, linked = find_links(docs, distinct, levels, threshold)
-    of_text = distinct.join(linked, "key", "left").select(
-        F.col("key").alias(row_key), F.coalesce("class", "key").alias("_class"), F.col("rows").alias("_rows")
-    )
+    of_text = distinct.join(linked, "key", "left").select("key", F.coalesce("class", "key").alias("class"), "rows")
     total = rows.count()
-    named = store(join_counted(rows.drop("bands", "samples"), store(of_text), [row_key], "_rows", total))
-    best = F.min(F.struct(F.col(own_id).isNull().alias("n"), F.col(own_id).alias("i"), F.col(rid).alias("r")))
-    groups = store(named.groupBy("_class").agg(best.alias("_best"), F.count("*").alias("class_size")))
-    joined = join_counted(named, groups, ["_class"], "class_size", total)
-    return joined.select(
-        *carry, F.col("_best.i").alias("class_id"), "class_size", (F.col(rid) == F.col("_best.r")).alias("kept")
-    )
+    named = store(join_counted(rows.drop("bands", "samples"), store(of_text), ["key"], "rows", total))
+    best = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("rid").alias("r")))
+    groups = store(named.groupBy("class").agg(best.alias("best"), F.count("*").alias("class_size")))
+    joined = join_counted(named, groups, ["class"], "class_size", total)
+    return joined.select(*carry, F.col("best.i").alias("class_id"), "class_size", (F.col("rid") == F.col("best.r")).alias("kept"))
