@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.plain import blank_words, components, letter_words, shingles
@@ -42,6 +43,40 @@ def test_rows_keep_their_numbers_when_later_reads_are_split_otherwise(spark, mon
             spark.conf.unset(k)
 
 
+NAMES = [
+    "file", "place", "copies", "was", "score", "langs", "lang_pred", "n_words", "spans", "contaminated", "class_id", "kept",
+    "size", "shard", "slot", "low", "high", "_s", "_row", "_keep", "_size", "_shard", "_doc_0", "_new_size", "word", "digest",
+]
+
+
+@pytest.mark.parametrize("upper", [False, True])
+@pytest.mark.parametrize("stored", [False, True])
+def test_columns_of_any_name_come_through(spark, tmp_path, upper, stored):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    names = [n.upper() if upper else n for n in NAMES]
+    docs = docs.withColumns({n: F.concat(F.lit(f"MINE {n} "), F.col("doc_id").cast("string")) for n in names})
+    if stored:
+        docs.write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        rows = rows_of(out)
+        replaced = {"size", "shard", "slot"} if n == 4 else set()
+        mine = [c for c in names if c.lower() not in replaced]
+        assert rows and all(r[c] == f"MINE {c} {r['doc_id']}" for r in rows for c in mine), name
+        assert n == 4 or out.columns == docs.columns
+
+
+def test_stages_that_read_files_store_no_texts(spark, monkeypatch):
+    def fail(df):
+        raise AssertionError("rows are stored")
+
+    monkeypatch.setattr(corpus_pipeline, "store", fail)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    numbered = corpus_pipeline._Numbered(docs).rows
+    assert numbered.select("file", "place").distinct().count() == docs.count()
+
+
 def rows_of(df):
     return [r.asDict() for r in df.collect()]
 
