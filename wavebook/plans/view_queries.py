@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from wavebook.functions import formats
-from wavebook.operators import columns, joins, linked, patch, predicates, quality, ranking, reshape, view
+from wavebook.operators import codebook, columns, joins, linked, patch, predicates, quality, ranking, reshape, view
 from wavebook.plans.registry import Registry
 from wavebook.plans.table_view import View
 from wavebook.session import scratch_path
-from wavebook.sources import files
+from wavebook.sources import files, labelled
 from wavebook.sources.tables import SCHEMAS, table
 
 registry = Registry()
@@ -41,6 +43,51 @@ def csv_roundtrip(spark, folder):
     return files.read_csv(spark, path, schema, names, "ISO-8859-1")
 
 
+STATUS_LABELS = {"F": "Filled", "O": "Öpen, still", "P": 'Partly "filled"', "X": "never used"}
+
+
+@query("""
+  WITH kinds AS (SELECT unnest(['parquet', 'orc', 'json', 'csv']) AS kind),
+  book(variable, code, label, ord) AS (VALUES
+    ('o_orderstatus', NULL, 'State of the order', 0), ('o_orderstatus', 'F', 'Filled', 1), ('o_orderstatus', 'O', 'Öpen, still', 2),
+    ('o_orderstatus', 'P', 'Partly "filled"', 3), ('o_orderstatus', 'X', 'never used', 4),
+    ('rush', NULL, 'Asked for in haste', 0), ('rush', '1', 'yes', 1), ('rush', '2', 'no', 2), ('o_totalprice', NULL, 'Price, € ', 0)),
+  codes AS (
+    SELECT 'o_orderstatus' AS variable, o_orderstatus AS code, o_totalprice AS price FROM orders UNION ALL
+    SELECT 'rush', CASE WHEN o_orderpriority LIKE '1%' THEN '1' ELSE '2' END, o_totalprice FROM orders),
+  used AS (SELECT variable, code, count(*) AS n, max(price) AS most FROM codes GROUP BY ALL)
+  SELECT kind, variable, code, label, CAST(ord AS INTEGER) AS ord, coalesce(n, 0) AS n, most,
+         CASE variable WHEN 'o_orderstatus' THEN 'string' WHEN 'rush' THEN 'int' ELSE 'double' END AS type
+  FROM kinds CROSS JOIN book LEFT JOIN used USING (variable, code)""")
+def labels_after_reload(spark, folder):
+    """Orders with labels, saved in four formats; labels, types and rows as they are read back."""
+    rush = F.when(F.col("o_orderpriority").startswith("1"), 1).otherwise(2)
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", rush.alias("rush"))
+    orders = codebook.set_variable_labels(
+        orders, o_orderstatus="State of the order", rush="Asked for in haste", o_totalprice="Price, € "
+    )
+    orders = codebook.set_value_labels(orders, o_orderstatus=STATUS_LABELS, rush={1: "yes", 2: "no"})
+    base = scratch_path(spark, "labelled-orders")
+    reports = []
+    for kind, compression in (("parquet", "zstd"), ("orc", "zstd"), ("json", "gzip"), ("csv", "gzip")):
+        path = f"{base}.{kind}"
+        labelled.write_labelled(orders, path, compression=compression)
+        back = labelled.read_labelled(spark, path)
+        pairs = [
+            F.struct(F.lit(v).alias("variable"), codebook.code_text(back, v).alias("code"), F.col("o_totalprice").alias("price"))
+            for v in ("o_orderstatus", "rush")
+        ]
+        used = back.select(F.inline(F.array(*pairs))).groupBy("variable", "code").agg(F.count("*").alias("n"), F.max("price").alias("most"))
+        types = F.create_map(*[F.lit(x) for f in back.schema for x in (f.name, f.dataType.simpleString())])
+        reports.append(
+            codebook.from_metadata(back).join(used, ["variable", "code"], "left").select(
+                F.lit(kind).alias("kind"), "variable", "code", "label", "ord", F.coalesce("n", F.lit(0)).alias("n"), "most",
+                types[F.col("variable")].alias("type"),
+            )
+        )
+    return reduce(DataFrame.unionAll, reports)
+
+
 @query("""
   SELECT kind, count(*) AS n, count(DISTINCT p_partkey) AS n_keys, max(p_name) AS last_name,
          max(p_retailprice) AS top_price

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from wavebook.functions.text import base_name
 
@@ -86,8 +87,8 @@ def write_table(
         codebook.write.mode(mode).parquet(f"{path.rstrip('/')}.codebook.parquet")
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Read back what ``write_table`` wrote."""
+def read_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Read back what ``write_table`` wrote; ``labelled.read_labelled`` brings labels with it."""
     kind = format_of(path)
     reader = spark.read.schema(schema).format(kind)
     if kind == "csv":
