@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +48,21 @@ def test_codebook_labels(spark):
     assert [r.label for r in labelled] == ["Yes", "Yes", "No"]
     placed = codebook.position(df, book, "A165", "place").orderBy("A165").collect()
     assert [r.place for r in placed] == [0, 0, 1]
+
+
+def one_after_the_other(dirty: str) -> str:
+    """The repair as its rules say it: every replacement over the whole text, in order."""
+    for old, new in text.BROKEN_SEQUENCES + text.long_forms():
+        dirty = dirty.replace(old, new)
+    dirty = dirty.translate(str.maketrans(*text.ascii_table()))
+    return re.sub(f"(?<=[A-Za-z])[{text.COMBINING}]+", "", dirty).strip(" \t\r\n")
+
+
+def test_one_pass_is_as_good_as_one_replacement_after_the_other(spark):
+    rng = random.Random(6)
+    pieces = [old for old, _ in text.BROKEN_SEQUENCES + text.long_forms()] + list("ÂÃâ€\u0092´¢©™˜œ�”")
+    pieces += list("abc \t\n'é漢́̈ŁøÇ“”‘’ …ﬁ–Ω😀") + [" plain words ", "𝔘"]
+    dirty = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(d,) for d in dirty], "t string").repartition(3)
+    got = {r.t: r.c for r in df.select("t", text.clean_text(F.col("t")).alias("c")).collect()}
+    assert {d: got[d] for d in dirty} == {d: one_after_the_other(d) for d in dirty}

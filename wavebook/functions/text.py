@@ -91,24 +91,44 @@ def long_forms() -> list[tuple[str, str]]:
     return LONG_FORMS + extra
 
 
-def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    for old, new in pairs:
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return text
+@lru_cache(maxsize=2)
+def _runs(with_sequences: bool) -> tuple[str, dict[str, str]]:
+    """(pattern, forms): how a text falls into runs, and what the special ones become.
 
+    A run is plain ASCII, one of the special texts, or other characters. No special text
+    begins inside another one, and no form has a character that begins one, so one
+    pass from the left gives what replacing them one after the other gives.
+    """
+    forms = dict(long_forms())
+    if with_sequences:
+        forms.update(BROKEN_SEQUENCES)
+    special = sorted(forms, key=lambda old: (-len(old), old))
+    first = "".join(dict.fromkeys(old[0] for old in special))
+    pattern = rf"[\x00-\x7F]+|{'|'.join(map(re.escape, special))}|[^\x00-\x7F{first}]+|[{first}]"
+    return pattern, forms
 
-def latin_to_ascii(text: Column, seen: Column | None = None) -> Column:
-    """Latin letters without their marks; other scripts are left alone.
 
-    Most texts hold only letters with a one-character form and need one pass; a
-    search for the other ones in ``seen``, the text itself by default, decides.
-    """
-    letters = "".join(letter for letter, _ in long_forms())
-    short = F.translate(text, *ascii_table())
-    full = F.translate(_replace_all(text, long_forms()), *ascii_table())
-    full = F.regexp_replace(full, f"(?=[{COMBINING}])(?<=[A-Za-z])[{COMBINING}]+", "")
-    rare = (text if seen is None else seen).rlike(f"[{letters}{COMBINING}]")
-    return F.when(rare, full).otherwise(short)
+def _in_one_pass(text: Column, with_sequences: bool) -> Column:
+    """Special texts replaced and other letters in their ASCII form, ASCII runs left as they are."""
+    pattern, forms = _runs(with_sequences)
+    known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+
+    def one(run: Column) -> Column:
+        other = F.coalesce(F.try_element_at(known, run), F.translate(run, *ascii_table()))
+        return F.when(F.octet_length(run) == F.length(run), run).otherwise(other)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one), "")
+
+
+def _without_marks(cleaned: Column, seen: Column) -> Column:
+    """Combining marks go after a letter; few texts have any, a search decides."""
+    bare = F.regexp_replace(cleaned, f"(?=[{COMBINING}])(?<=[A-Za-z])[{COMBINING}]+", "")
+    return F.when(seen.rlike(f"[{COMBINING}]"), bare).otherwise(cleaned)
+
+
+def latin_to_ascii(text: Column) -> Column:
+    """Latin letters without their marks; other scripts are left alone."""
+    return _without_marks(_in_one_pass(text, False), text)
 
 
 def trim_blanks(text: Column) -> Column:
@@ -123,15 +143,17 @@ def clean_text(text: Column, keep_capital_a: bool = False) -> Column:
     Plain ASCII text, as long in bytes as in characters, is only trimmed.
     """
     if keep_capital_a:
+        # The second one gives way to a letter here, so it cannot be one of the fixed texts.
         first, (lone, mark), *rest = BROKEN_SEQUENCES
-        repaired = F.regexp_replace(_replace_all(text, [first]), rf"{lone}(?!\p{{Ll}})", mark)
-        repaired = _replace_all(repaired, rest)
+        repaired = F.regexp_replace(F.replace(text, *map(F.lit, first)), rf"{lone}(?!\p{{Ll}})", mark)
+        for old, new in rest:
+            repaired = F.replace(repaired, F.lit(old), F.lit(new))
+        # Every broken sequence holds one of these characters.
+        repaired = F.when(text.rlike("[ÂÃ€\u0092]"), repaired).otherwise(text)
+        cleaned = latin_to_ascii(repaired)
     else:
-        repaired = _replace_all(text, BROKEN_SEQUENCES)
-    # Every broken sequence holds one of these characters.
-    repaired = F.when(text.rlike("[ÂÃ€\u0092]"), repaired).otherwise(text)
-    cleaned = trim_blanks(latin_to_ascii(repaired, text))
-    return F.when(F.octet_length(text) == F.length(text), trim_blanks(text)).otherwise(cleaned)
+        cleaned = _without_marks(_in_one_pass(text, True), text)
+    return F.when(F.octet_length(text) == F.length(text), trim_blanks(text)).otherwise(trim_blanks(cleaned))
 
 
 def base_name(path: Column) -> Column:
