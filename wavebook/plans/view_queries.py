@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from wavebook.functions import formats
-from wavebook.operators import codebook, columns, joins, linked, patch, predicates, quality, ranking, reshape, view
+from wavebook.operators import codebook, columns, joins, linked, patch, predicates, quality, ranking, reshape, search_index
+from wavebook.operators import stored_order, view
 from wavebook.plans.registry import Registry
 from wavebook.plans.table_view import View
 from wavebook.session import scratch_path
@@ -248,6 +249,23 @@ def global_search(spark, folder):
     return rows.select("p_partkey", "p_name", "p_type")
 
 
+@query(f"""
+  WITH words AS (SELECT unnest(['  Red ECON ', '#33', 'antique', 'zzz', 'a']) AS query),
+  rows AS (SELECT p_partkey, p_name, {ROW_TEXT_SQL} AS text FROM part)
+  SELECT query, p_partkey, p_name FROM rows, words
+  WHERE CASE query WHEN '  Red ECON ' THEN contains(text, 'red') AND contains(text, 'econ') ELSE contains(text, query) END""")
+def indexed_search(spark, folder):
+    """Several searches of parts through one stored index, a third of the parts appended to it later."""
+    parts, path = table(spark, folder, "part"), scratch_path(spark, "part-index")
+    search_index.build_index(parts.where("p_partkey % 3 <> 0"), path)
+    search_index.append_to_index(parts.where("p_partkey % 3 = 0"), path)
+    found = [
+        search_index.search(spark, path, words).select(F.lit(words).alias("query"), "p_partkey", "p_name")
+        for words in ("  Red ECON ", "#33", "antique", "zzz", "a")
+    ]
+    return reduce(DataFrame.unionAll, found)
+
+
 @query("SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_brand, '(?i)^brand#1\\d$')")
 def regex_search(spark, folder):
     rows = predicates.search_column(table(spark, folder, "part"), "p_brand", r"^brand#1\d$", regex=True)
@@ -460,6 +478,28 @@ def page_far_down(spark, folder):
     return view.page(orders, order, 10, 100, shallow_rows=0)
 
 
+@query("""
+  WITH o AS (
+    SELECT l_orderkey, l_linenumber, l_extendedprice, count(*) OVER () AS total,
+           row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS i
+    FROM lineitem)
+  SELECT page, pages, l_orderkey, l_linenumber, l_extendedprice
+  FROM (SELECT CAST((i - 1) // 50 + 1 AS INTEGER) AS page, CAST(ceil(total / 50) AS BIGINT) AS pages, * FROM o)
+  WHERE page IN (1, 2, 71, pages // 2, pages)""")
+def pages_of_stored_order(spark, folder):
+    """The first, a middle and the last pages of lines by price, from one stored order."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    path = scratch_path(spark, "lines-by-price")
+    order = [("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", False)]
+    stored_order.store_order(lines, order, path)
+    pages = stored_order.stored_info(spark, path, 50).first().pages
+    shown = [
+        stored_order.stored_page(spark, path, n, 50).select(F.lit(n).alias("page"), F.lit(pages).cast("bigint").alias("pages"), "*")
+        for n in sorted({n for n in (1, 2, 71, pages // 2, pages) if 1 <= n <= pages})
+    ]
+    return reduce(DataFrame.unionAll, shown)
+
+
 @query("""
   WITH o AS (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS i FROM customer),
   e AS (SELECT min(i) AS a, max(i) AS b FROM o WHERE c_custkey IN (100, 5))
