@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wavebook.llm.common import fresh, join_counted, materialise
+from wavebook.llm.common import fresh, join_counted, materialise, shielded
 
 # Words of 64 bits. The broadcast filter holds at most that many rows of 16 bytes.
 FILTER_WORDS = 1 << 21
@@ -49,6 +49,7 @@ def seen_again(digests: DataFrame, digest: str) -> DataFrame:
     )
 
 
+@shielded("text", "id_column", outputs=OUTPUTS)
 def exact_dedup(
     df: DataFrame, text: str = "text", id_column: str = "doc_id", carry: list[str] | None = None
 ) -> DataFrame:
@@ -58,13 +59,12 @@ def exact_dedup(
     ``kept`` and ``text_sha256`` of the text without blanks. Of a group the row
     with the most code points stays, then the smallest id (a missing id comes
     last); of rows equal in both, the first read. A null text counts as empty, and
-    empty texts equal each other. An empty table gives no rows. Output columns
-    replace input columns of the same name.
+    empty texts equal each other. An empty table gives no rows. Columns of any
+    name are carried; those of the outputs' names are replaced.
 
     The carried columns are stored once with the digest in the session's shared
     checkpoint folder; leave the text out of ``carry`` to keep that table narrow.
     """
-    carry = [c for c in (carry or df.columns) if c not in OUTPUTS]
     key, digest, points, row, again = fresh(df, "_key", "_digest", "_points", "_row", "_again")
     whole = F.coalesce(F.col(text), F.lit(""))
     digests = materialise(

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wavebook.llm.common import fresh, materialise, running_total
+from wavebook.llm.common import fresh, materialise, running_total, shielded
 
 # Slots of the mixture. Blocks grow with the tables, their number does not.
 SLOTS = 1 << 18
@@ -124,6 +124,7 @@ def block_uses(slots: DataFrame) -> DataFrame:
     return counted.withColumn("used_before", before)
 
 
+@shielded("text", "source", "id_column", outputs=OUTPUTS)
 def mix(
     df: DataFrame,
     text: str = "text",
@@ -143,13 +144,12 @@ def mix(
     Rows of a source are shuffled by a digest of id and text, so reruns agree; rows
     equal in both are alike. A null text has no words; a null source is a source
     of its own, the last; rows without words have ``taken`` and ``copies`` 0. An
-    empty table gives no rows. Output columns replace input columns of the same
-    name.
+    empty table gives no rows. Columns of any name are carried; those of the outputs'
+    names are replaced.
 
     The carried columns are stored once in the session's shared checkpoint folder;
     leave the text out of ``carry`` to keep that table narrow.
     """
-    carry = [c for c in (carry or df.columns) if c.lower() not in OUTPUTS]
     src, digest, start = fresh(df, "_source", "_digest", "_start")
     whole = F.coalesce(F.col(text), F.lit(""))
     seed = F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit("\n"), whole))

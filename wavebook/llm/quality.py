@@ -175,8 +175,9 @@ def train(
     )
     sample = known.orderBy("_h", "label").limit(most)
     found = (
-        df.join(F.broadcast(sample), F.col(id_column) == F.col("_id"))
-        .select(F.col(text).alias("text"), "label")
+        df.select(F.col(id_column).alias("_doc"), F.col(text).alias("text"))
+        .join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+        .select("text", "label")
         .mapInArrow(_example_terms, "cells array<int>, counts array<double>, label double")
         .toPandas()
     )

@@ -12,7 +12,7 @@ import heapq
 
 from pyspark.sql import DataFrame, functions as F
 
-from wavebook.llm.common import fresh, literal_shards, materialise, running_total
+from wavebook.llm.common import fresh, literal_shards, materialise, running_total, shielded
 
 # Bytes a row takes besides its text.
 ROW_BYTES = 16
@@ -100,6 +100,7 @@ def transfers(old_sizes: dict[int, int], capacities: list[int], cost=None) -> li
     return blocks
 
 
+@shielded("old_shard", "text", "id_column", outputs=[*OUTPUTS, "old_shard"])
 def reshard(
     df: DataFrame,
     shards: int,
@@ -120,12 +121,10 @@ def reshard(
 
     A null text has no bytes and the crc32 of none; a row with a null old shard is
     in no shard yet and always moves. Equal rows are placed one after the other.
-    An empty table gives no rows. Output columns replace input columns of the same
-    name. Rows are ordered by a digest of id and text, large ones first; the
+    An empty table gives no rows. Columns of any name are carried; those of the outputs'
+    names are replaced. Rows are ordered by a digest of id and text, large ones first; the
     totals are taken in slices, so an old shard of any size is no single task.
     """
-    names = [*OUTPUTS, "old_shard"]
-    carry = [c for c in (carry or df.columns) if c.lower() not in names]
     digest, start, large, place = fresh(df, "_digest", "_start", "_large", "_place")
     whole = F.coalesce(F.col(text), F.lit(""))
     sized = materialise(

@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from wavebook.llm import texts
-from wavebook.llm.common import fresh, materialise
+from wavebook.llm.common import fresh, materialise, shielded
 from wavebook.llm.suffix_order import suffix_order
 
 LENGTH = 400
@@ -513,6 +513,7 @@ def text_key(text):
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
+@shielded("text", outputs=list(OUTPUTS))
 def suffix_dedup(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Say what of every text stays without the bytes of repeated 400-byte strings.
 
@@ -521,9 +522,8 @@ def suffix_dedup(df: DataFrame, text: str = "text", carry: list[str] | None = No
     bytes that stay. Strings are judged on the input, every occurrence goes,
     overlaps count, and none goes across texts. A null text counts as empty; texts
     below 400 bytes lose nothing. Equal texts have equal results. An empty table
-    gives no rows. Output columns replace input columns of the same name.
+    gives no rows. Columns of any name are carried; those of the outputs' names are replaced.
     """
-    carry = [c for c in (carry or df.columns) if c.lower() not in OUTPUTS]
     own, key, spans = fresh(df, "_text", "_key", "_spans")
     found = repeated_spans(df, text).withColumnsRenamed({"key": "_found", "spans": spans})
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wavebook.llm import texts
-from wavebook.llm.common import fresh, materialise
+from wavebook.llm.common import fresh, materialise, shielded
 
 DEPTH = 3
 
@@ -250,6 +250,7 @@ def _score(batch: pa.RecordBatch, text: str, model) -> dict[str, pa.Array]:
     }
 
 
+@shielded("text", outputs=OUTPUTS)
 def score(
     df: DataFrame, tree: Tree, counts: DataFrame, text: str = "text", carry: list[str] | None = None
 ) -> DataFrame:
@@ -260,14 +261,14 @@ def score(
     (single words, one added to every count) and ``score`` (the tree). Words are
     what stands between blanks, A-Z folded. A null text counts as empty, one end.
     Without training tokens every score is 0. Equal texts score equally. An empty
-    table gives no rows. Output columns replace input columns of the same name.
+    table gives no rows. Columns of any name are carried; those of the outputs' names are
+    replaced.
 
     Frequent words are scored with the broadcast tree. A rare word cannot be in a
     longer run of the tree, so its probability is a product of the shares its
     contexts leave and its own, which a join with ``counts`` gives. The carried
     columns are stored once in the shared checkpoint folder.
     """
-    carry = [c for c in (carry or df.columns) if c.lower() not in OUTPUTS]
     own, rid = fresh(df, "_text", "_rid")
     model = df.sparkSession.sparkContext.broadcast(tree)
     added = {

@@ -8,6 +8,8 @@ digest, confirmed by the whole digest, and the longest rule wins.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wavebook.llm.common import fresh, join_counted, materialise
@@ -41,8 +43,14 @@ def _digest(host: Column, path: Column) -> Column:
 
 
 def hashed_rules(rules: DataFrame) -> DataFrame:
-    """(prefix, digest, rule, action, labels, chars) of rules (host, path, action)."""
-    return rules.select(
+    """(prefix, digest, rule, action, labels, chars) of rules (host, path, action).
+
+    Hosts are folded. Of rules for one host and path the action that comes last in the
+    alphabet holds, so ``block`` wins over ``allow``.
+    """
+    folded = F.translate("host", string.ascii_uppercase, string.ascii_lowercase)
+    one = rules.select(folded.alias("host"), "path", "action").groupBy("host", "path").agg(F.max("action").alias("action"))
+    return one.select(
         F.substring(_digest(F.col("host"), F.col("path")), 1, 4).alias("prefix"),
         _digest(F.col("host"), F.col("path")).alias("digest"),
         F.concat("host", "path").alias("rule"),
@@ -50,7 +58,7 @@ def hashed_rules(rules: DataFrame) -> DataFrame:
         F.size(F.split("host", r"\.", -1)).alias("labels"),
         F.length("path").alias("chars"),
         F.length("host").alias("host_chars"),
-    ).dropDuplicates(["digest"])
+    )
 
 
 def url_filter(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -58,7 +66,8 @@ def url_filter(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
 
     ``rules`` has ``host``, ``path`` and ``action``. A rule fits its host and all
     subdomains if the path starts with the rule's path; the longest rule wins,
-    then the one with the longer host. Without a fitting rule the rule is null and
+    then the one with the longer host. Rule hosts are taken in small letters; of two
+    rules for one host and path ``block`` wins over ``allow``. Without a fitting rule the rule is null and
     the verdict is ``default``. A null URL or one without ``://`` has an empty host
     and path. Output columns replace input columns of the same name; every input
     row comes out once. An empty table gives no rows.
