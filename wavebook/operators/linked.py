@@ -11,18 +11,29 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wavebook.operators import key_bits
 from wavebook.operators.predicates import all_of
 
 
-def option_keys(members: DataFrame, option: str, key: str, ticked: list[str]) -> DataFrame | None:
-    """Keys of all ticked options; ticking nothing clears the filter."""
+def _key_set(members: DataFrame, key: str, unique: bool) -> DataFrame:
+    keys = members.select(F.col(key).alias("key"))
+    return keys.distinct() if unique else keys
+
+
+def option_keys(
+    members: DataFrame, option: str, key: str, ticked: list[str], unique: bool = True
+) -> DataFrame | None:
+    """Keys of all ticked options; ticking nothing clears the filter.
+
+    ``unique=False`` leaves keys repeated, and saves a shuffle, where ``keep_linked`` merges them.
+    """
     if not ticked:
         return None
-    return members.where(F.col(option).isin(ticked)).select(F.col(key).alias("key")).distinct()
+    return _key_set(members.where(F.col(option).isin(ticked)), key, unique)
 
 
 def slider_keys(
-    members: DataFrame, key: str, value: Column, low=None, high=None, kind: str = "number"
+    members: DataFrame, key: str, value: Column, low=None, high=None, kind: str = "number", unique: bool = True
 ) -> DataFrame:
     """Keys with low <= value <= high. Matching nothing gives an empty key set.
 
@@ -43,7 +54,7 @@ def slider_keys(
         raise ValueError(f"unknown slider kind {kind!r}")
     bounds = [value >= low if low is not None else None, below if high is not None else None]
     kept = members.where(value.isNotNull() & all_of(bounds))
-    return kept.select(F.col(key).alias("key")).distinct()
+    return _key_set(kept, key, unique)
 
 
 def _moment(seconds: float, clock: str) -> Column:
@@ -55,14 +66,16 @@ def _moment(seconds: float, clock: str) -> Column:
 def intersect(filters: dict[str, DataFrame | None]) -> DataFrame | None:
     """Keys held by every active filter, or ``None`` if no filter is active.
 
-    All filters are read in one union and merged by key: one shuffle however
-    many filters there are.
+    All filters are read in one union and merged: one shuffle however many filters
+    there are. Whole numbers are merged as bits (``key_bits``), other keys as they are.
     """
     active = [keys for keys in filters.values() if keys is not None]
     if not active:
         return None
     if len(active) == 1:
         return active[0]
+    if all(map(key_bits.is_whole, active)):
+        return key_bits.unpack(key_bits.intersect(active), active[0].schema["key"].dataType.simpleString())
     tagged = [k.select("key", F.lit(i).alias("filter")) for i, k in enumerate(active)]
     merged = reduce(DataFrame.unionAll, tagged).groupBy("key").agg(F.size(F.collect_set("filter")).alias("held"))
     return merged.where(F.col("held") == len(active)).select("key")
@@ -80,6 +93,17 @@ def apply(df: DataFrame, key: str, keys: DataFrame | None) -> DataFrame:
     return df.join(keys.withColumnRenamed("key", key), key, "left_semi")
 
 
+def keep_linked(df: DataFrame, key: str, filters: dict[str, DataFrame | None]) -> DataFrame:
+    """Rows whose key is held by every active filter; without one, all rows.
+
+    Sets of whole numbers stay packed as bits up to the join, and may hold a key many times.
+    """
+    active = [keys for keys in filters.values() if keys is not None]
+    if active and key_bits.is_whole(df, key) and all(map(key_bits.is_whole, active)):
+        return key_bits.keep(df, key, key_bits.intersect(active))
+    return apply(df, key, intersect(filters))
+
+
 def select(previous: DataFrame | None, chosen: DataFrame | None, persistent: bool = False) -> DataFrame | None:
     """The new selection replaces the old one, or is added to it when persistent."""
     if chosen is None or not persistent or previous is None:

@@ -342,20 +342,20 @@ LINKED_SQL = """
                       WHERE epoch(ts) BETWEEN 1704067200 AND 1705500000)"""
 
 
-def _links(spark, folder) -> dict[str, DataFrame | None]:
+def _links(spark, folder, unique: bool = True) -> dict[str, DataFrame | None]:
     people = table(spark, folder, "customer")
     orders = table(spark, folder, "orders")
     events = table(spark, folder, "events")
     ticked = ["BUILDING", "MACHINERY", "FURNITURE"]
     return {
-        "segment": linked.option_keys(people, "c_mktsegment", "c_custkey", ticked),
-        "nation": linked.option_keys(people, "c_nationkey", "c_custkey", []),
-        "balance": linked.slider_keys(people, "c_custkey", F.col("c_acctbal"), 0, 7000),
+        "segment": linked.option_keys(people, "c_mktsegment", "c_custkey", ticked, unique),
+        "nation": linked.option_keys(people, "c_nationkey", "c_custkey", [], unique),
+        "balance": linked.slider_keys(people, "c_custkey", F.col("c_acctbal"), 0, 7000, unique=unique),
         "ordered": linked.slider_keys(
-            orders, "o_custkey", F.col("o_orderdate"), "1996-01-01", "1999-12-31", "date"
+            orders, "o_custkey", F.col("o_orderdate"), "1996-01-01", "1999-12-31", "date", unique
         ),
         "active": linked.slider_keys(
-            events, "user_id", F.col("ts"), 1704067200, 1705500000, "datetime"
+            events, "user_id", F.col("ts"), 1704067200, 1705500000, "datetime", unique
         ),
     }
 
@@ -363,7 +363,24 @@ def _links(spark, folder) -> dict[str, DataFrame | None]:
 @query(f"SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey IN ({LINKED_SQL})")
 def linked_filters(spark, folder):
     people = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return linked.apply(people, "c_custkey", linked.intersect(_links(spark, folder)))
+    return linked.keep_linked(people, "c_custkey", _links(spark, folder, unique=False))
+
+
+@query(f"SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey IN ({LINKED_SQL})")
+def linked_filters_by_text(spark, folder):
+    """The same filters over keys that are texts, which cannot be packed."""
+    people = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    texts = {
+        name: None if keys is None else keys.select(F.col("key").cast("string").alias("key"))
+        for name, keys in _links(spark, folder).items()
+    }
+    named = people.withColumn("text_key", F.col("c_custkey").cast("string"))
+    return linked.keep_linked(named, "text_key", texts).drop("text_key")
+
+
+@query(f"SELECT c_custkey AS key FROM ({LINKED_SQL})")
+def linked_key_set(spark, folder):
+    return linked.intersect(_links(spark, folder))
 
 
 @query("""
