@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from wavebook.functions import formats
-from wavebook.operators import codebook, columns, joins, linked, patch, predicates, quality, ranking, reshape, search_index
-from wavebook.operators import stored_order, view
+from wavebook.operators import codebook, columns, edit_store, joins, linked, patch, predicates, quality, ranking, reshape
+from wavebook.operators import search_index, stored_order, view
 from wavebook.plans.registry import Registry
 from wavebook.plans.table_view import View
 from wavebook.session import scratch_path
@@ -443,6 +443,38 @@ def append_rows(spark, folder):
     return patch.append_rows(people, table(spark, folder, "supplier"))
 
 
+EDITED_SQL = """
+  SELECT c_custkey, c_name, CASE WHEN c_acctbal >= -500 THEN c_acctbal END::DOUBLE AS c_acctbal,
+         CASE WHEN c_nationkey = 3 THEN 'LAPSED' WHEN c_acctbal < 0 THEN 'DORMANT' ELSE c_mktsegment END AS c_mktsegment
+  FROM customer"""
+STORED_FILES = 16
+
+
+def _edited(spark, folder, compact_between: bool) -> DataFrame:
+    """The customers stored, edited twice, and read; the second edits win."""
+    people = table(spark, folder, "customer")
+    path = scratch_path(spark, "edit-store")
+    edit_store.create(people.drop("c_nationkey"), "c_custkey", path, STORED_FILES)
+    cell = [F.col("c_custkey").alias("row"), F.lit("c_mktsegment").alias("col")]
+    dormant = people.where("c_acctbal < 0").select(*cell, F.lit("DORMANT").alias("value"))
+    emptied = people.where("c_acctbal < -500").select("c_custkey", F.lit("c_acctbal"), F.lit(None).cast("string"))
+    edit_store.edit(spark, path, dormant.unionAll(emptied))
+    if compact_between:
+        edit_store.compact(spark, path)
+    edit_store.edit(spark, path, people.where("c_nationkey = 3").select(*cell, F.lit("LAPSED").alias("value")))
+    return edit_store.read(spark, path)
+
+
+@query(EDITED_SQL)
+def stored_edits(spark, folder):
+    return _edited(spark, folder, compact_between=False)
+
+
+@query(EDITED_SQL)
+def compacted_edits(spark, folder):
+    return _edited(spark, folder, compact_between=True)
+
+
 # ---- table view ----------------------------------------------------------------------------
 
 
