@@ -15,7 +15,7 @@ from wavebook.plans.standins import (
     ANSWERS_SQL, INDICATORS_SQL, SPARSE_SQL, TRUST_SQL, UNEVEN_SQL,
 )
 from wavebook.session import literal_table, scratch_path
-from wavebook.sources import exports
+from wavebook.sources import exports, releases
 from wavebook.sources.tables import table
 
 registry = Registry()
@@ -696,6 +696,38 @@ def links_and_files(spark, folder):
     return exports.links_and_files(countries, "ESS10/ess10", EXPORT_ROOT, exports.written_files(spark, path))
 
 
+RELEASED_SQL = f"""
+  SELECT {CODE_SQL} AS code, count(*) AS n, count(DISTINCT o_orderkey) AS n_people, max(o_totalprice) AS top,
+         bool_or(o_totalprice > 100000 AND n_nationkey < 5) AS again
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  GROUP BY 1"""
+
+
+def _released_twice(spark, folder) -> tuple[DataFrame, str]:
+    """The survey released without the dear orders of some countries, then whole, and where."""
+    survey = _survey(spark, folder)
+    path = scratch_path(spark, "releases")
+    for part in (survey.where("not (v3 > 100000 and country_ord < 5)"), survey):
+        releases.publish_release(part, path, "ESS10/ess10", "country_iso3", "country", "country_ord")
+    return survey, path
+
+
+@query(f"SELECT code, n, n_people, top FROM ({RELEASED_SQL})")
+def release_scan(spark, folder):
+    survey, path = _released_twice(spark, folder)
+    return (
+        releases.read_release(spark, path, survey.schema).groupBy(F.col("country_iso3").alias("code"))
+        .agg(F.count("*").alias("n"), F.countDistinct("v1").alias("n_people"), F.max("v3").alias("top"))
+    )
+
+
+@query(f"SELECT 'ess10_' || code || '.sav' AS file, again FROM ({RELEASED_SQL})")
+def release_files(spark, folder):
+    """Which country files the second release wrote anew."""
+    _, path = _released_twice(spark, folder)
+    return releases.release(spark, path).select("file", F.col("run").startswith("1-").alias("again"))
+
+
 # ---- whole jobs from files with the columns they are delivered with ------------------------------
 
 TERRITORY_SQL = """CASE n_name WHEN 'NATION_0' THEN 'United Nations' WHEN 'NATION_1' THEN 'United Nations'
