@@ -26,7 +26,6 @@ def helper_names():
 def operators(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    tree, counts = suffix_tree_lm.learn(docs)
     spoken = language.train(docs)
     good = quality.train(docs.withColumn("label", F.lit("MINE")), spark.read.parquet(f"{folder}/labels.parquet"))
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -34,7 +33,7 @@ def operators(spark):
     return {
         "near dedup": near_dedup.near_dedup, "exact dedup": exact_dedup.exact_dedup, "mix": mixing.mix,
         "reshard": lambda df: resharding.reshard(df, 3, "was"), "suffix dedup": suffix_dedup.suffix_dedup,
-        "score": lambda df: suffix_tree_lm.score(df, tree, counts), "language": lambda df: language.identify(df, spoken),
+        "score": suffix_tree_lm.score, "language": lambda df: language.identify(df, spoken),
         "quality": lambda df: quality.classify(df, good), "secrets": secret_scan.secret_scan,
         "decontaminate": lambda df: decontaminate.decontaminate(df, benchmark),
         "fill in middle": fill_in_middle.fill_in_middle, "urls": lambda df: url_filter.url_filter(df, rules),

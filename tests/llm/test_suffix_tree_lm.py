@@ -1,6 +1,6 @@
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -10,18 +10,74 @@ from tests.llm.plain import blank_words
 from wavebook.llm import queries, suffix_tree_lm as lm
 
 
+class PlainTree:
+    """The whole model on dictionaries: every run counted, every context tested."""
+
+    def __init__(self, texts, depth=lm.DEPTH):
+        sequences = [[*blank_words(t), None] for t in texts]
+        self.words = Counter(w for s in sequences for w in s)
+        self.mass = sum(self.words.values()) + len(self.words) + 1
+        self.kept = {}
+        for size in range(1, depth + 1):
+            nexts = defaultdict(Counter)
+            for s in sequences:
+                for i in range(size, len(s)):
+                    nexts[tuple(s[i - size : i])][s[i]] += 1
+            tested = {}
+            for context, seen in nexts.items():
+                total = sum(seen.values())
+                own = {w: (n - lm.DISCOUNT) / total for w, n in seen.items() if n >= 2}
+                left = 1 - sum(own.values())
+                gain = sum(
+                    seen[w] * math.log((o + left * self.p(context[1:], w)) / self.p(context[1:], w)) for w, o in own.items()
+                )
+                gain += sum(n for w, n in seen.items() if w not in own) * math.log(max(left, 1e-12))
+                if own and gain > lm.DIVERGENCE * len(own):
+                    tested[context] = (left, own)
+            self.kept |= tested
+
+    def p(self, history, word):
+        p = (self.words[word] + 1) / self.mass
+        for size in range(1, min(len(history), lm.DEPTH) + 1):
+            found = self.kept.get(tuple(history[-size:]))
+            if found:
+                p = found[0] * p + found[1].get(word, 0.0)
+        return p
+
+    def score(self, text):
+        s = [*blank_words(text), None]
+        return sum(math.log10(self.p(s[max(0, i - lm.DEPTH) : i], w)) for i, w in enumerate(s))
+
+
+def same_as_plain(spark, docs):
+    """Rows (key, text, train) scored by the operator and by the plain model."""
+    tree = PlainTree([t for _, t, train in docs if train])
+    df = spark.createDataFrame(docs, "key bigint, text string, train boolean").repartition(5)
+    got = {r.key: r for r in lm.score(df, "train", carry=["key"]).collect()}
+    assert sorted(got) == sorted(k for k, _, _ in docs)
+    for key, text, _ in docs:
+        assert got[key].score == pytest.approx(tree.score(text), rel=1e-9, abs=1e-9), text[:80]
+        assert got[key].n_known == sum(tree.words[w] > 0 for w in [*blank_words(text), None])
+    return tree
+
+
+def whole_tables(folder, spark):
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    return [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in rows]
+
+
 def test_base_scores_of_whole_tables(spark, hot_folder):
     for folder in ("/root/testdata/sf0.001", hot_folder):
-        rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
-        tokens = {r.doc_id: [*blank_words(r.text), None] for r in rows}
-        held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
-        counts = Counter(t for d, ts in tokens.items() if not held[d] for t in ts)
+        rows = whole_tables(folder, spark)
+        tokens = {d: [*blank_words(t), None] for d, t, _ in rows}
+        counts = Counter(t for d, _, train in rows if train for t in tokens[d])
         n, v = sum(counts.values()), len(counts)
         got = queries.op2_suffix_tree_lm(spark, folder).collect()
         assert len(got) == len(rows)
+        learned = {d: train for d, _, train in rows}
         for r in got:
             own = tokens[r.doc_id]
-            assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(own), n)
+            assert (r.held_out, r.n_tokens, r.train_tokens) == (not learned[r.doc_id], len(own), n)
             assert r.n_known == sum(counts[t] > 0 for t in own)
             assert r.base_score == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in own), rel=1e-9)
             assert r.score <= 0
@@ -30,79 +86,77 @@ def test_base_scores_of_whole_tables(spark, hot_folder):
         assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
-def corpus(spark):
-    lines = ["a b a b a b c", "b a c a b", "c c a b a", "a b c", "the end of the line", "the end of the road"] * 20
-    return spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id bigint, text string")
-
-
-def plain_probability(tree, history, word, names):
-    """The chain of retained contexts, walked one by one."""
-    h = {w: np.uint64(x) for w, x in names.items()}
-    place = tree.words.find(np.array([h[word]]))
-    p = float(tree.root(place)[0])
-    for length in range(1, len(tree.levels) + 1):
-        if len(history) < length:
-            break
-        context = lm._hash_rows(np.array([[h[w] for w in history[-length:]]]))
-        run = lm.texts.mix(context * lm.BASE + h[word])
-        p = float(tree.step(length - 1, context, run, np.array([p]))[0])
-    return p
+@pytest.mark.parametrize("task, ranked", [(1 << 20, 1 << 20), (2000, 1 << 20), (300, 1 << 20), (2000, 200)])
+def test_scores_are_those_of_the_plain_tree(spark, hot_folder, monkeypatch, task, ranked):
+    """Whole texts, with one bucket or many, spread words and pairs, and words without a rank."""
+    monkeypatch.setattr(lm, "TASK", task)
+    monkeypatch.setattr(lm, "FREQUENT", ranked)
+    spreads = []
+    plain = lm._spread
+    monkeypatch.setattr(lm, "_spread", lambda *args: spreads.append(plain(*args)) or spreads[-1])
+    tree = same_as_plain(spark, whole_tables(hot_folder, spark))
+    assert sum(len(c) == 3 for c in tree.kept) > 20
+    spread, contexts = spreads[0]
+    assert (spread.buckets > 10) == (task < 1 << 20) and bool(contexts) == (task < 1 << 20)
+    if task == 300:
+        assert any(b for _, b in contexts.values()), "no pair is spread"
+
+
+def test_contexts_seen_twice_count_at_any_size(spark):
+    """A passage that two of many texts share is told better than one that stands once."""
+    rng = np.random.default_rng(4)
+    noise = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 60)) for _ in range(1500)]
+    twice, once = ([f"{kind}{i} {kind}{i + 1}" for i in range(30)] for kind in ("t", "o"))
+    twice, once = " ".join(twice), " ".join(once)
+    docs = [(i, t, True) for i, t in enumerate([*noise, twice, twice, once])]
+    same_as_plain(spark, docs)
+    df = spark.createDataFrame(docs, "key bigint, text string, train boolean")
+    got = {r.key: r.score / r.n_tokens for r in lm.score(df, carry=["key"]).where("key >= 1500").collect()}
+    assert got[1500] == got[1501] > got[1502] + 1
 
 
 def test_distributions_sum_to_one(spark):
-    """Over all known words and the share kept for one unknown word, in any context."""
-    import pyarrow as pa
-
-    tree, counts = lm.learn(corpus(spark))
-    words = sorted({w for r in corpus(spark).collect() for w in r.text.split()})
-    hashes, _ = lm.tokens(pa.array([" ".join(words)]))
-    names = dict(zip([*words, "</s>"], hashes.tolist()))
-    assert sum(len(level[1]) for level in tree.levels) > 3
-    unknown = 1 / (tree.total + tree.distinct + 1)
-    for history in ([], ["a"], ["a", "b"], ["the", "end", "of"], ["b", "a", "b"], ["road"]):
-        left = 1.0
-        for length in range(1, len(tree.levels) + 1):
-            if len(history) >= length:
-                context = lm._hash_rows(np.array([[np.uint64(names[w]) for w in history[-length:]]]))
-                at = tree.levels[length - 1][0].find(context)[0]
-                left *= tree.levels[length - 1][1][at] if at >= 0 else 1.0
-        total = sum(plain_probability(tree, history, w, names) for w in names)
-        assert total + left * unknown == pytest.approx(1.0, abs=1e-9)
-
-
-def test_scores_are_products_along_the_text(spark):
-    import pyarrow as pa
-
-    tree, counts = lm.learn(corpus(spark))
-    text = "the end of the line a b a new c"
-    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    got = lm.score(df, tree, counts).first()
-    words = text.split()
-    hashes, _ = lm.tokens(pa.array([text]))
-    names = dict(zip([*words, "</s>"], hashes.tolist()))
-    total, history = 0.0, []
-    for w in [*words, "</s>"]:
-        p = plain_probability(tree, history, w, names)
-        total += math.log10(p if w != "new" else p / (tree.total + tree.distinct + 1))
-        history.append(w)
-    assert got.score == pytest.approx(total, rel=1e-9) and got.n_known == len(words) and got.n_tokens == len(words) + 1
+    """Over all known words and the share of one unknown word, after any beginning."""
+    lines = ["a b a b a b c", "b a c a b", "c c a b a", "a b c", "the end of the line", "the end of the road"] * 20
+    tree = PlainTree(lines)
+    assert len(tree.kept) > 3
+    for history in ("", "a", "a b", "the end of", "b a b", "road"):
+        rows = [(0, history, False)] + [(i + 1, f"{history} {w}", False) for i, w in enumerate(w for w in tree.words if w)]
+        rows += [(len(rows), f"{history} unheardof", False)]
+        learned = [(1000 + i, t, True) for i, t in enumerate(lines)]
+        df = spark.createDataFrame(rows + learned, "key bigint, text string, train boolean")
+        got = {r.key: r.score for r in lm.score(df, "train").where("key < 1000").collect()}
+        start = sum(math.log10(tree.p(history.split()[:i], w)) for i, w in enumerate(history.split()))
+        end = {t: math.log10(tree.p(t.split(), None)) for _, t, _ in rows[1:]}
+        total = 10 ** (got[0] - start) + sum(10 ** (got[k] - start - end[t]) for k, t, _ in rows[1:])
+        assert total == pytest.approx(1.0, abs=1e-9)
 
 
 def test_contexts_that_say_nothing_are_not_kept(spark):
     """Words drawn without regard to what stands before give next to no contexts."""
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join(rng.choice(list("abcdefgh"), 40))) for i in range(200)]
-    tree, _ = lm.learn(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert sum(len(level[1]) for level in tree.levels[1:]) <= 12  # of 64 + 512
+    texts = [" ".join(rng.choice(list("abcdefgh"), 40)) for _ in range(200)]
+    tree = same_as_plain(spark, [(i, t, True) for i, t in enumerate(texts)])
+    assert sum(len(c) > 1 for c in tree.kept) <= 12  # of 64 + 512
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        columns = [rng.integers(0, 1 << bits, n, dtype=np.uint64) for bits in (1, 9, 30, 63)] + [np.zeros(n, np.uint64)]
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(lm.unpack(lm.pack(*columns)), columns))
 
 
 def test_awkward_rows(spark, awkward, nothing):
-    tree, counts = lm.learn(awkward)
-    out = lm.score(awkward.withColumn("score", F.lit("clash")), tree, counts)
+    out = lm.score(awkward.withColumn("score", F.lit("clash")))
     rows = out.collect()
     assert len(rows) == awkward.count() and "score" in out.columns and out.columns.count("score") == 1
     empty = [r for r in rows if not (r.text or "").strip()]
     assert {r.n_tokens for r in empty} == {1} and all(r.n_known == r.n_tokens for r in rows)
-    assert lm.score(nothing, tree, counts).count() == 0
-    bare, none = lm.learn(nothing)
-    assert {r.score for r in lm.score(awkward, bare, none).collect()} == {0.0}
+    by_text = defaultdict(set)
+    for r in rows:
+        by_text[r.text].add(r.score)
+    assert all(len(s) == 1 for s in by_text.values())
+    assert lm.score(nothing).count() == 0 and set(lm.score(nothing).columns) == set(awkward.columns) | set(lm.OUTPUTS)
+    untaught = lm.score(awkward.withColumn("learn", F.lit(None).cast("boolean")), "learn").collect()
+    assert len(untaught) == len(rows) and {r.score for r in untaught} == {0.0} == {r.base_score for r in untaught}

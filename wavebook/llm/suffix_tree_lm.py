@@ -1,14 +1,18 @@
 """A probabilistic suffix tree over words.
 
-States are contexts of up to three words. A context is a candidate if it has at
-least a given share of the training tokens, and it is retained if its distribution
-of the next word diverges enough from that of the longest retained context that is
-a suffix of it. Distributions are smoothed by taking half a count from every next
-word seen and giving what is free to the shorter context. A token is scored in the
-longest retained context before it.
-
-The shares bound the tree, so it is broadcast; words too rare for it, with counts
-that only the corpus bounds, are joined.
+States are contexts of up to three words. Every run of a context and a next word that
+the training texts have twice is counted, whatever the size of the corpus. A context is
+retained if its distribution of the next word diverges enough from that of the longest
+retained context that is a suffix of it. Distributions are smoothed by taking half a
+count from every next word kept and giving what is free to the shorter context. A token
+is scored in the longest retained context before it.
+
+All suffixes of a context end with the same word. So texts are cut into slices, a slice
+sends its distinct runs of four words, packed, to the bucket of the last word of their
+context, and the bucket counts all lengths, tests the contexts and returns one
+probability for each run. Words with more runs than a task should take are spread by the
+word before them, and pairs by the one before that; their next words, counted in a
+grouping of their own, then go along to each of their buckets.
 """
 
 from __future__ import annotations
@@ -19,25 +23,42 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from wavebook.llm import texts
-from wavebook.llm.common import fresh, materialise, shielded
+from wavebook.llm.common import materialise, shielded, store
+from wavebook.session import literal_table
 
 DEPTH = 3
 
-# A word or run of words is in the tree from this share of the tokens on, and twice at least.
-WORD_SHARE = 1 / (1 << 22)
-RUN_SHARE = 1 / (1 << 20)
+# Occurrences that a context and a run need, at any size of the corpus.
+LEAST = 2
 
 DISCOUNT = 0.5
 
 # Nats that a context must gain on the training tokens, for each next word it keeps.
 DIVERGENCE = 3.0
 
+# Words with short codes and broadcast counts: a bound on memory. The others have long
+# codes and joined counts, and the same scores.
+FREQUENT = 1 << 20
+
+# Tokens for a bucket, and the most words or pairs that are spread over several.
+TASK = 1 << 20
+MOST_HOT = 2048
+
+# Parts in which the next words of a spread context are gathered.
+PARTS = 16
+
 END = np.uint64(0x5D1B5D1B00000E0D)
 BASE = np.uint64(texts.BASE)
 
+# Codes: nothing before the text, a word that training has less than twice, then words
+# by rank; hashes of words without a rank have the highest bit.
+NONE, UNKNOWN, FIRST = np.uint64(0), np.uint64(1), np.uint64(2)
+TOP = np.uint64(1 << 63)
+
 OUTPUTS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -62,6 +83,38 @@ class Lookup:
         return np.where(self.keys[at] == wanted, at, -1)
 
 
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places in a sorted array, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers by bytes of equal weight, compressed."""
+    parts = []
+    for column in columns:
+        used = (int(column.max()).bit_length() + 7) // 8 if len(column) else 0
+        planes = np.ascontiguousarray(column, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :used]
+        parts += [bytes([used]), len(column).to_bytes(8, "little"), np.ascontiguousarray(planes.T).tobytes()]
+    whole = b"".join(parts)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> list[np.ndarray]:
+    whole = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    columns, at = [], 0
+    while at < len(whole):
+        used, n = whole[at], int.from_bytes(whole[at + 1 : at + 9], "little")
+        at += 9
+        planes = np.zeros((n, 8), dtype=np.uint8)
+        planes[:, :used] = np.frombuffer(whole, np.uint8, used * n, at).reshape(used, n).T
+        columns.append(planes.reshape(-1).view("<u8"))
+        at += used * n
+    return columns
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, rows) of the words of every text, each text closed by an end."""
     hashes, _, _, rows = texts.words(column, texts.UNBLANK)
@@ -74,15 +127,61 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, rows + np.arange(n + 1)
 
 
-def runs(hashes: np.ndarray, rows: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For sizes 1 to ``size``: the hash of the run of words that ends at each token, and
-    whether the text is long enough there to have one."""
-    place = np.arange(len(hashes)) - np.repeat(rows[:-1], np.diff(rows))
-    found = [(hashes, np.ones(len(hashes), dtype=bool))]
-    for n in range(2, size + 1):
-        before = np.concatenate((np.zeros(1, np.uint64), found[-1][0][:-1])) if len(hashes) else hashes
-        found.append((texts.mix(before * BASE + hashes), place >= n - 1))
-    return found
+class Words:
+    """Totals of the training tokens, and the counts of the frequent words by code."""
+
+    def __init__(self, total: int, distinct: int, hashes: np.ndarray, counts: np.ndarray):
+        self.mass = float(total + distinct + 1)
+        by_rank = np.lexsort((hashes, -counts))
+        self.counts = np.concatenate((np.zeros(int(FIRST), np.int64), counts[by_rank]))
+        order = np.argsort(hashes[by_rank])
+        self.lookup = Lookup(hashes[by_rank][order])
+        self.codes = np.append(order.astype(np.uint64) + FIRST, UNKNOWN)
+
+    def code(self, hashes: np.ndarray) -> np.ndarray:
+        """Codes by rank; the hash with its highest bit for other words."""
+        place = self.lookup.find(hashes)
+        return np.where(place >= 0, self.codes[place], hashes | TOP)
+
+    def count(self, code: np.ndarray) -> np.ndarray:
+        """Counts of words with a rank, 0 for others."""
+        ranked = code < TOP
+        return np.where(ranked, self.counts[np.where(ranked, code, UNKNOWN).astype(np.int64)], 0)
+
+
+class Spread:
+    """The bucket of every run: by the last word of its context, and for words and pairs
+    with many runs by the words before it too."""
+
+    def __init__(self, buckets: int, words: dict[int, int], pairs: dict[int, int]):
+        self.buckets = buckets
+        self.words, self.pairs = (
+            (np.array(sorted(d), dtype=np.uint64), np.array([d[k] for k in sorted(d)], dtype=np.uint64))
+            for d in (words, pairs)
+        )
+
+    @staticmethod
+    def _ways(spread, keys: np.ndarray) -> np.ndarray:
+        known, ways = spread
+        return np.append(ways, np.uint64(1))[places(known, keys)]
+
+    def bucket(self, d: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+        last = texts.mix(d)
+        before = texts.mix(b) % self._ways(self.words, last)
+        first = texts.mix(a) % self._ways(self.pairs, texts.mix(last * BASE + b))
+        return ((last % np.uint64(self.buckets)) + before + first) % np.uint64(self.buckets)
+
+    def targets(self, d: int, b: int) -> list[int]:
+        """Buckets that hold runs of a context: a word, or a pair if ``b`` is not 0."""
+        d, b = np.array([d], np.uint64), np.array([b], np.uint64)
+        last = texts.mix(d)
+        start = int(last[0] % np.uint64(self.buckets))
+        if b[0]:
+            start += int((texts.mix(b) % self._ways(self.words, last))[0])
+            ways = int(self._ways(self.pairs, texts.mix(last * BASE + b))[0])
+        else:
+            ways = int(self._ways(self.words, last)[0]) + int(self.pairs[1].max(initial=1)) - 1
+        return sorted({(start + i) % self.buckets for i in range(ways)})
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,206 +190,381 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["word", "n"])
 
 
-def _run_counts(batches: Iterator[pa.RecordBatch], size: int, frequent) -> Iterator[pa.RecordBatch]:
-    """(context, word, n) for contexts of ``size`` words, where both the context and the
-    run without its first word are frequent: no other run can be."""
-    known: Lookup = frequent.value
-    for batch in (part for whole in batches for part in texts.slices(whole, 0)):
-        hashes, rows = tokens(batch.column(0))
-        run, whole = runs(hashes, rows, size)[-1]
-        often = np.zeros(len(hashes), dtype=bool)
-        often[whole] = known.find(run[whole]) >= 0
-        inside = np.ones(len(hashes), dtype=bool)
-        inside[rows[:-1]] = False
-        at = np.flatnonzero(often[1:] & often[:-1] & inside[1:]) + 1 if len(hashes) else np.zeros(0, np.int64)
-        joined = texts.mix(run[at - 1] * BASE + hashes[at])
-        first, times = texts.distinct(joined)
-        at = at[first]
+def _slices(batches: Iterator[pa.RecordBatch], carry: list[str], model) -> Iterator[pa.RecordBatch]:
+    """One row per slice of texts: the codes of its tokens, its words without a rank, the carried columns."""
+    words: Words = model.value
+    number = TaskContext.get().partitionId() << 32
+    for batch in (part for whole in batches for part in texts.slices(whole, "_text")):
+        hashes, rows = tokens(batch.column("_text"))
+        code = words.code(hashes)
+        rare = np.unique(hashes[code >= TOP])
+        train = np.asarray(batch.column("_train").fill_null(False).cast(pa.int64())).astype(np.uint64)
+        fields = [pa.array(np.arange(batch.num_rows)), *[batch.column(c) for c in carry]]
+        carried = pa.StructArray.from_arrays(fields, names=["_place", *carry])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(run[at - 1].view(np.int64)), pa.array(hashes[at].view(np.int64)), pa.array(times)],
-            names=["context", "word", "n"],
+            [
+                pa.array([number]), pa.array([len(code)]), pa.array([pack(code, rows.astype(np.uint64), train)]),
+                pa.array([rare.view(np.int64)], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), carried),
+            ],
+            names=["slice", "n", "codes", "rare", "carried"],
         )
+        number += 1
+
+
+def _read_slice(packed: bytes, known) -> tuple[np.ndarray, ...]:
+    """(codes, rows, train flags of tokens, counts of words without a rank, as they are joined)."""
+    code, rows, train = unpack(packed)
+    rows = rows.astype(np.int64)
+    words = np.array([k["word"] for k in known or ()], dtype=np.int64).view(np.uint64) | TOP
+    counts = np.array([k["n"] for k in known or ()], dtype=np.int64)
+    order = np.argsort(words)
+    rare = np.append(counts[order], 0)[places(words[order], code)]
+    code = np.where((code >= TOP) & (rare < LEAST), UNKNOWN, code)
+    return code, rows, np.repeat(train.astype(np.int64), np.diff(rows)), rare
+
+
+def _contexts(code: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The word before every token, the one before that, and so on: none from an unknown word on."""
+    place = np.arange(len(code)) - np.repeat(rows[:-1], np.diff(rows))
+    found, there = [], np.ones(len(code), dtype=bool)
+    for n in range(1, DEPTH + 1):
+        word = np.concatenate((np.zeros(min(n, len(code)), np.uint64), code[:-n]))
+        there = there & (place >= n) & (word > UNKNOWN)
+        found.append(np.where(there, word, NONE))
+    return found
 
 
-class Tree:
-    """Retained contexts with their next words, and the frequent words.
+def _distinct_runs(code: np.ndarray, rows: np.ndarray, train: np.ndarray, rare: np.ndarray, spread: Spread):
+    """The distinct runs of a slice in the order of their buckets, and where each token has its own.
 
-    ``words`` and ``counts`` are the frequent words; per context length there are
-    the contexts with the share they leave to shorter ones, and the runs of context
-    and next word with what they add.
+    Returns (tokens with a context, their runs, columns of the runs, buckets of the runs).
     """
-
-    def __init__(self, total: int, distinct: int, words: np.ndarray, counts: np.ndarray):
-        order = np.argsort(words)
-        self.total, self.distinct = total, distinct
-        self.counts = counts[order]
-        self.words = Lookup(words[order])
-        self.levels: list[tuple[Lookup, np.ndarray, Lookup, np.ndarray]] = []
-
-    def root(self, place: np.ndarray) -> np.ndarray:
-        """Probability of words by their places; 1 for words that are not in the tree."""
-        counts = np.append(self.counts, 0)[place]
-        return np.where(place >= 0, (counts + 1.0) / (self.total + self.distinct + 1.0), 1.0)
-
-    def step(self, level: int, context: np.ndarray, run: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities in contexts of a length, given those in shorter contexts."""
-        contexts, left, nexts, added = self.levels[level]
-        at = contexts.find(context)
-        some = np.flatnonzero(at >= 0)
-        place = nexts.find(run[some])
+    d, b, a = _contexts(code, rows)
+    sent = np.flatnonzero(d)
+    vocabulary, local = np.unique(np.concatenate((code, [NONE])), return_inverse=True)
+
+    def narrow(words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(vocabulary, words[sent]).astype(np.uint64)
+
+    shift = np.uint64(32)
+    high = narrow(d) << shift | local[sent].astype(np.uint64)
+    low = narrow(b) << shift | narrow(a)
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(order)]
+    begins = np.flatnonzero(new)
+    run = np.empty(len(order), dtype=np.int64)
+    run[order] = np.cumsum(new) - 1
+    some = sent[order[begins]]
+    times = np.bincount(run, weights=train[sent], minlength=len(begins)).astype(np.uint64)
+    bucket = spread.bucket(d[some], b[some], a[some]).astype(np.int64)
+    by_bucket = np.argsort(bucket, kind="stable")
+    back = np.empty(len(begins), dtype=np.int64)
+    back[by_bucket] = np.arange(len(begins))
+    some = some[by_bucket]
+    columns = [d[some], code[some], b[some], a[some], times[by_bucket], rare[some].astype(np.uint64)]
+    return sent, back[run], columns, bucket[by_bucket]
+
+
+def _bounds(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of runs in the order of buckets."""
+    found, begins = np.unique(bucket, return_index=True)
+    return list(zip(found.tolist(), begins.tolist(), np.append(begins[1:], len(bucket)).tolist()))
+
+
+def _send(batches: Iterator[pa.RecordBatch], spread) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, packed, known in zip(*(batch.column(c).to_pylist() for c in ("slice", "codes", "known"))):
+            _, _, columns, bucket = _distinct_runs(*_read_slice(packed, known), spread.value)
+            for at, low, high in _bounds(bucket):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at]), pa.array([number]), pa.array([pack(*[c[low:high] for c in columns])])],
+                    names=["bucket", "slice", "data"],
+                )
+
+
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, b, n): tokens after words and pairs with a fair share of a slice; decides only how runs are spread."""
+    for batch in batches:
+        for packed, known in zip(*(batch.column(c).to_pylist() for c in ("codes", "known"))):
+            code, rows, _, _ = _read_slice(packed, known)
+            d, b, _ = _contexts(code, rows)
+            least = max(1, len(code) // (2 * MOST_HOT))
+            word, times = np.unique(d[d != NONE], return_counts=True)
+            word, times = word[times >= least], times[times >= least]
+            near = np.flatnonzero((places(word, d) >= 0) & (b != NONE))
+            first, pairs = texts.distinct(texts.mix(texts.mix(d[near]) * BASE + b[near]))
+            first, pairs = near[first[pairs >= least]], pairs[pairs >= least]
+            columns = np.concatenate((word, d[first])), np.concatenate((np.zeros_like(word), b[first]))
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c.view(np.int64)) for c in columns], pa.array(np.concatenate((times, pairs)))],
+                names=["d", "b", "n"],
+            )
+
+
+def _next_words(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
+    """(context, word, n, its count if it has no rank) for the spread contexts of each slice, training only."""
+    for batch in batches:
+        for packed, known in zip(*(batch.column(c).to_pylist() for c in ("codes", "known"))):
+            code, rows, train, rare = _read_slice(packed, known)
+            d, b, _ = _contexts(code, rows)
+            last = texts.mix(d)
+            for context, there in ((last, d != NONE), (texts.mix(last * BASE + b), b != NONE)):
+                at = np.flatnonzero(there & (train > 0))
+                at = at[places(hot.value, context[at]) >= 0]
+                first, times = texts.distinct(texts.mix(context[at] * BASE + code[at]))
+                at = at[first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c.view(np.int64)) for c in (context[at], code[at])] + [pa.array(times), pa.array(rare[at])],
+                    names=["context", "word", "n", "rare"],
+                )
+
+
+def _pack_words(table: pa.Table) -> pa.Table:
+    """The next words of a part of a spread context in one row."""
+    word, n, rare = (np.asarray(table.column(c)).astype(np.int64).view(np.uint64) for c in ("word", "n", "rare"))
+    known = (n >= LEAST) & (word != UNKNOWN)
+    order = np.argsort(word[known])
+    data = pack(word[known][order], n[known][order], rare[known][order])
+    total = int(n.sum())
+    return pa.table({"context": table.column("context")[:1], "total": pa.array([total]), "data": pa.array([data])})
+
+
+class Level:
+    """The tested contexts of one length in a bucket."""
+
+    def __init__(self, context, word, n, shorter, hot=None):
+        """Rows of runs with their counts; ``hot``: (contexts, totals, rows of runs) counted elsewhere."""
+        runs, first, of = np.unique(texts.mix(context * BASE + word), return_index=True, return_inverse=True)
+        many, own_context = np.bincount(of, weights=n, minlength=len(runs)), context[first]
+        self.contexts, at = np.unique(own_context, return_inverse=True)
+        total = np.bincount(at, weights=many, minlength=len(self.contexts))
+        counted = (many >= LEAST) & (word[first] != UNKNOWN)
+        shorter = shorter[first]
+        if hot:
+            contexts, totals, (hot_context, hot_word, hot_n, hot_shorter) = hot
+            place = places(self.contexts, contexts)
+            there = place >= 0
+            total[place[there]] = totals[there]
+            elsewhere = np.zeros(len(self.contexts), dtype=bool)
+            elsewhere[place[there]] = True
+            counted &= ~elsewhere[at]
+            place = places(self.contexts, hot_context)
+            more = np.flatnonzero(place >= 0)
+            hot_runs = texts.mix(hot_context[more] * BASE + hot_word[more])
+            runs, at = np.concatenate((runs[counted], hot_runs)), np.concatenate((at[counted], place[more]))
+            many = np.concatenate((many[counted], hot_n[more]))
+            shorter = np.concatenate((shorter[counted], hot_shorter[more]))
+            order = np.argsort(runs)
+            runs, at, many, shorter = runs[order], at[order], many[order], shorter[order]
+        else:
+            runs, at, many, shorter = runs[counted], at[counted], many[counted], shorter[counted]
+
+        def over(weights=None) -> np.ndarray:
+            return np.bincount(at, weights=weights, minlength=len(self.contexts)).astype(float)
+
+        own = (many - DISCOUNT) / total[at]
+        self.left = 1.0 - over(own)
+        kinds = over()
+        gain = over(many * np.log((own + self.left[at] * shorter) / shorter))
+        gain += (total - over(many)) * np.log(np.maximum(self.left, 1e-12))
+        self.kept = (kinds > 0) & (gain > DIVERGENCE * kinds)
+        self.runs, self.own = runs, np.append(own, 0.0)
+
+    def step(self, context: np.ndarray, word: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Probabilities in contexts of this length, given those in shorter ones."""
+        at = places(self.contexts, context)
+        some = np.flatnonzero((at >= 0) & self.kept[at]) if len(self.kept) else np.zeros(0, np.int64)
+        run = places(self.runs, texts.mix(context[some] * BASE + word[some]))
         out = shorter.copy()
-        out[some] = left[at[some]] * shorter[some] + np.append(added, 0.0)[place]
+        out[some] = self.left[at[some]] * shorter[some] + self.own[run]
         return out
 
-    def grow(self, sequences: np.ndarray, context_counts: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
-        """Add the contexts of the next length that pass the divergence test.
-
-        ``sequences`` has the words of every candidate context, ``context`` the row
-        there of each (context, word) with its count.
-        """
-        size = sequences.shape[1]
-        shorter = self.root(self.words.find(word))
-        hashes = _hash_rows(sequences)
-        for length in range(1, size):
-            suffix = _hash_rows(sequences[:, size - length :])[context]
-            shorter = self.step(length - 1, suffix, texts.mix(suffix * BASE + word), shorter)
-        many = len(sequences)
-
-        def total(weights: np.ndarray) -> np.ndarray:
-            return np.bincount(context, weights=weights, minlength=many).astype(float)
-
-        seen, kinds = total(n), total(np.ones(len(context)))
-        own = (n - DISCOUNT) / context_counts[context]
-        left = 1.0 - total(own)
-        gain = total(n * np.log((own + left[context] * shorter) / shorter))
-        gain += (context_counts - seen) * np.log(np.maximum(left, 1e-12))
-        keep = (kinds > 0) & (gain > DIVERGENCE * kinds)
-        order = np.argsort(hashes[keep])
-        kept = np.flatnonzero(keep[context])
-        joined = texts.mix(hashes[context[kept]] * BASE + word[kept])
-        place = np.argsort(joined)
-        self.levels.append((Lookup(hashes[keep][order]), left[keep][order], Lookup(joined[place]), own[kept][place]))
-
-
-def _hash_rows(sequences: np.ndarray) -> np.ndarray:
-    total = sequences[:, 0]
-    for i in range(1, sequences.shape[1]):
-        total = texts.mix(total * BASE + sequences[:, i])
-    return total
-
-
-def learn(df: DataFrame, text: str = "text", depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree and the stored (word, n) counts of all training tokens.
-
-    Counts of words, then of runs of two, three and more words, each from one pass
-    over the texts; runs are counted only where the shorter runs inside are
-    frequent. What reaches the driver is bounded by the shares.
-    """
-    spark = df.sparkSession
-    rows = df.select(F.col(text).alias("text"))
-    counts = materialise(rows.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    size = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    total, distinct = size.n or 0, size.v
-    words = counts.where(F.col("n") >= max(2, math.ceil(total * WORD_SHARE))).toPandas()
-    tree = Tree(total, distinct, words["word"].to_numpy().view(np.uint64), words["n"].to_numpy().astype(np.int64))
-    least = max(2, math.ceil(total * RUN_SHARE))
-    often = words[words["n"] >= least]
-    sequences = often["word"].to_numpy().view(np.uint64)[:, None]
-    context_counts = often["n"].to_numpy().astype(float)
-    for length in range(1, depth + 1):
-        hashes = _hash_rows(sequences)
-        order = np.argsort(hashes)
-        sequences, context_counts, hashes = sequences[order], context_counts[order], hashes[order]
-        known = spark.sparkContext.broadcast(Lookup(hashes))
-        found = (
-            rows.mapInArrow(partial(_run_counts, size=length, frequent=known), "context bigint, word bigint, n bigint")
-            .groupBy("context", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-        )
-        context = np.searchsorted(hashes, found["context"].to_numpy().view(np.uint64))
-        word, n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(float)
-        tree.grow(sequences, context_counts, context, word, n)
-        longer = word != END
-        sequences = np.concatenate((sequences[context[longer]], word[longer][:, None]), axis=1)
-        context_counts = n[longer]
-        known.unpersist()
-    return tree, counts
-
-
-def _score(batch: pa.RecordBatch, text: str, model) -> dict[str, pa.Array]:
-    tree: Tree = model.value
-    hashes, rows = tokens(batch.column(batch.schema.get_field_index(text)))
-    found = runs(hashes, rows, len(tree.levels) + 1)
-    place = tree.words.find(hashes)
-    root = tree.root(place)
-    p = root
-    for level in range(len(tree.levels)):
-        run, whole = found[level + 1]
-        at = np.flatnonzero(whole)
-        p = p.copy()
-        p[at] = tree.step(level, found[level][0][at - 1], run[at], p[at])
-    rare = np.flatnonzero(place < 0)
-    row = np.searchsorted(rows, rare, side="right") - 1
-    # Equal rare words of a text are one entry.
-    order = np.lexsort((hashes[rare], row))
-    row, word = row[order], hashes[rare][order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
-    begins = np.flatnonzero(new)
-    times = np.diff(np.append(begins, len(row)))
-    offsets = pa.array(np.searchsorted(row[begins], np.arange(batch.num_rows + 1)).astype(np.int32))
-    entries = pa.StructArray.from_arrays(
-        [pa.array(word[begins].view(np.int64)), pa.array(times, pa.int64())], names=["word", "times"]
-    )
-    return {
-        "n_tokens": pa.array(np.diff(rows), pa.int64()),
-        "_known": pa.array(texts.sums((place >= 0).astype(np.int64), rows), pa.int64()),
-        "_base": pa.array(texts.sums(np.log10(root), rows)),
-        "_tree": pa.array(texts.sums(np.log10(p), rows)),
-        "_rare": pa.ListArray.from_arrays(offsets, entries),
-    }
-
 
-@shielded("text", outputs=OUTPUTS)
-def score(
-    df: DataFrame, tree: Tree, counts: DataFrame, text: str = "text", carry: list[str] | None = None
-) -> DataFrame:
-    """Add log10 probabilities of every text to its row.
+def _root(words: Words, word: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Probabilities of single words; 1 for unknown ones, whose counts are joined later."""
+    return np.where(word == UNKNOWN, 1.0, (words.count(word) + rare.astype(np.int64) + 1.0) / words.mass)
+
+
+def _hot_rows(rows: list[dict], level: int, words: Words, shorter: Level | None):
+    """What ``Level`` wants to know of the spread contexts of a length."""
+    rows = [r for r in rows if bool(r["b"]) == (level == 1)]
+    if not rows:
+        return None
+    totals: dict[int, int] = {}
+    parts = []
+    for r in rows:
+        context = np.array([r["context"]], np.int64).view(np.uint64)
+        totals[int(context[0])] = totals.get(int(context[0]), 0) + r["total"]
+        word, n, rare = unpack(r["data"])
+        p = _root(words, word, rare)
+        if shorter:
+            p = shorter.step(np.repeat(texts.mix(np.array([r["d"]], np.int64).view(np.uint64)), len(word)), word, p)
+        parts.append((np.repeat(context, len(word)), word, n.astype(float), p))
+    contexts = np.array(sorted(totals), dtype=np.uint64)
+    return contexts, np.array([totals[int(c)] for c in contexts], float), [np.concatenate(c) for c in zip(*parts)]
+
+
+def _judge(table: pa.Table, model) -> pa.Table:
+    """The probability of the last word of every run in a bucket, for the slices that sent it."""
+    words: Words = model.value
+    rows = table.to_pylist()
+    hot = sorted((r for r in rows if r["slice"] is None), key=lambda r: (r["context"], r["data"]))
+    rows = [r for r in rows if r["slice"] is not None]
+    if not rows:
+        return pa.table({"slice": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+    blocks = [unpack(r["data"]) for r in rows]
+    ends = np.cumsum([len(b[0]) for b in blocks])
+    d, word, b, a, n, rare = (np.concatenate(c) for c in zip(*blocks))
+    del blocks
+    p, context, level = _root(words, word, rare), None, None
+    for size, older in enumerate((d, b, a)):
+        at = np.flatnonzero(older != NONE)
+        context = texts.mix(older) if context is None else texts.mix(context * BASE + older)
+        elsewhere = _hot_rows(hot, size, words, level) if size < 2 else None
+        level = Level(context[at], word[at], n[at].astype(float), p[at], elsewhere)
+        p[at] = level.step(context[at], word[at], p[at])
+    data = [pack(part.view(np.uint64)) for part in np.split(p, ends[:-1])]
+    return pa.table({
+        "slice": pa.array([r["slice"] for r in rows]), "bucket": pa.array([r["bucket"] for r in rows]),
+        "data": pa.array(data, pa.binary()),
+    })
+
+
+def _finish(table: pa.Table, carry: list[str], total: int, model, spread) -> pa.Table:
+    """The rows of a slice with their scores."""
+    words: Words = model.value
+    carried, packed, known, found = None, None, None, {}
+    for i, bucket in enumerate(table.column("bucket").to_pylist()):
+        if bucket is not None:
+            found[bucket] = unpack(table.column("data")[i].as_py())[0].view(np.float64)
+        elif table.column("data")[i].is_valid:
+            packed, carried = table.column("data")[i].as_py(), table.column("carried")[i].values
+        else:
+            known = table.column("known")[i].as_py()
+    code, rows, train, rare = _read_slice(packed, known)
+    sent, run, _, bucket = _distinct_runs(code, rows, train, rare, spread.value)
+    count = words.count(code) + rare
+    root = (count + 1.0) / words.mass
+    p = np.ones(len(code))
+    # Of an unknown word the buckets know only what its contexts leave to it.
+    p[sent] = np.concatenate([found[at] for at, _, _ in _bounds(bucket)])[run] if len(sent) else 1.0
+    alone = np.ones(len(code), dtype=bool)
+    alone[sent] = code[sent] == UNKNOWN
+    p = np.where(alone, p * root, p)
+
+    def per_row(values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, rows[:-1])
+
+    columns = dict(zip(["_place", *carry], carried.flatten()))
+    columns = {c: columns[c] for c in carry}
+    return pa.table({
+        **columns, "n_tokens": np.diff(rows), "n_known": per_row((count > 0).astype(np.int64)),
+        "train_tokens": np.full(len(rows) - 1, total), "base_score": per_row(np.log10(root)), "score": per_row(np.log10(p)),
+    })
+
+
+def _spread(slices: DataFrame, every: int) -> tuple[Spread, dict[int, tuple[int, int]]]:
+    """How the runs of ``every`` tokens are spread, and the spread contexts with their words."""
+    size = max(TASK, every // MOST_HOT)
+    loads = slices.mapInArrow(_loads, "d bigint, b bigint, n bigint").groupBy("d", "b").agg(F.sum("n").alias("n"))
+    words, pairs, contexts = {}, {}, {}
+    for r in loads.where(F.col("n") > size).collect():
+        d, b = (np.array([x], np.int64).view(np.uint64) for x in (r.d, r.b))
+        key = texts.mix(d) if not r.b else texts.mix(texts.mix(d) * BASE + b)
+        (pairs if r.b else words)[int(key[0])] = -(-r.n // size)
+        contexts[int(key[0])] = (int(d[0]), int(b[0]))
+    return Spread(max(1, -(-every // size)), words, pairs), contexts
+
+
+@shielded("text", "train", outputs=OUTPUTS)
+def score(df: DataFrame, train: str | None = None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Learn the tree from the texts of rows where ``train`` is true (None: all) and score all rows with it.
 
     Returns the ``carry`` columns (all by default) with ``n_tokens`` (words and one
     end), ``n_known`` (tokens seen in training), ``train_tokens``, ``base_score``
-    (single words, one added to every count) and ``score`` (the tree). Words are
-    what stands between blanks, A-Z folded. A null text counts as empty, one end.
-    Without training tokens every score is 0. Equal texts score equally. An empty
-    table gives no rows. Columns of any name are carried; those of the outputs' names are
-    replaced.
-
-    Frequent words are scored with the broadcast tree. A rare word cannot be in a
-    longer run of the tree, so its probability is a product of the shares its
-    contexts leave and its own, which a join with ``counts`` gives. The carried
-    columns are stored once in the shared checkpoint folder.
+    (log10 probability by single words, one added to every count) and ``score`` (by the tree).
+    Words are what stands between blanks, A-Z folded. A null text counts as empty, one end; a
+    null ``train`` as false. Without training tokens every score is 0. Equal texts score
+    equally. An empty table gives no rows. Columns of any name are carried; those of the outputs'
+    names are replaced.
+
+    Counts of words and the coded texts with the carried columns are stored once in the shared
+    checkpoint folder. Memory of a task is bounded by its slice or its bucket; the next words of a
+    spread context, of which every bucket needs all, by the words of the language.
     """
-    own, rid = fresh(df, "_text", "_rid")
-    model = df.sparkSession.sparkContext.broadcast(tree)
-    added = {
-        "n_tokens": "bigint", "_known": "bigint", "_base": "double", "_tree": "double",
-        "_rare": "array<struct<word:bigint,times:bigint>>",
-    }
-    rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias(own))
-    scored = texts.map_batches(rows, added, partial(_score, text=own, model=model), own, drop=(own,))
-    scored = materialise(scored.withColumn(rid, F.monotonically_increasing_id()))
-    entries = scored.select(rid, F.explode("_rare").alias("e")).select(rid, "e.word", "e.times")
-    seen = F.coalesce("n", F.lit(0))
-    mass = F.lit(float(tree.total + tree.distinct + 1))
-    joined = entries.join(counts, "word", "left").groupBy(rid).agg(
-        F.sum(F.col("times") * F.log10((seen + 1) / mass)).alias("_rest"),
-        F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("_rest_known"),
+    spark = df.sparkSession
+    own = F.col(train).cast("boolean") if train else F.lit(True)
+    rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias("_text"), own.alias("_train"))
+    counts = materialise(
+        rows.where("_train").select("_text").mapInArrow(_word_counts, "word bigint, n bigint")
+        .groupBy("word").agg(F.sum("n").alias("n"))
+    )
+    # By powers of two: how many words are that frequent.
+    powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("v"), F.sum("n").alias("n"))
+    powers = {r.power: r for r in powers.collect()}
+    total, distinct = sum(r.n for r in powers.values()), sum(r.v for r in powers.values())
+    least = 1
+    while sum(r.v for p, r in powers.items() if p >= least) > FREQUENT:
+        least += 1
+    frequent = counts.where(F.col("n") >= 1 << least).toPandas()
+    model = spark.sparkContext.broadcast(
+        Words(total, distinct, frequent["word"].to_numpy().view(np.uint64), frequent["n"].to_numpy().astype(np.int64))
     )
 
-    def with_rest(name: str) -> Column:
-        return F.col(name) + F.coalesce("_rest", F.lit(0.0))
-
-    return scored.join(joined, rid, "left").select(
-        *carry, "n_tokens", (F.col("_known") + F.coalesce("_rest_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("bigint").alias("train_tokens"),
-        with_rest("_base").alias("base_score"), with_rest("_tree").alias("score"),
+    carried = T.StructType([T.StructField("_place", T.LongType()), *[rows.schema[c] for c in carry]])
+    schema = T.StructType.fromDDL("slice bigint, n bigint, codes binary, rare array<bigint>").add("carried", T.ArrayType(carried))
+    slices = store(rows.mapInArrow(partial(_slices, carry=carry, model=model), schema))
+    rare = store(slices.select("slice", F.explode("rare").alias("word")).join(counts, "word"))
+    entries = "array<struct<word:bigint,n:bigint>>"
+    known = rare.groupBy("slice").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    coded = slices.select("slice", "n", "codes")
+    if least > 1:
+        # Words without a rank that can be part of a context.
+        often = rare.where(F.col("n") >= LEAST).groupBy("slice").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+        coded = store(coded.join(often, "slice", "left"))
+    else:
+        coded = coded.withColumn("known", F.lit(None).cast(entries))
+
+    size = coded.agg(F.count("*").alias("many"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    many = size.many
+    spread, contexts = _spread(coded, size.n)
+    ways = spark.sparkContext.broadcast(spread)
+    sent = coded.select("slice", "codes", "known").mapInArrow(partial(_send, spread=ways), "bucket bigint, slice bigint, data binary")
+    more = {c: F.lit(None).cast("bigint").alias(c) for c in ("context", "total", "d", "b")}
+    sent = sent.select("bucket", "slice", *more.values(), "data")
+    if contexts:
+        hot = spark.sparkContext.broadcast(np.array(sorted(contexts), dtype=np.uint64))
+        signed = lambda x: int(np.uint64(x).astype(np.int64))
+        targets = literal_table(
+            spark, pa.schema([(c, pa.int64()) for c in ("context", "d", "b", "bucket")]),
+            [(signed(key), signed(d), signed(b), at) for key, (d, b) in contexts.items() for at in spread.targets(d, b)],
+        )
+        nexts = (
+            coded.mapInArrow(partial(_next_words, hot=hot), "context bigint, word bigint, n bigint, rare bigint")
+            .groupBy("context", "word").agg(F.sum("n").alias("n"), F.max("rare").alias("rare"))
+            .groupBy("context", F.pmod("word", F.lit(PARTS)).alias("part"))
+            .applyInArrow(_pack_words, "context bigint, total bigint, data binary")
+        )
+        none = F.lit(None).cast("bigint").alias("slice")
+        sent = sent.unionByName(nexts.join(targets, "context").select("bucket", none, "context", "total", "d", "b", "data"))
+    judged = sent.repartition(spread.buckets, "bucket").groupBy("bucket").applyInArrow(
+        lambda group: _judge(group, model), "slice bigint, bucket bigint, data binary"
+    )
+    lists = {"known": known.schema["known"].dataType, "carried": slices.schema["carried"].dataType}
+
+    def row(df: DataFrame) -> DataFrame:
+        """With the columns of the three kinds of rows that meet in a slice."""
+        have = set(df.columns)
+        plain = {"bucket": "bigint", "data": "binary", **lists}
+        return df.select("slice", *[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in plain.items()])
+
+    together = row(judged).unionByName(row(slices.withColumnRenamed("codes", "data").drop("n", "rare"))).unionByName(row(known))
+    out = T.StructType([
+        *[rows.schema[c] for c in carry],
+        *T.StructType.fromDDL("n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields,
+    ])
+    return together.repartition(max(1, many), "slice").groupBy("slice").applyInArrow(
+        lambda group: _finish(group, carry, total, model, ways), out
     )
