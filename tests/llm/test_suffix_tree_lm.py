@@ -145,6 +145,10 @@ def test_packed_columns_come_back():
     for n in (0, 1, 1000):
         columns = [rng.integers(0, 1 << bits, n, dtype=np.uint64) for bits in (1, 9, 30, 63)] + [np.zeros(n, np.uint64)]
         assert all((a == b).all() and len(a) == len(b) for a, b in zip(lm.unpack(lm.pack(*columns)), columns))
+        few = [rng.integers(0, 5, n, dtype=np.uint64) for _ in range(3)]
+        ordered = [c[np.lexsort(few[::-1])] for c in few]
+        back = lm.unpack_sorted(lm.pack_sorted(ordered, columns), 3)
+        assert len(back) == 8 and all((a == b).all() for a, b in zip(back, [*ordered, *columns]))
 
 
 def test_awkward_rows(spark, awkward, nothing):

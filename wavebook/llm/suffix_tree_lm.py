@@ -9,8 +9,8 @@ is scored in the longest retained context before it.
 
 All suffixes of a context end with the same word. So texts are cut into slices, a slice
 sends its distinct runs of four words, packed, to the bucket of the last word of their
-context, and the bucket counts all lengths, tests the contexts and returns one
-probability for each run. Words with more runs than a task should take are spread by the
+context, and the bucket counts all lengths, tests the contexts and returns the counts of
+the retained ones for each run. Words with more runs than a task should take are spread by the
 word before them, and pairs by the one before that; their next words, counted in a
 grouping of their own, then go along to each of their buckets.
 """
@@ -35,6 +35,7 @@ DEPTH = 3
 # Occurrences that a context and a run need, at any size of the corpus.
 LEAST = 2
 
+# Counts are sent doubled less one, so this is not to be changed alone.
 DISCOUNT = 0.5
 
 # Nats that a context must gain on the training tokens, for each next word it keeps.
@@ -59,6 +60,9 @@ BASE = np.uint64(texts.BASE)
 NONE, UNKNOWN, FIRST = np.uint64(0), np.uint64(1), np.uint64(2)
 TOP = np.uint64(1 << 63)
 
+# Inside a slice words without a rank have their place in its list of such words, from here on.
+LISTED = 2 * FREQUENT
+
 OUTPUTS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -67,13 +71,16 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
-        bits = min(24, max(4, math.ceil(math.log2(len(keys) + 1)) + 1))
-        self.down = np.uint64(64 - bits)
-        cells = np.arange(1 << bits, dtype=np.uint64) << self.down
-        self.first = np.searchsorted(keys, cells).astype(np.int32)
+        self.first = None
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
+        if self.first is None:
+            # Made in the task, so that it is not broadcast.
+            bits = min(24, max(4, math.ceil(math.log2(len(self.keys))) + 1))
+            self.down = np.uint64(64 - bits)
+            cells = np.arange(1 << bits, dtype=np.uint64) << self.down
+            self.first = np.searchsorted(self.keys[:-1], cells).astype(np.int32)
         at = self.first[(wanted >> self.down).astype(np.int64)].astype(np.int64)
         here = self.keys[at]
         later = np.flatnonzero(here < wanted)
@@ -83,6 +90,16 @@ class Lookup:
         return np.where(self.keys[at] == wanted, at, -1)
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of every distinct key, in the order of keys; for every key the number of its group)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    group = np.empty(len(keys), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group
+
+
 def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places in a sorted array, or -1."""
     if not len(keys):
@@ -115,6 +132,34 @@ def unpack(packed: bytes) -> list[np.ndarray]:
     return columns
 
 
+def _groups(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def pack_sorted(ordered: list[np.ndarray], others: list[np.ndarray]) -> bytes:
+    """``pack`` of rows sorted by ``ordered``: of these, what each adds to the one before among equal beginnings."""
+    steps = [ordered[0]]
+    for i in range(1, len(ordered)):
+        new = _groups(ordered[:i])
+        step = ordered[i].copy()
+        step[1:] -= np.where(new[1:], np.uint64(0), ordered[i][:-1])
+        steps.append(step)
+    return pack(*steps, *others)
+
+
+def unpack_sorted(packed: bytes, ordered: int) -> list[np.ndarray]:
+    columns = unpack(packed)
+    for i in range(1, ordered):
+        begins = np.flatnonzero(_groups(columns[:i]))
+        total = np.cumsum(columns[i], dtype=np.uint64)
+        base = total[begins] - columns[i][begins]
+        columns[i] = total - np.repeat(base, np.diff(np.append(begins, len(total))))
+    return columns
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, rows) of the words of every text, each text closed by an end."""
     hashes, _, _, rows = texts.words(column, texts.UNBLANK)
@@ -136,7 +181,7 @@ class Words:
         self.counts = np.concatenate((np.zeros(int(FIRST), np.int64), counts[by_rank]))
         order = np.argsort(hashes[by_rank])
         self.lookup = Lookup(hashes[by_rank][order])
-        self.codes = np.append(order.astype(np.uint64) + FIRST, UNKNOWN)
+        self.codes = np.append(order + int(FIRST), int(UNKNOWN)).astype(np.uint32)
 
     def code(self, hashes: np.ndarray) -> np.ndarray:
         """Codes by rank; the hash with its highest bit for other words."""
@@ -197,13 +242,15 @@ def _slices(batches: Iterator[pa.RecordBatch], carry: list[str], model) -> Itera
     for batch in (part for whole in batches for part in texts.slices(whole, "_text")):
         hashes, rows = tokens(batch.column("_text"))
         code = words.code(hashes)
-        rare = np.unique(hashes[code >= TOP])
+        unranked = code >= TOP
+        rare, place = np.unique(hashes[unranked], return_inverse=True)
+        code[unranked] = place.astype(np.uint64) + np.uint64(LISTED)
         train = np.asarray(batch.column("_train").fill_null(False).cast(pa.int64())).astype(np.uint64)
         fields = [pa.array(np.arange(batch.num_rows)), *[batch.column(c) for c in carry]]
         carried = pa.StructArray.from_arrays(fields, names=["_place", *carry])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([number]), pa.array([len(code)]), pa.array([pack(code, rows.astype(np.uint64), train)]),
+                pa.array([number]), pa.array([len(code)]), pa.array([_pack_slice(code, rows.astype(np.uint64), train)]),
                 pa.array([rare.view(np.int64)], pa.list_(pa.int64())),
                 pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), carried),
             ],
@@ -212,26 +259,49 @@ def _slices(batches: Iterator[pa.RecordBatch], carry: list[str], model) -> Itera
         number += 1
 
 
+def _pack_slice(code: np.ndarray, rows: np.ndarray, train: np.ndarray) -> bytes:
+    """Codes stay in the order of the texts, as many bytes each as the largest needs, so that
+    the compression finds repeated passages."""
+    width = (int(code.max(initial=0)).bit_length() + 7) // 8 or 1
+    shape = pack(rows, train, np.array([width], np.uint64))
+    plain = np.ascontiguousarray(code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return len(shape).to_bytes(8, "little") + shape + len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
 def _read_slice(packed: bytes, known) -> tuple[np.ndarray, ...]:
     """(codes, rows, train flags of tokens, counts of words without a rank, as they are joined)."""
-    code, rows, train = unpack(packed)
+    end = 8 + int.from_bytes(packed[:8], "little")
+    rows, train, width = unpack(packed[8:end])
+    size = int.from_bytes(packed[end : end + 8], "little")
+    plain = pa.decompress(packed[end + 8 :], size, codec="zstd", asbytes=True)
+    code = np.zeros((size // int(width[0]), 8), dtype=np.uint8)
+    code[:, : int(width[0])] = np.frombuffer(plain, np.uint8).reshape(len(code), -1)
+    code = code.reshape(-1).view("<i8")
+    place = np.maximum(code - LISTED, -1)
+    # One more, 0 and unknown, for the words that have a rank.
+    counts = np.zeros(int(place.max(initial=-1)) + 2, dtype=np.int64)
+    words = np.full(len(counts), UNKNOWN)
+    for k in known or ():
+        counts[k["pos"]] = k["n"]
+        if k["n"] >= LEAST:
+            words[k["pos"]] = np.array(k["word"], np.int64).view(np.uint64) | TOP
+    code = np.where(place >= 0, words[place], code.astype(np.uint64))
     rows = rows.astype(np.int64)
-    words = np.array([k["word"] for k in known or ()], dtype=np.int64).view(np.uint64) | TOP
-    counts = np.array([k["n"] for k in known or ()], dtype=np.int64)
-    order = np.argsort(words)
-    rare = np.append(counts[order], 0)[places(words[order], code)]
-    code = np.where((code >= TOP) & (rare < LEAST), UNKNOWN, code)
-    return code, rows, np.repeat(train.astype(np.int64), np.diff(rows)), rare
+    return code, rows, np.repeat(train.astype(np.int64), np.diff(rows)), counts[place]
 
 
-def _contexts(code: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    """The word before every token, the one before that, and so on: none from an unknown word on."""
+def _contexts(code: np.ndarray, rows: np.ndarray, names: np.ndarray | None = None) -> list[np.ndarray]:
+    """The word before every token, the one before that, and so on: none from an unknown word on.
+
+    ``names``: other numbers for the same words, 0 for none.
+    """
     place = np.arange(len(code)) - np.repeat(rows[:-1], np.diff(rows))
-    found, there = [], np.ones(len(code), dtype=bool)
+    names = code if names is None else names
+    found, there, known = [], np.ones(len(code), dtype=bool), code > UNKNOWN
     for n in range(1, DEPTH + 1):
-        word = np.concatenate((np.zeros(min(n, len(code)), np.uint64), code[:-n]))
-        there = there & (place >= n) & (word > UNKNOWN)
-        found.append(np.where(there, word, NONE))
+        there = there & (place >= n) & np.concatenate((np.zeros(min(n, len(code)), bool), known[:-n]))
+        word = np.concatenate((np.zeros(min(n, len(code)), names.dtype), names[:-n]))
+        found.append(np.where(there, word, names.dtype.type(0)))
     return found
 
 
@@ -240,17 +310,17 @@ def _distinct_runs(code: np.ndarray, rows: np.ndarray, train: np.ndarray, rare:
 
     Returns (tokens with a context, their runs, columns of the runs, buckets of the runs).
     """
-    d, b, a = _contexts(code, rows)
-    sent = np.flatnonzero(d)
-    vocabulary, local = np.unique(np.concatenate((code, [NONE])), return_inverse=True)
-
-    def narrow(words: np.ndarray) -> np.ndarray:
-        return np.searchsorted(vocabulary, words[sent]).astype(np.uint64)
-
-    shift = np.uint64(32)
-    high = narrow(d) << shift | local[sent].astype(np.uint64)
-    low = narrow(b) << shift | narrow(a)
-    order = np.lexsort((low, high))
+    vocabulary, local = np.unique(np.append(code, NONE), return_inverse=True)
+    local = local[:-1].astype(np.uint64)
+    before = _contexts(code, rows, local)
+    sent = np.flatnonzero(before[0])
+    bits = np.uint64(max(1, len(vocabulary).bit_length()))
+    d, b, a = (c[sent] for c in before)
+    high, low = d << bits | local[sent], b << bits | a
+    if bits <= 16:
+        order = np.argsort(high << (bits + bits) | low)
+    else:
+        order = np.lexsort((low, high))
     high, low = high[order], low[order]
     new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(order)]
     begins = np.flatnonzero(new)
@@ -258,12 +328,13 @@ def _distinct_runs(code: np.ndarray, rows: np.ndarray, train: np.ndarray, rare:
     run[order] = np.cumsum(new) - 1
     some = sent[order[begins]]
     times = np.bincount(run, weights=train[sent], minlength=len(begins)).astype(np.uint64)
-    bucket = spread.bucket(d[some], b[some], a[some]).astype(np.int64)
+    d, b, a = (vocabulary[c[order[begins]].astype(np.int64)] for c in (d, b, a))
+    bucket = spread.bucket(d, b, a).astype(np.int64)
     by_bucket = np.argsort(bucket, kind="stable")
     back = np.empty(len(begins), dtype=np.int64)
     back[by_bucket] = np.arange(len(begins))
     some = some[by_bucket]
-    columns = [d[some], code[some], b[some], a[some], times[by_bucket], rare[some].astype(np.uint64)]
+    columns = [d[by_bucket], code[some], b[by_bucket], a[by_bucket], times[by_bucket], rare[some].astype(np.uint64)]
     return sent, back[run], columns, bucket[by_bucket]
 
 
@@ -273,13 +344,17 @@ def _bounds(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(found.tolist(), begins.tolist(), np.append(begins[1:], len(bucket)).tolist()))
 
 
+def _pack_runs(columns: list[np.ndarray]) -> bytes:
+    return pack_sorted(columns[:DEPTH + 1], columns[DEPTH + 1 :])
+
+
 def _send(batches: Iterator[pa.RecordBatch], spread) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for number, packed, known in zip(*(batch.column(c).to_pylist() for c in ("slice", "codes", "known"))):
             _, _, columns, bucket = _distinct_runs(*_read_slice(packed, known), spread.value)
             for at, low, high in _bounds(bucket):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([at]), pa.array([number]), pa.array([pack(*[c[low:high] for c in columns])])],
+                    [pa.array([at]), pa.array([number]), pa.array([_pack_runs([c[low:high] for c in columns])])],
                     names=["bucket", "slice", "data"],
                 )
 
@@ -336,12 +411,15 @@ class Level:
 
     def __init__(self, context, word, n, shorter, hot=None):
         """Rows of runs with their counts; ``hot``: (contexts, totals, rows of runs) counted elsewhere."""
-        runs, first, of = np.unique(texts.mix(context * BASE + word), return_index=True, return_inverse=True)
-        many, own_context = np.bincount(of, weights=n, minlength=len(runs)), context[first]
-        self.contexts, at = np.unique(own_context, return_inverse=True)
+        run = texts.mix(context * BASE + word)
+        first, self.of = grouped(run)
+        runs, own_context = run[first], context[first]
+        many = np.bincount(self.of, weights=n, minlength=len(runs))
+        some, at = grouped(own_context)
+        self.at, self.contexts = at, own_context[some]
         total = np.bincount(at, weights=many, minlength=len(self.contexts))
         counted = (many >= LEAST) & (word[first] != UNKNOWN)
-        shorter = shorter[first]
+        shorter, every = shorter[first], runs
         if hot:
             contexts, totals, (hot_context, hot_word, hot_n, hot_shorter) = hot
             place = places(self.contexts, contexts)
@@ -365,12 +443,23 @@ class Level:
             return np.bincount(at, weights=weights, minlength=len(self.contexts)).astype(float)
 
         own = (many - DISCOUNT) / total[at]
-        self.left = 1.0 - over(own)
         kinds = over()
+        self.total, self.twice = total, 2 * over(many) - kinds
+        self.left = 1.0 - self.twice / (2 * np.maximum(total, 1.0))
         gain = over(many * np.log((own + self.left[at] * shorter) / shorter))
         gain += (total - over(many)) * np.log(np.maximum(self.left, 1e-12))
         self.kept = (kinds > 0) & (gain > DIVERGENCE * kinds)
         self.runs, self.own = runs, np.append(own, 0.0)
+        # Of the runs that were given.
+        many = np.append(many, 0.0)
+        self.many = many[places(runs, every)]
+
+    def given(self) -> list[np.ndarray]:
+        """For every given row, where its context is kept and 0 elsewhere: count of the run, of
+        the context, and twice what the next words of the context take from it."""
+        at = self.at[self.of]
+        kept = self.kept[at]
+        return [np.where(kept, c, 0.0) for c in (self.many[self.of], self.total[at], self.twice[at])]
 
     def step(self, context: np.ndarray, word: np.ndarray, shorter: np.ndarray) -> np.ndarray:
         """Probabilities in contexts of this length, given those in shorter ones."""
@@ -382,8 +471,15 @@ class Level:
         return out
 
 
+def _longer(added: np.ndarray, left: np.ndarray, n: np.ndarray, total: np.ndarray, twice: np.ndarray):
+    """What contexts add to a probability, and what they leave of the word's own, with those of one more length."""
+    some = np.maximum(total, 1.0)
+    leaves = 1.0 - twice / (2 * some)
+    return leaves * added + np.where(n > 0, (n - DISCOUNT) / some, 0.0), leaves * left
+
+
 def _root(words: Words, word: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """Probabilities of single words; 1 for unknown ones, whose counts are joined later."""
+    """Probabilities of single words; 1 for unknown ones, which no context adds to."""
     return np.where(word == UNKNOWN, 1.0, (words.count(word) + rare.astype(np.int64) + 1.0) / words.mass)
 
 
@@ -407,25 +503,33 @@ def _hot_rows(rows: list[dict], level: int, words: Words, shorter: Level | None)
 
 
 def _judge(table: pa.Table, model) -> pa.Table:
-    """The probability of the last word of every run in a bucket, for the slices that sent it."""
+    """For every run in a bucket, to the slices that sent it: the counts of its retained contexts."""
     words: Words = model.value
     rows = table.to_pylist()
     hot = sorted((r for r in rows if r["slice"] is None), key=lambda r: (r["context"], r["data"]))
     rows = [r for r in rows if r["slice"] is not None]
     if not rows:
         return pa.table({"slice": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-    blocks = [unpack(r["data"]) for r in rows]
+    blocks = [unpack_sorted(r["data"], DEPTH + 1) for r in rows]
     ends = np.cumsum([len(b[0]) for b in blocks])
     d, word, b, a, n, rare = (np.concatenate(c) for c in zip(*blocks))
     del blocks
-    p, context, level = _root(words, word, rare), None, None
+    # The probability of a run is what its contexts add and what they leave of that of its word.
+    root, context, level = _root(words, word, rare), None, None
+    added, left, found = np.zeros(len(root)), np.ones(len(root)), []
     for size, older in enumerate((d, b, a)):
         at = np.flatnonzero(older != NONE)
         context = texts.mix(older) if context is None else texts.mix(context * BASE + older)
         elsewhere = _hot_rows(hot, size, words, level) if size < 2 else None
-        level = Level(context[at], word[at], n[at].astype(float), p[at], elsewhere)
-        p[at] = level.step(context[at], word[at], p[at])
-    data = [pack(part.view(np.uint64)) for part in np.split(p, ends[:-1])]
+        p = added[at] + left[at] * root[at]
+        level = Level(context[at], word[at], n[at].astype(float), p, elsewhere)
+        counts = level.given()
+        added[at], left[at] = _longer(added[at], left[at], *counts)
+        for column in counts:
+            whole = np.zeros(len(root), dtype=np.uint64)
+            whole[at] = column.astype(np.uint64)
+            found.append(whole)
+    data = [pack(*part) for part in zip(*[np.split(c, ends[:-1]) for c in found])]
     return pa.table({
         "slice": pa.array([r["slice"] for r in rows]), "bucket": pa.array([r["bucket"] for r in rows]),
         "data": pa.array(data, pa.binary()),
@@ -438,7 +542,7 @@ def _finish(table: pa.Table, carry: list[str], total: int, model, spread) -> pa.
     carried, packed, known, found = None, None, None, {}
     for i, bucket in enumerate(table.column("bucket").to_pylist()):
         if bucket is not None:
-            found[bucket] = unpack(table.column("data")[i].as_py())[0].view(np.float64)
+            found[bucket] = unpack(table.column("data")[i].as_py())
         elif table.column("data")[i].is_valid:
             packed, carried = table.column("data")[i].as_py(), table.column("carried")[i].values
         else:
@@ -447,12 +551,13 @@ def _finish(table: pa.Table, carry: list[str], total: int, model, spread) -> pa.
     sent, run, _, bucket = _distinct_runs(code, rows, train, rare, spread.value)
     count = words.count(code) + rare
     root = (count + 1.0) / words.mass
-    p = np.ones(len(code))
-    # Of an unknown word the buckets know only what its contexts leave to it.
-    p[sent] = np.concatenate([found[at] for at, _, _ in _bounds(bucket)])[run] if len(sent) else 1.0
-    alone = np.ones(len(code), dtype=bool)
-    alone[sent] = code[sent] == UNKNOWN
-    p = np.where(alone, p * root, p)
+    p = root.copy()
+    if len(sent):
+        added, left = np.zeros(len(bucket)), np.ones(len(bucket))
+        counts = [np.concatenate(c).astype(float) for c in zip(*[found[at] for at, _, _ in _bounds(bucket)])]
+        for i in range(0, len(counts), 3):
+            added, left = _longer(added, left, *counts[i : i + 3])
+        p[sent] = added[run] + left[run] * root[sent]
 
     def per_row(values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, rows[:-1])
@@ -508,21 +613,21 @@ def score(df: DataFrame, train: str | None = None, text: str = "text", carry: li
     least = 1
     while sum(r.v for p, r in powers.items() if p >= least) > FREQUENT:
         least += 1
-    frequent = counts.where(F.col("n") >= 1 << least).toPandas()
-    model = spark.sparkContext.broadcast(
-        Words(total, distinct, frequent["word"].to_numpy().view(np.uint64), frequent["n"].to_numpy().astype(np.int64))
-    )
+    frequent = counts.where(F.col("n") >= 1 << least).toArrow()
+    frequent = [frequent.column(c).combine_chunks().to_numpy() for c in ("word", "n")]
+    model = spark.sparkContext.broadcast(Words(total, distinct, frequent[0].view(np.uint64), frequent[1]))
+    del frequent
 
     carried = T.StructType([T.StructField("_place", T.LongType()), *[rows.schema[c] for c in carry]])
     schema = T.StructType.fromDDL("slice bigint, n bigint, codes binary, rare array<bigint>").add("carried", T.ArrayType(carried))
     slices = store(rows.mapInArrow(partial(_slices, carry=carry, model=model), schema))
-    rare = store(slices.select("slice", F.explode("rare").alias("word")).join(counts, "word"))
-    entries = "array<struct<word:bigint,n:bigint>>"
-    known = rare.groupBy("slice").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    rare = slices.select("slice", F.posexplode("rare").alias("pos", "word")).join(counts.where(F.col("n") < 1 << least), "word")
+    entries = "array<struct<pos:int,word:bigint,n:bigint>>"
+    known = rare.groupBy("slice").agg(F.collect_list(F.struct("pos", "word", "n")).alias("known"))
     coded = slices.select("slice", "n", "codes")
     if least > 1:
         # Words without a rank that can be part of a context.
-        often = rare.where(F.col("n") >= LEAST).groupBy("slice").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+        often = rare.where(F.col("n") >= LEAST).groupBy("slice").agg(F.collect_list(F.struct("pos", "word", "n")).alias("known"))
         coded = store(coded.join(often, "slice", "left"))
     else:
         coded = coded.withColumn("known", F.lit(None).cast(entries))
