@@ -46,7 +46,7 @@ DIVERGENCE = 3.0
 FREQUENT = 1 << 20
 
 # Tokens for a bucket, and the most words or pairs that are spread over several.
-TASK = 1 << 20
+TASK = 1 << 19
 MOST_HOT = 2048
 
 # Parts in which the next words of a spread context are gathered.
