@@ -207,3 +207,19 @@ def test_columns_of_any_name(spark):
     rows = near_dedup.near_dedup(df.withColumn("KEPT", F.lit("gone"))).collect()
     assert {r.doc_id: r.class_id for r in rows} == {1: 1, 2: 1, 3: 3}
     assert all(r[name] == f"MINE {name}" for r in rows for name in names) and "KEPT" not in rows[0].asDict()
+
+
+def test_small_tables_of_the_rounds_are_few_files(spark):
+    """A shuffle of many partitions doesn't make a file of each where the number of rows is known."""
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + 1, 0.9) for i in range(200) if i % 50], "a bigint, b bigint, similarity double")
+        named = near_dedup.classes(links)
+        assert {r.key: r["class"] for r in named.collect()} == {i: (i - 1) // 50 * 50 + 1 for i in range(1, 201)}
+        assert len(named.inputFiles()) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -362,7 +362,7 @@ def candidate_texts(docs: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def verified(near: DataFrame, pairs: DataFrame, levels) -> DataFrame:
-    """(leader, member, similarity) of candidate pairs, both given by their text keys.
+    """(leader, member, similarity) of candidate pairs, both given by their text keys. ``pairs`` is stored.
 
     Texts go to their leaders; the texts of one leader are dealt into chunks of
     bounded size, each with a copy of the leader's text.
@@ -371,7 +371,8 @@ def verified(near: DataFrame, pairs: DataFrame, levels) -> DataFrame:
     chunks = store(
         weighed.groupBy("leader").agg(F.sum("bytes").alias("bytes")).select(
             "leader", F.expr(f"int(1 + bytes div {CHUNK_BYTES})").alias("chunks")
-        )
+        ),
+        pairs.count(),
     )
     # A leader of very many texts is a skewed key here, which adaptive joins split.
     placed = pairs.join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
@@ -404,11 +405,14 @@ def find_links(docs: DataFrame, signed: DataFrame, levels, threshold: float) ->
     links = spark.createDataFrame([], "a bigint, b bigint, similarity double")
     named = spark.createDataFrame([], "key bigint, class bigint")
     near, first_shared, most = None, None, 1
+    # Of the members of all buckets, and so of what a round stores of them.
+    rows = signed.count() * BANDS
     while True:
         sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         # Both sides are stored or counted, so adaptive joins can split a bucket with very many texts.
-        shared = store(left.join(store(sizes), "bucket").withColumn("leads", F.least("n", F.lit(most))))
-        if shared.isEmpty():
+        shared = store(left.join(store(sizes, rows), "bucket").withColumn("leads", F.least("n", F.lit(most))), rows)
+        rows = shared.count()
+        if not rows:
             break
         if near is None:
             near, first_shared = candidate_texts(docs, shared), shared
@@ -419,14 +423,14 @@ def find_links(docs: DataFrame, signed: DataFrame, levels, threshold: float) ->
             shared.where(chosen).select("bucket", F.col("key").alias("leader")).unionByName(first).distinct()
             if most > 1 else first
         )
-        leaders = store(leaders)
-        pairs = store(_candidates(shared, leaders, signed))
+        leaders = store(leaders, rows)
+        pairs = store(_candidates(shared, leaders, signed), rows)
         if not pairs.isEmpty():
             similar = store(verified(near, pairs, levels).where(F.col("similarity") >= threshold))
             links, named = _joined(links, named, similar.select(F.col("leader").alias("a"), F.col("member").alias("b"), "similarity"))
         # A member of a leader's class, by whatever links, leaves this bucket with it, which
         # keeps a large family from meeting over and over; what it misses is met in the end.
-        left = store(_others(shared.select("bucket", "key"), leaders, named))
+        left = store(_others(shared.select("bucket", "key"), leaders, named), rows)
         most *= LEADERS
     if first_shared is None:
         return links, named
@@ -438,7 +442,7 @@ def _joined(links: DataFrame, named: DataFrame, more: DataFrame) -> tuple[DataFr
     if more.isEmpty():
         return links, named
     links = links.unionByName(more)
-    return links, store(classes(links))
+    return links, classes(links)
 
 
 def _across(shared: DataFrame, named: DataFrame, near: DataFrame, levels, threshold: float) -> DataFrame:
@@ -526,21 +530,21 @@ def _others(members: DataFrame, leaders: DataFrame, named: DataFrame) -> DataFra
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """(key, class): the smallest key each key is linked to, over any number of links.
+    """(key, class): the smallest key each key is linked to, over any number of links; stored.
 
     Smallest labels spread along links, and every label is replaced by its own
     label, so long chains halve with every round.
     """
-    edges = store(
-        links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
-    )
-    labels = store(edges.groupBy(F.col("a").alias("key")).agg(F.min(F.least("a", "b")).alias("class")))
+    rows = 2 * links.count()
+    edges = store(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), rows)
+    labels = store(edges.groupBy(F.col("a").alias("key")).agg(F.min(F.least("a", "b")).alias("class")), rows)
     while True:
         near = edges.join(labels, edges.b == labels.key).groupBy("a").agg(F.min("class").alias("near"))
         jump = labels.select(F.col("key").alias("at"), F.col("class").alias("next"))
         lower = labels.join(jump, F.col("class") == F.col("at")).join(near, F.col("key") == F.col("a"))
         new = store(
-            lower.select("key", F.least("next", "near").alias("class"), (F.least("next", "near") < F.col("class")).alias("moved"))
+            lower.select("key", F.least("next", "near").alias("class"), (F.least("next", "near") < F.col("class")).alias("moved")),
+            rows,
         )
         changed = new.where("moved").limit(1).count()
         labels = new.select("key", "class")
@@ -597,8 +601,8 @@ def near_dedup(
     _, linked = find_links(docs, distinct, levels, threshold)
     of_text = distinct.join(linked, "key", "left").select("key", F.coalesce("class", "key").alias("class"), "rows")
     total = rows.count()
-    named = store(join_counted(rows.drop("bands", "samples"), store(of_text), ["key"], "rows", total))
+    named = store(join_counted(rows.drop("bands", "samples"), store(of_text, total), ["key"], "rows", total))
     best = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("rid").alias("r")))
-    groups = store(named.groupBy("class").agg(best.alias("best"), F.count("*").alias("class_size")))
+    groups = store(named.groupBy("class").agg(best.alias("best"), F.count("*").alias("class_size")), total)
     joined = join_counted(named, groups, ["class"], "class_size", total)
     return joined.select(*carry, F.col("best.i").alias("class_id"), "class_size", (F.col("rid") == F.col("best.r")).alias("kept"))
