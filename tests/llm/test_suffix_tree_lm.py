@@ -151,6 +151,54 @@ def test_packed_columns_come_back():
         assert len(back) == 8 and all((a == b).all() for a, b in zip(back, [*ordered, *columns]))
 
 
+@pytest.mark.parametrize("ranked", [1 << 20, 200])
+def test_coded_texts_stay_where_they_are_stored(spark, hot_folder, monkeypatch, ranked):
+    """Scores come to the slices: no exchange of the plan moves coded texts or carried columns."""
+    monkeypatch.setattr(lm, "FREQUENT", ranked)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = queries.op2_suffix_tree_lm(spark, hot_folder)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    nodes, moved = [plan], []
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            moved.append({node.output().apply(i).name() for i in range(node.output().size())})
+    assert moved and all({"slice", "bucket", "data"} <= m for m in moved)
+    assert not any(m & {"codes", "carried", "known"} for m in moved)
+
+
+def test_words_without_a_rank_have_short_codes(spark, hot_folder, monkeypatch):
+    """Numbers from the stored counts, not hashes: a few bytes each in what slices send."""
+    monkeypatch.setattr(lm, "FREQUENT", 200)
+    blocks, wide, plain = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), lm._send
+
+    def watched(batches, spread):
+        for batch in plain(batches, spread):
+            for data in batch.column("data"):
+                blocks.add(1)
+                wide.add(sum(int(c.max()) >= 1 << 40 for c in lm.unpack_sorted(data.as_py(), lm.DEPTH + 1)))
+            yield batch
+
+    monkeypatch.setattr(lm, "_send", watched)
+    assert queries.op2_suffix_tree_lm(spark, hot_folder).count() > 0
+    assert blocks.value > 0 and wide.value == 0
+
+
+def test_order_of_wide_runs():
+    rng = np.random.default_rng(5)
+    for bits in (4, 16, 17, 20, 24):
+        high, low = (rng.integers(0, 1 << 2 * bits, 3000, dtype=np.uint64) for _ in range(2))
+        high[:2000], low[:500] = high[0], low[0] ^ rng.integers(0, 8, 500, dtype=np.uint64)
+        order = lm._order(high, low, bits)
+        assert sorted(order) == list(range(3000))
+        assert list(zip(high[order], low[order])) == sorted(zip(high, low))
+    none = np.zeros(0, dtype=np.uint64)
+    assert len(lm._order(none, none, 20)) == 0
+
+
 def test_awkward_rows(spark, awkward, nothing):
     out = lm.score(awkward.withColumn("score", F.lit("clash")))
     rows = out.collect()

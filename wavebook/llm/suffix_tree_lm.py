@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from wavebook.llm import texts
-from wavebook.llm.common import materialise, shielded, store
+from wavebook.llm.common import shielded, store, store_by
 from wavebook.session import literal_table
 
 DEPTH = 3
@@ -41,7 +41,7 @@ DISCOUNT = 0.5
 # Nats that a context must gain on the training tokens, for each next word it keeps.
 DIVERGENCE = 3.0
 
-# Words with short codes and broadcast counts: a bound on memory. The others have long
+# Words with short codes and broadcast counts: a bound on memory. The others have longer
 # codes and joined counts, and the same scores.
 FREQUENT = 1 << 20
 
@@ -56,13 +56,19 @@ END = np.uint64(0x5D1B5D1B00000E0D)
 BASE = np.uint64(texts.BASE)
 
 # Codes: nothing before the text, a word that training has less than twice, then words
-# by rank; hashes of words without a rank have the highest bit.
+# by rank; words without a rank by their number in the stored counts, from LISTED on. Until these
+# are joined, hashes of such words have the highest bit, and a stored slice has their place in
+# its own list, from LISTED on.
 NONE, UNKNOWN, FIRST = np.uint64(0), np.uint64(1), np.uint64(2)
 TOP = np.uint64(1 << 63)
-
-# Inside a slice words without a rank have their place in its list of such words, from here on.
 LISTED = 2 * FREQUENT
 
+# Most buckets of a stored table, Spark's own bound.
+MOST_BUCKETS = 100_000
+
+# A row's number in a stored table: its task above these bits, its place there below.
+PLACE_BITS = 33
+
 OUTPUTS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -190,7 +196,7 @@ class Words:
 
     def count(self, code: np.ndarray) -> np.ndarray:
         """Counts of words with a rank, 0 for others."""
-        ranked = code < TOP
+        ranked = code < LISTED
         return np.where(ranked, self.counts[np.where(ranked, code, UNKNOWN).astype(np.int64)], 0)
 
 
@@ -268,8 +274,9 @@ def _pack_slice(code: np.ndarray, rows: np.ndarray, train: np.ndarray) -> bytes:
     return len(shape).to_bytes(8, "little") + shape + len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
 
-def _read_slice(packed: bytes, known) -> tuple[np.ndarray, ...]:
+def _read_slice(packed: pa.Scalar, known: pa.Scalar) -> tuple[np.ndarray, ...]:
     """(codes, rows, train flags of tokens, counts of words without a rank, as they are joined)."""
+    packed, known = packed.as_py(), known.values
     end = 8 + int.from_bytes(packed[:8], "little")
     rows, train, width = unpack(packed[8:end])
     size = int.from_bytes(packed[end : end + 8], "little")
@@ -281,13 +288,13 @@ def _read_slice(packed: bytes, known) -> tuple[np.ndarray, ...]:
     # One more, 0 and unknown, for the words that have a rank.
     counts = np.zeros(int(place.max(initial=-1)) + 2, dtype=np.int64)
     words = np.full(len(counts), UNKNOWN)
-    for k in known or ():
-        counts[k["pos"]] = k["n"]
-        if k["n"] >= LEAST:
-            words[k["pos"]] = np.array(k["word"], np.int64).view(np.uint64) | TOP
+    if known is not None:
+        at, word, n = (c.to_numpy(zero_copy_only=False) for c in known.flatten())
+        counts[at] = n
+        words[at[n >= LEAST]] = (word[n >= LEAST] + LISTED).astype(np.uint64)
     code = np.where(place >= 0, words[place], code.astype(np.uint64))
     rows = rows.astype(np.int64)
-    return code, rows, np.repeat(train.astype(np.int64), np.diff(rows)), counts[place]
+    return code, rows, np.repeat(train.astype(bool), np.diff(rows)), counts[place]
 
 
 def _contexts(code: np.ndarray, rows: np.ndarray, names: np.ndarray | None = None) -> list[np.ndarray]:
@@ -305,37 +312,47 @@ def _contexts(code: np.ndarray, rows: np.ndarray, names: np.ndarray | None = Non
     return found
 
 
-def _distinct_runs(code: np.ndarray, rows: np.ndarray, train: np.ndarray, rare: np.ndarray, spread: Spread):
+def _order(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the order of (high, low), both of ``2 * bits`` bits."""
+    over = max(0, 4 * bits - 64)
+    lead = high << np.uint64(2 * bits - over) | low >> np.uint64(over)
+    order = np.argsort(lead)
+    if over:
+        lead = lead[order]
+        same = lead[1:] == lead[:-1]
+        ties = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(lead) else same
+        order[ties] = order[ties][np.lexsort((low[order[ties]], lead[ties]))]
+    return order
+
+
+def _distinct_runs(code: np.ndarray, rows: np.ndarray, spread: Spread):
     """The distinct runs of a slice in the order of their buckets, and where each token has its own.
 
-    Returns (tokens with a context, their runs, columns of the runs, buckets of the runs).
+    Returns (tokens with a context, their runs, a token of every run, last words of the contexts
+    of the runs and the words before them, buckets of the runs).
     """
     vocabulary, local = np.unique(np.append(code, NONE), return_inverse=True)
-    local = local[:-1].astype(np.uint64)
+    local = local[:-1].astype(np.uint32)
     before = _contexts(code, rows, local)
     sent = np.flatnonzero(before[0])
-    bits = np.uint64(max(1, len(vocabulary).bit_length()))
-    d, b, a = (c[sent] for c in before)
-    high, low = d << bits | local[sent], b << bits | a
-    if bits <= 16:
-        order = np.argsort(high << (bits + bits) | low)
-    else:
-        order = np.lexsort((low, high))
+    bits = len(vocabulary).bit_length()
+    d, b, a = (c[sent].astype(np.uint64) for c in before)
+    del before
+    high, low = d << np.uint64(bits) | local[sent], b << np.uint64(bits) | a
+    del local
+    order = _order(high, low, bits)
     high, low = high[order], low[order]
     new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(order)]
-    begins = np.flatnonzero(new)
-    run = np.empty(len(order), dtype=np.int64)
-    run[order] = np.cumsum(new) - 1
-    some = sent[order[begins]]
-    times = np.bincount(run, weights=train[sent], minlength=len(begins)).astype(np.uint64)
-    d, b, a = (vocabulary[c[order[begins]].astype(np.int64)] for c in (d, b, a))
+    del high, low
+    begins = order[np.flatnonzero(new)]
+    d, b, a = (vocabulary[c[begins].astype(np.int64)] for c in (d, b, a))
     bucket = spread.bucket(d, b, a).astype(np.int64)
     by_bucket = np.argsort(bucket, kind="stable")
     back = np.empty(len(begins), dtype=np.int64)
     back[by_bucket] = np.arange(len(begins))
-    some = some[by_bucket]
-    columns = [d[by_bucket], code[some], b[by_bucket], a[by_bucket], times[by_bucket], rare[some].astype(np.uint64)]
-    return sent, back[run], columns, bucket[by_bucket]
+    run = np.empty(len(order), dtype=np.int64)
+    run[order] = back[np.cumsum(new) - 1]
+    return sent, run, sent[begins[by_bucket]], [c[by_bucket] for c in (d, b, a)], bucket[by_bucket]
 
 
 def _bounds(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -350,11 +367,16 @@ def _pack_runs(columns: list[np.ndarray]) -> bytes:
 
 def _send(batches: Iterator[pa.RecordBatch], spread) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for number, packed, known in zip(*(batch.column(c).to_pylist() for c in ("slice", "codes", "known"))):
-            _, _, columns, bucket = _distinct_runs(*_read_slice(packed, known), spread.value)
+        for number, packed, known in zip(*(batch.column(c) for c in ("slice", "codes", "known"))):
+            code, rows, train, rare = _read_slice(packed, known)
+            sent, run, some, (d, b, a), bucket = _distinct_runs(code, rows, spread.value)
+            times = np.bincount(run, weights=train[sent], minlength=len(some)).astype(np.uint64)
+            word = code[some]
+            columns = [d, word, b, a, times, np.where(word == UNKNOWN, 0, rare[some]).astype(np.uint64)]
+            del code, rows, train, rare, sent, run
             for at, low, high in _bounds(bucket):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([at]), pa.array([number]), pa.array([_pack_runs([c[low:high] for c in columns])])],
+                    [pa.array([at]), pa.array([number.as_py()]), pa.array([_pack_runs([c[low:high] for c in columns])])],
                     names=["bucket", "slice", "data"],
                 )
 
@@ -362,7 +384,7 @@ def _send(batches: Iterator[pa.RecordBatch], spread) -> Iterator[pa.RecordBatch]
 def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(d, b, n): tokens after words and pairs with a fair share of a slice; decides only how runs are spread."""
     for batch in batches:
-        for packed, known in zip(*(batch.column(c).to_pylist() for c in ("codes", "known"))):
+        for packed, known in zip(*(batch.column(c) for c in ("codes", "known"))):
             code, rows, _, _ = _read_slice(packed, known)
             d, b, _ = _contexts(code, rows)
             least = max(1, len(code) // (2 * MOST_HOT))
@@ -381,12 +403,12 @@ def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _next_words(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
     """(context, word, n, its count if it has no rank) for the spread contexts of each slice, training only."""
     for batch in batches:
-        for packed, known in zip(*(batch.column(c).to_pylist() for c in ("codes", "known"))):
+        for packed, known in zip(*(batch.column(c) for c in ("codes", "known"))):
             code, rows, train, rare = _read_slice(packed, known)
             d, b, _ = _contexts(code, rows)
             last = texts.mix(d)
             for context, there in ((last, d != NONE), (texts.mix(last * BASE + b), b != NONE)):
-                at = np.flatnonzero(there & (train > 0))
+                at = np.flatnonzero(there & train)
                 at = at[places(hot.value, context[at]) >= 0]
                 first, times = texts.distinct(texts.mix(context[at] * BASE + code[at]))
                 at = at[first]
@@ -510,14 +532,21 @@ def _judge(table: pa.Table, model) -> pa.Table:
     rows = [r for r in rows if r["slice"] is not None]
     if not rows:
         return pa.table({"slice": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-    blocks = [unpack_sorted(r["data"], DEPTH + 1) for r in rows]
-    ends = np.cumsum([len(b[0]) for b in blocks])
-    d, word, b, a, n, rare = (np.concatenate(c) for c in zip(*blocks))
-    del blocks
+    columns = [[] for _ in range(DEPTH + 3)]
+    for r in rows:
+        for column, part in zip(columns, unpack_sorted(r.pop("data"), DEPTH + 1)):
+            column.append(part)
+    ends = np.cumsum([len(part) for part in columns[0]])
+    for i, parts in enumerate(columns):
+        columns[i] = np.concatenate(parts)
+        parts.clear()
+    d, word, b, a, n, rare = columns
     # The probability of a run is what its contexts add and what they leave of that of its word.
     root, context, level = _root(words, word, rare), None, None
-    added, left, found = np.zeros(len(root)), np.ones(len(root)), []
-    for size, older in enumerate((d, b, a)):
+    added, left, found, before = np.zeros(len(root)), np.ones(len(root)), [], [a, b, d]
+    del columns, parts, rare, d, b, a
+    for size in range(DEPTH):
+        older = before.pop()
         at = np.flatnonzero(older != NONE)
         context = texts.mix(older) if context is None else texts.mix(context * BASE + older)
         elsewhere = _hot_rows(hot, size, words, level) if size < 2 else None
@@ -526,8 +555,8 @@ def _judge(table: pa.Table, model) -> pa.Table:
         counts = level.given()
         added[at], left[at] = _longer(added[at], left[at], *counts)
         for column in counts:
-            whole = np.zeros(len(root), dtype=np.uint64)
-            whole[at] = column.astype(np.uint64)
+            whole = np.zeros(len(root), dtype=np.min_scalar_type(int(column.max(initial=0))))
+            whole[at] = column
             found.append(whole)
     data = [pack(*part) for part in zip(*[np.split(c, ends[:-1]) for c in found])]
     return pa.table({
@@ -536,32 +565,27 @@ def _judge(table: pa.Table, model) -> pa.Table:
     })
 
 
-def _finish(table: pa.Table, carry: list[str], total: int, model, spread) -> pa.Table:
+def _finish(slices: pa.Table, judged: pa.Table, carry: list[str], total: int, model, spread) -> pa.Table:
     """The rows of a slice with their scores."""
     words: Words = model.value
-    carried, packed, known, found = None, None, None, {}
-    for i, bucket in enumerate(table.column("bucket").to_pylist()):
-        if bucket is not None:
-            found[bucket] = unpack(table.column("data")[i].as_py())
-        elif table.column("data")[i].is_valid:
-            packed, carried = table.column("data")[i].as_py(), table.column("carried")[i].values
-        else:
-            known = table.column("known")[i].as_py()
-    code, rows, train, rare = _read_slice(packed, known)
-    sent, run, _, bucket = _distinct_runs(code, rows, train, rare, spread.value)
+    code, rows, _, rare = _read_slice(slices.column("codes")[0], slices.column("known")[0])
     count = words.count(code) + rare
     root = (count + 1.0) / words.mass
     p = root.copy()
-    if len(sent):
-        added, left = np.zeros(len(bucket)), np.ones(len(bucket))
-        counts = [np.concatenate(c).astype(float) for c in zip(*[found[at] for at, _, _ in _bounds(bucket)])]
+    sent, run, _, _, bucket = _distinct_runs(code, rows, spread.value)
+    del code, rare
+    found = dict(zip(judged.column("bucket").to_pylist(), judged.column("data")))
+    added, left = np.zeros(len(bucket)), np.ones(len(bucket))
+    for at, low, high in _bounds(bucket):
+        counts = [c.astype(float) for c in unpack(found.pop(at).as_py())]
         for i in range(0, len(counts), 3):
-            added, left = _longer(added, left, *counts[i : i + 3])
-        p[sent] = added[run] + left[run] * root[sent]
+            added[low:high], left[low:high] = _longer(added[low:high], left[low:high], *counts[i : i + 3])
+    p[sent] = added[run] + left[run] * root[sent]
 
     def per_row(values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, rows[:-1])
 
+    carried = slices.column("carried")[0].values
     columns = dict(zip(["_place", *carry], carried.flatten()))
     columns = {c: columns[c] for c in carry}
     return pa.table({
@@ -596,47 +620,54 @@ def score(df: DataFrame, train: str | None = None, text: str = "text", carry: li
     names are replaced.
 
     Counts of words and the coded texts with the carried columns are stored once in the shared
-    checkpoint folder. Memory of a task is bounded by its slice or its bucket; the next words of a
+    checkpoint folder, the latter as a table in buckets by slice, so that no later step moves
+    them. Memory of a task is bounded by its slice or its bucket; the next words of a
     spread context, of which every bucket needs all, by the words of the language.
     """
     spark = df.sparkSession
     own = F.col(train).cast("boolean") if train else F.lit(True)
     rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias("_text"), own.alias("_train"))
-    counts = materialise(
+    counts = store(
         rows.where("_train").select("_text").mapInArrow(_word_counts, "word bigint, n bigint")
-        .groupBy("word").agg(F.sum("n").alias("n"))
+        .groupBy("word").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id())
     )
     # By powers of two: how many words are that frequent.
-    powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("v"), F.sum("n").alias("n"))
+    task = F.shiftright("id", PLACE_BITS)
+    powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(
+        F.count("*").alias("v"), F.sum("n").alias("n"), (F.max(task) + 1).alias("tasks")
+    )
     powers = {r.power: r for r in powers.collect()}
+    # Numbers of words without gaps between tasks, as far as these have equally many.
+    tasks = max((r.tasks for r in powers.values()), default=1)
+    counts = counts.withColumn("id", F.col("id").bitwiseAND((1 << PLACE_BITS) - 1) * tasks + task)
     total, distinct = sum(r.n for r in powers.values()), sum(r.v for r in powers.values())
     least = 1
     while sum(r.v for p, r in powers.items() if p >= least) > FREQUENT:
         least += 1
-    frequent = counts.where(F.col("n") >= 1 << least).toArrow()
+    frequent = counts.where(F.col("n") >= 1 << least).select("word", "n").toArrow()
     frequent = [frequent.column(c).combine_chunks().to_numpy() for c in ("word", "n")]
     model = spark.sparkContext.broadcast(Words(total, distinct, frequent[0].view(np.uint64), frequent[1]))
     del frequent
 
     carried = T.StructType([T.StructField("_place", T.LongType()), *[rows.schema[c] for c in carry]])
     schema = T.StructType.fromDDL("slice bigint, n bigint, codes binary, rare array<bigint>").add("carried", T.ArrayType(carried))
-    slices = store(rows.mapInArrow(partial(_slices, carry=carry, model=model), schema))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first().bytes
+    many = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // texts.SLICE)), MOST_BUCKETS)
+    slices = store_by(rows.mapInArrow(partial(_slices, carry=carry, model=model), schema), "slice", many)
     rare = slices.select("slice", F.posexplode("rare").alias("pos", "word")).join(counts.where(F.col("n") < 1 << least), "word")
-    entries = "array<struct<pos:int,word:bigint,n:bigint>>"
-    known = rare.groupBy("slice").agg(F.collect_list(F.struct("pos", "word", "n")).alias("known"))
-    coded = slices.select("slice", "n", "codes")
+    known = rare.groupBy("slice").agg(F.collect_list(F.struct("pos", F.col("id").alias("word"), "n")).alias("known"))
+    known = store_by(known, "slice", many)
+    # Only words without a rank that training has twice can be part of a context.
+    coded = slices.select("slice", "codes")
     if least > 1:
-        # Words without a rank that can be part of a context.
-        often = rare.where(F.col("n") >= LEAST).groupBy("slice").agg(F.collect_list(F.struct("pos", "word", "n")).alias("known"))
-        coded = store(coded.join(often, "slice", "left"))
+        coded = coded.join(known, "slice", "left")
     else:
-        coded = coded.withColumn("known", F.lit(None).cast(entries))
+        coded = coded.withColumn("known", F.lit(None).cast(known.schema["known"].dataType))
 
-    size = coded.agg(F.count("*").alias("many"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    many = size.many
-    spread, contexts = _spread(coded, size.n)
+    every = slices.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    spread, contexts = _spread(coded, every)
     ways = spark.sparkContext.broadcast(spread)
-    sent = coded.select("slice", "codes", "known").mapInArrow(partial(_send, spread=ways), "bucket bigint, slice bigint, data binary")
+    sent = coded.mapInArrow(partial(_send, spread=ways), "bucket bigint, slice bigint, data binary")
     more = {c: F.lit(None).cast("bigint").alias(c) for c in ("context", "total", "d", "b")}
     sent = sent.select("bucket", "slice", *more.values(), "data")
     if contexts:
@@ -657,19 +688,11 @@ def score(df: DataFrame, train: str | None = None, text: str = "text", carry: li
     judged = sent.repartition(spread.buckets, "bucket").groupBy("bucket").applyInArrow(
         lambda group: _judge(group, model), "slice bigint, bucket bigint, data binary"
     )
-    lists = {"known": known.schema["known"].dataType, "carried": slices.schema["carried"].dataType}
-
-    def row(df: DataFrame) -> DataFrame:
-        """With the columns of the three kinds of rows that meet in a slice."""
-        have = set(df.columns)
-        plain = {"bucket": "bigint", "data": "binary", **lists}
-        return df.select("slice", *[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in plain.items()])
-
-    together = row(judged).unionByName(row(slices.withColumnRenamed("codes", "data").drop("n", "rare"))).unionByName(row(known))
     out = T.StructType([
         *[rows.schema[c] for c in carry],
         *T.StructType.fromDDL("n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields,
     ])
-    return together.repartition(max(1, many), "slice").groupBy("slice").applyInArrow(
-        lambda group: _finish(group, carry, total, model, ways), out
+    whole = slices.join(known, "slice", "left").select("slice", "codes", "known", "carried")
+    return whole.groupBy("slice").cogroup(judged.groupBy("slice")).applyInArrow(
+        lambda left, right: _finish(left, right, carry, total, model, ways), out
     )
