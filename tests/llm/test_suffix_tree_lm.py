@@ -187,6 +187,23 @@ def test_words_without_a_rank_have_short_codes(spark, hot_folder, monkeypatch):
     assert blocks.value > 0 and wide.value == 0
 
 
+def test_next_words_of_a_spread_context_come_packed(spark, hot_folder, monkeypatch):
+    """A row per slice, context and part, not per word: its rows grow with the slices only."""
+    monkeypatch.setattr(lm, "TASK", 2000)
+    counted, spreads, plain, words = spark.sparkContext.accumulator(0), [], lm._spread, lm._next_words
+    monkeypatch.setattr(lm, "_spread", lambda *args: spreads.append((plain(*args), args[0].count())) or spreads[-1][0])
+
+    def watched(batches, hot):
+        for batch in words(batches, hot):
+            counted.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(lm, "_next_words", watched)
+    assert queries.op2_suffix_tree_lm(spark, hot_folder).count() > 0
+    ((spread, contexts), slices), = spreads
+    assert contexts and 0 < counted.value <= slices * len(contexts) * max(lm.PARTS, *spread.words[1].tolist())
+
+
 def test_order_of_wide_runs():
     rng = np.random.default_rng(5)
     for bits in (4, 16, 17, 20, 24):

@@ -49,7 +49,7 @@ FREQUENT = 1 << 20
 TASK = 1 << 19
 MOST_HOT = 2048
 
-# Parts in which the next words of a spread context are gathered.
+# Parts in which the next words of a spread context are gathered, or as many as the buckets it is spread over.
 PARTS = 16
 
 END = np.uint64(0x5D1B5D1B00000E0D)
@@ -216,6 +216,10 @@ class Spread:
         known, ways = spread
         return np.append(ways, np.uint64(1))[places(known, keys)]
 
+    def ways(self, contexts: np.ndarray) -> np.ndarray:
+        """Over how many buckets the runs of words and pairs are spread."""
+        return np.maximum(self._ways(self.words, contexts), self._ways(self.pairs, contexts))
+
     def bucket(self, d: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
         last = texts.mix(d)
         before = texts.mix(b) % self._ways(self.words, last)
@@ -401,7 +405,9 @@ def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _next_words(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
-    """(context, word, n, its count if it has no rank) for the spread contexts of each slice, training only."""
+    """(context, part, next words with n and their counts if they have no rank) for the spread
+    contexts of each slice, training only; a word decides its part."""
+    contexts, parts = hot.value
     for batch in batches:
         for packed, known in zip(*(batch.column(c) for c in ("codes", "known"))):
             code, rows, train, rare = _read_slice(packed, known)
@@ -409,22 +415,30 @@ def _next_words(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBat
             last = texts.mix(d)
             for context, there in ((last, d != NONE), (texts.mix(last * BASE + b), b != NONE)):
                 at = np.flatnonzero(there & train)
-                at = at[places(hot.value, context[at]) >= 0]
+                at = at[places(contexts, context[at]) >= 0]
                 first, times = texts.distinct(texts.mix(context[at] * BASE + code[at]))
                 at = at[first]
+                part = texts.mix(code[at]) % parts[places(contexts, context[at])]
+                order = np.lexsort((code[at], part, context[at]))
+                at, part, times = at[order], part[order], times[order].astype(np.uint64)
+                columns = code[at], times, rare[at].astype(np.uint64)
+                begins = np.flatnonzero(_groups([context[at], part])) if len(at) else at
+                data = [pack(*(c[low:high] for c in columns)) for low, high in zip(begins, np.append(begins[1:], len(at)))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.view(np.int64)) for c in (context[at], code[at])] + [pa.array(times), pa.array(rare[at])],
-                    names=["context", "word", "n", "rare"],
+                    [*[pa.array(c[begins].view(np.int64)) for c in (context[at], part)], pa.array(data, pa.binary())],
+                    names=["context", "part", "data"],
                 )
 
 
 def _pack_words(table: pa.Table) -> pa.Table:
-    """The next words of a part of a spread context in one row."""
-    word, n, rare = (np.asarray(table.column(c)).astype(np.int64).view(np.uint64) for c in ("word", "n", "rare"))
+    """The next words of a part of a spread context, from all slices, in one row."""
+    word, n, rare = (np.concatenate(c) for c in zip(*(unpack(data.as_py()) for data in table.column("data"))))
+    order = np.argsort(word)
+    begins = np.flatnonzero(_groups([word[order]]))
+    total, n = int(n.sum()), np.add.reduceat(n[order], begins)
+    word, rare = word[order[begins]], rare[order[begins]]
     known = (n >= LEAST) & (word != UNKNOWN)
-    order = np.argsort(word[known])
-    data = pack(word[known][order], n[known][order], rare[known][order])
-    total = int(n.sum())
+    data = pack(word[known], n[known], rare[known])
     return pa.table({"context": table.column("context")[:1], "total": pa.array([total]), "data": pa.array([data])})
 
 
@@ -671,17 +685,16 @@ def score(df: DataFrame, train: str | None = None, text: str = "text", carry: li
     more = {c: F.lit(None).cast("bigint").alias(c) for c in ("context", "total", "d", "b")}
     sent = sent.select("bucket", "slice", *more.values(), "data")
     if contexts:
-        hot = spark.sparkContext.broadcast(np.array(sorted(contexts), dtype=np.uint64))
+        keys = np.array(sorted(contexts), dtype=np.uint64)
+        hot = spark.sparkContext.broadcast((keys, np.maximum(spread.ways(keys), np.uint64(PARTS))))
         signed = lambda x: int(np.uint64(x).astype(np.int64))
         targets = literal_table(
             spark, pa.schema([(c, pa.int64()) for c in ("context", "d", "b", "bucket")]),
             [(signed(key), signed(d), signed(b), at) for key, (d, b) in contexts.items() for at in spread.targets(d, b)],
         )
         nexts = (
-            coded.mapInArrow(partial(_next_words, hot=hot), "context bigint, word bigint, n bigint, rare bigint")
-            .groupBy("context", "word").agg(F.sum("n").alias("n"), F.max("rare").alias("rare"))
-            .groupBy("context", F.pmod("word", F.lit(PARTS)).alias("part"))
-            .applyInArrow(_pack_words, "context bigint, total bigint, data binary")
+            coded.mapInArrow(partial(_next_words, hot=hot), "context bigint, part bigint, data binary")
+            .groupBy("context", "part").applyInArrow(_pack_words, "context bigint, total bigint, data binary")
         )
         none = F.lit(None).cast("bigint").alias("slice")
         sent = sent.unionByName(nexts.join(targets, "context").select("bucket", none, "context", "total", "d", "b", "data"))
